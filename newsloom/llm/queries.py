@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import byte_bpe, language_id, quality_rules, secret_scan, token_counts
-from newsloom.llm.common import table
+from newsloom.llm import byte_bpe, chat_format, language_id, quality_rules, secret_scan, token_counts, warc_writer
+from newsloom.llm.common import scratch_path, table
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +40,26 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_path(spark, "warc")
+    warc_writer.write(table(spark, sf_dir, "pages"), folder)
+    return warc_writer.read(spark, folder, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hard = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(hard)
+    loss = F.array_join("loss_texts", "")
+    return chat_format.read_back(chat_format.format_chats(turns)).select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "").cast("binary"), 256).alias("turns_sha256"),
+        F.length(loss).cast("long").alias("loss_chars"),
+        F.sha2(loss.cast("binary"), 256).alias("loss_sha256"),
+        "formatted_chars",
+    )
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     decoded = byte_bpe.decode(byte_bpe.encode(table(spark, sf_dir, "documents")))
     return decoded.select(
@@ -55,10 +75,34 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_secret_scan": op3_secret_scan,
     "op4_token_counts": op4_token_counts,
     "op5_language_id": op5_language_id,
+    "op7_warc": op7_warc,
+    "op9_chat_format": op9_chat_format,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
-_SQL: dict[str, str] = {}
+_SQL: dict[str, str] = {
+    "op7_warc": """
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+        d AS (SELECT page_id, octet_length(body) AS n, sha1(body) AS digest FROM p),
+        g AS (SELECT digest, max(page_id) AS target FROM d WHERE n >= 1000 GROUP BY digest)
+        SELECT d.page_id, CAST(n AS BIGINT) AS payload_bytes, d.digest AS payload_digest,
+               CASE WHEN target IS NULL OR d.page_id = target THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN d.page_id <> target THEN target END AS refers_to
+        FROM d LEFT JOIN g ON d.digest = g.digest AND d.n >= 1000""",
+    "op9_chat_format": """
+        WITH t AS (
+            SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+        w AS (SELECT *, length(text) + length(regexp_replace(text, '[^\\\\<\\[\\]]', '', 'g')) AS written FROM t),
+        c AS (
+            SELECT conv_id, count(*) AS n_turns,
+                   string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn) AS turns,
+                   coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE role = 'assistant'), '') AS loss,
+                   CAST(sum(CASE WHEN role = 'assistant' THEN written + 6 ELSE written + length(role) + 19 END) AS BIGINT) AS formatted_chars
+            FROM w GROUP BY conv_id)
+        SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars,
+               sha256(loss) AS loss_sha256, formatted_chars FROM c""",
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
