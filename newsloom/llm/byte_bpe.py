@@ -2,10 +2,11 @@
 
 The merges (ranks) define which pairs of tokens may stand side by side: the encoding of any prefix of a piece ends in
 one token that is known by then, and two neighbours are right just when their joined bytes encode to those two. So a
-transducer can read bytes one by one. Its state holds, for every place at which a token that goes on could have
-started, where that start is in the vocabulary's trie and which token ended there; states and transitions are made
-when first met and kept. Tokens come out once all places that can still matter lead back to them, which is after at
-most the longest token's bytes of lookahead (one pending state each).
+transducer can read bytes one by one. Its states stand for all places at which a token that goes on could have
+started at once (the longest end that starts a token; the others are its own ends), and states and transitions are
+made when first met and kept. At each byte it notes the one token that may end there after the token before it.
+Tokens come out once all places that can still matter lead back to them: after a lookahead of a few times the longest
+token's bytes at most.
 
 Pieces are the matches of a pre-tokeniser pattern; equal pieces are encoded once per task and memo period. Decoding
 streams: token bytes go through an incremental UTF-8 automaton that holds back an unfinished character between blocks.
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,9 +32,9 @@ from pyspark.sql import functions as F
 from newsloom.llm.common import Memo, byte_slices, split_at_single_spaces
 
 BATCH_BYTES = 2 << 20
-#: States and memo entries kept by one Python worker before it starts afresh.
-MOST_STATES = 150_000
-MOST_PIECES = 200_000
+#: Pairs of tokens and memo entries kept by one Python worker before it starts afresh.
+MOST_PAIRS = 400_000
+MOST_PIECES = 150_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -42,22 +44,25 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class MergeTransducer:
-    """Bytes of one piece -> ranks, by states made on demand."""
+    """Bytes of one piece -> ranks, by states made on demand.
 
-    def __init__(self, ranks: dict[bytes, int], most_states: int = MOST_STATES):
+    A state is the longest end of what was read that starts some token; its outputs are the tokens that end here,
+    longest first. There are at most as many states as the vocabulary has prefixes.
+    """
+
+    def __init__(self, ranks: dict[bytes, int], most_pairs: int = MOST_PAIRS):
         self.ranks = ranks
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.longest = max(map(len, ranks), default=1)
         self.stems = {token[:k] for token in ranks for k in range(1, len(token))}
-        self.most_states = most_states
+        self.most_pairs = most_pairs
         self._split: dict[int, tuple[int, int] | None] = {}
-        self._fits: dict[int, bool] = {}
-        self._forget()
-
-    def _forget(self) -> None:
-        self._ids: dict[tuple, int] = {((b"", None),): 0}
-        self._states: list[tuple] = [((b"", None),)]
-        self._moves: dict[int, tuple[int, int]] = {}
+        self._fits: list[dict[int, bool]] = [{} for _ in range(max(ranks.values(), default=-1) + 1)]
+        self._n_fits = 0
+        self._ids: dict[bytes, int] = {b"": 0}
+        self._ends: list[bytes] = [b""]
+        self._outputs: list[tuple[tuple[int, int], ...]] = [()]
+        self._moves: dict[int, tuple[int, tuple[tuple[int, int], ...]]] = {}
 
     def _merge(self, data: bytes, below: int) -> list[bytes]:
         """Parts by applying merges of ranks under `below`, lowest first; only used on the bytes of single tokens."""
@@ -85,11 +90,14 @@ class MergeTransducer:
         Undoes merges on either side of the border, the latest first: at each moment the two tokens at the border must
         not merge before one of them is merged into the next larger token on its own side.
         """
-        known = self._fits.get(left << 32 | right)
+        known = self._fits[left].get(right)
         if known is None:
-            if len(self._fits) > 4 * self.most_states:
-                self._fits.clear()
-            known = self._fits[left << 32 | right] = self._border_holds(left, right)
+            if self._n_fits > self.most_pairs:
+                for pairs in self._fits:
+                    pairs.clear()
+                self._n_fits = 0
+            self._n_fits += 1
+            known = self._fits[left][right] = self._border_holds(left, right)
         return known
 
     def _border_holds(self, left: int, right: int) -> bool:
@@ -108,60 +116,53 @@ class MergeTransducer:
             else:
                 right_made, right = right, self._halves(right)[0]
 
-    def _move(self, state: int, byte: int) -> tuple[int, int]:
-        """The state after byte, and the token that the encoding up to there ends in. Determinises a new state if need be."""
-        one, pending, last = bytes([byte]), [], None
-        for stem, before in self._states[state]:
-            grown = stem + one
-            if last is None and (token := self.ranks.get(grown)) is not None and self.possible(token) and (before is None or self.fits(before, token)):
-                last = token
-            if grown in self.stems:
-                pending.append((grown, before))
-        if last is None:
-            raise ValueError(f"byte {byte} has no token")
-        key = (*pending, (b"", last))
-        target = self._ids.get(key)
+    def _move(self, state: int, byte: int) -> tuple[int, tuple[tuple[int, int], ...]]:
+        """The state after byte with its outputs; determinises a new one if need be."""
+        end = self._ends[state] + bytes([byte])
+        while end not in self.stems and end not in self.ranks:
+            end = end[1:]
+            if not end:
+                raise ValueError(f"byte {byte} has no token")
+        target = self._ids.get(end)
         if target is None:
-            target = self._ids[key] = len(self._states)
-            self._states.append(key)
-        move = self._moves[state << 8 | byte] = (target, last)
+            target = self._ids[end] = len(self._ends)
+            self._ends.append(end)
+            tokens = ((self.ranks.get(end[k:]), len(end) - k) for k in range(len(end)))
+            self._outputs.append(tuple((t, n) for t, n in tokens if t is not None and self.possible(t)))
+        move = self._moves[state << 8 | byte] = (target, self._outputs[target])
         return move
 
     def stream(self, data: bytes) -> Iterator[int]:
         """Ranks of a piece, each as soon as no later byte can change it."""
-        if len(self._states) > self.most_states:
-            self._forget()
-        moves, state = self._moves, 0
+        moves, sizes = self._moves, self.bytes_of
+        state = base = done = 0
         lasts: list[int] = []  # the last token of the encoding up to each place, from `base` on
-        base = 0
-        sizes = self.bytes_of
         for at, byte in enumerate(data):
-            state, token = moves.get(state << 8 | byte) or self._move(state, byte)
+            state, outputs = moves.get(state << 8 | byte) or self._move(state, byte)
+            for token, size in outputs:
+                if size > at or self.fits(lasts[at - size - base], token):
+                    break
             lasts.append(token)
             if at - base >= 4 * self.longest:
-                # walk all pending places back until they meet: what lies before is settled
-                ends = {at + 1 - len(stem) for stem, _ in self._states[state]}
-                while len(ends) > 1:
-                    far = max(ends)
-                    ends.remove(far)
-                    ends.add(far - len(sizes[lasts[far - base - 1]]) if far > base else base)
-                settled = ends.pop()
-                if settled > base:
-                    yield from self._back(lasts, settled - base)
-                    del lasts[: settled - base]
-                    base = settled
-                if len(self._states) > 2 * self.most_states:
-                    keep = self._states[state]
-                    self._forget()
-                    moves = self._moves
-                    state = self._ids.setdefault(keep, len(self._states))
-                    if state == len(self._states):
-                        self._states.append(keep)
-        yield from self._back(lasts, len(lasts))
-
-    def _back(self, lasts: list[int], end: int) -> list[int]:
+                # walk all places from which a token may still go on back until they meet: what lies before is settled
+                end = self._ends[state]
+                places = {at + 1, *(at + 1 - len(end) + k for k in range(len(end)) if end[k:] in self.stems)}
+                while len(places) > 1:
+                    far = max(places)
+                    places.remove(far)
+                    places.add(far - len(sizes[lasts[far - base - 1]]) if far > base else base)
+                settled = places.pop()
+                if settled > done:
+                    yield from self._back(lasts, settled - base, done - base)
+                    done = settled
+                    del lasts[: settled - 1 - base]  # the last settled token stays, for what may follow it
+                    base = settled - 1
+        yield from self._back(lasts, len(lasts), done - base)
+
+    def _back(self, lasts: list[int], end: int, start: int) -> list[int]:
+        """The tokens from place start to place end, found from the last one back."""
         out = []
-        while end > 0:
+        while end > start:
             out.append(lasts[end - 1])
             end -= len(self.bytes_of[lasts[end - 1]])
         return out[::-1]
@@ -169,7 +170,31 @@ class MergeTransducer:
     def encode(self, data: bytes) -> list[int]:
         """Ranks of a piece; one that is a token itself stays whole, as the library has it."""
         whole = self.ranks.get(data)
-        return [whole] if whole is not None else list(self.stream(data))
+        if whole is not None:
+            return [whole]
+        return self._short(data) if len(data) < 4 * self.longest else list(self.stream(data))
+
+    def _short(self, data: bytes) -> list[int]:
+        """stream() for a piece that ends before anything has to come out."""
+        move, fits = self._moves.get, self._fits
+        state, lasts, steps = 0, [], []
+        for at, byte in enumerate(data):
+            state, outputs = move(state << 8 | byte) or self._move(state, byte)
+            for token, size in outputs:
+                if size > at:
+                    break
+                left = lasts[at - size]
+                ok = fits[left].get(token)
+                if ok or ok is None and self.fits(left, token):
+                    break
+            lasts.append(token)
+            steps.append(size)
+        out, at = [], len(data) - 1
+        while at >= 0:
+            out.append(lasts[at])
+            at -= steps[at]
+        out.reverse()
+        return out
 
 
 class TextEncoder:
@@ -178,12 +203,16 @@ class TextEncoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str, most: int = MOST_PIECES):
         self.transducer = MergeTransducer(ranks)
         self.find = regex.compile(pattern).findall
-        self.first = Memo(self._chunk, most)
         self.later = Memo(lambda chunk: self._chunk(" " + chunk), most)
-        self.pieces = Memo(lambda piece: np.array(self.transducer.encode(piece.encode()), "<u4").tobytes(), most)
+        self.pieces = Memo(self._piece, most)
+
+    def _piece(self, piece: str) -> bytes:
+        ids = self.transducer.encode(piece.encode())
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _chunk(self, chunk: str) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, self.find(chunk)))
+        pieces = self.find(chunk)
+        return self._piece(chunk) if len(pieces) == 1 else b"".join(map(self.pieces.__getitem__, pieces))
 
     def encode(self, text: str) -> bytes:
         if not text:

@@ -78,18 +78,23 @@ def split_at_single_spaces(text: str) -> list[str]:
 
 
 class Memo(dict):
-    """Results by word, kept until there are `most` of them; then all go, so a task's memory is bounded."""
+    """Results by word in two generations of at most `most` words: the older one goes when the younger is full, but for
+    what has been asked for since. A task's memory is bounded, and frequent words stay."""
 
-    def __init__(self, make, most: int = 300_000):
+    def __init__(self, make, most: int = 150_000):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.older = make, most, {}
 
     def __missing__(self, word):
-        value = self[word] = self.make(word)
+        value = self.older.get(word)
+        if value is None:
+            value = self.make(word)
+        self[word] = value
         return value
 
     def trim(self) -> None:
         if len(self) > self.most:
+            self.older = dict(self)
             self.clear()
 
 
