@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import byte_bpe, chat_format, language_id, quality_rules, secret_scan, token_counts, warc_writer
+from newsloom.llm import byte_bpe, chat_format, language_id, quality_rules, secret_scan, token_counts, vector_search, warc_writer
 from newsloom.llm.common import scratch_path, table
 
 
@@ -16,6 +16,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "anomaly", "threshold")
 
 
+def op2_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, 20)
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = secret_scan.scan(docs, secret_scan.fit(docs))
@@ -72,6 +76,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_vector_search": op2_vector_search,
     "op3_secret_scan": op3_secret_scan,
     "op4_token_counts": op4_token_counts,
     "op5_language_id": op5_language_id,
