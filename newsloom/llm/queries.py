@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import byte_bpe, chat_format, language_id, quality_rules, secret_scan, token_counts, vector_search, warc_writer
+from newsloom.llm import byte_bpe, chat_format, language_id, packing, quality_rules, secret_scan, token_counts, vector_search, warc_writer
 from newsloom.llm.common import scratch_path, table
 
 
@@ -50,6 +50,10 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_writer.read(spark, folder, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_pieces(table(spark, sf_dir, "documents"), keep_ids=False)
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     hard = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(hard)
@@ -81,6 +85,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_counts": op4_token_counts,
     "op5_language_id": op5_language_id,
     "op7_warc": op7_warc,
+    "op8_packing": op8_packing,
     "op9_chat_format": op9_chat_format,
     "op10_byte_bpe": op10_byte_bpe,
 }
