@@ -31,10 +31,11 @@ from pyspark.sql import functions as F
 
 from newsloom.llm.common import Memo, byte_slices, split_at_single_spaces
 
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
+_DECODE_ROWS = 256
 #: Pairs of tokens and memo entries kept by one Python worker before it starts afresh.
-MOST_PAIRS = 400_000
-MOST_PIECES = 150_000
+MOST_PAIRS = 250_000
+MOST_PIECES = 100_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -300,10 +301,15 @@ def encode(docs: DataFrame, ranks_path: str | None = None, pattern: str = public
 def decode(encoded: DataFrame, ranks_path: str | None = None, *, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """encoded with the text of ids_col added as out_col; null ids give a null text."""
     path = _default(ranks_path)
+    at = encoded.columns.index(ids_col)
 
-    @F.arrow_udf("string")
-    def text_of(ids: pa.Array) -> pa.Array:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = _decoder(path)
-        return pa.array([None if x is None else decoder.decode(x.values.to_numpy(zero_copy_only=False)) for x in (None if not v.is_valid else v for v in ids)], pa.string())
+        for batch in batches:
+            for start in range(0, batch.num_rows, _DECODE_ROWS):
+                part = batch.slice(start, _DECODE_ROWS)
+                texts = [decoder.decode(x.values.to_numpy(zero_copy_only=False)) if x.is_valid else None for x in part.column(at)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, out_col])
 
-    return encoded.withColumn(out_col, text_of(F.col(ids_col)))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
+    return encoded.mapInArrow(run, f"{schema}, `{out_col}` string")
