@@ -127,16 +127,19 @@ def train(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     return Model(tuple(langs), log_prob, np.log(counts / counts.sum()))
 
 
-def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: id_col, lang_pred and score (the posterior of that language, 0 to 1)."""
+def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """One row per row of docs: id_col, lang_pred and score (the posterior of that language, 0 to 1); with carry also the row itself, as a struct."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    source = docs.select(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    whole = [F.struct("*").alias("row")] if carry else []
+    source = docs.select(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *whole)
+    names = [id_col, "lang_pred", "score", *(["row"] if carry else [])]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in byte_slices(batch, 1, BATCH_BYTES):
-                names, share = shared.value.predict(part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(share, pa.float64())], names=[id_col, "lang_pred", "score"])
+                langs, share = shared.value.predict(part.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(langs, pa.string()), pa.array(share, pa.float64()), *part.columns[2:]], names=names)
 
     kind = source.schema[id_col].dataType.simpleString()
-    return source.mapInArrow(score, f"`{id_col}` {kind}, lang_pred string, score double")
+    rest = f", row {source.schema['row'].dataType.simpleString()}" if carry else ""
+    return source.mapInArrow(score, f"`{id_col}` {kind}, lang_pred string, score double{rest}")

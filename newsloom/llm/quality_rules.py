@@ -129,18 +129,21 @@ def count_batch(texts: list[str]) -> np.ndarray:
     return out
 
 
-def statistics(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: id_col and COUNTS."""
-    source = docs.select(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+def statistics(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """One row per row of docs: id_col and COUNTS; with carry also the row itself, as a struct."""
+    whole = [F.struct("*").alias("row")] if carry else []
+    source = docs.select(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *whole)
+    names = [id_col, *COUNTS, *(["row"] if carry else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in byte_slices(batch, 1, BATCH_BYTES):
                 counts = count_batch(part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(counts[:, k]) for k in range(len(COUNTS)))], names=[id_col, *COUNTS])
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(counts[:, k]) for k in range(len(COUNTS))), *part.columns[2:]], names=names)
 
     kind = source.schema[id_col].dataType.simpleString()
-    return source.mapInArrow(run, f"`{id_col}` {kind}, " + ", ".join(f"{c} bigint" for c in COUNTS))
+    rest = f", row {source.schema['row'].dataType.simpleString()}" if carry else ""
+    return source.mapInArrow(run, f"`{id_col}` {kind}, " + ", ".join(f"{c} bigint" for c in COUNTS) + rest)
 
 
 def _features() -> list:
@@ -254,10 +257,10 @@ def calibrate(scored: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", l
     return 1.0
 
 
-def assess(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep_good: float = KEEP_GOOD) -> DataFrame:
-    """One row per row of docs: id_col, COUNTS, base_failed, anomaly, threshold and kept."""
+def assess(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep_good: float = KEEP_GOOD, carry: bool = False) -> DataFrame:
+    """One row per row of docs: id_col, COUNTS, base_failed, anomaly, threshold and kept; with carry also the row itself, as a struct."""
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    counted = materialise(statistics(docs, id_col=id_col, text_col=text_col).withColumn("base_failed", failed), "rule-statistics")
+    counted = materialise(statistics(docs, id_col=id_col, text_col=text_col, carry=carry).withColumn("base_failed", failed), "rule-statistics")
     features = counted.select("*", *_features())
     scored = anomaly_scores(features, fit_forest(features, id_col=id_col)).drop(*FEATURES)
     threshold = calibrate(scored, labels, id_col=id_col, keep_good=keep_good)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import byte_bpe, chat_format, language_id, packing, quality_rules, secret_scan, token_counts, vector_search, warc_writer
+from newsloom.llm import byte_bpe, chat_format, language_id, near_dedup, packing, quality_rules, secret_scan, token_counts, vector_search, warc_writer
 from newsloom.llm.common import scratch_path, table
 
 
@@ -44,6 +44,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "warc")
     warc_writer.write(table(spark, sf_dir, "pages"), folder)
@@ -84,6 +88,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_secret_scan": op3_secret_scan,
     "op4_token_counts": op4_token_counts,
     "op5_language_id": op5_language_id,
+    "op6_near_dedup": op6_near_dedup,
     "op7_warc": op7_warc,
     "op8_packing": op8_packing,
     "op9_chat_format": op9_chat_format,
