@@ -48,7 +48,7 @@ def _letter_table() -> np.ndarray:
 
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashed n-grams of all texts one after the other (orders x positions), where each text starts, and its letters."""
-    joined = "".join(t + _GAP for t in texts)
+    joined = "".join(_GAP + t for t in texts)  # so no gram sees another text
     points = _letter_table()[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)]
     sizes = np.fromiter((len(t) + len(_GAP) for t in texts), np.int64, len(texts))
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
