@@ -1,19 +1,343 @@
-"""The named queries that the driver runs, with their SQL."""
+"""The named queries over whole tables, each with DuckDB SQL of the same result where SQL can express it."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from newsloom.functions import text, times, urls
+from newsloom.operators import classify, clustering, extract, filters, scoring, selection
+from newsloom.plans.adapters import ARTICLES_SQL, AS_OF, INTERACTIONS_SQL, articles, interactions, now, read
+from newsloom.streaming import state
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+STOP = ("the", "and", "und", "los", "les")
+KEYWORDS = ["inst", "esthtion", "ouchan", "zuungge"]
+PREFERRED = ["Science", "Tech"]
+TERMS = [(1, "Science", "inst"), (1, "Science", "esthtion"), (2, "Tech", "thonre"), (2, "Tech", "rend"), (3, "Santé", "ouchan"), (3, "Santé", "treai"), (4, "Culture", "zuungge"), (4, "Culture", "hend"), (5, "Politique", "ardo"), (5, "Politique", "erin")]
+SUFFIXES = ("s", "ed", "ion")
+
+#: DuckDB forms of text.normalise and of tokens.
+_NORM = "trim(regexp_replace(strip_accents(lower(trim(regexp_replace({0}, '\\s+', ' ', 'g')))), '[^a-z0-9]+', ' ', 'g'))"
+_ORDER = "published_at DESC, doc_id"
+
+
+def _norm(x: str) -> str:
+    return _NORM.format(x)
+
+
+def _tokens(x: str, least: int = 4, stop: tuple[str, ...] = ()) -> str:
+    banned = f" AND t NOT IN ({','.join(repr(s) for s in stop)})" if stop else ""
+    return f"list_filter(string_split({_norm(x)}, ' '), lambda t: length(t) >= {least}{banned})"
+
+
+def query(sql: str | None = None, articles_view: bool = True) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            body = sql.strip()
+            _SQL[f.__name__] = body if not articles_view else f"WITH {ARTICLES_SQL}{',' + body[4:] if body.startswith('WITH') else ' ' + body}"
+        return f
+
+    return add
+
+
+def _newest():
+    return [F.desc("published_at"), F.col("doc_id")]
+
+
+@query("SELECT doc_id, title, summary, source, url, published_at, category_hint, custom_source FROM articles")
+def article_view(spark, sf):
+    return articles(spark, sf).select("doc_id", "title", "summary", "source", "url", "published_at", "category_hint", "custom_source")
+
+
+@query(f"SELECT doc_id, published_at FROM articles WHERE published_at >= TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY")
+def history_filter(spark, sf):
+    return articles(spark, sf).where(F.col("published_at") >= now() - F.make_dt_interval(days=F.lit(7))).select("doc_id", "published_at")
+
+
+@query(f"SELECT doc_id, {_norm('title')} AS topic FROM articles")
+def normalise_topic(spark, sf):
+    return articles(spark, sf).select("doc_id", text.normalise(F.col("title")).alias("topic"))
+
+
+@query(f"SELECT doc_id, t.token, count(*) AS n FROM articles, unnest(list_distinct({_tokens('title', 4, STOP)})) AS t(token) GROUP BY ALL")
+def title_tokens(spark, sf):
+    return articles(spark, sf).select("doc_id", F.explode(text.tokens(F.col("title"), 4, STOP)).alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("n"))
+
+
+@query(
+    """SELECT page_id, CASE WHEN q = '' THEN p ELSE p || '?' || q END AS canonical FROM (
+         SELECT page_id, regexp_replace(split_part(split_part(url, '#', 1), '?', 1), '/+$', '') AS p,
+                array_to_string(list_filter(string_split(split_part(split_part(url, '#', 1), '?', 2), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|fbclid|gclid|mc_[a-z]+)=')), '&') AS q FROM pages)""",
+    articles_view=False,
+)
+def canonical_url(spark, sf):
+    return read(spark, sf, "pages").select("page_id", urls.canonical(F.col("url")).alias("canonical"))
+
+
+@query("SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/:?#]+)', 1)), '^www\\.', '') AS host FROM pages", articles_view=False)
+def page_hosts(spark, sf):
+    return read(spark, sf, "pages").select("page_id", urls.host(F.col("url")).alias("host"))
+
+
+@query("SELECT doc_id, 'a-' || substring(sha256(url || '|' || title), 1, 16) AS article_id FROM articles")
+def server_article_id(spark, sf):
+    return articles(spark, sf).select("doc_id", urls.article_id(F.col("url"), F.col("title")).alias("article_id"))
+
+
+@query(f"SELECT CASE WHEN h < 12 THEN '<12h' WHEN h < 48 THEN '12-48h' WHEN h < 168 THEN '2-7d' ELSE '8-31d' END AS bucket, count(*) AS n FROM (SELECT epoch_ms(TIMESTAMP '{AS_OF}' - published_at) / 3600000.0 AS h FROM (SELECT *, epoch_ms(TIMESTAMP '{AS_OF}') AS _ FROM articles)) GROUP BY ALL".replace(f"epoch_ms(TIMESTAMP '{AS_OF}' - published_at)", f"(epoch_ms(TIMESTAMP '{AS_OF}') - epoch_ms(published_at))"))
+def age_buckets(spark, sf):
+    return articles(spark, sf).groupBy(times.age_bucket(F.col("published_at"), now()).alias("bucket")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT CAST(epoch_ms(published_at) // 259200000 AS BIGINT) AS bucket, source, count(*) AS n FROM articles GROUP BY ALL")
+def story_bucket_72h(spark, sf):
+    return articles(spark, sf).groupBy(times.story_bucket(F.col("published_at")).alias("bucket"), "source").agg(F.count("*").alias("n"))
+
+
+_HAY = _norm("concat_ws(' ', title, summary)")
+_MATCHES = f"list_filter({KEYWORDS!r}, lambda k: contains({_HAY}, k))"
+
+
+@query(f"SELECT doc_id, array_to_string(m, '|') AS matches FROM (SELECT doc_id, {_MATCHES} AS m FROM articles) WHERE len(m) > 0")
+def keyword_matches(spark, sf):
+    found = articles(spark, sf).select("doc_id", filters.keyword_matches(filters.haystack(F.col("title"), F.col("summary")), KEYWORDS).alias("m"))
+    return found.where(F.size("m") > 0).select("doc_id", F.array_join("m", "|").alias("matches"))
+
+
+@query(f"SELECT doc_id FROM (SELECT doc_id, {_HAY} AS h FROM articles) WHERE (contains(h, 'inst') AND contains(h, 'thonre') OR contains(h, 'ouchan')) AND NOT contains(h, 'hend') AND NOT contains(h, 'treai')")
+def watch_rule_match(spark, sf):
+    return articles(spark, sf).where(filters.watch_rule(filters.haystack(F.col("title"), F.col("summary")), "inst + thonre | ouchan", "hend, treai")).select("doc_id")
+
+
+@query(f"SELECT doc_id FROM articles WHERE source NOT IN ('src1', 'src2') AND NOT contains({_HAY}, 'rend')")
+def blocked_filter(spark, sf):
+    blocked = spark.createDataFrame([("src1",), ("src2",)], "source string")
+    return articles(spark, sf).join(blocked, "source", "left_anti").where(~filters.watch_rule(filters.haystack(F.col("title"), F.col("summary")), "rend")).select("doc_id")
+
+
+_TERM_ROWS = ", ".join(f"({r}, '{c}', '{t}')" for r, c, t in TERMS)
+_CLASSIFIED = f"""WITH terms(rule, category, base) AS (VALUES {_TERM_ROWS}),
+    expanded AS (SELECT rule, category, base, base || e AS token FROM terms, (VALUES (''), {", ".join(f"('{s}')" for s in SUFFIXES)}) AS x(e) WHERE e = '' OR length(base) >= 5),
+    words AS (SELECT doc_id, unnest(list_distinct(string_split({_norm("title")}, ' '))) AS token, 10 AS points FROM articles
+              UNION ALL SELECT doc_id, unnest(list_distinct(string_split({_norm("summary")}, ' '))), 3 FROM articles),
+    best AS (SELECT doc_id, rule, category, base, max(points) AS points FROM words JOIN expanded USING (token) GROUP BY ALL),
+    scored AS (SELECT doc_id, rule, category, CAST(sum(points) AS BIGINT) + CASE WHEN category = category_hint THEN 2 ELSE 0 END AS score, count(*) FILTER (WHERE points = 10) AS title_hits
+               FROM best JOIN articles USING (doc_id) GROUP BY doc_id, rule, category, category_hint),
+    placed AS (SELECT *, row_number() OVER w AS place, score - coalesce(lead(score) OVER w, 0) AS margin FROM scored WINDOW w AS (PARTITION BY doc_id ORDER BY score DESC, title_hits DESC, rule)),
+    top AS (SELECT *, CASE WHEN title_hits >= 2 AND margin >= 4 OR score >= 20 AND margin >= 6 THEN 'high' WHEN score >= 10 AND margin >= 4 THEN 'medium' ELSE 'low' END AS level FROM placed WHERE place = 1 AND score >= 6)"""
+
+
+def _classified(spark, sf):
+    return classify.classify(articles(spark, sf), spark.createDataFrame(TERMS, "rule int, category string, term string"), suffixes=SUFFIXES)
+
+
+@query(_CLASSIFIED + " SELECT a.doc_id, coalesce(t.category, a.category_hint, 'Société') AS category, coalesce(score, 0) AS score, coalesce(title_hits, 0) AS title_hits, coalesce(margin, 0) AS margin, coalesce(level, 'low') AS level FROM articles a LEFT JOIN top t ON a.doc_id = t.doc_id")
+def category_score(spark, sf):
+    return _classified(spark, sf)
+
+
+@query(_CLASSIFIED + " SELECT coalesce(t.category, a.category_hint, 'Société') AS category, coalesce(level, 'low') AS level, count(*) AS n FROM articles a LEFT JOIN top t ON a.doc_id = t.doc_id GROUP BY ALL")
+def category_levels(spark, sf):
+    return _classified(spark, sf).groupBy("category", "level").agg(F.count("*").alias("n"))
+
+
+def _scored(spark, sf):
+    own = articles(spark, sf)
+    matches = filters.keyword_matches(filters.haystack(F.col("title"), F.col("summary")), KEYWORDS)
+    return own.withColumn("score", times.rounded(scoring.core_rank(F.col("published_at"), now(), F.col("category_hint"), PREFERRED, matches), 3)).withColumn("day", times.day_key(F.col("published_at")))
+
+
+_SCORED = f"""WITH scored AS (SELECT *, strftime(published_at, '%Y-%m-%d') AS day,
+    floor((100.0 - least((epoch_ms(TIMESTAMP '{AS_OF}') - epoch_ms(published_at)) / 3600000.0, 96.0) + CASE WHEN category_hint IN ('Science', 'Tech') THEN 26.0 ELSE 0.0 END + 28.0 * len({_MATCHES})) * 1000 + 0.5) / 1000 AS score FROM articles)"""
+
+
+@query(_SCORED + " SELECT doc_id, score FROM scored")
+def core_rank(spark, sf):
+    return _scored(spark, sf).select("doc_id", "score")
+
+
+@query(
+    _SCORED
+    + """, ranked AS (SELECT *, row_number() OVER (ORDER BY score DESC, published_at DESC, doc_id) AS g, row_number() OVER (PARTITION BY day ORDER BY score DESC, published_at DESC, doc_id) AS d FROM scored),
+    phased AS (SELECT *, CASE WHEN g <= 160 THEN 0 ELSE 1 END AS phase FROM ranked WHERE g <= 160 OR d <= 12)
+    SELECT doc_id, day, score, phase FROM phased ORDER BY phase, CASE WHEN phase = 1 THEN day END DESC, CASE WHEN phase = 1 THEN d ELSE 0 END, score DESC, published_at DESC, doc_id LIMIT 700"""
+)
+def catalogue_quota(spark, sf):
+    return selection.top_and_daily(_scored(spark, sf), "day", [F.desc("score"), F.desc("published_at"), F.col("doc_id")]).select("doc_id", "day", "score", "phase")
+
+
+@query(f"SELECT doc_id, source, turn FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY {_ORDER}) AS turn FROM articles) ORDER BY turn, {_ORDER} LIMIT 120")
+def source_round_robin(spark, sf):
+    return selection.round_robin(articles(spark, sf), "source", _newest(), 120).select("doc_id", "source", "turn")
+
+
+@query(f"SELECT doc_id, category_hint, turn FROM (SELECT *, row_number() OVER (PARTITION BY category_hint ORDER BY {_ORDER}) AS turn FROM articles) ORDER BY turn, {_ORDER} LIMIT 24")
+def category_round_robin(spark, sf):
+    return selection.round_robin(articles(spark, sf), "category_hint", _newest(), 24).select("doc_id", "category_hint", "turn")
+
+
+@query(
+    f"""WITH c AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY {_ORDER}) AS r FROM articles WHERE custom_source),
+    c10 AS (SELECT * EXCLUDE (r) FROM c WHERE r <= 4 ORDER BY {_ORDER} LIMIT 10),
+    u AS (SELECT * FROM articles WHERE NOT custom_source UNION ALL BY NAME SELECT * FROM c10)
+    SELECT doc_id, source, custom_source FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY {_ORDER}) AS r FROM u) WHERE r <= 20"""
+)
+def flood_cap(spark, sf):
+    return selection.flood_cap(articles(spark, sf), _newest()).select("doc_id", "source", "custom_source")
+
+
+@query(f"SELECT doc_id, day, rank FROM (SELECT doc_id, strftime(published_at, '%Y-%m-%d') AS day, row_number() OVER (PARTITION BY strftime(published_at, '%Y-%m-%d') ORDER BY {_ORDER}) AS rank FROM articles) WHERE rank <= 8")
+def home_day_quota(spark, sf):
+    own = articles(spark, sf).withColumn("day", times.day_key(F.col("published_at")))
+    return own.withColumn("rank", F.row_number().over(Window.partitionBy("day").orderBy(*_newest()))).where("rank <= 8").select("doc_id", "day", "rank")
+
+
+@query(f"SELECT doc_id, source, lang FROM (SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY {_ORDER}) AS r FROM articles) WHERE r <= 1")
+def stratified_sample(spark, sf):
+    return selection.stratified(articles(spark, sf), ["source", "lang"], _newest()).select("doc_id", "source", "lang")
+
+
+@query(f"SELECT {_norm('source')} AS source, count(*) AS n, count(DISTINCT lang) AS langs, max(published_at) AS latest FROM articles GROUP BY 1")
+def source_directory(spark, sf):
+    return articles(spark, sf).groupBy(text.normalise(F.col("source")).alias("source")).agg(F.count("*").alias("n"), F.countDistinct("lang").alias("langs"), F.max("published_at").alias("latest"))
+
+
+_COVER = f"coalesce(len(list_intersect(list_distinct({_tokens('title')}), list_distinct({_tokens('summary')}))) / nullif(least(len(list_distinct({_tokens('title')})), len(list_distinct({_tokens('summary')}))), 0), 0.0)"
+
+
+@query(f"WITH s AS (SELECT *, {_COVER} AS c FROM articles) SELECT CASE WHEN length(summary) < 32 THEN 'missing' WHEN c >= 0.85 AND length(summary) <= 1.8 * length(title) THEN 'title_like' ELSE 'usable' END AS state, count(*) AS n FROM s GROUP BY ALL")
+def summary_state_counts(spark, sf):
+    own = articles(spark, sf)
+    cover = text.containment(text.tokens(F.col("title")), text.tokens(F.col("summary")))
+    return own.groupBy(scoring.information_state(F.col("summary"), cover, F.length("title")).alias("state")).agg(F.count("*").alias("n"))
+
+
+@query(
+    """WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS p, count(*) OVER (PARTITION BY event_type) AS n FROM events)
+    SELECT event_type, any_value(n) AS n, round(max(value) FILTER (WHERE p = CAST(floor((n - 1) * 0.5) AS BIGINT) + 1), 6) AS median, round(max(value) FILTER (WHERE p = CAST(floor((n - 1) * 0.95) AS BIGINT) + 1), 6) AS p95 FROM r GROUP BY event_type""",
+    articles_view=False,
+)
+def latency_quantiles(spark, sf):
+    """Nearest rank by counts of equal values, so a frequent event type is never gathered in one task."""
+    per = read(spark, sf, "events").groupBy("event_type", "value").agg(F.count("*").alias("c"))
+    upto = Window.partitionBy("event_type").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    total = per.groupBy("event_type").agg(F.sum("c").alias("n"))
+    ranked = per.withColumn("upto", F.sum("c").over(upto)).join(total, "event_type")
+    at = lambda q: F.round(F.min(F.when(F.col("upto") >= F.floor((F.col("n") - 1) * q) + 1, F.col("value"))), 6)
+    return ranked.groupBy("event_type").agg(F.first("n").alias("n"), at(0.5).alias("median"), at(0.95).alias("p95"))
+
+
+@query(f"SELECT doc_id, len(c) AS n_claims, array_to_string(c, '|') AS claims FROM (SELECT doc_id, regexp_extract_all(summary, '{text.NUMBER}') AS c FROM articles) WHERE len(c) > 0")
+def numeric_claims(spark, sf):
+    return articles(spark, sf).select("doc_id", text.numeric_claims(F.col("summary")).alias("c")).where(F.size("c") > 0).select("doc_id", F.size("c").cast("long").alias("n_claims"), F.array_join("c", "|").alias("claims"))
+
+
+_SENTENCES = f"list_filter(list_transform(regexp_extract_all(summary, '{text.SENTENCE}'), lambda s: trim(s)), lambda s: s <> '')"
+
+
+@query(f"SELECT doc_id, len({_SENTENCES}) AS n_sentences, substring(array_to_string(list_filter({_SENTENCES}, lambda s: length(s) >= 36)[1:5], ' '), 1, 1000) AS digest FROM articles")
+def extractive_summary(spark, sf):
+    return articles(spark, sf).select("doc_id", F.size(text.sentences(F.col("summary"))).cast("long").alias("n_sentences"), text.extractive_summary(F.col("summary")).alias("digest"))
+
+
+@query(
+    """WITH p AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<p\\b[^>]*>(.*?)</p>', 1)) AS raw, generate_subscripts(regexp_extract_all(html, '(?is)<p\\b[^>]*>(.*?)</p>', 1), 1) - 1 AS place FROM pages),
+    e AS (SELECT page_id, place, replace(replace(replace(replace(replace(replace(raw, '&nbsp;', ' '), '&quot;', '"'), '&#39;', ''''), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS d FROM p),
+    t AS (SELECT page_id, place, trim(regexp_replace(regexp_replace(regexp_replace(d, '(?is)<(script|style)\\b.*?</(script|style)>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) AS text FROM e),
+    f AS (SELECT *, row_number() OVER (PARTITION BY page_id, lower(substring(text, 1, 140)) ORDER BY place) AS c FROM t WHERE length(text) >= 55),
+    r AS (SELECT *, coalesce(sum(length(text)) OVER (PARTITION BY page_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM f WHERE c = 1)
+    SELECT page_id, CAST(place AS INTEGER) AS place, text FROM r WHERE b <= 14000""",
+    articles_view=False,
+)
+def paragraph_extract(spark, sf):
+    return extract.paragraphs(read(spark, sf, "pages")).select("page_id", "place", "text")
+
+
+@query("SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')) AS title FROM pages", articles_view=False)
+def page_titles(spark, sf):
+    return read(spark, sf, "pages").select("page_id", extract.title_tag(F.col("html")).alias("title"))
+
+
+@query(
+    f"WITH {INTERACTIONS_SQL} SELECT doc_id, CAST(i AS BIGINT) AS impressions, CAST(o AS BIGINT) AS opens, CAST(least(46, 7 * least(i, 20) + 15 * least(o, 20)) AS BIGINT) AS penalty FROM (SELECT doc_id, count(*) FILTER (WHERE action = 'impression') AS i, count(*) FILTER (WHERE action = 'open') AS o FROM interactions GROUP BY doc_id)",
+    articles_view=False,
+)
+def seen_penalty(spark, sf):
+    seen = interactions(spark, sf).groupBy("doc_id").agg(F.count_if(F.col("action") == "impression").alias("impressions"), F.count_if(F.col("action") == "open").alias("opens"))
+    return seen.withColumn("penalty", scoring.seen_penalty(F.col("impressions"), F.col("opens")).cast("long"))
+
+
+@query("SELECT a.doc_id, a.source, l.quality, l.toxic FROM articles a LEFT JOIN labels l ON a.doc_id = l.doc_id")
+def audit_join(spark, sf):
+    return articles(spark, sf).join(read(spark, sf, "labels"), "doc_id", "left").select("doc_id", "source", "quality", "toxic")
+
+
+@query(f"WITH {INTERACTIONS_SQL} SELECT d.doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM interactions i WHERE i.doc_id = d.doc_id AND i.action = 'open')", articles_view=False)
+def unopened(spark, sf):
+    opened = interactions(spark, sf).where("action = 'open'").select("doc_id")
+    return read(spark, sf, "documents").join(opened, "doc_id", "left_anti").select("doc_id")
+
+
+@query("SELECT conv_id, turn, lag(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS previous_chars FROM conversations", articles_view=False)
+def previous_snapshot(spark, sf):
+    return read(spark, sf, "conversations").select("conv_id", "turn", F.lag(F.length("text").cast("long")).over(Window.partitionBy("conv_id").orderBy("turn")).alias("previous_chars"))
+
+
+@query("SELECT conv_id, turn, running FROM (SELECT conv_id, turn, CAST(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS running FROM conversations) WHERE running <= 500", articles_view=False)
+def running_length_cut(spark, sf):
+    return selection.running_cut(read(spark, sf, "conversations"), "conv_id", [F.col("turn")], F.length("text").cast("long"), 500).select("conv_id", "turn", "running")
+
+
+@query(f"SELECT doc_id, source, lead FROM (SELECT doc_id, source, first_value(doc_id) OVER (PARTITION BY {_norm('title')} ORDER BY {_ORDER}) AS lead FROM articles)")
+def lead_in_group(spark, sf):
+    own = articles(spark, sf).withColumn("key", text.normalise(F.col("title")))
+    leads = own.groupBy("key").agg(F.min_by("doc_id", F.struct(-F.unix_millis("published_at"), "doc_id")).alias("lead"))
+    return own.join(leads, "key").select("doc_id", "source", "lead")
+
+
+@query("SELECT time_bucket(INTERVAL 72 HOUR, ts, TIMESTAMP '1970-01-01') AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL", articles_view=False)
+def event_windows(spark, sf):
+    return state.windowed_counts(read(spark, sf, "events")).withColumn("total", F.round("total", 4))
+
+
+@query(
+    f"""WITH toks AS (SELECT doc_id, published_at, list_sort(list_distinct({_tokens("regexp_replace(title, '\\s+-\\s+[^-]{2,45}$', '')", 4, STOP)})) AS k FROM articles)
+    SELECT array_to_string(k, ' ') AS token_set, count(*) AS n, arg_min(doc_id, (-epoch_ms(published_at), doc_id)) AS head FROM toks WHERE len(k) > 0 GROUP BY k"""
+)
+def title_classes(spark, sf):
+    keyed = articles(spark, sf).select("doc_id", "published_at", F.array_sort(text.tokens(text.strip_publisher(F.col("title")), 4, STOP)).alias("k")).where("size(k) > 0")
+    return keyed.groupBy(F.array_join("k", " ").alias("token_set")).agg(F.count("*").alias("n"), F.min_by("doc_id", F.struct(-F.unix_millis("published_at"), "doc_id")).alias("head"))
+
+
+@query()
+def lexical_dedup(spark, sf):
+    """Tested row for row against the sequential form."""
+    return clustering.lexical_dedup(articles(spark, sf), stop=STOP)
+
+
+@query()
+def feedback_weights(spark, sf):
+    """Tested against the sequential form."""
+    events = interactions(spark, sf).join(articles(spark, sf).select("doc_id", F.col("category_hint").alias("topic")), "doc_id")
+    return state.feedback(events)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("source").count()
+    """Articles, scored, deduplicated and selected."""
+    leaders = clustering.lexical_dedup(articles(spark, sf_dir), stop=STOP).where("doc_id = leader").select("doc_id")
+    return selection.top_and_daily(_scored(spark, sf_dir).join(leaders, "doc_id", "left_semi"), "day", [F.desc("score"), F.desc("published_at"), F.col("doc_id")]).select("doc_id", "title", "source", "day", "score", "phase")
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)

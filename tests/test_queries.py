@@ -1,0 +1,66 @@
+"""Every registered query against its SQL, and what has no SQL against its sequential form."""
+
+from pathlib import Path
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+from newsloom.functions import text
+from newsloom.plans import registry
+from newsloom.plans.adapters import articles, interactions
+from newsloom.streaming import state
+
+SF = "/root/testdata/sf0.001"
+
+
+def plain(x):
+    return round(x, 6) if isinstance(x, float) else x
+
+
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+def test_query_is_its_sql(spark, name):
+    got = registry.queries()[name](spark, SF)
+    with duckdb.connect() as db:
+        db.execute("SET TimeZone='UTC'")
+        for path in Path(SF).glob("*.parquet"):
+            db.execute(f"CREATE VIEW {path.stem} AS SELECT * FROM read_parquet('{path}')")
+        found = db.execute(registry.oracle_sql()[name])
+        names = [c[0] for c in found.description]
+        want = [dict(zip(names, row, strict=True)) for row in found.fetchall()]
+    assert sorted(names) == sorted(got.columns)
+    rows = lambda all_: sorted((tuple(plain(r[c]) for c in sorted(names)) for r in all_), key=lambda r: [(x is not None, x) for x in r])
+    assert rows(got.collect()) == rows(want)
+
+
+def test_lexical_dedup_is_the_sequential_form(spark):
+    view = articles(spark, "/root/testdata/sf0.01")
+    rows = view.select("doc_id", "published_at", text.tokens(text.strip_publisher(F.col("title")), 4, registry.STOP).alias("k")).collect()
+    leaders, want = [], {}
+    for r in sorted(rows, key=lambda r: (-r["published_at"].timestamp(), r["doc_id"])):
+        own = set(r["k"])
+        hit = next((i for i, k in leaders if own and k and 100 * len(own & k) >= 80 * min(len(own), len(k))), None)
+        if hit is None:
+            leaders.append((r["doc_id"], own))
+        want[r["doc_id"]] = r["doc_id"] if hit is None else hit
+    got = {r["doc_id"]: r["leader"] for r in registry.lexical_dedup(spark, "/root/testdata/sf0.01").collect()}
+    assert got == want and len(leaders) < len(rows)
+
+
+def test_feedback_is_the_sequential_form(spark):
+    topic = {r["doc_id"]: r["category_hint"] for r in articles(spark, SF).collect()}
+    want = {}
+    for r in sorted(interactions(spark, SF).collect(), key=lambda r: (r["user_id"], r["ts"], r["event_id"])):
+        state.apply_feedback(want.setdefault(r["user_id"], {}), topic[r["doc_id"]], r["action"])
+    got = {(r["user_id"], r["topic"]): r["weight"] for r in registry.feedback_weights(spark, SF).collect()}
+    assert got == {(u, t): w for u, own in want.items() for t, w in own.items()}
+
+
+def test_entry_points():
+    import __spark_entry__ as entry
+
+    assert set(entry.oracle_sql()) <= set(entry.queries()) and set(registry.queries()) <= set(entry.queries())
+
+
+def test_entry(spark):
+    assert registry.entry(spark, SF).count() > 0
