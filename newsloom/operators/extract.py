@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,3 +32,42 @@ def paragraphs(pages: DataFrame, *, least: int = 55, most: int = 14_000) -> Data
     kept = plain.withColumn("_copy", F.row_number().over(first)).where("_copy = 1").drop("_copy")
     before = Window.partitionBy("page_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     return kept.withColumn("_before", F.coalesce(F.sum(F.length("text")).over(before), F.lit(0))).where(F.col("_before") <= most).drop("_before")
+
+
+LD_SCRIPT = r"""(?is)<script\b[^>]*type=["']application/ld\+json[^"']*["'][^>]*>(.*?)</script>"""
+LD_BODY, LD_DESCRIPTION = 14_000, 1_800
+
+
+def _nodes(value) -> Iterator[dict]:
+    """All objects of a JSON value, however deep."""
+    todo = [value]
+    while todo:
+        own = todo.pop()
+        if isinstance(own, dict):
+            yield own
+            todo += own.values()
+        elif isinstance(own, list):
+            todo += own
+
+
+def _ld_texts(scripts):
+    """Texts of the objects of JSON scripts; JSON of any depth has no fixed schema, so this is Python, on the scripts only."""
+    found = []
+    for raw in scripts if scripts is not None else []:
+        try:
+            value = json.loads(raw)
+        except (ValueError, RecursionError):
+            continue
+        found += [(str(n.get("articleBody") or n.get("text") or ""), str(n.get("description") or "")) for n in _nodes(value)]
+    return found
+
+
+def json_ld(pages: DataFrame) -> DataFrame:
+    """page_id, body and description: the longest cleaned articleBody (or text) and description of all JSON-LD objects, empty without one."""
+    scripts = F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(LD_SCRIPT), F.lit(1))
+    told = pages.select("page_id", scripts.alias("scripts"))
+    texts = F.udf(_ld_texts, "array<struct<body:string,description:string>>", useArrow=True)
+    some = told.where(F.size("scripts") > 0).select("page_id", texts("scripts").alias("texts"))
+    longest = lambda field, most: F.substring(F.coalesce(F.array_max(F.transform("texts", lambda t: F.struct(F.length(text.strip_html(t[field])).alias("n"), text.strip_html(t[field]).alias("x"))))["x"], F.lit("")), 1, most)
+    empty = told.where(F.size("scripts") == 0).select("page_id", F.lit("").alias("body"), F.lit("").alias("description"))
+    return some.select("page_id", longest("body", LD_BODY).alias("body"), longest("description", LD_DESCRIPTION).alias("description")).unionByName(empty)

@@ -69,3 +69,29 @@ def first_seen(df: DataFrame, keys: list[str], order: Column, *, id_col: str = "
         verdict = F.when(F.col("kept").isNotNull(), F.col("kept")).when(shared, False).when(~ahead, True)
         state = cut(new.select("id", "ord", *names, verdict.alias("kept")))
     return df.join(state.where("kept").select(F.col("id").alias(id_col)), id_col, "left_semi")
+
+
+def merge_history(df: DataFrame, order: Column, *, url: str = "url_key", title: str = "title_key", at: str = "published_at", hours: int = 48, id_col: str = "doc_id") -> DataFrame:
+    """The rows that a pass in order keeps when it drops a row whose url a kept one has, or whose title the latest kept
+    row of that title has had within `hours`.
+
+    Each round finds, for every title, the first open row that its latest kept row doesn't rule out; open rows before
+    it go, and it stays once no earlier row of its url is open. Null and empty urls or titles are shared by no one, nor
+    are titles of rows without a date. Rounds are as many as one title has kept rows, and chains of shared urls.
+    """
+    dated = F.when((F.col(title) != "") & F.col(at).isNotNull(), F.concat(F.lit("t"), F.col(title)))
+    state = cut(df.select(F.col(id_col).alias("id"), order.alias("ord"), F.unix_millis(at).alias("at"), F.when(F.col(url) != "", F.col(url)).alias("url"), F.coalesce(dated, F.concat(F.lit("i"), F.col(id_col).cast("string"))).alias("title"), F.lit(None).cast("boolean").alias("kept")))
+    while state.where("kept is null").limit(1).count():
+        live = state.where(F.coalesce("kept", F.lit(True)))
+        urls = live.where("url is not null").groupBy(F.col("url").alias("_u")).agg(F.min(F.when(F.col("kept"), F.col("ord"))).alias("taken"), F.min(F.when(F.col("kept").isNull(), F.col("ord"))).alias("open_url"))
+        last = live.where("kept").groupBy(F.col("title").alias("_t")).agg(F.max_by("at", "ord").alias("last_at"))
+        seen = state.where("kept is null").join(urls, F.col("url") == F.col("_u"), "left").join(last, F.col("title") == F.col("_t"), "left").drop("_t")
+        used = F.coalesce(F.col("taken") < F.col("ord"), F.lit(False))
+        recent = F.coalesce(F.abs(F.col("at") - F.col("last_at")) <= hours * 3_600_000, F.lit(False))
+        seen = seen.withColumn("used", used).withColumn("gone", used | recent)
+        first = seen.where(~F.col("gone")).groupBy(F.col("title").alias("_t")).agg(F.min("ord").alias("next"))
+        placed = seen.join(first, F.col("title") == F.col("_t"), "left")
+        stays = (F.col("ord") == F.col("next")) & ~F.coalesce(F.col("open_url") < F.col("ord"), F.lit(False))
+        goes = F.col("used") | (F.col("gone") & (F.col("next").isNull() | (F.col("ord") < F.col("next"))))
+        state = cut(state.where("kept is not null").unionByName(placed.select("id", "ord", "at", "url", "title", F.when(goes, False).when(stays, True).alias("kept"))))
+    return df.join(state.where("kept").select(F.col("id").alias(id_col)), id_col, "left_semi")

@@ -16,10 +16,12 @@ def top_and_daily(df: DataFrame, day: str, order: list[Column], *, id_col: str =
 
 
 def round_robin(df: DataFrame, group: str, order: list[Column], most: int) -> DataFrame:
-    """The first `most` rows when groups take turns, a row each, groups by their best row; adds turn."""
+    """The first `most` rows when groups take turns, a row each, in the order of the groups' best rows; adds turn."""
     own = Window.partitionBy(group).orderBy(*order)
     turns = df.withColumn("turn", F.row_number().over(own)).where(F.col("turn") <= most)
-    return turns.orderBy("turn", *order).limit(most)
+    best = turns.where("turn = 1").orderBy(*order).limit(most)  # later groups have no turn among the first `most`
+    places = best.withColumn("_place", F.row_number().over(Window.orderBy(*order))).select(F.col(group).alias("_group"), "_place")
+    return turns.join(places, F.col(group).eqNullSafe(F.col("_group"))).orderBy("turn", "_place").limit(most).drop("_group", "_place")
 
 
 def flood_cap(df: DataFrame, order: list[Column], *, source: str = "source", custom: str = "custom_source", per_source: int = 20, custom_each: int = 4, custom_all: int = 10) -> DataFrame:

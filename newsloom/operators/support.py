@@ -61,7 +61,7 @@ def stem(t: Column) -> Column:
 
 def figures(x: Column) -> Column:
     """Distinct numbers, without their thousands' signs and with a decimal point."""
-    found = F.regexp_extract_all(F.regexp_replace(plain(x), "[  ]", " "), F.lit(FIGURE), F.lit(0))
+    found = F.regexp_extract_all(F.regexp_replace(plain(x), r"[\x{202F}\x{00A0}]", " "), F.lit(FIGURE), F.lit(0))
     return F.array_distinct(F.transform(found, lambda n: F.replace(F.regexp_replace(n, "[ .]", ""), F.lit(","), F.lit("."))))
 
 
@@ -146,7 +146,7 @@ AROUND, CONTEXT_MOST, CONTEXT_LEAST, CONTEXT_SHARE = 6, 10, 3, 0.52
 
 def numeric_contexts(items: DataFrame, story: str, source: str, body: str, *, id_col: str = "doc_id", stop: tuple[str, ...] = STOP_NEWS) -> DataFrame:
     """story, source, id_col, value and context: for each number the first distinct words of AROUND parts on either side."""
-    parts = items.select(F.col(story).alias("story"), F.col(source).alias("source"), id_col, F.regexp_extract_all(F.regexp_replace(text.clean(F.col(body)), "[  ]", " "), F.lit(PART), F.lit(0)).alias("parts"))
+    parts = items.select(F.col(story).alias("story"), F.col(source).alias("source"), id_col, F.regexp_extract_all(F.regexp_replace(text.clean(F.col(body)), r"[\x{202F}\x{00A0}]", " "), F.lit(PART), F.lit(0)).alias("parts"))
     each = parts.select("story", "source", id_col, "parts", F.posexplode("parts").alias("i", "part")).where(F.col("part").rlike(r"^\d"))
     low = F.greatest(F.col("i") - AROUND, F.lit(0))
     window = F.array_join(F.slice("parts", low + 1, F.col("i") + AROUND + 1 - low), " ")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from newsloom.functions import text, times, urls
-from newsloom.operators import classify, clustering, extract, filters, scoring, selection
+from newsloom.operators import classify, clustering, events, extract, filters, greedy, novelty, scoring, selection, significance, support
 from newsloom.plans.adapters import ARTICLES_SQL, AS_OF, INTERACTIONS_SQL, articles, interactions, now, read
 from newsloom.streaming import state
 
@@ -173,12 +173,12 @@ def catalogue_quota(spark, sf):
     return selection.top_and_daily(_scored(spark, sf), "day", [F.desc("score"), F.desc("published_at"), F.col("doc_id")]).select("doc_id", "day", "score", "phase")
 
 
-@query(f"SELECT doc_id, source, turn FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY {_ORDER}) AS turn FROM articles) ORDER BY turn, {_ORDER} LIMIT 120")
+@query(f"SELECT doc_id, source, turn FROM (SELECT *, row_number() OVER w AS turn, first_value(published_at) OVER w AS best_at, first_value(doc_id) OVER w AS best_id FROM articles WINDOW w AS (PARTITION BY source ORDER BY {_ORDER})) ORDER BY turn, best_at DESC, best_id LIMIT 120")
 def source_round_robin(spark, sf):
     return selection.round_robin(articles(spark, sf), "source", _newest(), 120).select("doc_id", "source", "turn")
 
 
-@query(f"SELECT doc_id, category_hint, turn FROM (SELECT *, row_number() OVER (PARTITION BY category_hint ORDER BY {_ORDER}) AS turn FROM articles) ORDER BY turn, {_ORDER} LIMIT 24")
+@query(f"SELECT doc_id, category_hint, turn FROM (SELECT *, row_number() OVER w AS turn, first_value(published_at) OVER w AS best_at, first_value(doc_id) OVER w AS best_id FROM articles WINDOW w AS (PARTITION BY category_hint ORDER BY {_ORDER})) ORDER BY turn, best_at DESC, best_id LIMIT 24")
 def category_round_robin(spark, sf):
     return selection.round_robin(articles(spark, sf), "category_hint", _newest(), 24).select("doc_id", "category_hint", "turn")
 
@@ -316,6 +316,164 @@ def title_classes(spark, sf):
     return keyed.groupBy(F.array_join("k", " ").alias("token_set")).agg(F.count("*").alias("n"), F.min_by("doc_id", F.struct(-F.unix_millis("published_at"), "doc_id")).alias("head"))
 
 
+def _quoted(pattern: str) -> str:
+    return "'(?i)" + pattern.replace("'", "''") + "'"
+
+
+# DuckDB's patterns have no look-around: wars of trade are taken out of the title first
+_TRADE_WAR = r"de guerre|guerre\s+(?:économique|commerciale|tarifaire|technologique|des? prix)\b"
+_WAR = significance.PATTERNS | {"event": significance.PATTERNS["event"].replace(r"(?<!de )guerre(?!\s+(?:économique|commerciale|tarifaire|technologique|des? prix)\b)", "guerre")}
+_FLAGS = ", ".join(f"regexp_matches({'w' if k == 'event' else 't'}, {_quoted(p)}) AS f_{k}" for k, p in _WAR.items())
+_SIGNAL = f"""WITH titles AS (SELECT *, trim(regexp_replace(title, '\\s+', ' ', 'g')) AS t FROM articles),
+    flags AS (SELECT *, {_FLAGS}, len(regexp_extract_all(t, {_quoted(significance.NUMBERS)})) AS numbers FROM (SELECT *, regexp_replace(t, {_quoted(_TRADE_WAR)}, '~', 'g') AS w FROM titles)),
+    told AS (SELECT *, length(t) < 18 OR regexp_matches(t, '{significance.MALFORMED}') AS malformed,
+               (f_event OR f_missile OR f_sanctions) AND NOT (f_sports AND f_quake AND NOT f_human) AND NOT (f_market AND NOT f_human) AS major,
+               f_policy OR f_specific OR (f_institution AND f_action) OR (f_effect AND f_context) AS decision,
+               f_utility AND NOT f_consumer AND NOT f_listicle AS utility FROM flags),
+    base AS (SELECT *, CAST(0 AS INTEGER) + CASE WHEN malformed THEN -34 ELSE 0 END + CASE WHEN f_human THEN 24 ELSE 0 END + CASE WHEN major THEN 15 ELSE 0 END + CASE WHEN decision THEN 10 ELSE 0 END
+               + CASE WHEN utility THEN 6 ELSE 0 END + CASE WHEN f_cyber THEN 11 ELSE 0 END + CASE WHEN f_science THEN 7 ELSE 0 END AS b,
+               NOT (f_human OR major OR decision OR utility OR f_cyber) AS light FROM told),
+    signals AS (SELECT *, CAST(greatest(-34, least(38, b + CASE WHEN b > 0 AND numbers >= 2 THEN 5 WHEN b > 0 AND numbers = 1 THEN 2 ELSE 0 END
+               + CASE WHEN light AND (f_consumer OR f_listicle) THEN -16 ELSE 0 END + CASE WHEN light AND f_reaction THEN -13 ELSE 0 END + CASE WHEN light AND f_sports THEN -16 ELSE 0 END
+               + CASE WHEN light AND f_celebrity THEN -11 ELSE 0 END + CASE WHEN light AND t LIKE '%?' THEN -4 ELSE 0 END)) AS INTEGER) AS signal FROM base)"""
+
+
+@query(_SIGNAL + " SELECT doc_id, signal FROM signals")
+def home_signal(spark, sf):
+    return significance.with_signal(articles(spark, sf)).select("doc_id", "signal")
+
+
+def _ranked(spark, sf):
+    own = significance.with_signal(_scored(spark, sf))
+    return own.withColumn("catalogue_score", significance.catalogue_score(F.col("score"), F.col("signal")))
+
+
+_RANKED = _SIGNAL + _SCORED.replace("WITH scored", ", scored", 1) + ", ranked AS (SELECT s.*, floor((s.score + g.signal) * 10 + 0.5) / 10 AS catalogue_score FROM scored s JOIN signals g ON s.doc_id = g.doc_id)"
+
+
+@query(
+    _RANKED
+    + """, placed AS (SELECT *, row_number() OVER (ORDER BY catalogue_score DESC, published_at DESC, doc_id) AS g, row_number() OVER (PARTITION BY day ORDER BY catalogue_score DESC, published_at DESC, doc_id) AS d FROM ranked),
+    phased AS (SELECT *, CASE WHEN g <= 120 THEN 0 ELSE 1 END AS phase FROM placed WHERE g <= 120 OR d <= 10)
+    SELECT doc_id, day, catalogue_score, phase FROM phased ORDER BY phase, CASE WHEN phase = 1 THEN day END DESC, CASE WHEN phase = 1 THEN d ELSE 0 END, catalogue_score DESC, published_at DESC, doc_id LIMIT 620"""
+)
+def signal_quota(spark, sf):
+    return selection.top_and_daily(_ranked(spark, sf), "day", [F.desc("catalogue_score"), F.desc("published_at"), F.col("doc_id")], top=120, daily=10, cap=620).select("doc_id", "day", "catalogue_score", "phase")
+
+
+_TITLE_KEY = f"substring({_norm('title')}, 1, 180)"
+
+
+@query(f"SELECT doc_id FROM (SELECT doc_id, {_TITLE_KEY} AS k, row_number() OVER (PARTITION BY {_TITLE_KEY} ORDER BY {_ORDER}) AS r FROM articles) WHERE r = 1 OR k = ''")
+def first_seen(spark, sf):
+    """Newest first; articles have urls of their own, so the SQL needs titles only."""
+    own = articles(spark, sf).withColumn("url_key", F.regexp_replace("url", r"(?s)[?#].*$", "")).withColumn("title_key", F.substring(text.normalise(F.col("title")), 1, 180))
+    return greedy.first_seen(own, ["url_key", "title_key"], F.struct(-F.unix_millis("published_at"), "doc_id")).select("doc_id")
+
+
+@query()
+def history_merge(spark, sf):
+    """Tested against the sequential form."""
+    own = articles(spark, sf).withColumn("url_key", urls.canonical(F.col("url"))).withColumn("title_key", text.normalise(F.col("title")))
+    return greedy.merge_history(own, F.struct(-F.unix_millis("published_at"), "doc_id")).select("doc_id")
+
+
+def _brief_order():
+    return [-F.col("score"), -F.unix_millis("published_at"), F.col("doc_id")]
+
+
+def _same_story(a, b):
+    return text.containment(text.tokens(a["title"]), text.tokens(b["title"])) >= 0.8
+
+
+@query()
+def brief_day_picks(spark, sf):
+    """Five of each day, two of a source at most, no two of one story, then filled up; tested against the sequential form."""
+    own = _scored(spark, sf).select("doc_id", "day", "source", "title", "score", "published_at")
+    return greedy.pick(own, "day", _brief_order(), 5, caps={"source": 2}, conflict=_same_story, backfill_to=5).select("doc_id", "day", "source", "pick")
+
+
+@query()
+def essential_picks(spark, sf):
+    """Six of the last 40 hours, two of a category and of a source at most."""
+    recent = _scored(spark, sf).where(F.col("published_at") >= now() - F.make_dt_interval(hours=F.lit(40))).select("doc_id", F.lit("all").alias("brief"), "category_hint", "source", "title", "score", "published_at")
+    return greedy.pick(recent, "brief", _brief_order(), 6, caps={"category_hint": 2, "source": 2}, conflict=_same_story, backfill_to=4).select("doc_id", "category_hint", "source", "pick")
+
+
+@query()
+def event_merge(spark, sf):
+    """Of rows without lexical copies; tested against the sequential form."""
+    leaders = clustering.lexical_dedup(articles(spark, sf), stop=STOP).where("doc_id = leader").select("doc_id")
+    own = _scored(spark, sf).join(leaders, "doc_id", "left_semi")
+    return events.merge_events(own).select("doc_id", "merged_count", F.array_join("sources", ",").alias("sources"), F.length("summary").cast("long").alias("summary_chars"), "score")
+
+
+_MEANING = "list_filter(regexp_extract_all(strip_accents(lower({0})), '[a-z0-9]{{5,}}'), lambda t: t NOT IN (" + ", ".join(f"'{w}'" for w in support.STOP_MEANING) + "))"
+
+
+@query(f"""WITH m AS (SELECT doc_id, {_MEANING.format("title")} AS a, {_MEANING.format("summary")} AS b FROM articles)
+    SELECT doc_id, CAST(len(a) AS BIGINT) AS n, len(a) >= 3 AND len(b) > 0 AND len(list_filter(a, lambda t: list_contains(b, t))) >= 0.28 * len(a) AS supported FROM m""")
+def title_support(spark, sf):
+    own = articles(spark, sf)
+    return own.select("doc_id", F.size(support.meaningful(F.col("title"))).cast("long").alias("n"), support.token_share_supported(F.col("title"), F.col("summary"), least=3).alias("supported"))
+
+
+@query()
+def summary_gate(spark, sf):
+    """Tested on stated texts."""
+    return support.final_gate(articles(spark, sf).select("doc_id", "title", "summary")).select("doc_id", "quality", "reason", "n_sentences", F.sha2("final_summary", 256).alias("summary_sha256"))
+
+
+_STOP_NEWS = ", ".join(f"'{w}'" for w in support.STOP_NEWS)
+
+
+@query(
+    f"""WITH parts AS (SELECT doc_id, source, CAST(epoch_ms(published_at) // 259200000 AS BIGINT) AS story, regexp_extract_all(trim(regexp_replace(summary, '\\s+', ' ', 'g')), '{support.PART.replace("'", "''")}') AS parts FROM articles),
+    each AS (SELECT doc_id, source, story, parts, unnest(parts) AS part, generate_subscripts(parts, 1) AS i FROM parts),
+    ctx AS (SELECT doc_id, source, story, replace(regexp_replace(part, '[ .]', '', 'g'), ',', '.') AS value,
+              string_split({_norm("array_to_string(parts[greatest(i - 6, 1):i + 6], ' ')")}, ' ') AS words FROM each WHERE regexp_matches(part, '^[0-9]')),
+    kept AS (SELECT doc_id, source, story, value, list_filter(words, lambda w: length(w) >= 4 AND NOT regexp_matches(w, '^[0-9]') AND w NOT IN ({_STOP_NEWS})) AS k FROM ctx),
+    firsts AS (SELECT doc_id, source, story, value, list_sort(list_filter(k, lambda x, j: list_position(k, x) = j)[1:0 + 1000]) AS s, list_filter(k, lambda x, j: list_position(k, x) = j)[1:10] AS f FROM kept),
+    c AS (SELECT DISTINCT story, source, value, doc_id, f FROM firsts WHERE len(f) >= 3),
+    p AS (SELECT a.story, a.value AS value_a, b.value AS value_b, a.source AS source_a, b.source AS source_b, a.doc_id AS id_a, b.doc_id AS id_b FROM c a JOIN c b ON a.story = b.story AND a.source <> b.source AND a.value < b.value
+          WHERE len(list_intersect(a.f, b.f)) >= 3 AND len(list_intersect(a.f, b.f)) >= 0.52 * least(len(a.f), len(b.f)))
+    SELECT story, value_a, value_b, source_a, source_b, min(id_a) AS id_a, min(id_b) AS id_b FROM p GROUP BY ALL"""
+)
+def contradictions(spark, sf):
+    own = articles(spark, sf).withColumn("story", times.story_bucket(F.col("published_at")))
+    return support.contradictions(support.numeric_contexts(own, "story", "source", "summary"))
+
+
+def _stories(spark, sf):
+    return articles(spark, sf).withColumn("story", text.normalise(F.col("title")))
+
+
+@query()
+def story_novelty(spark, sf):
+    """Each report of a story against its first one; tested on stated pairs."""
+    told = _stories(spark, sf)
+    none = F.array().cast("array<string>")
+    report = F.struct("title", "published_at", text.numeric_claims(F.col("summary")).alias("facts"), none.alias("actions"), none.alias("entities"), "doc_id")
+    first = told.groupBy("story").agg(F.min_by(report, F.struct("published_at", "doc_id")).alias("previous"))
+    pairs = told.select("doc_id", "story", report.alias("current")).join(first, "story").where("doc_id <> previous.doc_id")
+    return novelty.novelty(pairs).select("doc_id", F.col("previous.doc_id").alias("first_id"), "gap_minutes", "state", "delta", "confidence")
+
+
+@query(
+    f"""WITH s AS (SELECT doc_id, published_at, {_norm('title')} AS story FROM articles WHERE published_at >= TIMESTAMP '{AS_OF}' - INTERVAL 14 DAY),
+    n AS (SELECT story FROM s GROUP BY story ORDER BY max(row(published_at, doc_id)) DESC, story LIMIT 180)
+    SELECT doc_id FROM (SELECT *, row_number() OVER (PARTITION BY story ORDER BY published_at DESC, doc_id DESC) AS r FROM s SEMI JOIN n USING (story)) WHERE r <= 7"""
+)
+def story_retention(spark, sf):
+    return novelty.retain(_stories(spark, sf), "story", "published_at", now(), id_col="doc_id").select("doc_id")
+
+
+@query("SELECT page_id, '' AS body, '' AS description FROM pages WHERE NOT contains(lower(html), 'ld+json')", articles_view=False)
+def json_ld(spark, sf):
+    """No page of the tables has JSON-LD; tested on stated pages."""
+    return extract.json_ld(read(spark, sf, "pages"))
+
+
 @query()
 def lexical_dedup(spark, sf):
     """Tested row for row against the sequential form."""

@@ -1,5 +1,6 @@
 """Every registered query against its SQL, and what has no SQL against its sequential form."""
 
+from collections import Counter
 from pathlib import Path
 
 import duckdb
@@ -7,9 +8,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from newsloom.functions import text
+from newsloom.operators import clustering, events
 from newsloom.plans import registry
 from newsloom.plans.adapters import articles, interactions
 from newsloom.streaming import state
+from tests.test_events import sequential
 
 SF = "/root/testdata/sf0.001"
 
@@ -64,3 +67,32 @@ def test_entry_points():
 
 def test_entry(spark):
     assert registry.entry(spark, SF).count() > 0
+
+
+def test_event_merge_is_the_sequential_form(spark):
+    leaders = clustering.lexical_dedup(articles(spark, SF), stop=registry.STOP).where("doc_id = leader").select("doc_id")
+    view = events.event_view(registry._scored(spark, SF).join(leaders, "doc_id", "left_semi"))
+    rows = {r["id"]: r for r in view.drop("tokens", "slots", "markers", "claims").collect()}
+    order = sorted(rows, key=lambda i: (-rows[i]["at"], i))
+    one = view.select("id", F.struct(*[c for c in view.columns if c != "id"]).alias("row"))
+    near = {tuple(r) for r in one.toDF("a", "a_row").crossJoin(one.toDF("b", "b_row")).where(events.same_event("a_row", "b_row")).select("a", "b").collect()}
+    found = sequential(order, lambda r, i: (r, i) in near, {i: r["bonus"] for i, r in rows.items()}, {i: r["score"] for i, r in rows.items()})
+    size = Counter(founder for founder, _ in found.values())
+    rep = {found[i][0]: i for i in order if found[i][1]}
+    assert {r["doc_id"]: r["merged_count"] for r in registry.event_merge(spark, SF).collect()} == {rep[f]: n for f, n in size.items()}
+
+
+def test_brief_day_picks_are_the_sequential_form(spark):
+    want, by_day = {}, {}
+    told = registry._scored(spark, SF).select("doc_id", "day", "source", "score", "published_at", text.tokens(F.col("title")).alias("k")).collect()
+    for r in sorted(told, key=lambda r: (-r["score"], -r["published_at"].timestamp(), r["doc_id"])):
+        by_day.setdefault(r["day"], []).append(r)
+    same = lambda a, b: bool(a and b) and len(set(a) & set(b)) / min(len(a), len(b)) >= 0.8
+    for own in by_day.values():
+        picked = []
+        for r in own:
+            if len(picked) < 5 and sum(p["source"] == r["source"] for p in picked) < 2 and not any(same(p["k"], r["k"]) for p in picked):
+                picked.append(r)
+        picked += [r for r in own if r not in picked][: 5 - len(picked)]
+        want |= {r["doc_id"]: i for i, r in enumerate(picked, 1)}
+    assert {r["doc_id"]: r["pick"] for r in registry.brief_day_picks(spark, SF).collect()} == want

@@ -1,11 +1,12 @@
 """Signals of headlines and greedy choices against their sequential forms."""
 
 import random
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
-from newsloom.operators import greedy, significance
+from newsloom.operators import extract, greedy, significance
 
 #: title, signal, reasons
 HEADLINES = [
@@ -58,3 +59,26 @@ def test_first_seen_is_the_sequential_form(spark):
         urls.add(u), titles.add(t), want.append(i)
     got = greedy.first_seen(spark.createDataFrame(rows, "doc_id long, url string, title string"), ["url", "title"], -F.col("doc_id"))
     assert sorted(r["doc_id"] for r in got.collect()) == sorted(want)
+
+
+def test_history_is_the_sequential_form(spark):
+    rng, start = random.Random(7), datetime(2024, 1, 1)
+    rows = [(i, rng.choice(["", None, *"abcdefghijklmnop"]), rng.choice(["", None, "x", "y", "z"]), rng.choice([None, *[start + timedelta(hours=h) for h in range(0, 400, 7)]])) for i in range(60)]
+    urls, titles, want = set(), {}, []
+    for i, u, t, at in rows:
+        if (u and u in urls) or (t and at and t in titles and abs(at - titles[t]) <= timedelta(hours=48)):
+            continue
+        want.append(i)
+        if u:
+            urls.add(u)
+        if t and at:
+            titles[t] = at
+    df = spark.createDataFrame(rows, "doc_id long, url_key string, title_key string, published_at timestamp")
+    assert sorted(r["doc_id"] for r in greedy.merge_history(df, F.col("doc_id")).collect()) == want
+
+
+def test_json_ld(spark):
+    script = '<script type="application/ld+json">{}</script>'
+    html = script.format('{"@graph": [{"@type": "NewsArticle", "articleBody": "<b>Le  corps</b> long", "x": {"text": "court"}}, {"description": "Une phrase"}]}') + script.format("{broken")
+    got = {r["page_id"]: (r["body"], r["description"]) for r in extract.json_ld(spark.createDataFrame([(1, html), (2, "<p>x</p>"), (3, None)], "page_id long, html string")).collect()}
+    assert got == {1: ("Le corps long", "Une phrase"), 2: ("", ""), 3: ("", "")}
