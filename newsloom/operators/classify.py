@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.functions import text
@@ -31,3 +31,23 @@ def classify(articles: DataFrame, terms: DataFrame, *, suffixes: tuple[str, ...]
     found = top.select("doc_id", "category", "score", "title_hits", "margin", level.alias("level"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     return articles.join(found, "doc_id", "left").select("doc_id", F.coalesce("category", "category_hint", F.lit(DEFAULT_CATEGORY)).alias("category"), zero("score"), zero("title_hits"), zero("margin"), F.coalesce("level", F.lit("low")).alias("level"))
+
+
+def fast_category(articles: DataFrame, terms: DataFrame) -> DataFrame:
+    """articles (doc_id, title, summary), terms (rule, category, term) of single words -> doc_id, category, hits: the category with most of its terms in the text, the first rule of equals."""
+    words = articles.select("doc_id", F.explode(F.array_distinct(F.split(text.normalise(F.concat_ws(" ", "title", "summary")), " "))).alias("term"))
+    counted = words.join(terms, "term").groupBy("doc_id", "rule", "category").agg(F.count("*").alias("hits"))
+    best = counted.groupBy("doc_id").agg(F.min_by(F.struct("category", "hits"), F.struct(-F.col("hits"), "rule")).alias("best"))
+    return articles.select("doc_id").join(best, "doc_id", "left").select("doc_id", F.coalesce("best.category", F.lit(DEFAULT_CATEGORY)).alias("category"), F.coalesce("best.hits", F.lit(0)).alias("hits"))
+
+
+def repaired_category(title: Column, summary: Column, hint: Column, terms: list[tuple[int, str, str]]) -> Column:
+    """hint, unless a category's terms are found inside the title: six points each and one for each of up to three in the summary; the first rule of equals."""
+    a, b = text.normalise(title), text.normalise(summary)
+    scores = []
+    for rule, category in sorted({(r, c) for r, c, _ in terms}):
+        own = F.array(*[F.lit(t) for r, _, t in terms if r == rule])
+        inside = lambda x: F.size(F.filter(own, lambda t: F.contains(x, t)))  # noqa: B023, E731
+        scores.append(F.struct(F.when(inside(a) > 0, 6 * inside(a) + F.least(inside(b), F.lit(3))).otherwise(0).alias("score"), F.lit(-rule).alias("rule"), F.lit(category).alias("category")))
+    best = F.array_max(F.array(*scores))
+    return F.when(best["score"] >= LEAST_SCORE, best["category"]).otherwise(hint)

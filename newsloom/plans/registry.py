@@ -474,6 +474,52 @@ def json_ld(spark, sf):
     return extract.json_ld(read(spark, sf, "pages"))
 
 
+def _terms(spark):
+    return spark.createDataFrame(TERMS, "rule int, category string, term string")
+
+
+@query(
+    f"""WITH terms(rule, category, term) AS (VALUES {_TERM_ROWS}),
+    words AS (SELECT doc_id, unnest(list_distinct(string_split({_HAY}, ' '))) AS term FROM articles),
+    counted AS (SELECT doc_id, rule, category, count(*) AS hits FROM words JOIN terms USING (term) GROUP BY ALL),
+    best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, rule) AS r FROM counted) WHERE r = 1)
+    SELECT a.doc_id, coalesce(b.category, 'Société') AS category, coalesce(hits, 0) AS hits FROM articles a LEFT JOIN best b ON a.doc_id = b.doc_id"""
+)
+def fast_category(spark, sf):
+    return classify.fast_category(articles(spark, sf), _terms(spark))
+
+
+@query(
+    f"""WITH terms(rule, category, term) AS (VALUES {_TERM_ROWS}),
+    texts AS (SELECT doc_id, category_hint, {_norm("title")} AS a, {_norm("summary")} AS b FROM articles),
+    hits AS (SELECT doc_id, rule, category, count(*) FILTER (WHERE contains(a, term)) AS ta, count(*) FILTER (WHERE contains(b, term)) AS tb FROM texts, terms GROUP BY ALL),
+    best AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY 6 * ta + least(tb, 3) DESC, rule) AS r FROM hits WHERE ta > 0)
+    SELECT t.doc_id, coalesce(b.category, t.category_hint) AS category FROM texts t LEFT JOIN best b ON t.doc_id = b.doc_id AND b.r = 1"""
+)
+def repaired_category(spark, sf):
+    return articles(spark, sf).select("doc_id", classify.repaired_category(F.col("title"), F.col("summary"), F.col("category_hint"), TERMS).alias("category"))
+
+
+@query(f"WITH s AS (SELECT *, {_norm('title')} AS story FROM articles) SELECT doc_id, max(published_at > TIMESTAMP '{AS_OF}' - INTERVAL 3 DAY) OVER (PARTITION BY story) AS fresh FROM s")
+def fresh_stories(spark, sf):
+    """Whether any report of an article's story came after the last visit, three days ago."""
+    told = _stories(spark, sf)
+    fresh = told.groupBy("story").agg(F.max(F.col("published_at") > now() - F.make_dt_interval(days=F.lit(3))).alias("fresh"))
+    return told.join(fresh, "story").select("doc_id", "fresh")
+
+
+@query(
+    f"""WITH s AS (SELECT {_norm('title')} AS story, published_at > TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY AS late, count(*) AS n FROM articles GROUP BY ALL)
+    SELECT coalesce(a.story, b.story) AS story, CASE WHEN b.story IS NULL THEN 'new' WHEN a.story IS NULL THEN 'gone' WHEN a.n <> b.n THEN 'changed' ELSE 'same' END AS change
+    FROM (SELECT * FROM s WHERE late) a FULL JOIN (SELECT * FROM s WHERE NOT late) b ON a.story = b.story"""
+)
+def snapshot_diff(spark, sf):
+    """Stories of the last week against those before: one aggregation, no join."""
+    late = F.col("published_at") > now() - F.make_dt_interval(days=F.lit(7))
+    per = _stories(spark, sf).groupBy("story").agg(F.count_if(late).alias("a"), F.count_if(~late).alias("b"))
+    return per.select("story", F.when(F.col("b") == 0, "new").when(F.col("a") == 0, "gone").when(F.col("a") != F.col("b"), "changed").otherwise("same").alias("change"))
+
+
 @query()
 def lexical_dedup(spark, sf):
     """Tested row for row against the sequential form."""
