@@ -74,23 +74,38 @@ def dates(x: Column) -> Column:
     return F.array_distinct(F.filter(F.regexp_extract_all(plain(x), F.lit("[a-z]{3,}"), F.lit(0)), lambda t: t.isin(*DATE_TERMS)))
 
 
-def _number_words(x: Column, known: Column | None = None) -> Column:
+def _number_words(x: Column) -> Column:
     """Number words of x, as digits."""
     return F.filter(F.array(*[F.when(plain(x).rlike(rf"(?<!-)\b{w}\b(?!-)"), F.lit(n)) for w, n in NUMBER_WORDS.items()]), lambda v: v.isNotNull())
 
 
-def supported(summary: Column, source: Column) -> Column:
-    """Whether each number, date and name of summary is in source, and enough of its words are."""
+def _words_held(summary: Column, source: Column, own_least: int, source_least: int, exact_least: int, alike_least: int, exact_share: float, alike_share: float) -> Column:
+    """Whether enough of summary's words with meaning, or of their stems, are in source, by number or by share."""
     own, theirs = meaningful(summary), meaningful(source)
-    body = plain(source)
     exact = F.size(F.filter(own, lambda t: F.array_contains(theirs, t)))
     stems = F.transform(theirs, stem)
     alike = F.size(F.filter(own, lambda t: F.array_contains(stems, stem(t))))
-    counted = F.concat(figures(source), _number_words(source))
     n = F.size(own)
-    told = (F.size(F.array_except(figures(summary), figures(source))) == 0) & (F.size(F.array_except(_number_words(summary), counted)) == 0)
+    return (n >= own_least) & (F.size(theirs) >= source_least) & ((exact >= exact_least) | (alike >= alike_least) | (exact >= exact_share * n) | (alike >= alike_share * n))
+
+
+def _figures_held(summary: Column, source: Column) -> Column:
+    return F.size(F.array_except(figures(summary), figures(source))) == 0
+
+
+def supported(summary: Column, source: Column) -> Column:
+    """Whether each number, date and name of summary is in source, and enough of its words are."""
+    body = plain(source)
+    counted = F.concat(figures(source), _number_words(source))
+    told = _figures_held(summary, source) & (F.size(F.array_except(_number_words(summary), counted)) == 0)
     named = F.forall(F.concat(dates(summary), names(summary)), lambda t: F.contains(body, t))
-    return (n >= 5) & (F.size(theirs) >= 2) & told & named & ((exact >= 2) | (alike >= 3) | (exact >= 0.06 * n) | (alike >= 0.12 * n))
+    return told & named & _words_held(summary, source, 5, 2, 2, 3, 0.06, 0.12)
+
+
+def supported_with_title(summary: Column, source: Column, title: Column) -> Column:
+    """Whether summary is long enough, no boilerplate, and its numbers and enough of its words are in source or title."""
+    own, material = text.clean(summary), F.concat_ws("\n", source, title)
+    return (F.length(own) >= SUMMARY_CHARS) & ~is_boilerplate(own) & _figures_held(own, material) & _words_held(own, material, 7, 4, 3, 5, 0.12, 0.22)
 
 
 def token_share_supported(summary: Column, source: Column, least: int = 8, share: float = 0.28) -> Column:

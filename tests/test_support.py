@@ -33,6 +33,12 @@ def test_support(spark):
     assert [r["y"] for r in sorted(df.collect())] == [y for _, y in SUMMARIES]
 
 
+def test_support_with_title(spark):
+    told = [("La préfecture du Gard a évacué 1200 habitants après plusieurs jours de pluie violente.", True), ("La préfecture du Gard a évacué 1300 habitants après plusieurs jours de pluie violente.", False), ("Mercredi, la préfecture a évacué des habitants menacés par la montée du fleuve à Nîmes.", True), ("La préfecture a évacué des habitants.", False), (None, False)]
+    df = spark.createDataFrame([(i, s, SOURCE, TITLE) for i, (s, _) in enumerate(told)], "i int, s string, t string, h string").select("i", support.supported_with_title(F.col("s"), F.col("t"), F.col("h")).alias("y"))
+    assert [r["y"] for r in sorted(df.collect())] == [y for _, y in told]
+
+
 def test_gate(spark):
     df = spark.createDataFrame([(i, s, TITLE) for i, (s, *_) in enumerate(GATED)], "i int, summary string, title string")
     got = sorted((r["i"], r["quality"], r["reason"], r["n_sentences"]) for r in support.final_gate(df).collect())
