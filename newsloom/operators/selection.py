@@ -1,10 +1,12 @@
-"""Quotas, caps, round robins and samples, by windows whose row limits Spark prunes before the shuffle."""
+"""Quotas, caps, round robins and samples, by windows whose row limits Spark prunes before the shuffle; ranks of all rows by range-cut blocks."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from newsloom.storage import cut
+
 
 def top_and_daily(df: DataFrame, day: str, order: list[Column], *, id_col: str = "doc_id", top: int = 160, daily: int = 12, cap: int = 700) -> DataFrame:
     """The first `top` rows, then the first `daily` of each day, newest day first, up to cap rows; adds phase and day_rank."""
@@ -15,8 +17,40 @@ def top_and_daily(df: DataFrame, day: str, order: list[Column], *, id_col: str =
     return both.orderBy("phase", F.when(F.col("phase") == 1, F.col(day)).desc(), F.col("day_rank"), *order).limit(cap)
 
 
-def round_robin(df: DataFrame, group: str, order: list[Column], most: int) -> DataFrame:
-    """The first `most` rows when groups take turns, a row each, in the order of the groups' best rows; adds turn."""
+def ranked(df: DataFrame, order: list[Column], name: str, group: str | None = None) -> DataFrame:
+    """df and name: each row's place in its group (None: among all), from 1.
+
+    Rows are cut by ranges of group and order into blocks, ranked within them, and moved on by the sizes of the group's
+    earlier blocks, so a group of any size isn't one task. The blocks are stored: both uses must see the same cuts.
+    """
+    own = df.withColumn("_group", F.struct(F.col(group) if group else F.lit(0)))
+    blocks = cut(own.repartitionByRange("_group", *order).withColumn("_block", F.spark_partition_id()))
+    before = F.sum("_n").over(Window.partitionBy("_group").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = blocks.groupBy("_group", "_block").agg(F.count("*").alias("_n")).select("_group", "_block", F.coalesce(before, F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_group", "_block").orderBy(*order))
+    return blocks.withColumn("_within", within).join(offsets, ["_group", "_block"]).withColumn(name, F.col("_before") + F.col("_within")).drop("_group", "_block", "_before", "_within")
+
+
+def day_order(df: DataFrame, day: str, order: list[Column], quotas: tuple[int, ...] = (24, 16, 8)) -> DataFrame:
+    """All rows with day_rank (newest day first), rank within the day and overflow; by overflow, day_rank, rank they are in order.
+
+    The first day's quota is the first of quotas, and so on; the last holds for all later days.
+    """
+    days = df.select(day).distinct().withColumn("day_rank", F.row_number().over(Window.orderBy(F.desc(day))))
+    places = F.broadcast(days.withColumnRenamed(day, "_day"))  # a row for each day
+    quota = F.get(F.array(*map(F.lit, quotas)), F.least(F.col("day_rank"), F.lit(len(quotas))) - 1)
+    return ranked(df, order, "rank", day).join(places, F.col(day).eqNullSafe(F.col("_day"))).drop("_day").withColumn("overflow", F.col("rank") > quota)
+
+
+def round_robin(df: DataFrame, group: str, order: list[Column], most: int | None = None) -> DataFrame:
+    """Rows as groups take turns, a row each, in the order of the groups' best rows; adds turn.
+
+    With most, the first `most` rows in order. Without, all rows and place, the place of a row's group: turn, place is the order.
+    """
+    if most is None:
+        turns = cut(ranked(df, order, "turn", group))
+        places = ranked(turns.where("turn = 1"), order, "place").select(F.struct(group).alias("_group"), "place")
+        return turns.withColumn("_group", F.struct(group)).join(places, "_group").drop("_group")
     own = Window.partitionBy(group).orderBy(*order)
     turns = df.withColumn("turn", F.row_number().over(own)).where(F.col("turn") <= most)
     best = turns.where("turn = 1").orderBy(*order).limit(most)  # later groups have no turn among the first `most`

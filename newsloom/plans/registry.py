@@ -199,6 +199,16 @@ def home_day_quota(spark, sf):
     return own.withColumn("rank", F.row_number().over(Window.partitionBy("day").orderBy(*_newest()))).where("rank <= 8").select("doc_id", "day", "rank")
 
 
+@query(
+    f"""SELECT doc_id, day, day_rank, rank, rank > CASE day_rank WHEN 1 THEN 24 WHEN 2 THEN 16 ELSE 8 END AS overflow
+    FROM (SELECT doc_id, day, dense_rank() OVER (ORDER BY day DESC NULLS LAST) AS day_rank, row_number() OVER (PARTITION BY day ORDER BY {_ORDER}) AS rank FROM (SELECT *, strftime(published_at, '%Y-%m-%d') AS day FROM articles))"""
+)
+def home_order(spark, sf):
+    """All rows in the order overflow, day_rank, rank; home_day_quota has only the first eight of each day."""
+    own = articles(spark, sf).select("doc_id", "published_at", times.day_key(F.col("published_at")).alias("day"))
+    return selection.day_order(own, "day", _newest()).select("doc_id", "day", "day_rank", "rank", "overflow")
+
+
 @query(f"SELECT doc_id, source, lang FROM (SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY {_ORDER}) AS r FROM articles) WHERE r <= 1")
 def stratified_sample(spark, sf):
     return selection.stratified(articles(spark, sf), ["source", "lang"], _newest()).select("doc_id", "source", "lang")

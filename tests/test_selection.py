@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from newsloom.operators import extract, greedy, significance
+from newsloom.operators import extract, greedy, selection, significance
 
 #: title, signal, reasons
 HEADLINES = [
@@ -82,3 +82,20 @@ def test_json_ld(spark):
     html = script.format('{"@graph": [{"@type": "NewsArticle", "articleBody": "<b>Le  corps</b> long", "x": {"text": "court"}}, {"description": "Une phrase"}]}') + script.format("{broken")
     got = {r["page_id"]: (r["body"], r["description"]) for r in extract.json_ld(spark.createDataFrame([(1, html), (2, "<p>x</p>"), (3, None)], "page_id long, html string")).collect()}
     assert got == {1: ("Le corps long", "Une phrase"), 2: ("", ""), 3: ("", "")}
+
+
+def test_day_order_loses_nothing(spark):
+    rng, start = random.Random(8), datetime(2024, 1, 1)
+    rows = [(i, start + timedelta(hours=rng.choice([rng.randint(0, 23), rng.randint(24, 47), rng.randint(72, 95), rng.randint(96, 119)]))) for i in range(150)]
+    days = {}
+    for i, at in sorted(rows, key=lambda r: (-r[1].timestamp(), r[0])):
+        days.setdefault(str(at.date()), []).append(i)
+    first, rest = [], []
+    for k, own in enumerate(days.values()):
+        quota = 24 if k == 0 else 16 if k == 1 else 8
+        first += own[:quota]
+        rest += own[quota:]
+    df = spark.createDataFrame(rows, "doc_id long, published_at timestamp").withColumn("day", F.date_format("published_at", "yyyy-MM-dd"))
+    got = selection.day_order(df, "day", [F.desc("published_at"), F.col("doc_id")]).collect()
+    assert [r["doc_id"] for r in sorted(got, key=lambda r: (r["overflow"], r["day_rank"], r["rank"]))] == first + rest
+    assert sum(not r["overflow"] for r in got) == len(first) and len(got) == len(rows)
