@@ -178,6 +178,18 @@ def source_round_robin(spark, sf):
     return selection.round_robin(articles(spark, sf), "source", _newest(), 120).select("doc_id", "source", "turn")
 
 
+@query(
+    f"""WITH named AS (SELECT doc_id, published_at, coalesce(nullif({_norm('source')}, ''), 'source') AS source FROM articles),
+    turns AS (SELECT doc_id, source, published_at, row_number() OVER (PARTITION BY source ORDER BY {_ORDER}) AS turn FROM named),
+    places AS (SELECT source, row_number() OVER (ORDER BY {_ORDER}) AS place FROM turns WHERE turn = 1)
+    SELECT doc_id, source, turn, place FROM turns JOIN places USING (source)"""
+)
+def source_turns(spark, sf):
+    """All rows in the order turn, place; source_round_robin has only the first 120."""
+    own = articles(spark, sf).select("doc_id", "published_at", F.coalesce(F.nullif(text.normalise(F.col("source")), F.lit("")), F.lit("source")).alias("source"))
+    return selection.round_robin(own, "source", _newest()).select("doc_id", "source", "turn", "place")
+
+
 @query(f"SELECT doc_id, category_hint, turn FROM (SELECT *, row_number() OVER w AS turn, first_value(published_at) OVER w AS best_at, first_value(doc_id) OVER w AS best_id FROM articles WINDOW w AS (PARTITION BY category_hint ORDER BY {_ORDER})) ORDER BY turn, best_at DESC, best_id LIMIT 24")
 def category_round_robin(spark, sf):
     return selection.round_robin(articles(spark, sf), "category_hint", _newest(), 24).select("doc_id", "category_hint", "turn")

@@ -99,3 +99,21 @@ def test_day_order_loses_nothing(spark):
     got = selection.day_order(df, "day", [F.desc("published_at"), F.col("doc_id")]).collect()
     assert [r["doc_id"] for r in sorted(got, key=lambda r: (r["overflow"], r["day_rank"], r["rank"]))] == first + rest
     assert sum(not r["overflow"] for r in got) == len(first) and len(got) == len(rows)
+
+
+def test_round_robin_of_all_rows(spark):
+    rng = random.Random(9)
+    rows = [(i, rng.choice(["x", "x", "x", "y", "z", None]), rng.randint(0, 40)) for i in range(200)]
+    queue, want = {}, []
+    for r in sorted(rows, key=lambda r: (-r[2], r[0])):
+        queue.setdefault(r[1], []).append(r[0])
+    waiting = list(queue.values())
+    while waiting:
+        own = waiting.pop(0)
+        want.append(own.pop(0))
+        if own:
+            waiting.append(own)
+    df = spark.createDataFrame(rows, "doc_id long, source string, at long")
+    got = selection.round_robin(df, "source", [F.desc("at"), F.col("doc_id")]).collect()
+    assert [r["doc_id"] for r in sorted(got, key=lambda r: (r["turn"], r["place"]))] == want
+    assert selection.round_robin(df.limit(0), "source", [F.col("doc_id")]).count() == 0
