@@ -206,13 +206,22 @@ def evolving_clusters(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def merge_events(articles: DataFrame) -> DataFrame:
     """articles (doc_id, title, summary, source, published_at, score), newest first -> a row for each event.
 
-    doc_id is the final representative's; merged_count, the first eight sources by name, the longest summary (the
-    earliest of equally long ones) and the best score come from all members. Give it rows without exact copies
-    (lexical_dedup): each row is a node.
+    doc_id is the final representative's; the first eight sources by name, the longest summary (the earliest of equally
+    long ones) and the best score come from all members. merged_rows is the number of members, merged_count the sum of
+    what each stands for: its own merged_count or its number of sources, whichever is more, 1 at least. articles may
+    have merged_count and sources (an array, in place of source). Give it rows without exact copies (lexical_merge):
+    each row is a node.
     """
     view = cut(event_view(articles).join(articles.select(F.col("doc_id").alias("id"), F.struct((-F.coalesce(F.unix_millis("published_at"), F.lit(0))).alias("t"), "doc_id").alias("ord")), "id"))
     clusters = evolving_clusters(view.select("id", "ord", "bonus", "score"), cut(event_edges(view.drop("ord"), view.select("id", "ord"))))
-    own = articles.join(clusters.withColumnRenamed("id", "doc_id"), "doc_id")
+    given = F.coalesce("sources", F.array("source")) if "sources" in articles.columns else F.array("source")
+    told = F.filter(given, lambda s: s.isNotNull() & (s != ""))
+    before = F.coalesce("merged_count", F.lit(0)) if "merged_count" in articles.columns else F.lit(0)
+    own = articles.withColumn("_told", told).withColumn("_stands", F.greatest(F.lit(1), before, F.size("_told")).cast("long")).join(clusters.withColumnRenamed("id", "doc_id"), "doc_id")
     longest = F.max_by("summary", F.struct(F.length("summary"), (-F.col("ord.t")).alias("t"), (-F.col("doc_id")).alias("d")))
     best = F.max_by("doc_id", F.when(F.col("rep"), F.col("ord")))
-    return own.groupBy("founder").agg(best.alias("doc_id"), F.count("*").alias("merged_count"), F.slice(F.array_sort(F.collect_set("source")), 1, 8).alias("sources"), longest.alias("summary"), F.max("score").alias("score"))
+    merged = own.groupBy("founder").agg(best.alias("doc_id"), F.sum("_stands").alias("merged_count"), F.count("*").alias("merged_rows"), longest.alias("summary"), F.max("score").alias("score"))
+    named = own.select("founder", F.explode("_told").alias("source")).distinct()
+    first = named.withColumn("_place", F.row_number().over(Window.partitionBy("founder").orderBy("source"))).where("_place <= 8")
+    sources = first.groupBy("founder").agg(F.array_sort(F.collect_list("source")).alias("sources"))
+    return merged.join(sources, "founder", "left").withColumn("sources", F.coalesce("sources", F.array().cast("array<string>")))

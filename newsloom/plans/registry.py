@@ -424,10 +424,12 @@ def essential_picks(spark, sf):
 
 @query()
 def event_merge(spark, sf):
-    """Of rows without lexical copies; tested against the sequential form."""
-    leaders = clustering.lexical_dedup(articles(spark, sf), stop=STOP).where("doc_id = leader").select("doc_id")
-    own = _scored(spark, sf).join(leaders, "doc_id", "left_semi")
-    return events.merge_events(own).select("doc_id", "merged_count", F.array_join("sources", ",").alias("sources"), F.length("summary").cast("long").alias("summary_chars"), "score")
+    """Of leaders of lexical copies with all that their members give; tested against the sequential form.
+
+    merged_count is the number of leaders, merged_total what they stand for by their sources.
+    """
+    found = events.merge_events(clustering.lexical_merge(_scored(spark, sf), stop=STOP))
+    return found.select("doc_id", F.col("merged_rows").alias("merged_count"), F.col("merged_count").alias("merged_total"), F.array_join("sources", ",").alias("sources"), F.length("summary").cast("long").alias("summary_chars"), "score")
 
 
 _MEANING = "list_filter(regexp_extract_all(strip_accents(lower({0})), '[a-z0-9]{{5,}}'), lambda t: t NOT IN (" + ", ".join(f"'{w}'" for w in support.STOP_MEANING) + "))"

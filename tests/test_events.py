@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from newsloom.operators import events
+from newsloom.operators import clustering, events
 
 NOON = datetime(2026, 8, 30, 12)
 #: title, hours before noon, source, score
@@ -81,3 +81,20 @@ def test_edges_are_all_pairs_of_one_event(spark):
     rows = view.select("id", F.struct(*[c for c in view.columns if c != "id"]).alias("row"))
     every = rows.toDF("a", "a_row").crossJoin(rows.toDF("b", "b_row")).where("a < b").where(events.same_event("a_row", "b_row"))
     assert sorted(map(tuple, events.event_edges(view, order).collect())) == sorted(map(tuple, every.select("a", "b").collect()))
+
+
+def test_copies_and_merged_sources_count(spark):
+    title = "Naufrage d'un ferry au large de la Grèce : 12 morts"
+    other = "Un navire coule au large de la Grèce, au moins 12 morts selon Athènes"
+    rows = [(k, title, "court" if k else "bref", "BACDEFGB"[k], NOON - timedelta(minutes=k), 60.0) for k in range(8)]
+    rows[6] = (*rows[6][:2], "le plus long des textes de toutes les copies", *rows[6][3:])
+    rows.append((8, other, "moyen", "Z", NOON - timedelta(hours=1), 10.0))
+    df = spark.createDataFrame(rows, "doc_id long, title string, summary string, source string, published_at timestamp, score double")
+    leaders = {r["doc_id"]: r for r in clustering.lexical_merge(df).collect()}
+    assert leaders.keys() == {0, 8} and leaders[0]["sources"] == ["B", "A", "C", "D", "E"] and leaders[0]["summary"] == rows[6][2]
+    (story,) = events.merge_events(clustering.lexical_merge(df)).collect()
+    assert (story["doc_id"], story["merged_count"], story["merged_rows"], story["summary"]) == (0, 6, 2, rows[6][2])
+    assert story["sources"] == ["A", "B", "C", "D", "E", "Z"]
+    given = df.where("doc_id in (0, 8)").withColumn("sources", F.when(F.col("doc_id") == 0, F.array(*map(F.lit, "ABC")))).withColumn("merged_count", F.when(F.col("doc_id") == 8, 5))
+    (story,) = events.merge_events(given).collect()
+    assert story["merged_count"] == 3 + 5 and story["sources"] == ["A", "B", "C", "Z"]
