@@ -8,7 +8,8 @@ who remains gets the exact double-precision inner product of the original vector
 first, and what it finds is the bound for its other lists. Lists and their queries are cut into blocks of bounded size,
 so that neither a crowded list nor one vector that makes up a third of all rows lands in a single task.
 
-How many lists are probed is calibrated on the sample against brute force within it (RECALL_GOAL).
+How many lists are probed is calibrated on the sample against brute force within it (RECALL_GOAL). Queries that then
+have fewer than k rows go through twice as many lists, without abandoning anyone, until each has k or has seen all.
 
 Defined cases: rows with a null id, a null or zero vector, null or non-finite components, or another length than the
 most frequent one (the longer, if tied) take no part; ties go to the smaller id; rows with the query's id aren't its
@@ -112,8 +113,8 @@ def _calibrate(index: Index, vectors: np.ndarray, rng: np.random.Generator, k: i
     return int(needed[min(len(needed) - 1, int(np.ceil(RECALL_GOAL * len(needed))))]) + 1
 
 
-def scan_cell(index: Index, ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, candidate, score) of each query's k best here with a score of bounds or more."""
+def scan_cell(index: Index, ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, bounds: np.ndarray, k: int, exact: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, candidate, score) of each query's k best here with a score of bounds or more; exact: only the impossible are abandoned."""
     data, asked = index.rotate(vectors), index.rotate(queries, queries=True)
     columns = data.shape[1]
     edges = [*range(BLOCK_COLUMNS, columns - BLOCK_COLUMNS // 2, BLOCK_COLUMNS), columns]
@@ -131,7 +132,7 @@ def scan_cell(index: Index, ids: np.ndarray, vectors: np.ndarray, query_ids: np.
         radius2 = np.maximum(norms[part] - 2 * bound, 0.0) + 1e-9
         start = edges[0]
         partial = (data[:, :start] ** 2).sum(axis=1)[None, :] + (own[:, :start] ** 2).sum(axis=1)[:, None] - 2 * own[:, :start] @ data[:, :start].T
-        test = lambda d: (1 + EPSILON / np.sqrt(d)) ** 2 * d / columns if d < columns else 1.0
+        test = lambda d: (1 + EPSILON / np.sqrt(d)) ** 2 * d / columns if d < columns and not exact else 1.0
         q, c = np.nonzero((partial <= radius2[:, None] * test(start)) & (own_ids[:, None] != ids[None, :]))
         partial = partial[q, c]
         for end in edges[1:]:
@@ -153,7 +154,7 @@ def _cells(n: Column) -> Column:
     return F.explode(F.sequence(F.lit(0), n - 1))
 
 
-def _search_lists(index: Index, listed: DataFrame, asked: DataFrame, blocks: dict[int, int], k: int) -> DataFrame:
+def _search_lists(index: Index, listed: DataFrame, asked: DataFrame, blocks: dict[int, int], k: int, exact: bool = False) -> DataFrame:
     """query_id, vec_id, score of the k best in each cell; asked has query_id, vector, bound and list."""
     spark = listed.sparkSession
     shared = spark.sparkContext.broadcast(index)
@@ -169,7 +170,7 @@ def _search_lists(index: Index, listed: DataFrame, asked: DataFrame, blocks: dic
         if not candidates.num_rows or not queries.num_rows:
             result = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         else:
-            result = scan_cell(own, candidates.column("id").to_numpy(), _matrix(candidates.column("vector"), own.dimension), queries.column("query_id").to_numpy(), _matrix(queries.column("vector"), own.dimension), queries.column("bound").to_numpy(), k)
+            result = scan_cell(own, candidates.column("id").to_numpy(), _matrix(candidates.column("vector"), own.dimension), queries.column("query_id").to_numpy(), _matrix(queries.column("vector"), own.dimension), queries.column("bound").to_numpy(), k, exact)
         return pa.table([pa.array(x) for x in result], names=["query_id", "vec_id", "score"])
 
     key = ["list", "block", "part"]
@@ -210,4 +211,15 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, *, id_col: str = "
     found = first.select("query_id", "vec_id", "score")
     if index.probes > 1:
         found = found.unionByName(_search_lists(index, listed, materialise(far, "far-queries"), blocks, k))
-    return top(found).select("query_id", "rank", "vec_id", "score")
+    result, lists = materialise(top(found).select("query_id", "rank", "vec_id", "score"), "found"), index.probes
+    while lists:
+        counts = result.groupBy("query_id").agg(F.count("*").alias("n"))
+        short = materialise(asked.select("query_id", "vector").join(counts, "query_id", "left").where(F.coalesce("n", F.lit(0)) < k).drop("n"), "short-queries")
+        if not short.limit(1).count():
+            break
+        lists = min(2 * lists, len(index.centroids))
+        wide = short.select("query_id", "vector", F.lit(float("-inf")).alias("bound"), F.explode(lists_of(lists, True)("vector")).alias("list"))
+        again = top(_search_lists(index, listed, materialise(wide, "wide-queries"), blocks, k, exact=True)).select("query_id", "rank", "vec_id", "score")
+        result = materialise(result.join(short.select("query_id"), "query_id", "left_anti").select(result.columns).unionByName(again), "found")
+        lists = 0 if lists == len(index.centroids) else lists
+    return result

@@ -83,6 +83,22 @@ def test_search_over_many_lists_keeps_its_recall(spark):
     assert hits >= 0.93 * 10 * len(want)
 
 
+def test_row_alone_in_its_list_gets_all_its_neighbours(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    vectors = np.vstack([rng.normal(0, 0.1, (60, 7)) + np.eye(7)[np.arange(60) % 3], 9 * np.eye(7)[5:], np.zeros((5, 7)) + 4 * np.eye(7)[4]])
+    norm2 = float((vectors**2).sum(axis=1).max())
+    alone = vector_search.Index(7, norm2, np.eye(8), np.zeros((1, 8)), 1)
+    index = vector_search.Index(7, norm2, np.eye(8), alone.rotate(vectors[[0, 1, 2, 60, 61, 62]]), 1)
+    monkeypatch.setattr(vector_search, "fit", lambda rows, dimension: index)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id bigint, embedding array<double>")
+    got = defaultdict(list)
+    for r in vector_search.search(frame, F.col("id").isin(60, 61, 64)).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    assert {q: len(found) for q, found in got.items()} == {60: 20, 61: 20, 64: 20}
+    few = vector_search.search(frame.where("vec_id >= 50"), F.col("id") == 60).collect()
+    assert sorted(r["vec_id"] for r in few) == [i for i in range(50, len(vectors)) if i != 60]
+
+
 def test_search_leaves_out_unusable_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [2.0, 1.0]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [None, 1.0]), (None, [1.0, 1.0]), (8, [1.0]), (2, [2.0, 1.0])]
