@@ -18,7 +18,6 @@ aren't UTF-8 decode to U+FFFD; repeated or null doc_ids each get their own row;
 from __future__ import annotations
 
 import base64
-import functools
 import struct
 from collections.abc import Iterator
 
@@ -29,13 +28,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import Memo, byte_slices, split_at_single_spaces
+from newsloom.llm.common import Memo, arrow_map, byte_slices, of_worker, split_at_single_spaces
 
 BATCH_BYTES = 1 << 20
 _DECODE_ROWS = 256
-#: Pairs of tokens and memo entries kept by one Python worker before it starts afresh.
+#: Pairs of tokens, and bytes of each memo's generation, kept by one Python worker before it starts afresh.
 MOST_PAIRS = 250_000
-MOST_PIECES = 100_000
+MEMO_BYTES = 32 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -201,7 +200,7 @@ class MergeTransducer:
 class TextEncoder:
     """Texts -> little-endian unsigned 32-bit ids, with memos for what stands between single blanks."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, most: int = MOST_PIECES):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, most: int = MEMO_BYTES):
         self.transducer = MergeTransducer(ranks)
         self.find = regex.compile(pattern).findall
         self.later = Memo(lambda chunk: self._chunk(" " + chunk), most)
@@ -266,16 +265,6 @@ class TokenDecoder:
         return "".join(out)
 
 
-@functools.lru_cache(maxsize=2)
-def _encoder(path: str, pattern: str) -> TextEncoder:
-    return TextEncoder(read_ranks(path), pattern)
-
-
-@functools.lru_cache(maxsize=2)
-def _decoder(path: str) -> TokenDecoder:
-    return TokenDecoder(read_ranks(path))
-
-
 def _default(path: str | None) -> str:
     return path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -286,7 +275,7 @@ def encode(docs: DataFrame, ranks_path: str | None = None, pattern: str = public
     source = docs.select(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(path, pattern)
+        encoder = of_worker(("byte_bpe", path, pattern), lambda: TextEncoder(read_ranks(path), pattern))
         for batch in batches:
             for part in byte_slices(batch, 1, BATCH_BYTES):
                 packed = [encoder.encode(t) for t in part.column(1).to_pylist()]
@@ -295,16 +284,19 @@ def encode(docs: DataFrame, ranks_path: str | None = None, pattern: str = public
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), values)], names=[id_col, "ids"])
 
     kind = source.schema[id_col].dataType.simpleString()
-    return source.mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
+    return arrow_map(source, run, f"`{id_col}` {kind}, ids array<int>")
 
 
 def decode(encoded: DataFrame, ranks_path: str | None = None, *, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
-    """encoded with the text of ids_col added as out_col; null ids give a null text."""
+    """encoded with the text of ids_col added as out_col, in place of a column of that name; null ids give a null text."""
     path = _default(ranks_path)
+    if out_col == ids_col:
+        raise ValueError("out_col must differ from ids_col")
+    encoded = encoded.drop(out_col)
     at = encoded.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = _decoder(path)
+        decoder = of_worker(("byte_bpe", path), lambda: TokenDecoder(read_ranks(path)))
         for batch in batches:
             for start in range(0, batch.num_rows, _DECODE_ROWS):
                 part = batch.slice(start, _DECODE_ROWS)
@@ -312,4 +304,4 @@ def decode(encoded: DataFrame, ranks_path: str | None = None, *, ids_col: str =
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, out_col])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
-    return encoded.mapInArrow(run, f"{schema}, `{out_col}` string")
+    return arrow_map(encoded, run, f"{schema}, `{out_col}` string")

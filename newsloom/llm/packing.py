@@ -6,17 +6,19 @@ largest piece that fits first; then its smallest piece is replaced by the two un
 gap best, if they fill it more tightly, until no such pair is left. The bin's pattern is used as often as the counts
 allow, so the plan has about as many patterns as there are lengths, not as there are bins.
 
-Spark then ranks the pieces of each length (in salted groups, so a length that a third of all pieces has is ranked by
-many tasks) and each rank looks up its bin and offset in the broadcast plan.
+Spark then ranks the pieces of each length (in as many salted groups as the length has RANKED_ROWS, so a length that a
+third of all pieces has is ranked by many tasks) and each rank looks up its bin and offset in the broadcast plan, which
+has as many rows as there are lengths in patterns. The groups' first ranks are joined by a shuffle of their own, to rows
+that lie as they are ranked.
 
 Defined cases: a null text is an empty document, one piece of the end token; documents longer than the capacity, and
-only these, are cut into pieces of the capacity and a rest; null or repeated ids are pieces of their own rows; an empty
-table gives an empty result; other columns of documents aren't read, those of a piece table stay.
+only these, are cut into pieces of the capacity and a rest; null or repeated ids are pieces of their own rows; pieces of
+one length may change places; an empty table gives an empty result; other columns of documents aren't read, those of a
+piece table stay, whatever their names, but for sequence_id and offset. A text's ids are held at once by its task.
 """
 
 from __future__ import annotations
 
-import functools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -28,13 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import Memo, byte_slices, materialise
+from newsloom.llm.common import Memo, arrow_map, byte_slices, materialise, of_worker
 
 CAPACITY = 4096
 END_ID = 1
-SALTS = 64
+#: Pieces of one length that one task ranks, about: more are dealt over several.
+RANKED_ROWS = 1 << 16
 BATCH_BYTES = 1 << 20
-MOST_WORDS = 150_000
+#: Bytes of each memo's generation.
+MEMO_BYTES = 24 << 20
 
 _PARTS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
 _ODD = re.compile(r"[^ \nA-Za-zÀ-ÖØ-öø-ÿ0-9!-&(-/:-@\[-`{-~]")
@@ -48,7 +52,7 @@ class WordTokenizer:
     stands between blanks or line ends goes to the tokenizer as it is.
     """
 
-    def __init__(self, path: str, most: int = MOST_WORDS):
+    def __init__(self, path: str, most: int = MEMO_BYTES):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -83,7 +87,9 @@ class WordTokenizer:
         split = [_PARTS.findall(t.lower()) if p else t.replace("\n", " ").split(" ") for t, p in zip(texts, plain, strict=True)]
         missing = set().union(*(words for words, p in zip(split, plain, strict=True) if p)).difference(self.plain)
         new = list(missing.difference(self.plain.older))
-        self.plain.update(zip(new, self._plain(new), strict=True))
+        for word, ids in zip(new, self._plain(new), strict=True):
+            self.plain[word] = ids
+            self.plain.held += Memo.ENTRY + len(word) + len(ids)
         self.chunks[""] = b""
         memos = (self.chunks.__getitem__, self.plain.__getitem__)
         out = [b"".join(map(memos[p], words)) for words, p in zip(split, plain, strict=True)]
@@ -92,11 +98,6 @@ class WordTokenizer:
         return out
 
 
-@functools.lru_cache(maxsize=2)
-def _tokenizer(path: str) -> WordTokenizer:
-    return WordTokenizer(path)
-
-
 def pieces(docs: DataFrame, tokenizer: str | None = None, *, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: id_col, piece, start, length and ids (little-endian unsigned 32-bit, in bytes)."""
     path = tokenizer or public_tokenizers.path("word_bpe_49k.json")
@@ -105,7 +106,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, *, capacity: int = CAP
     names = [id_col, "piece", "start", "length", "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _tokenizer(path)
+        own = of_worker(("packing", path), lambda: WordTokenizer(path))
         for batch in batches:
             for part in byte_slices(batch, 1, BATCH_BYTES):
                 at, number, start, length, ids = [], [], [], [], []
@@ -122,7 +123,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, *, capacity: int = CAP
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     kind = source.schema[id_col].dataType.simpleString()
-    return source.mapInArrow(run, f"`{id_col}` {kind}, piece int, start bigint, length bigint, ids binary")
+    return arrow_map(source, run, f"`{id_col}` {kind}, piece int, start bigint, length bigint, ids binary")
 
 
 @dataclass(frozen=True)
@@ -218,18 +219,23 @@ def make_plan(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
     return Plan(*columns, sequences)
 
 
-def pack(cut: DataFrame, *, capacity: int = CAPACITY, length_col: str = "length", order_by: tuple[str, ...] = ("doc_id", "piece"), salts: int = SALTS) -> DataFrame:
+def pack(cut: DataFrame, *, capacity: int = CAPACITY, length_col: str = "length", order_by: tuple[str, ...] = ("doc_id", "piece"), ranked_rows: int = RANKED_ROWS) -> DataFrame:
     """cut (rows with a length from 1 to capacity) with sequence_id and offset added."""
+    spark = cut.sparkSession
     counts = {r[0]: r[1] for r in cut.groupBy(length_col).count().collect()}  # capacity rows at most
-    plan = make_plan(counts, capacity)
-    shared = cut.sparkSession.sparkContext.broadcast(plan)
-    salted = cut.withColumn("_salt", F.pmod(F.xxhash64(*order_by), F.lit(salts)).cast("int"))
-    per = salted.groupBy(F.col(length_col).alias("_length"), F.col("_salt").alias("_group")).agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("_length").orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
-    starts = per.select("_length", "_group", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    # capacity x salts rows at most
-    ranked = salted.withColumn("_row", F.row_number().over(Window.partitionBy(length_col, "_salt").orderBy(*order_by)))
-    ranked = ranked.join(F.broadcast(starts), (F.col(length_col) == F.col("_length")) & (F.col("_salt") == F.col("_group")))
+    shared = spark.sparkContext.broadcast(make_plan(counts, capacity))
+    kept = [c for c in cut.columns if c not in ("sequence_id", "offset")]
+    order = F.struct(*order_by)
+    own = cut.select(F.struct(*kept).alias("row"), F.col(length_col).cast("long").alias("length"), order.alias("key"), F.monotonically_increasing_id().alias("number"))
+    # ids may all be equal, so a row's number decides too
+    groups = {k: n for k, n in counts.items() if n > ranked_rows}  # capacity entries at most
+    many = F.create_map(*[F.lit(x) for k, n in groups.items() for x in (int(k), -(-n // ranked_rows))])[F.col("length")] if groups else F.lit(None)
+    salted = own.withColumn("salt", F.pmod(F.xxhash64("key", "number"), F.coalesce(many.cast("long"), F.lit(1).cast("long")))).drop("number")
+    per = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    starts = per.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    ranked = salted.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("key")))
+    placed = ranked.join(starts, ["length", "salt"])
 
     @F.pandas_udf("sequence_id bigint, offset bigint")
     def place(length, rank):
@@ -238,8 +244,7 @@ def pack(cut: DataFrame, *, capacity: int = CAPACITY, length_col: str = "length"
         sequence, offset = shared.value.place(length.to_numpy(np.int64), rank.to_numpy(np.int64))
         return pd.DataFrame({"sequence_id": sequence, "offset": offset})
 
-    kept = [c for c in cut.columns if c not in ("sequence_id", "offset")]
-    return ranked.select(*kept, place(F.col(length_col), F.col("_before") + F.col("_row") - 1).alias("_place")).select(*kept, "_place.sequence_id", "_place.offset")
+    return placed.select("row", place(F.col("length"), F.col("before") + F.col("rank") - 1).alias("place")).select("row.*", "place.sequence_id", "place.offset")
 
 
 def packed_pieces(docs: DataFrame, *, capacity: int = CAPACITY, tokenizer: str | None = None, keep_ids: bool = True) -> DataFrame:

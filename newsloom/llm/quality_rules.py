@@ -2,13 +2,17 @@
 
 Statistics come from one pass over whole texts in Arrow batches. The forest is fitted on a bounded, documented
 sample of statistics rows (TREES x TREE_ROWS at most), so it is the same size for any corpus; every document is
-scored by its mean path length over the random splits. The verdict's threshold is calibrated on all labelled rows:
-the scores are counted in SCORE_BINS bins by label, and the lowest threshold is taken that still keeps KEEP_GOOD of
-the rows labelled good.
+scored by its mean path length over the random splits. The verdict's threshold is calibrated on all labelled rows,
+good and bad: the scores are counted in SCORE_BINS bins by label, and of the thresholds that keep KEEP_GOOD of the
+rows labelled good the one is taken that keeps the fewest labelled bad, the highest of these if they tie.
+
+The forest sees by how much a rule's limit is passed, not the raw statistics. These differ with language and length:
+raw shares of marks or upper-case letters would set apart short texts and rare languages, which no rule objects to.
 
 Defined cases: a null text has no words and fails the base rules (under 20 words); ids may repeat or be null (each row
-is judged by itself; null ids have no label); without labelled rows the threshold is DEFAULT_THRESHOLD; an empty table
-gives an empty result; other columns aren't read.
+is judged by itself; null ids have no label); equal statistics have equal scores, and a score at the threshold fails;
+without rows labelled good the threshold is DEFAULT_THRESHOLD; an empty table gives an empty result; other columns
+aren't read, or with carry stay as they are. One text's words are held at once, some 100 bytes a word.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import byte_slices, fraction_filter, materialise
+from newsloom.llm.common import bounded_batches, bounded_sample, byte_slices, materialise, of_worker
 
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
@@ -32,7 +36,7 @@ TREE_ROWS = 256
 KEEP_GOOD = 0.999
 SCORE_BINS = 2000
 DEFAULT_THRESHOLD = 0.65
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 
 #: What the usual rules for web text allow: symbols, marks, repeated, adjacent equal words a word; upper-case letters a
 #: letter; digits a character; repeated lines a line; mean characters a word.
@@ -46,26 +50,23 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 FEATURES = ("symbols", "upper", "marks", "digits", "repeats", "adjacent", "dup_lines", "word_length")
 
 _OTHER, _BLANK, _SYMBOL, _UPPER, _LETTER, _DIGIT, _MARK = range(7)
-_classes: list[np.ndarray] = []
 _WORD = re.compile(r"[^\x20\x09-\x0D]")
 _ODD = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) | 1 for k in range(WINDOW_WORDS)], np.uint64)
 
 
-def _class_table() -> np.ndarray:
+def _make_classes() -> np.ndarray:
     """Code point -> kind of character."""
-    if not _classes:
-        kinds = np.zeros(0x110000, np.uint8)
-        for c in range(0x110000):
-            x = chr(c)
-            if x.isalpha():
-                kinds[c] = _UPPER if x.isupper() else _LETTER
-            elif x.isdigit():
-                kinds[c] = _DIGIT
-            elif 32 < c < 127:
-                kinds[c] = _SYMBOL if x in SYMBOLS else _MARK
-        kinds[[32, *range(9, 14)]] = _BLANK
-        _classes.append(kinds)
-    return _classes[0]
+    kinds = np.zeros(0x110000, np.uint8)
+    for c in range(0x110000):
+        x = chr(c)
+        if x.isalpha():
+            kinds[c] = _UPPER if x.isupper() else _LETTER
+        elif x.isdigit():
+            kinds[c] = _DIGIT
+        elif 32 < c < 127:
+            kinds[c] = _SYMBOL if x in SYMBOLS else _MARK
+    kinds[[32, *range(9, 14)]] = _BLANK
+    return kinds
 
 
 def repeat_words(words: list[bytes], size: int = WINDOW_WORDS) -> int:
@@ -112,7 +113,7 @@ def count_batch(texts: list[str]) -> np.ndarray:
     if not texts:
         return out
     joined = "\n".join(texts) + "\n"
-    kinds = _class_table()[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)]
+    kinds = of_worker(("quality_rules",), _make_classes)[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)]
     sizes = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     of = {k: np.add.reduceat(kinds == k, starts, dtype=np.int64) for k in (_BLANK, _SYMBOL, _UPPER, _LETTER, _DIGIT, _MARK)}
@@ -130,20 +131,19 @@ def count_batch(texts: list[str]) -> np.ndarray:
 
 
 def statistics(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
-    """One row per row of docs: id_col and COUNTS; with carry also the row itself, as a struct."""
-    whole = [F.struct("*").alias("row")] if carry else []
-    source = docs.select(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *whole)
-    names = [id_col, *COUNTS, *(["row"] if carry else [])]
+    """One row per row of docs: id_col and COUNTS; with carry also the row itself, as a struct. Only texts go to Python."""
+    bounded_batches(docs.sparkSession)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in byte_slices(batch, 1, BATCH_BYTES):
-                counts = count_batch(part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(counts[:, k]) for k in range(len(COUNTS))), *part.columns[2:]], names=names)
+    @F.arrow_udf(", ".join(f"{c} bigint" for c in COUNTS))
+    def counts(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in texts:
+            found = [count_batch(part.column(0).to_pylist()) for part in byte_slices(pa.RecordBatch.from_arrays([batch], names=["text"]), 0, BATCH_BYTES)]
+            all_ = np.concatenate(found) if found else np.zeros((0, len(COUNTS)), np.int64)
+            yield pa.StructArray.from_arrays([pa.array(all_[:, k]) for k in range(len(COUNTS))], names=list(COUNTS))
 
-    kind = source.schema[id_col].dataType.simpleString()
-    rest = f", row {source.schema['row'].dataType.simpleString()}" if carry else ""
-    return source.mapInArrow(run, f"`{id_col}` {kind}, " + ", ".join(f"{c} bigint" for c in COUNTS) + rest)
+    whole = [F.struct("*").alias("row")] if carry else []
+    counted = docs.select(F.col(id_col), counts(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("counts"), *whole)
+    return counted.select(F.col(id_col), "counts.*", *[F.col("row") for _ in whole])
 
 
 def _features() -> list:
@@ -222,10 +222,10 @@ class Forest:
         return np.exp2(-total / len(self.roots) / float(_expected_path(self.rows)))
 
 
-def fit_forest(features: DataFrame, *, id_col: str = "doc_id", trees: int = TREES, tree_rows: int = TREE_ROWS) -> Forest:
-    """From about trees x tree_rows rows, the ones with the smallest hashed ids."""
-    bound = trees * tree_rows
-    sample = fraction_filter(features, id_col, bound, features.count()).select(*FEATURES).toPandas().to_numpy(float)
+def fit_forest(features: DataFrame, *, trees: int = TREES, tree_rows: int = TREE_ROWS) -> Forest:
+    """From at most trees x tree_rows rows of distinct statistics and features."""
+    columns = [*COUNTS, *FEATURES]
+    sample = bounded_sample(features, columns, trees * tree_rows).select(*FEATURES).toPandas().to_numpy(float)
     return Forest.grow(sample[np.lexsort(sample.T[::-1])], trees, tree_rows)
 
 
@@ -242,26 +242,37 @@ def anomaly_scores(features: DataFrame, forest: Forest) -> DataFrame:
     return features.withColumn("anomaly", score(*[F.col(c) for c in FEATURES]))
 
 
-def calibrate(scored: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", label_col: str = "quality", keep_good: float = KEEP_GOOD) -> float:
-    """The lowest threshold (an edge of SCORE_BINS bins) under which keep_good of the rows labelled 1 lie."""
-    own = labels.select(F.col(id_col), F.col(label_col).alias("label")).where("label = 1").distinct()
-    bins = scored.where("not base_failed").select(F.col(id_col), F.floor(F.col("anomaly") * SCORE_BINS).alias("bin")).join(own, id_col).groupBy("bin").agg(F.count("*").alias("good")).orderBy("bin").collect()
-    total = sum(r["good"] for r in bins)
-    if not total:
-        return DEFAULT_THRESHOLD
-    held = 0
-    for r in bins:
-        held += r["good"]
-        if held >= keep_good * total:
-            return (r["bin"] + 1) / SCORE_BINS
-    return 1.0
+@dataclass(frozen=True)
+class Calibration:
+    """A threshold with the shares of the labelled good and bad rows (of those that pass the base rules) that it keeps."""
+
+    threshold: float
+    good_kept: float = 1.0
+    bad_kept: float = 1.0
+
+
+def calibrate(scored: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", label_col: str = "quality", keep_good: float = KEEP_GOOD) -> Calibration:
+    """The threshold (an edge of SCORE_BINS bins) that keeps keep_good of the rows labelled 1 and the fewest labelled 0."""
+    own = labels.select(F.col(id_col), F.col(label_col).alias("label")).where("label in (0, 1)").distinct()
+    judged = scored.where("not base_failed").select(F.col(id_col), F.floor(F.col("anomaly") * SCORE_BINS).alias("bin")).join(own, id_col)
+    counts = judged.groupBy("bin").agg(F.sum("label").alias("good"), F.sum(1 - F.col("label")).alias("bad")).collect()  # SCORE_BINS rows at most
+    good, bad = np.zeros(SCORE_BINS + 2), np.zeros(SCORE_BINS + 2)
+    for r in counts:
+        good[r["bin"] + 1], bad[r["bin"] + 1] = r["good"], r["bad"]
+    if not good.sum():
+        return Calibration(DEFAULT_THRESHOLD)
+    good_kept, bad_kept = np.cumsum(good) / good.sum(), np.cumsum(bad) / max(bad.sum(), 1.0)
+    able = np.flatnonzero(good_kept >= keep_good)
+    best = able[np.lexsort((-able, bad_kept[able]))[0]]
+    return Calibration(float(best / SCORE_BINS), float(good_kept[best]), float(bad_kept[best]))
 
 
 def assess(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep_good: float = KEEP_GOOD, carry: bool = False) -> DataFrame:
-    """One row per row of docs: id_col, COUNTS, base_failed, anomaly, threshold and kept; with carry also the row itself, as a struct."""
+    """One row per row of docs: id_col, COUNTS, base_failed, anomaly, threshold, good_kept, bad_kept (of labelled rows) and kept; with carry also the row itself, as a struct."""
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     counted = materialise(statistics(docs, id_col=id_col, text_col=text_col, carry=carry).withColumn("base_failed", failed), "rule-statistics")
     features = counted.select("*", *_features())
-    scored = anomaly_scores(features, fit_forest(features, id_col=id_col)).drop(*FEATURES)
-    threshold = calibrate(scored, labels, id_col=id_col, keep_good=keep_good)
-    return scored.withColumn("threshold", F.lit(threshold)).withColumn("kept", ~F.col("base_failed") & (F.col("anomaly") < threshold))
+    scored = anomaly_scores(features, fit_forest(features)).drop(*FEATURES)
+    found = calibrate(scored, labels, id_col=id_col, keep_good=keep_good)
+    told = scored.withColumns({"threshold": F.lit(found.threshold), "good_kept": F.lit(found.good_kept), "bad_kept": F.lit(found.bad_kept)})
+    return told.withColumn("kept", ~F.col("base_failed") & (F.col("anomaly") < found.threshold))

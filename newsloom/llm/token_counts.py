@@ -9,7 +9,6 @@ own; an empty table gives an empty result; columns of the input other than the t
 
 from __future__ import annotations
 
-import functools
 import re
 from collections.abc import Callable, Iterator
 
@@ -18,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import byte_slices
+from newsloom.llm.common import arrow_map, byte_slices, of_worker
 
 #: Bytes of texts in one call to the library, and code points above which a text is split.
 BATCH_BYTES = 1 << 20
@@ -27,7 +26,6 @@ CHUNK_CHARS = 1 << 15
 _BOUNDARY = re.compile("(?<=[^ ▁]) (?=[^ ▁])")
 
 
-@functools.lru_cache(maxsize=4)
 def _counter(path: str) -> tuple[Callable[[list[str]], list[int]], bool]:
     """How many tokens each text has, and whether texts may be split at single blanks without a change."""
     if path.endswith(".model"):
@@ -63,7 +61,7 @@ def safe_chunks(text: str, most: int = CHUNK_CHARS) -> list[str]:
 
 def count_texts(texts: list[str], path: str, batch_bytes: int = BATCH_BYTES, chunk_chars: int = CHUNK_CHARS) -> list[int]:
     """Tokens of each text, through calls of about batch_bytes each."""
-    count, splits = _counter(path)
+    count, splits = of_worker(("token_counts", path), lambda: _counter(path))
     totals, batch, owners, held = [0] * len(texts), [], [], 0
 
     def flush() -> None:
@@ -99,5 +97,5 @@ def token_counts(docs: DataFrame, tokenizer: str | None = None, *, id_col: str =
                 yield pa.RecordBatch.from_arrays([part.column(0), sizes, counts], names=[id_col, *schema.names])
 
     kind = source.schema[id_col].dataType.simpleString()
-    counted = source.mapInArrow(count, f"`{id_col}` {kind}, n_bytes bigint, n_tokens bigint")
+    counted = arrow_map(source, count, f"`{id_col}` {kind}, n_bytes bigint, n_tokens bigint")
     return counted.withColumn("over_limit", F.col("n_tokens") > F.lit(limit))
