@@ -2,19 +2,23 @@
 
 A document's set is its distinct 5-word shingles. Documents with equal sets are one node from the start, so exact
 copies cost one row. A node's sketch has REGISTERS buckets; each keeps the least hash of its shingles compressed to
-the number of leading zeros and MANTISSA_BITS bits that follow. BANDS bands of registers are the keys under which
-nodes meet. Two nodes that meet are compared by a Jaccard estimate that is corrected for accidental equal registers,
+the number of leading zeros and MANTISSA_BITS bits that follow. Bands of registers, as many and as wide as the least
+similarity asks for (band_plan), are the keys under which nodes meet. Two nodes that meet are compared by a Jaccard estimate that is corrected for accidental equal registers,
 and then exactly on their sets.
 
 Nodes of one key aren't paired with one another. First each is compared with two of them, drawn anew for every key;
 that links most of a large group. Only keys whose nodes are then still in different components are looked through
 whole, in cells of CELL_NODES nodes by what lies outside the key's largest component, and a cell gives a spanning set
-of its links. So no link that would join two components is lost but for pairs that share no key (under 1e-6 at the
+of its links. So no link that would join two components is lost but for pairs that share no key (MOST_MISSED at the
 least similarity), and what is emitted grows with the nodes of a group.
 
+Joins on sets and on nodes know how many rows each key has, and give the rows of hot keys their value by a broadcast
+of fewer than 1 / HOT_SHARE rows; wordless rows take no part in them. Other joins leave skew to Spark's skew join.
+
 Defined cases: a null or wordless text has no shingles, and is linked with nothing; a text of fewer words than a
 shingle has is one shingle; rows with a null id take no part (component_id null, kept true); rows that share an id
-are linked, as they are one document to the result; an empty table gives an empty result; other columns aren't read.
+are linked, as they are one document to the result; ties don't arise, as a component is named by its least id; an
+empty table gives an empty result; other columns aren't read. One text's words are held at once, some 100 bytes a word.
 """
 
 from __future__ import annotations
@@ -28,24 +32,24 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import byte_slices, materialise
+from newsloom.llm.common import arrow_map, bounded_batches, byte_slices, join_counted, materialise
 
 SHINGLE_WORDS = 5
 PERCENT = 85
 REGISTERS = 128
 MANTISSA_BITS = 10
-BANDS, BAND_ROWS = 25, 5
+#: The chance, at most, that a pair of the least similarity shares no band.
+MOST_MISSED = 1e-6
 #: Standard errors that an estimate may lie under the least similarity before its pair is let go unverified.
 MARGIN = 5.0
 CELL_NODES = 256
 CELL_BYTES = 8 << 20
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 
 _BUCKET_BITS = REGISTERS.bit_length() - 1
 _ODD = np.array([pow(0x9E3779B97F4A7C15, 2 * k + 1, 1 << 64) | 1 for k in range(SHINGLE_WORDS)], np.uint64)
 _EDGES = np.arange(REGISTERS, dtype=np.uint64) << np.uint64(64 - _BUCKET_BITS)
 _PROBES = np.random.default_rng(11).integers(0, REGISTERS, (REGISTERS, 256))
-_BAND_MIX = np.random.default_rng(12).integers(1, 1 << 62, (BANDS, BAND_ROWS)).astype(np.uint64) | np.uint64(1)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -89,10 +93,19 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
     return registers.astype(np.uint16)
 
 
-def band_keys(registers: np.ndarray) -> np.ndarray:
+def band_plan(percent: int) -> tuple[int, int]:
+    """(bands, rows): the widest bands of the registers that miss a pair of the least similarity with MOST_MISSED at most."""
+    for rows in range(12, 0, -1):
+        if (1 - (percent / 100) ** rows) ** (REGISTERS // rows) <= MOST_MISSED:
+            return REGISTERS // rows, rows
+    return REGISTERS, 1
+
+
+def band_keys(registers: np.ndarray, plan: tuple[int, int]) -> np.ndarray:
     """A 64-bit key for each band."""
-    own = registers[: BANDS * BAND_ROWS].reshape(BANDS, BAND_ROWS).astype(np.uint64)
-    return _mix((_mix(own + np.uint64(1)) * _BAND_MIX).sum(axis=1)).view(np.int64)
+    own = registers[: plan[0] * plan[1]].reshape(plan).astype(np.uint64)
+    mixed = np.random.default_rng(12).integers(1, 1 << 62, plan).astype(np.uint64) | np.uint64(1)
+    return _mix((_mix(own + np.uint64(1)) * mixed).sum(axis=1)).view(np.int64)
 
 
 def accidental(a: np.ndarray | float, b: np.ndarray | float) -> np.ndarray | float:
@@ -120,8 +133,9 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
-def sketches(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def sketches(docs: DataFrame, percent: int = PERCENT, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id_col, n_shingles, set_id (null for an empty set) and bands."""
+    plan = band_plan(percent)
     source = docs.select(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     names = [id_col, "n_shingles", "set_id", "bands"]
 
@@ -130,11 +144,11 @@ def sketches(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
             for part in byte_slices(batch, 1, BATCH_BYTES):
                 sets = [shingles(t) for t in part.column(1).to_pylist()]
                 ids = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-                keys = [band_keys(sketch(s)) if len(s) else None for s in sets]
+                keys = [band_keys(sketch(s), plan) if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=names)
 
     kind = source.schema[id_col].dataType.simpleString()
-    return source.mapInArrow(run, f"`{id_col}` {kind}, n_shingles bigint, set_id binary, bands array<bigint>")
+    return arrow_map(source, run, f"`{id_col}` {kind}, n_shingles bigint, set_id binary, bands array<bigint>")
 
 
 def whole_sets(rows: DataFrame) -> DataFrame:
@@ -147,7 +161,7 @@ def whole_sets(rows: DataFrame) -> DataFrame:
                 columns = [pa.array([n.as_py() for n, _ in found], part.schema.field(0).type), pa.array([sketch(s).tobytes() for _, s in found], pa.binary()), pa.array([s.tobytes() for _, s in found], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["node", "registers", "hashes"])
 
-    return rows.select("node", "text").mapInArrow(run, f"node {rows.schema['node'].dataType.simpleString()}, registers binary, hashes binary")
+    return arrow_map(rows.select("node", "text"), run, f"node {rows.schema['node'].dataType.simpleString()}, registers binary, hashes binary")
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -186,6 +200,7 @@ def _similar(percent: int):
 def cell_links(left: pa.Table, right: pa.Table, band: int, percent: int) -> list[tuple[int, int]]:
     """Links between components of left's and right's nodes for which this is the first band that they share: a spanning set of them."""
     parent: dict = {}
+    plan = band_plan(percent)
 
     def root(x):
         while parent.get(x, x) != x:
@@ -205,7 +220,7 @@ def cell_links(left: pa.Table, right: pa.Table, band: int, percent: int) -> list
         same = registers_b == registers_a[i]
         for j in np.flatnonzero(plausible(same.mean(axis=1), len(own), sizes_b, percent)):
             a, b = root(groups_a[i]), root(groups_b[j])
-            if a == b or same[j, : BANDS * BAND_ROWS].reshape(BANDS, BAND_ROWS).all(axis=1).argmax() != band:
+            if a == b or same[j, : plan[0] * plan[1]].reshape(plan).all(axis=1).argmax() != band:
                 continue
             if linked(own, sets_b[j], percent):
                 found.append((nodes_a[i], nodes_b[j]))
@@ -240,16 +255,19 @@ def _links_left(met: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row per row of docs: id_col (long), n_shingles, component_id and kept (the component's smallest id)."""
+    bounded_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = materialise(sketches(source), "sketches")
+    rows = materialise(sketches(source, percent), "sketches")
     live = rows.where("doc_id is not null and set_id is not null")
-    classes = live.groupBy("set_id").agg(F.min("doc_id").alias("node"))
+    classes = materialise(live.groupBy("set_id").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")), "classes")
+    total = classes.agg(F.sum("n")).first()[0] or 0
     # the bands of a class are those of any of its rows; the one with the class's smallest id stands for it
-    heads = live.join(classes, "set_id").where("doc_id = node")
-    banded = heads.select("node", F.posexplode("bands").alias("band", "key")).distinct()
+    members = join_counted(live, classes, "set_id", total).select("doc_id", "n_shingles", "node", F.when(F.col("doc_id") == F.col("node"), F.col("bands")).alias("bands"))
+    members = materialise(members, "members")
+    banded = members.where("bands is not null").select("node", F.posexplode("bands").alias("band", "key")).distinct()
     draw = F.xxhash64("node", "key")
-    meeting = banded.groupBy("key").agg(F.count("*").alias("n"), F.min_by("node", draw).alias("c1"), F.max_by("node", draw).alias("c2")).where("n > 1").drop("n")
-    met = materialise(banded.join(meeting, "key"), "met")
+    meeting = materialise(banded.groupBy("key").agg(F.count("*").alias("n"), F.min_by("node", draw).alias("c1"), F.max_by("node", draw).alias("c2")).where("n > 1"), "meeting")
+    met = materialise(join_counted(banded, meeting, "key", meeting.agg(F.sum("n")).first()[0] or 0), "met")
 
     needed = met.select("node").distinct()
     sets = materialise(whole_sets(source.withColumnRenamed("doc_id", "node").join(needed, "node", "left_semi")), "sets")
@@ -258,8 +276,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     of = lambda side: sets.select(F.col("node").alias(side), F.col("registers").alias(f"registers_{side}"), F.col("hashes").alias(f"hashes_{side}"))
     drawn = pairs.join(of("b"), "b").join(of("a"), "a").where(_similar(percent)("registers_a", "hashes_a", "registers_b", "hashes_b")).select("a", "b")
     # rows of one id with different sets
-    member = live.join(classes, "set_id").select("doc_id", "node")
-    repeated = member.groupBy("doc_id").agg(F.min("node").alias("a"), F.collect_set("node").alias("others")).where("size(others) > 1").select("a", F.explode("others").alias("b")).where("a <> b")
+    spread = materialise(members.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z"), F.count("*").alias("n")).where("a <> z").drop("z"), "spread-ids")
+    repeated = join_counted(members.select("doc_id", "node"), spread, "doc_id", total).where("node <> a").select("a", F.col("node").alias("b")).distinct()
     links = materialise(drawn.unionByName(repeated), "links")
 
     first = components(links)
@@ -268,7 +286,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     if more.limit(1).count():
         links = links.unionByName(more)
         first = components(links)
-    node_of = rows.join(classes.withColumnRenamed("set_id", "set"), F.col("set_id") == F.col("set"), "left")
-    final = node_of.join(first, "node", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id"))
-    return final.select(F.col("doc_id").alias(id_col), "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
+    sizes = classes.groupBy("node").agg(F.sum("n").alias("n"))
+    named = join_counted(members.select("doc_id", "n_shingles", "node"), materialise(first.join(sizes, "node"), "component-sizes"), "node", total, "left")
+    linked_rows = named.select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"))
+    alone = rows.where("doc_id is null or set_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    result = linked_rows.unionByName(alone)
+    return result.select(F.col("doc_id").alias(id_col), "n_shingles", "component_id").withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
