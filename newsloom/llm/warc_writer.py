@@ -1,19 +1,26 @@
 """WARC archives: a deterministic sharded writer and a reader.
 
-Records are range-sorted by page_id into shards of about SHARD_BYTES, whose borders come from byte counts of a bounded
-number of equal id ranges, so the same table gives the same files on any cluster. Each shard's task writes one gzip
-member per record, starts a new file once FILE_BYTES of compressed data are reached, writes under a temporary name and
-renames it when it is closed; the names of finished files come back as a manifest that Spark commits in one step.
-Files that no manifest names (of lost or repeated tasks) are never read. Headers, record ids and digests are made
-anew from the rows, with a fixed date.
+Records are sorted by page_id, digest and url, and cut into shards of about SHARD_BYTES by the bytes that come before
+each of them, so the same table gives the same files on any cluster: neither an outlying id, nor one id that a third of
+all rows have, nor one page that they all are, makes a shard larger. Running sums are taken over narrow rows (a key and
+bytes for each distinct record) in range-cut blocks with offsets. Only the first key of each shard comes to the driver,
+MOST_SHARDS at most, as shards grow with the table beyond that. Copies of one record that fill more than a shard travel
+as one row with a count for each of their shards.
+
+Each shard's task writes one gzip member per record, starts a new file once FILE_BYTES of compressed data are reached,
+writes under a temporary name and renames it when it is closed; the names of finished files come back as a manifest
+that Spark commits in one step. Files that no manifest names (of lost or repeated tasks) are never read. Headers, record
+ids and digests are made anew from the rows, with a fixed date. The reader deals the manifest's rows over tasks, which
+stream their files.
 
 Equal payloads of LEAST_REVISIT bytes or more: the row with the largest page_id is the response, the others are
-revisits of it. Only (page_id, digest) of rows is compared for that; the marks of revisits travel in the same shuffle
+revisits of it. Only keys and digests of rows are compared for that; the marks of revisits travel in the same shuffle
 as the pages, so payloads move once.
 
 Defined cases: null html is an empty payload; a null page_id has no id header, sorts first and is never referred to
 (if all of a group are null, all are responses); rows with equal page_id and payload are all responses or all
-revisits; an empty table writes no file and reads back empty; other columns aren't read.
+revisits; any long is an id; an empty table writes no file and reads back empty; other columns aren't read. One page is
+held at once by its task.
 
 The output folder has to be one that pyarrow's filesystems reach from the executors (file, hdfs, s3, gs).
 """
@@ -21,21 +28,28 @@ The output folder has to be one that pyarrow's filesystems reach from the execut
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
+import io
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from newsloom.llm.common import arrow_map, bounded_batches, join_counted, materialise
+
 LEAST_REVISIT = 1000
 SHARD_BYTES = 24 << 20
 FILE_BYTES = 6 << 20
-#: Most id ranges whose bytes are counted (what the driver sees of the corpus).
-MOST_RANGES = 1 << 16
+#: Most shards, about; larger tables have larger ones.
+MOST_SHARDS = 50_000
+#: What a record weighs beside its payload, and bytes of files that one task reads.
+HEAD_BYTES = 500
+READ_BYTES = 16 << 20
 DATE = "2024-01-01T00:00:00Z"
 _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
@@ -119,58 +133,108 @@ class ShardFiles:
         return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["file", "shard", "records", "bytes", "sha1"])
 
 
-def write(pages: DataFrame, folder: str, *, shard_bytes: int = SHARD_BYTES, file_bytes: int = FILE_BYTES, least_revisit: int = LEAST_REVISIT) -> DataFrame:
+def _ordered(rows: DataFrame, weight: str) -> DataFrame:
+    """rows (distinct in key) with `before`, the sum of weight over all rows with smaller keys; no row is sorted in one task."""
+    cut = materialise(rows.repartitionByRange("key").withColumn("block", F.spark_partition_id()), "warc-blocks")
+    per = cut.groupBy("block").agg(F.sum(weight).alias("held"))  # a row per block
+    earlier = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = per.select("block", F.coalesce(F.sum("held").over(earlier), F.lit(0)).alias("start"))
+    inside = F.coalesce(F.sum(weight).over(Window.partitionBy("block").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return cut.withColumn("inside", inside).join(starts, "block").withColumn("before", (F.col("inside") + F.col("start")).cast("long")).drop("block", "inside", "start")
+
+
+def write(pages: DataFrame, folder: str, *, shard_bytes: int | None = None, file_bytes: int | None = None, least_revisit: int = LEAST_REVISIT) -> DataFrame:
     """Write pages (page_id, url, html) to folder; returns the committed manifest: file, shard, records, bytes, sha1."""
     spark = pages.sparkSession
+    bounded_batches(spark)
     store, root = fs.FileSystem.from_uri(folder)
     store.create_dir(f"{root}/_temporary", recursive=True)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
-    sized = rows.select("page_id", F.length("payload").cast("long").alias("n"))
-    span = sized.agg(F.min("page_id").alias("low"), F.max("page_id").alias("high"), F.sum("n").alias("total")).first()
-    low, high, total = span["low"] or 0, span["high"] or 0, span["total"] or 0
-    ranges = max(1, min(MOST_RANGES, 16 * (1 + total // shard_bytes), high - low + 1))
-    width = (high - low) // ranges + 1
-    place = F.coalesce(F.floor((F.col("page_id") - low) / F.lit(width)), F.lit(-1)).cast("int")
-    held, shard_of = 0, {}
-    for r in sized.groupBy(place.alias("place")).agg(F.sum("n").alias("n")).orderBy("place").collect():
-        shard_of[r["place"]] = held // shard_bytes
-        held += r["n"]
-    shards = max(shard_of.values(), default=0) + 1
-    # at most MOST_RANGES + 1 rows
-    places = F.broadcast(spark.createDataFrame(list(shard_of.items()), "place int, shard int"))
-
-    keyed = rows.withColumn("digest", F.sha1("payload"))
-    groups = keyed.where(F.length("payload") >= least_revisit).groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("rows")).where("rows > 1 and refers_to is not null")
-    narrow = keyed.where(F.length("payload") >= least_revisit).select("page_id", "digest").distinct()
-    marks = narrow.join(groups, "digest").where("page_id is null or page_id <> refers_to").select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "digest", "refers_to")
-    both = keyed.withColumn("refers_to", F.lit(None).cast("long")).unionByName(marks).withColumn("place", place).join(places, "place")
-    # a mark stands right before the pages of its id and digest
-    dealt = both.repartition(shards, "shard").sortWithinPartitions("shard", "page_id", "digest", F.col("refers_to").isNull(), "url")
+    # hexadecimal digits of the id with its sign turned sort like ids; "!" sorts before them
+    id_key = F.coalesce(F.lpad(F.hex(F.col("page_id").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0"), F.lit("!"))
+    keyed = rows.withColumn("digest", F.sha1("payload")).withColumn("key", F.concat(id_key, "digest", F.coalesce(F.sha1(F.col("url").cast("binary")), F.lit("!"))))
+    per_key = keyed.select("key", "page_id", "digest", F.length("payload").cast("long").alias("size")).groupBy("key", "page_id", "digest", "size").agg(F.count("*").alias("copies"))
+    records = materialise(_ordered(per_key.withColumn("weight", (F.col("size") + HEAD_BYTES) * F.col("copies")), "weight"), "warc-records")
+    total = records.agg(F.sum("weight")).first()[0] or 0
+    shard_bytes = shard_bytes or max(SHARD_BYTES, total // MOST_SHARDS + 1)
+    file_bytes = file_bytes or max(FILE_BYTES, shard_bytes // 4)
+
+    shard_at = lambda x: F.floor(x / F.lit(shard_bytes)).cast("long")
+    one = F.col("size") + HEAD_BYTES
+    last = F.col("before") + (F.col("copies") - 1) * one
+    # distinct shards and their first keys: MOST_SHARDS at most, about
+    spans = records.select("key", F.explode(F.sequence(shard_at(F.col("before")), shard_at(last))).alias("shard"), (F.col("weight") > shard_bytes).alias("heavy"), "before", "copies", one.alias("one"))
+    spans = spans.where("heavy or shard = floor(before / {0})".format(shard_bytes))
+    firsts = spans.where("not heavy").groupBy("shard").agg(F.min("key").alias("key"))
+    border = [(r["key"], r["shard"]) for r in firsts.orderBy("key").collect()]
+    heavy = spans.where("heavy").select("key", "shard", (F.least(F.col("copies"), F.ceil(((F.col("shard") + 1) * shard_bytes - F.col("before")) / F.col("one"))) - F.greatest(F.lit(0), F.ceil((F.col("shard") * shard_bytes - F.col("before")) / F.col("one")))).cast("long").alias("copies")).where("copies > 0")
+    heavy = materialise(heavy, "warc-heavy")
+    crowded = sorted(r["key"] for r in heavy.select("key").distinct().collect())  # each fills a shard, so there are fewer than shards
+    number = {shard: i for i, shard in enumerate(sorted({s for _, s in border} | {r["shard"] for r in heavy.select("shard").distinct().collect()}))}
+    shared = spark.sparkContext.broadcast(([k for k, _ in border], [number[s] for _, s in border], frozenset(crowded)))
+
+    @F.arrow_udf("int")
+    def route(keys: pa.Array) -> pa.Array:
+        starts, shards, many = shared.value
+        return pa.array([-1 if k in many else shards[bisect.bisect_right(starts, k) - 1] for k in keys.to_pylist()], pa.int32())
+
+    large = records.where(F.col("size") >= least_revisit)
+    groups = large.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n"), F.sum("copies").alias("rows")).where("rows > 1 and refers_to is not null").drop("rows")
+    groups = materialise(groups, "warc-groups")
+    marks = join_counted(large.select("key", "page_id", "digest"), groups, "digest", large.count()).where("page_id is null or page_id <> refers_to").select("key", "refers_to")
+    none = lambda kind: F.lit(None).cast(kind)
+    columns = ["shard", "key", "page_id", "url", "payload", "digest", "copies", "refers_to"]
+    routed = keyed.withColumn("shard", route("key"))
+    both = routed.withColumns({"copies": F.lit(1).cast("long"), "refers_to": none("long")}).select(columns)
+    both = both.where("shard >= 0") if crowded else both
+    told = marks.withColumn("shard", route("key")).where("shard >= 0").select("shard", "key", none("long").alias("page_id"), none("string").alias("url"), none("binary").alias("payload"), none("string").alias("digest"), F.lit(0).cast("long").alias("copies"), "refers_to")
+    both = both.unionByName(told)
+    if crowded:
+        numbers = spark.createDataFrame(list(number.items()), "shard long, place int")
+        each = routed.where("shard < 0").drop("shard").dropDuplicates(["key"])
+        dealt_copies = heavy.join(marks, "key", "left").join(numbers, "shard").drop("shard").withColumnRenamed("place", "shard")
+        both = both.unionByName(each.join(dealt_copies, "key").select(columns))
+    shards = max(1, len(number))
+    # a mark stands right before the pages of its key
+    dealt = both.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "key", F.col("copies") > 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, mark = ShardFiles(folder, file_bytes), (None, None, None)
+        files, mark = ShardFiles(folder, file_bytes), (None, None)
         for batch in batches:
-            for shard, page_id, url, payload, digest, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if refers_to is not None:
-                    mark = (page_id, digest, refers_to)
+            for shard, key, page_id, url, payload, digest, copies, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if not copies:
+                    mark = (key, refers_to)
                     continue
-                target = mark[2] if mark[:2] == (page_id, digest) else None
-                files.add(shard, page_record(page_id, url, payload, digest, target))
+                record = page_record(page_id, url, payload, digest, refers_to if refers_to is not None else mark[1] if mark[0] == key else None)
+                for _ in range(copies):
+                    files.add(shard, record)
             yield files.take_done()
         files.close()
         yield files.take_done()
 
-    manifest = dealt.select("shard", "page_id", "url", "payload", "digest", "refers_to").mapInArrow(run, "file string, shard int, records bigint, bytes bigint, sha1 string")
+    manifest = arrow_map(dealt.select(columns), run, "file string, shard int, records bigint, bytes bigint, sha1 string")
     manifest.write.mode("overwrite").parquet(f"{folder}/_manifest")
+    store.delete_dir(f"{root}/_temporary")
     return spark.read.schema(manifest.schema).parquet(f"{folder}/_manifest")
 
 
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """The (fields, block) of each record of an archive, member by member."""
-    while data:
-        unpack = zlib.decompressobj(31)
-        record = unpack.decompress(data) + unpack.flush()
-        data = unpack.unused_data
+def members(stream, chunk: int = 1 << 16) -> Iterator[bytes]:
+    """The gzip members of a stream, read chunk by chunk."""
+    unpack, parts, fresh = zlib.decompressobj(31), [], True
+    while data := stream.read(chunk):
+        while data:
+            parts.append(unpack.decompress(data))
+            data, fresh = unpack.unused_data, False
+            if unpack.eof:
+                yield b"".join(parts)
+                unpack, parts, fresh = zlib.decompressobj(31), [], True
+    if not fresh:
+        raise ValueError("an archive ends within a record")
+
+
+def parse(data) -> Iterator[tuple[dict[str, str], bytes]]:
+    """The (fields, block) of each record of an archive (bytes or a stream)."""
+    for record in members(io.BytesIO(data) if isinstance(data, bytes) else data):
         head, _, rest = record.partition(b"\r\n\r\n")
         fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
         yield fields, rest[: int(fields["Content-Length"])]
@@ -184,33 +248,38 @@ def read(spark: SparkSession, folder: str, *, payloads: bool = True) -> DataFram
 
     Digests of blocks and payloads are checked; a damaged archive raises.
     """
-    # one name per file of FILE_BYTES: the driver's file index holds as much
-    names = [r["file"] for r in spark.read.parquet(f"{folder}/_manifest").select("file").orderBy("file").collect()]
-    if not names:
-        return spark.createDataFrame([], SCHEMA)
-    archives = spark.read.format("binaryFile").load([f"{folder}/{n}" for n in names]).select("content")
+    manifest = spark.read.schema("file string, shard int, records bigint, bytes bigint, sha1 string").parquet(f"{folder}/_manifest").select("file", "bytes")
+    held = manifest.agg(F.sum("bytes").alias("bytes"), F.count("*").alias("files")).first()
+    tasks = max(1, min(held["files"], max(-(-(held["bytes"] or 0) // READ_BYTES), spark.sparkContext.defaultParallelism)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = fs.FileSystem.from_uri(folder)
         for batch in batches:
-            for content in batch.column(0):
-                rows = []
-                for fields, block in parse(content.as_py()):
-                    if fields["WARC-Type"] == "warcinfo":
-                        continue
-                    head, _, payload = block.partition(b"\r\n\r\n")
-                    size = int(head.rpartition(b"Content-Length: ")[2])
-                    digest = base64.b32decode(fields["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
-                    response = fields["WARC-Type"] == "response"
-                    if fields["WARC-Block-Digest"] != f"sha1:{_base32(hashlib.sha1(block).hexdigest())}" or response and (hashlib.sha1(payload).hexdigest() != digest or len(payload) != size):
-                        raise ValueError(f"damaged record {fields['WARC-Record-ID']}")
-                    number = lambda k: int(fields[k]) if k in fields else None  # noqa: B023, E731
-                    rows.append((number("X-Page-ID"), fields.get("WARC-Target-URI"), fields["WARC-Type"], size, digest, number("X-Refers-To-Page-ID"), payload if response and payloads else None))
-                    if len(rows) >= 512:
-                        yield _batch(rows)
-                        rows = []
-                yield _batch(rows)
-
-    return archives.mapInArrow(run, SCHEMA)
+            for name in batch.column(0).to_pylist():
+                with store.open_input_stream(f"{root}/{name}", compression=None) as stream:
+                    yield from _pages(stream, payloads)
+
+    return arrow_map(manifest.select("file").repartition(tasks), run, SCHEMA)
+
+
+def _pages(stream, payloads: bool) -> Iterator[pa.RecordBatch]:
+    rows, held = [], 0
+    for fields, block in parse(stream):
+        if fields["WARC-Type"] == "warcinfo":
+            continue
+        head, _, payload = block.partition(b"\r\n\r\n")
+        size = int(head.rpartition(b"Content-Length: ")[2])
+        digest = base64.b32decode(fields["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
+        response = fields["WARC-Type"] == "response"
+        if fields["WARC-Block-Digest"] != f"sha1:{_base32(hashlib.sha1(block).hexdigest())}" or response and (hashlib.sha1(payload).hexdigest() != digest or len(payload) != size):
+            raise ValueError(f"damaged record {fields['WARC-Record-ID']}")
+        number = lambda k: int(fields[k]) if k in fields else None  # noqa: B023, E731
+        rows.append((number("X-Page-ID"), fields.get("WARC-Target-URI"), fields["WARC-Type"], size, digest, number("X-Refers-To-Page-ID"), payload if response and payloads else None))
+        held += len(payload) if payloads else 0
+        if len(rows) >= 512 or held > 4 << 20:
+            yield _batch(rows)
+            rows, held = [], 0
+    yield _batch(rows)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
