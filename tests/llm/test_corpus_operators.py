@@ -194,6 +194,37 @@ def test_archives_are_the_same_on_every_run(spark):
     assert {r["payload"].decode() for r in got if r["page_id"] == 10} == {long * 20}
 
 
+def test_shards_of_odd_ids_and_hot_pages_stay_small(spark):
+    r = random.Random(4)
+    page = lambda n: "".join(r.choice("abcdefghij <>") for _ in range(n))
+    hot = page(1500)
+    rows = [(i, f"http://h/{i}", page(r.randrange(20, 3000))) for i in range(600)]
+    rows += [(-(1 << 63), "u", page(1200)), ((1 << 63) - 1, "u", page(1200)), (1 << 60, "v", page(50))]
+    rows += [(77, f"http://same/{i}", page(1000)) for i in range(300)]  # one id, many pages
+    rows += [(5000, "http://hot/", hot)] * 400 + [(4999, "http://hot/", hot)] * 3 + [(None, None, hot)] * 90  # one page, many rows
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    files = []
+    for parts in (2, 7):
+        folder = "file://" + tempfile.mkdtemp(prefix="spark-warc-")
+        manifest = [tuple(x) for x in warc_writer.write(pages.repartition(parts), folder, shard_bytes=50_000, file_bytes=20_000).orderBy("file").collect()]
+        files.append(manifest)
+        per = defaultdict(int)
+        for name, shard, records, _, _ in manifest:
+            raw = b"".join(warc_writer.members(open(Path(folder[7:], name), "rb")))
+            per[shard] += len(raw)
+        assert len(per) > 20 and max(per.values()) < 2 * 50_000 + 3_000 * 20
+        assert not Path(folder[7:], "_temporary").exists()
+    assert files[0] == files[1] and sum(x[2] for x in files[0]) == len(rows)
+    got = sorted((x["page_id"] is not None, x["page_id"] or 0, x["payload_digest"], x["record_type"], x["refers_to"] or 0) for x in warc_writer.read(spark, folder).collect())
+    digest = lambda t: hashlib.sha1(t.encode()).hexdigest()
+    target = {}
+    for i, _, t in rows:
+        if len(t) >= 1000 and i is not None:
+            target[t] = max(i, target.get(t, i))
+    want = sorted((i is not None, i or 0, digest(t), "revisit" if t in target and target[t] != i else "response", target[t] if t in target and target[t] != i else 0) for i, _, t in rows)
+    assert got == want
+
+
 def test_every_record_is_a_gzip_member(spark):
     folder = "file://" + tempfile.mkdtemp(prefix="spark-warc-")
     manifest = warc_writer.write(spark.createDataFrame([(i, "u", f"page {i}") for i in range(20)], "page_id bigint, url string, html string"), folder)
@@ -288,6 +319,44 @@ def test_equal_turns_stay_apart(spark):
     assert sorted((t["role"], t["text"]) for t in row["turns"]) == [("", "y"), ("assistant", ""), ("user", "x"), ("user", "x")]
 
 
+# -- samples and joins with hot keys
+
+
+def test_samples_have_a_hard_bound_and_are_never_empty(spark):
+    from newsloom.llm.common import bounded_sample
+
+    one = spark.range(20_000).select(F.lit(7).alias("id"), F.lit("same").alias("text"))
+    nulls = spark.range(20_000).select(F.lit(None).cast("long").alias("id"), (F.col("id") % 9000).cast("string").alias("text"))
+    third = spark.range(20_000).select(F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id")).alias("id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("text"))
+    assert bounded_sample(one, ["id", "text"], 100).count() == 1
+    for frame, bound in ((nulls, 500), (third, 500), (third, 100_000)):
+        rows = [tuple(r) for r in bounded_sample(frame, ["id", "text"], bound).collect()]
+        assert 0.4 * bound < len(rows) <= bound or len(rows) == frame.distinct().count()
+        assert len(set(rows)) == len(rows) and sorted(rows, key=str) == sorted((tuple(r) for r in bounded_sample(frame.repartition(3), ["id", "text"], bound).collect()), key=str)
+    assert bounded_sample(one.limit(0), ["id", "text"], 10).count() == 0
+
+
+def test_hot_keys_meet_their_values(spark):
+    from newsloom.llm.common import join_counted, materialise
+
+    rows = materialise(spark.range(6000).select("id", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 500).alias("k")), "test-hot")
+    values = materialise(rows.groupBy("k").agg(F.count("*").alias("n"), F.max("id").alias("top")), "test-values")
+    got = join_counted(rows, values, "k", 6000)
+    assert got.columns == ["id", "k", "top"] and sorted(map(tuple, got.collect())) == sorted((r["id"], r["k"], r["top"]) for r in rows.join(values, "k").collect())
+    left = join_counted(rows, values.where("k <> 5"), "k", 6000, "left")
+    assert left.count() == 6000 and left.where("top is null").count() == rows.where("k = 5").count()
+
+
+def test_one_set_of_a_third_of_all_rows(spark):
+    texts = [BASE if i % 3 == 0 else prose(40, i % 700) for i in range(3000)] + [""] * 900
+    sets = {}
+    for i, t in enumerate(texts):
+        sets.setdefault(t, i)
+    got = near(spark, texts)
+    want = link_components({i: shingle_set(t) for t, i in sets.items()})
+    assert all(got[i][1] == (want[sets[t]] if t else i) for i, t in enumerate(texts))
+
+
 # -- the pipeline
 
 
@@ -305,7 +374,7 @@ def test_pipeline_is_brute_force(spark):
     assert all(not brute_statistics(r["text"])[5] for r in rows[2].values())
     good = {r["doc_id"] for r in spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1").collect()}
     assert len([i for i in rows[1] if i in good and not brute_statistics(rows[1][i]["text"])[5] and i not in rows[2]]) <= 1
-    assert rows[3].keys() == set(link_components({i: shingle_set(r["text"]) for i, r in rows[2].items()}).values())
+    assert rows[3].keys() == set(link_components({i: shingle_set(r["text"]) for i, r in rows[2].items()}, 80).values())
     assert rows[4].keys() == rows[3].keys() and all(not brute_base(r["text"]) and r["n_chars"] == len(r["text"]) for r in rows[4].values())
     assert all(rows[4][i]["text"] == r["text"] for i, r in rows[3].items() if not brute_base(r["text"]) and "[SECRET]" not in rows[4][i]["text"])
     check_packing(read[-1].collect(), {i: r["text"] for i, r in rows[4].items()})

@@ -122,6 +122,39 @@ def test_inferred_formats_find_unlabelled_credentials(spark):
     assert [s[3] for s in spans] == [loose]
 
 
+def planted(r, kind):
+    mixed = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    run = lambda alphabet, n: "".join(r.choice(alphabet) for _ in range(n))
+    return {
+        "ghp": lambda: "ghp_" + run(mixed, 36),
+        "sk": lambda: "sk_live_" + run(mixed, 24),
+        "jwt": lambda: "eyJhbGciOiJIUzI1NiJ9." + run(mixed + "-_", r.randrange(60, 90)) + "." + run(mixed + "-_", 43),
+        "akia": lambda: "AKIA" + run(mixed[:26] + "234567", 15),
+    }[kind]()
+
+
+def test_formats_are_learned_from_labelled_credentials(spark):
+    import random
+
+    from .helpers import prose
+
+    r = random.Random(12)
+    kinds = ("ghp", "sk", "jwt", "akia")
+    others = lambda i: f"mail{i}@host.example.com https://www.example.com/a/b-c/{i}.html 4929{r.randrange(10**11, 10**12)} 2024-01-{i % 28 + 1:02d}T10:00:00 /usr/lib/python3/site-packages {r.randrange(256)}.{r.randrange(256)}.1.1"
+    rows = [(i, f"{prose(60, i)} {others(i)} secret = {planted(r, kinds[i % 4])} {prose(20, i + 500)}") for i in range(160)]
+    formats = secret_scan.fit(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert {"ghp_...", "sk_live_...", "eyJh...", "AKIA..."} <= set(formats.names) and formats.recall >= 0.9 and formats.others <= 0.01
+    assert all(len(a.ends) > 15 for name, a in zip(formats.names, formats.automata, strict=True) if name.endswith("..."))
+    for kind in kinds:
+        bare = [planted(r, kind) for _ in range(100)]
+        found = [[s[3] for s in secret_scan.spans_of(f"{prose(9, k)} {w}. {prose(9, k)}", formats)] for k, w in enumerate(bare)]
+        assert sum(f == [w.rstrip("-")] for f, w in zip(found, bare, strict=True)) >= 90, kind
+    texts = [f"{prose(300, 2000 + i)} {others(1000 + i)}" for i in range(200)]
+    plain = sum(len(secret_scan.candidates(t, [])) for t in texts)
+    false = sum(len(secret_scan.spans_of(t, formats)) for t in texts)
+    assert plain > 500 and false <= 0.01 * plain
+
+
 def test_masking_keeps_rows_and_hides_secrets(spark):
     odd = odd_docs(spark)
     masked = secret_scan.mask(odd, secret_scan.fit(odd))
