@@ -4,7 +4,8 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 writes each stage's result as Parquet and hands what it reads back to the next stage.
 
 Null texts go in the first stage (no letter). Rows without a doc_id stay until packing; of rows that share a doc_id
-near-duplicate removal leaves one.
+near-duplicate removal leaves the one that is first by text, then by its other columns. Near-duplicates link from a
+similarity of NEAR_PERCENT on.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from newsloom.llm.queries import held_out
 #: The pipeline's models can't be written as SQL; tests hold its rows against a brute-force version.
 ORACLE_SQL = None
 LEAST_SCORE = 0.5
+NEAR_PERCENT = 80
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +37,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: that with the smallest id."""
-    keepers = near_dedup.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(keepers, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    keepers = near_dedup.near_duplicates(docs, percent=NEAR_PERCENT).where("kept and doc_id is not null").select("doc_id").distinct()
+    rest = [c for c in docs.columns if c != "doc_id"]
+    text_first = sorted(rest, key=lambda c: c != "text")
+    once = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct(*text_first)).alias("row"))
+    return once.join(keepers, "doc_id", "left_semi").select("doc_id", "row.*").select(docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
