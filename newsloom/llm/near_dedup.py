@@ -6,9 +6,10 @@ the number of leading zeros and MANTISSA_BITS bits that follow. Bands of registe
 similarity asks for (band_plan), are the keys under which nodes meet. Two nodes that meet are compared by a Jaccard estimate that is corrected for accidental equal registers,
 and then exactly on their sets.
 
-Nodes of one key aren't paired with one another. First each is compared with two of them, drawn anew for every key;
-that links most of a large group. Only keys whose nodes are then still in different components are looked through
-whole, in cells of CELL_NODES nodes by what lies outside the key's largest component, and a cell gives a spanning set
+Nodes of one key aren't paired with one another. First each is compared with the least of them, which near copies share
+over most of their keys, so a large group has few links beyond one for each node. Where a key's nodes are then still in
+different components, they are compared with one of them that is drawn anew for every key. Only keys whose nodes are
+even then in different components are looked through whole, in cells of CELL_NODES nodes by what lies outside the key's largest component, and a cell gives a spanning set
 of its links. So no link that would join two components is lost but for pairs that share no key (MOST_MISSED at the
 least similarity), and what is emitted grows with the nodes of a group.
 
@@ -265,27 +266,40 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     members = join_counted(live, classes, "set_id", total).select("doc_id", "n_shingles", "node", F.when(F.col("doc_id") == F.col("node"), F.col("bands")).alias("bands"))
     members = materialise(members, "members")
     banded = members.where("bands is not null").select("node", F.posexplode("bands").alias("band", "key")).distinct()
-    draw = F.xxhash64("node", "key")
-    meeting = materialise(banded.groupBy("key").agg(F.count("*").alias("n"), F.min_by("node", draw).alias("c1"), F.max_by("node", draw).alias("c2")).where("n > 1"), "meeting")
-    met = materialise(join_counted(banded, meeting, "key", meeting.agg(F.sum("n")).first()[0] or 0), "met")
+    meeting = materialise(banded.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1"), "meeting")
+    meetings = meeting.agg(F.sum("n")).first()[0] or 0
+    met = materialise(join_counted(banded, meeting, "key", meetings), "met")
 
     needed = met.select("node").distinct()
     sets = materialise(whole_sets(source.withColumnRenamed("doc_id", "node").join(needed, "node", "left_semi")), "sets")
-    pair = lambda c: met.where(F.col(c) != F.col("node")).select(F.least(c, "node").alias("a"), F.greatest(c, "node").alias("b"))
-    pairs = pair("c1").unionByName(pair("c2")).distinct()
     of = lambda side: sets.select(F.col("node").alias(side), F.col("registers").alias(f"registers_{side}"), F.col("hashes").alias(f"hashes_{side}"))
-    drawn = pairs.join(of("b"), "b").join(of("a"), "a").where(_similar(percent)("registers_a", "hashes_a", "registers_b", "hashes_b")).select("a", "b")
+
+    def verified(rows: DataFrame, other: str) -> DataFrame:
+        """(a, b) of the rows whose node and other are similar enough."""
+        pairs = rows.where(F.col(other) != F.col("node")).select(F.least(other, "node").alias("a"), F.greatest(other, "node").alias("b")).distinct()
+        return pairs.join(of("b"), "b").join(of("a"), "a").where(_similar(percent)("registers_a", "hashes_a", "registers_b", "hashes_b")).select("a", "b")
+
+    def labelled(found: DataFrame) -> DataFrame:
+        return met.select("band", "key", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
     # rows of one id with different sets
     spread = materialise(members.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z"), F.count("*").alias("n")).where("a <> z").drop("z"), "spread-ids")
     repeated = join_counted(members.select("doc_id", "node"), spread, "doc_id", total).where("node <> a").select("a", F.col("node").alias("b")).distinct()
-    links = materialise(drawn.unionByName(repeated), "links")
-
+    links = materialise(verified(met, "least").unionByName(repeated), "links")
     first = components(links)
-    grouped = met.select("band", "key", "node").join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    more = materialise(_links_left(grouped, sets, percent), "links-left")
+
+    draw = F.xxhash64("node", "key")
+    grouped = materialise(labelled(first), "labelled")
+    apart = grouped.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"), F.min_by(F.struct("node", "component"), draw).alias("drawn")).where("low <> high").select("key", "n", "drawn")
+    open_rows = join_counted(grouped, materialise(apart, "apart"), "key", meetings).where("component <> drawn.component")
+    more = materialise(verified(open_rows.select("node", F.col("drawn.node").alias("drawn")), "drawn"), "links-drawn")
     if more.limit(1).count():
-        links = links.unionByName(more)
+        links = materialise(links.unionByName(more), "links")
         first = components(links)
+        grouped = labelled(first)
+    more = materialise(_links_left(grouped, sets, percent), "links-left")
+    if more.limit(1).count():
+        first = components(links.unionByName(more))
     sizes = classes.groupBy("node").agg(F.sum("n").alias("n"))
     named = join_counted(members.select("doc_id", "n_shingles", "node"), materialise(first.join(sizes, "node"), "component-sizes"), "node", total, "left")
     linked_rows = named.select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"))
