@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Accented lower-case letters and what they are without accents.
-ACCENTED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
+
+
+def _without_marks(c: str) -> str:
+    return "".join(x for x in unicodedata.normalize("NFD", c.lower()) if not "\u0300" <= x <= "\u036f")
+
+
+#: Lower-case letters that are one of a to z and accents, what they are without, and the accents by themselves, which go.
+_MARKED = [chr(c) for c in range(0xC0, 0x1F00) if chr(c).lower() == chr(c) and _without_marks(chr(c)) in set("abcdefghijklmnopqrstuvwxyz")]
+ACCENTED = "".join(_MARKED) + "".join(map(chr, range(0x300, 0x370)))
+PLAIN = "".join(map(_without_marks, _MARKED))
 #: Named entities, in the order in which they are decoded.
 ENTITIES = (("&nbsp;", " "), ("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"))
 #: Patterns of sentences and of numbers with their units.
@@ -36,6 +45,20 @@ def normalise(x: Column, keep: str = "") -> Column:
     return F.trim(F.regexp_replace(fold(clean(x)), f"[^a-z0-9{keep}]+", " "))
 
 
+def plain_text(x: str) -> str:
+    """normalise_terms() of a value that is known beforehand."""
+    plain = _without_marks(x.replace("œ", "oe").replace("Œ", "oe").replace("æ", "ae").replace("Æ", "ae"))
+    return " ".join("".join(c if c in "abcdefghijklmnopqrstuvwxyz0123456789" else " " for c in plain).split())
+
+
+def normalise_terms(x: Column) -> Column:
+    """As normalise(), with both ligatures written out."""
+    own = F.coalesce(x, F.lit(""))
+    for ligature, letters in (("œ", "oe"), ("æ", "ae")):
+        own = F.replace(F.replace(own, F.lit(ligature), F.lit(letters)), F.lit(ligature.upper()), F.lit(letters))
+    return normalise(own)
+
+
 def decode_entities(x: Column) -> Column:
     for name, sign in ENTITIES:
         x = F.replace(x, F.lit(name), F.lit(sign))

@@ -27,3 +27,42 @@ def day_key(at: Column) -> Column:
 def rounded(x: Column, places: int = 1) -> Column:
     """Halves up, also below zero."""
     return F.floor(x * 10**places + 0.5) / 10**places
+
+
+def history_start(now: Column) -> Column:
+    """The first day of the month before."""
+    return F.add_months(F.trunc(now, "MM"), -1).cast("timestamp")
+
+
+def history_days(now: Column) -> Column:
+    """Days of history, between 31 and 62: those since history_start, begun ones too, and one."""
+    since = F.ceil((F.unix_millis(now) - F.unix_millis(history_start(now))) / 86_400_000.0)
+    return F.least(F.lit(62), F.greatest(F.lit(31), since + 1)).cast("int")
+
+
+def day_delta(at: Column, now: Column) -> Column:
+    """Days between the days of at and now; 999 without a date."""
+    return F.coalesce(F.datediff(now, at), F.lit(999))
+
+
+def day_label(at: Column, now: Column) -> Column:
+    delta = day_delta(at, now)
+    return F.when(delta == 0, "Aujourd’hui").when(delta == 1, "Hier").when(delta == 2, "Avant-hier").otherwise(day_key(at))
+
+
+def in_period(at: Column, now: Column, period: str) -> Column:
+    """today, yesterday, week (7 days) or month (30 days), by days that begin at midnight."""
+    today = F.date_trunc("day", now)
+    ago = lambda n: today - F.make_dt_interval(days=F.lit(n))
+    if period == "yesterday":
+        return (at >= ago(1)) & (at < today)
+    return at >= {"today": today, "week": ago(6), "month": ago(29)}[period]
+
+
+def freshness(at: Column, now: Column) -> Column:
+    """22, 17, 12, 7 and 3 up to 2, 6, 12, 24 and 40 hours, then -10."""
+    hours = age_hours(at, now)
+    found = F.when(hours <= 2, 22)
+    for most, points in ((6, 17), (12, 12), (24, 7), (40, 3)):
+        found = found.when(hours <= most, points)
+    return found.otherwise(-10)

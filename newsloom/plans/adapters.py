@@ -8,6 +8,34 @@ from pyspark.sql import functions as F
 AS_OF = "2024-01-31 00:00:00"
 CATEGORIES = ("Politique", "International", "Économie", "Santé", "Science", "Tech", "Culture", "Société")
 
+#: Headlines made up to meet the rules on titles, and some that meet none.
+HEADS = (
+    "Deux morts et cinq blessés dans une fusillade",
+    "Le gouvernement présente le budget au Sénat",
+    "Séisme de magnitude 6,1 : 40 morts et 300 blessés",
+    "Bruxelles adopte des sanctions contre la Russie",
+    "Une cyberattaque vise un hôpital et vole des données",
+    "Prix des carburants : nouvelle hausse du gazole",
+    "Le télescope de la Nasa observe une étoile",
+    "Ligue 1 : le match de Lyon en direct",
+    "Retraites : la revalorisation des pensions repoussée",
+    "Vaccin contre le paludisme : un premier essai",
+    "ChatGPT et Gemini : l’intelligence artificielle au bureau",
+    "Canicule et inondation : le climat inquiète",
+    "Le musée rouvre avec un concert de l’artiste",
+    "Xiaomi lance un smartphone Android pliant",
+    "Tesla rappelle une voiture électrique",
+    "Guerre en Ukraine : des frappes sur Kiev",
+    "Une salariée licenciée pour télétravail",
+    "École : la rentrée scolaire des élèves de lycée",
+    "Du saucisson contaminé à la salmonelle rappelé",
+    "La bourse et l’inflation : la banque centrale hésite",
+    "Nvidia présente une puce pour le jeu vidéo",
+    "Réalité virtuelle : le casque VR Quest 4",
+    "Facture de gaz et énergie solaire des ménages",
+    "Rien de particulier ce matin",
+)
+
 
 def now():
     return F.lit(AS_OF).cast("timestamp")
@@ -18,12 +46,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents as articles: the first sentence is the title, the next 650 characters are the summary."""
+    """documents as articles: the first sentence (of 200 characters at most) is the title, all that follows the summary."""
     head = F.regexp_extract("text", r"^[^.!?]{1,200}", 0)
+    rest = F.substring(F.col("text"), F.length(head) + 1, F.length("text"))
     return read(spark, sf_dir, "documents").select(
         "doc_id",
         F.trim(head).alias("title"),
-        F.trim(F.substring(F.col("text"), F.length(head) + 2, F.lit(650))).alias("summary"),
+        F.trim(F.regexp_replace(rest, r"^[.!?]", "")).alias("summary"),
         "source",
         "lang",
         F.concat(F.lit("https://"), "source", F.lit(".example.com/a/"), F.col("doc_id").cast("string")).alias("url"),
@@ -35,19 +64,26 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ARTICLES_SQL = f"""
     articles AS (
-        SELECT doc_id, trim(head) AS title, trim(substring(text, length(head) + 2, 650)) AS summary, source, lang,
+        SELECT doc_id, trim(head) AS title, trim(regexp_replace(substring(text, length(head) + 1), '^[.!?]', '')) AS summary, source, lang,
                'https://' || source || '.example.com/a/' || doc_id AS url,
                TIMESTAMP '{AS_OF}' - to_minutes(CAST(doc_id * 37 % 44640 AS INTEGER)) AS published_at,
                list_extract(['{"','".join(CATEGORIES)}'], CAST(doc_id % 8 + 1 AS INTEGER)) AS category_hint,
                doc_id % 5 = 0 AS custom_source
-        FROM (SELECT *, regexp_extract(text, '^[^.!?]{{1,200}}') AS head FROM documents))"""
+        FROM (SELECT *, regexp_extract(text, '^[^.!?]{{1,200}}') AS head FROM documents)),
+    headlines AS (SELECT * REPLACE (list_extract(['{"','".join(h.replace("'", "''") for h in HEADS)}'], CAST(doc_id % {len(HEADS)} + 1 AS INTEGER)) || ' ' || title AS title) FROM articles)"""
+
+
+def headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """articles whose titles begin with one of HEADS: the tables' invented prose meets no rule on words."""
+    head = F.element_at(F.array(*[F.lit(h) for h in HEADS]), (F.col("doc_id") % len(HEADS) + 1).cast("int"))
+    return articles(spark, sf_dir).withColumn("title", F.concat(head, F.lit(" "), "title"))
 
 
 def interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as what users did with articles."""
-    n = read(spark, sf_dir, "documents").agg(F.count("*").alias("n_docs"))  # one row
+    n_docs = read(spark, sf_dir, "documents").agg(F.count("*")).scalar()
     kind = F.when(F.col("event_type") == "view", "impression").when(F.col("event_type") == "click", "open").when(F.col("event_type") == "signup", "more").when(F.col("event_type") == "purchase", "follow").otherwise("not")
-    return read(spark, sf_dir, "events").join(F.broadcast(n)).select("event_id", "user_id", "ts", kind.alias("action"), (F.col("event_id") % F.col("n_docs")).alias("doc_id"))
+    return read(spark, sf_dir, "events").select("event_id", "user_id", "ts", kind.alias("action"), (F.col("event_id") % n_docs).alias("doc_id"))
 
 
 INTERACTIONS_SQL = """

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from newsloom.functions import text, times, urls
-from newsloom.operators import classify, clustering, events, extract, filters, greedy, novelty, scoring, selection, significance, support
-from newsloom.plans.adapters import ARTICLES_SQL, AS_OF, INTERACTIONS_SQL, articles, interactions, now, read
+from newsloom.operators import categories, classify, clustering, events, extract, filters, greedy, novelty, scoring, selection, significance, support
+from newsloom.plans.adapters import ARTICLES_SQL, AS_OF, INTERACTIONS_SQL, articles, headlines, interactions, now, read
 from newsloom.streaming import state
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -151,11 +151,11 @@ def category_levels(spark, sf):
 def _scored(spark, sf):
     own = articles(spark, sf)
     matches = filters.keyword_matches(filters.haystack(F.col("title"), F.col("summary")), KEYWORDS)
-    return own.withColumn("score", times.rounded(scoring.core_rank(F.col("published_at"), now(), F.col("category_hint"), PREFERRED, matches), 3)).withColumn("day", times.day_key(F.col("published_at")))
+    return own.withColumn("score", times.rounded(scoring.core_rank(F.col("published_at"), now(), F.col("category_hint"), PREFERRED, matches, F.col("custom_source")), 3)).withColumn("day", times.day_key(F.col("published_at")))
 
 
 _SCORED = f"""WITH scored AS (SELECT *, strftime(published_at, '%Y-%m-%d') AS day,
-    floor((100.0 - least((epoch_ms(TIMESTAMP '{AS_OF}') - epoch_ms(published_at)) / 3600000.0, 96.0) + CASE WHEN category_hint IN ('Science', 'Tech') THEN 26.0 ELSE 0.0 END + 28.0 * len({_MATCHES})) * 1000 + 0.5) / 1000 AS score FROM articles)"""
+    floor((100.0 - least((epoch_ms(TIMESTAMP '{AS_OF}') - epoch_ms(published_at)) / 3600000.0, 96.0) + CASE WHEN category_hint IN ('Science', 'Tech') THEN 26.0 ELSE 0.0 END + 28.0 * len({_MATCHES}) + CASE WHEN custom_source THEN 35.0 ELSE 0.0 END + CASE WHEN category_hint IN ('Politique', 'International', 'Économie', 'Santé') THEN 6.0 ELSE 0.0 END) * 1000 + 0.5) / 1000 AS score FROM articles)"""
 
 
 @query(_SCORED + " SELECT doc_id, score FROM scored")
@@ -205,10 +205,13 @@ def flood_cap(spark, sf):
     return selection.flood_cap(articles(spark, sf), _newest()).select("doc_id", "source", "custom_source")
 
 
-@query(f"SELECT doc_id, day, rank FROM (SELECT doc_id, strftime(published_at, '%Y-%m-%d') AS day, row_number() OVER (PARTITION BY strftime(published_at, '%Y-%m-%d') ORDER BY {_ORDER}) AS rank FROM articles) WHERE rank <= 8")
+@query(
+    f"""SELECT doc_id, day, day_rank, rank FROM (SELECT doc_id, day, dense_rank() OVER (ORDER BY day DESC NULLS LAST) AS day_rank, row_number() OVER (PARTITION BY day ORDER BY {_ORDER}) AS rank FROM (SELECT *, strftime(published_at, '%Y-%m-%d') AS day FROM articles))
+    WHERE rank <= CASE day_rank WHEN 1 THEN 24 WHEN 2 THEN 16 ELSE 8 END"""
+)
 def home_day_quota(spark, sf):
-    own = articles(spark, sf).withColumn("day", times.day_key(F.col("published_at")))
-    return own.withColumn("rank", F.row_number().over(Window.partitionBy("day").orderBy(*_newest()))).where("rank <= 8").select("doc_id", "day", "rank")
+    """The rows within the day quotas 24, 16 and 8; home_order has all rows."""
+    return home_order(spark, sf).where("not overflow").select("doc_id", "day", "day_rank", "rank")
 
 
 @query(
@@ -288,12 +291,15 @@ def page_titles(spark, sf):
 
 
 @query(
-    f"WITH {INTERACTIONS_SQL} SELECT doc_id, CAST(i AS BIGINT) AS impressions, CAST(o AS BIGINT) AS opens, CAST(least(46, 7 * least(i, 20) + 15 * least(o, 20)) AS BIGINT) AS penalty FROM (SELECT doc_id, count(*) FILTER (WHERE action = 'impression') AS i, count(*) FILTER (WHERE action = 'open') AS o FROM interactions GROUP BY doc_id)",
+    f"WITH {INTERACTIONS_SQL} SELECT doc_id, CAST(i AS BIGINT) AS impressions, CAST(o AS BIGINT) AS opens, CAST(least(52, least(46, 7 * i + 15 * o) + CASE WHEN epoch_ms(latest) - epoch_ms(last_at) < 7200000 THEN 7 ELSE 0 END) AS BIGINT) AS penalty FROM (SELECT doc_id, count(*) FILTER (WHERE action = 'impression') AS i, count(*) FILTER (WHERE action = 'open') AS o, max(ts) AS last_at FROM interactions WHERE action IN ('impression', 'open') GROUP BY doc_id), (SELECT max(ts) AS latest FROM events)",
     articles_view=False,
 )
 def seen_penalty(spark, sf):
-    seen = interactions(spark, sf).groupBy("doc_id").agg(F.count_if(F.col("action") == "impression").alias("impressions"), F.count_if(F.col("action") == "open").alias("opens"))
-    return seen.withColumn("penalty", scoring.seen_penalty(F.col("impressions"), F.col("opens")).cast("long"))
+    """As of the last event."""
+    told = interactions(spark, sf).where(F.col("action").isin("impression", "open"))
+    seen = told.groupBy("doc_id").agg(F.count_if(F.col("action") == "impression").alias("impressions"), F.count_if(F.col("action") == "open").alias("opens"), F.max(F.col("ts").cast("timestamp")).alias("last_at"))
+    latest = read(spark, sf, "events").agg(F.max(F.col("ts").cast("timestamp"))).scalar()
+    return seen.select("doc_id", "impressions", "opens", scoring.seen_penalty(F.col("impressions"), F.col("opens"), F.col("last_at"), latest).cast("long").alias("penalty"))
 
 
 @query("SELECT a.doc_id, a.source, l.quality, l.toxic FROM articles a LEFT JOIN labels l ON a.doc_id = l.doc_id")
@@ -404,21 +410,38 @@ def _brief_order():
     return [-F.col("score"), -F.unix_millis("published_at"), F.col("doc_id")]
 
 
+def _brief_scored(spark, sf):
+    own = headlines(spark, sf).where(F.col("published_at") >= times.history_start(now()))
+    score = scoring.brief_score(F.concat_ws(" ", "title", "summary"), F.col("published_at"), now(), F.col("category_hint"), F.lit(1))
+    words = text.tokens(F.col("title"), 4, scoring.BRIEF_STOP)
+    return own.select("doc_id", times.day_key(F.col("published_at")).alias("day"), "source", "category_hint", words.alias("words"), times.rounded(score, 6).alias("score"), "published_at")
+
+
 def _same_story(a, b):
-    return text.containment(text.tokens(a["title"]), text.tokens(b["title"])) >= 0.8
+    return scoring.same_brief_event(a["words"], b["words"])
 
 
 @query()
 def brief_day_picks(spark, sf):
-    """Five of each day, two of a source at most, no two of one story, then filled up; tested against the sequential form."""
-    own = _scored(spark, sf).select("doc_id", "day", "source", "title", "score", "published_at")
-    return greedy.pick(own, "day", _brief_order(), 5, caps={"source": 2}, conflict=_same_story, backfill_to=5).select("doc_id", "day", "source", "pick")
+    """Five of each day, two of a source at most, no two of one event, then filled up; tested against the sequential form."""
+    return greedy.pick(_brief_scored(spark, sf), "day", _brief_order(), 5, caps={"source": 2}, conflict=_same_story, backfill_to=5).select("doc_id", "day", "source", "pick")
+
+
+_TOLD = "title || ' ' || summary"
+
+
+@query(
+    f"""SELECT doc_id, floor((100.0 + CASE WHEN category_hint IN ({", ".join(f"'{c}'" for c in scoring.BRIEF_CATEGORIES)}) THEN 55 ELSE -35 END + CASE WHEN regexp_matches({_TOLD}, '(?i){scoring.MAJOR}') THEN 70 ELSE 0 END
+      - CASE WHEN regexp_matches({_TOLD}, '(?i){scoring.MINOR}') THEN 240 ELSE 0 END - least(1.6 * (epoch_ms(TIMESTAMP '{AS_OF}') - epoch_ms(published_at)) / 3600000.0, 100.0)) * 1000000 + 0.5) / 1000000 AS score FROM headlines"""
+)
+def brief_scores(spark, sf):
+    return _brief_scored(spark, sf).select("doc_id", "score")
 
 
 @query()
 def essential_picks(spark, sf):
     """Six of the last 40 hours, two of a category and of a source at most."""
-    recent = _scored(spark, sf).where(F.col("published_at") >= now() - F.make_dt_interval(hours=F.lit(40))).select("doc_id", F.lit("all").alias("brief"), "category_hint", "source", "title", "score", "published_at")
+    recent = _brief_scored(spark, sf).where(F.col("published_at") >= now() - F.make_dt_interval(hours=F.lit(40))).withColumn("brief", F.lit("all"))
     return greedy.pick(recent, "brief", _brief_order(), 6, caps={"category_hint": 2, "source": 2}, conflict=_same_story, backfill_to=4).select("doc_id", "category_hint", "source", "pick")
 
 
@@ -436,10 +459,10 @@ _MEANING = "list_filter(regexp_extract_all(strip_accents(lower({0})), '[a-z0-9]{
 
 
 @query(f"""WITH m AS (SELECT doc_id, {_MEANING.format("title")} AS a, {_MEANING.format("summary")} AS b FROM articles)
-    SELECT doc_id, CAST(len(a) AS BIGINT) AS n, len(a) >= 3 AND len(b) > 0 AND len(list_filter(a, lambda t: list_contains(b, t))) >= 0.28 * len(a) AS supported FROM m""")
+    SELECT doc_id, CAST(len(a) AS BIGINT) AS n, len(a) >= 8 AND len(b) > 0 AND len(list_filter(a, lambda t: list_contains(b, t))) >= 0.28 * len(a) AS supported FROM m""")
 def title_support(spark, sf):
     own = articles(spark, sf)
-    return own.select("doc_id", F.size(support.meaningful(F.col("title"))).cast("long").alias("n"), support.token_share_supported(F.col("title"), F.col("summary"), least=3).alias("supported"))
+    return own.select("doc_id", F.size(support.meaningful(F.col("title"))).cast("long").alias("n"), support.token_share_supported(F.col("title"), F.col("summary")).alias("supported"))
 
 
 @query()
@@ -492,10 +515,12 @@ def story_retention(spark, sf):
     return novelty.retain(_stories(spark, sf), "story", "published_at", now(), id_col="doc_id").select("doc_id")
 
 
-@query("SELECT page_id, '' AS body, '' AS description FROM pages WHERE NOT contains(lower(html), 'ld+json')", articles_view=False)
+@query("SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'Corps de la page ' || page_id ELSE '' END AS body, CASE WHEN page_id % 2 = 0 THEN 'Chapeau ' || page_id ELSE '' END AS description FROM pages", articles_view=False)
 def json_ld(spark, sf):
-    """No page of the tables has JSON-LD; tested on stated pages."""
-    return extract.json_ld(read(spark, sf, "pages"))
+    """The tables' pages have no JSON-LD, so every other one gets some; also tested on stated pages."""
+    told = F.format_string('<script type="application/ld+json">{"@graph": [{"articleBody": "<b>Corps</b> de la  page %1$d"}, {"text": "court", "description": "Chapeau %1$d"}]}</script>', F.col("page_id"))
+    own = read(spark, sf, "pages").withColumn("html", F.when(F.col("page_id") % 2 == 0, F.concat(F.coalesce("html", F.lit("")), told)).otherwise(F.col("html")))
+    return extract.json_ld(own)
 
 
 def _terms(spark):
@@ -550,11 +575,161 @@ def lexical_dedup(spark, sf):
     return clustering.lexical_dedup(articles(spark, sf), stop=STOP)
 
 
+def _feedback_events(spark, sf):
+    topics = articles(spark, sf).select("doc_id", F.array("category_hint", "source", "lang").alias("topics"))
+    return interactions(spark, sf).join(topics, "doc_id")
+
+
 @query()
 def feedback_weights(spark, sf):
     """Tested against the sequential form."""
-    events = interactions(spark, sf).join(articles(spark, sf).select("doc_id", F.col("category_hint").alias("topic")), "doc_id")
-    return state.feedback(events)
+    return state.feedback(_feedback_events(spark, sf))
+
+
+_WEIGHT = "CASE action " + " ".join(f"WHEN '{a}' THEN {w}" for a, w in state.WEIGHTS.items()) + " END"
+
+
+@query(
+    f"WITH {INTERACTIONS_SQL}, w AS (SELECT *, {_WEIGHT} AS w FROM interactions WHERE action IN ('more', 'less', 'follow', 'not')) SELECT event_id, round(CAST(w AS DOUBLE) - coalesce(CAST(lag(w) OVER (PARTITION BY user_id, doc_id ORDER BY ts, event_id) AS DOUBLE), 0), 6) AS delta FROM w QUALIFY abs(delta) >= 0.001",
+    articles_view=False,
+)
+def feedback_deltas(spark, sf):
+    """What each action changes once it takes the place of the user's one before on the article."""
+    return state.feedback_deltas(_feedback_events(spark, sf)).select("event_id", F.round("delta", 6).alias("delta"))
+
+
+def _sql_list(values) -> str:
+    return ", ".join("'" + str(v).replace("'", "''") + "'" for v in values)
+
+
+_TERMS_NORM = "trim(regexp_replace(strip_accents(lower(replace(replace(replace(replace({0}, 'œ', 'oe'), 'Œ', 'oe'), 'æ', 'ae'), 'Æ', 'ae'))), '[^a-z0-9]+', ' ', 'g'))"
+_RULE_CASE = " ".join(f"WHEN regexp_matches(t, '(?i){p}'){' AND hint <> ' + repr(categories.INCIDENT_HINT) if r == categories.INCIDENT else ''} THEN {i}" for i, (r, _, _, p) in enumerate(categories.TITLE_RULES))
+_HEAD = r"regexp_replace(title, '\s+-\s+[^-]{2,45}$', '')"
+_DETAILED = f"""WITH terms(rule, category, term, a, b) AS (VALUES {", ".join(f"({i}, '{c}', '{t}', {a}, {b})" for i, c, t, a, b in categories.normalised_terms())}),
+    rules(met, reason, category, confidence) AS (VALUES {", ".join(f"({i}, '{r}', '{c}', {n})" for i, (r, c, n, _) in enumerate(categories.TITLE_RULES))}),
+    own AS (SELECT *, CASE {_RULE_CASE} END AS met FROM (SELECT doc_id, trim(coalesce(category_hint, '')) AS hint, custom_source AS strict, ' ' || {_TERMS_NORM.format(_HEAD)} || ' ' AS t, ' ' || {_TERMS_NORM.format("summary")} || ' ' AS s FROM headlines)),
+    tokens AS (SELECT doc_id, 0 AS scope, unnest(list_distinct(string_split(trim(t), ' '))) AS token FROM own UNION ALL SELECT doc_id, 1, unnest(list_distinct(string_split(trim(s), ' '))) FROM own),
+    words AS (SELECT rule, term, a, b, term || e AS token FROM terms, (VALUES (''), {", ".join(f"('{e}')" for e in categories.ENDINGS)}) AS x(e) WHERE NOT contains(term, ' ') AND term NOT IN ({_sql_list(categories.STEMS)}) AND (e = '' OR length(term) >= 5)),
+    phrases AS (SELECT rule, term, a, b, CASE WHEN term IN ({_sql_list(categories.STEMS)}) THEN ' ' || term ELSE ' ' || term || ' ' END AS p FROM terms WHERE contains(term, ' ') OR term IN ({_sql_list(categories.STEMS)})),
+    hits AS (SELECT doc_id, scope, rule, term, CASE scope WHEN 0 THEN a ELSE b END AS points FROM tokens JOIN words USING (token)
+             UNION ALL SELECT doc_id, 0, rule, term, a FROM own, phrases WHERE contains(t, p) UNION ALL SELECT doc_id, 1, rule, term, b FROM own, phrases WHERE contains(s, p)),
+    best AS (SELECT doc_id, rule, term, min(scope) AS scope, max(points) AS points FROM hits GROUP BY ALL),
+    evidence AS (SELECT doc_id, rule, sum(points) AS score, count(*) FILTER (WHERE scope = 0) AS title_hits FROM best GROUP BY ALL),
+    cats AS (SELECT DISTINCT rule, category FROM terms),
+    scored AS (SELECT o.doc_id, c.rule, c.category, coalesce(e.score, 0) AS found, coalesce(e.title_hits, 0) AS title_hits, coalesce(e.score, 0) + CASE WHEN c.category = o.hint THEN CASE WHEN o.strict THEN 4 ELSE 2 END ELSE 0 END AS score
+               FROM own o CROSS JOIN cats c LEFT JOIN evidence e ON e.doc_id = o.doc_id AND e.rule = c.rule),
+    placed AS (SELECT *, row_number() OVER w AS place, score - lead(score) OVER w AS gap FROM scored WINDOW w AS (PARTITION BY doc_id ORDER BY score DESC, title_hits DESC, rule)),
+    top AS (SELECT * FROM placed WHERE place = 1 AND score >= 6 AND found > 0)
+    SELECT o.doc_id, coalesce(r.category, p.category, nullif(o.hint, ''), 'Société') AS category,
+           CAST(coalesce(r.confidence, p.score, CASE WHEN o.hint = '' THEN 0 WHEN o.strict THEN 4 ELSE 2 END) AS BIGINT) AS confidence,
+           CASE WHEN r.met IS NOT NULL THEN 'high' WHEN p.doc_id IS NULL THEN CASE WHEN o.hint = '' THEN 'none' ELSE 'low' END
+                WHEN p.title_hits >= 2 AND p.gap >= 4 OR p.score >= 20 AND p.gap >= 6 THEN 'high' WHEN p.score >= 10 AND p.gap >= 4 THEN 'medium' ELSE 'low' END AS level,
+           coalesce(r.reason, CASE WHEN p.doc_id IS NOT NULL THEN 'content' WHEN o.hint <> '' THEN 'feed-hint' ELSE 'fallback' END) AS reason,
+           CAST(coalesce(r.confidence, p.gap, CASE WHEN o.hint = '' THEN 0 WHEN o.strict THEN 4 ELSE 2 END) AS BIGINT) AS margin
+    FROM own o LEFT JOIN rules r ON o.met = r.met LEFT JOIN top p ON o.doc_id = p.doc_id AND r.met IS NULL"""
+
+
+@query(_DETAILED)
+def detailed_category(spark, sf):
+    """The news classifier with all its terms and title rules; followed sources have strict hints."""
+    own = headlines(spark, sf).withColumn("strict_category", F.col("custom_source"))
+    return categories.classify_detailed(own).select("doc_id", "category", "confidence", "level", "reason", "margin")
+
+
+@query(_SIGNAL.replace("FROM articles", "FROM headlines") + " SELECT doc_id, signal FROM signals")
+def headline_signal(spark, sf):
+    return significance.with_signal(headlines(spark, sf)).select("doc_id", "signal")
+
+
+_AGE = f"greatest(0.0, (epoch_ms(TIMESTAMP '{AS_OF}') - epoch_ms(published_at)) / 3600000.0)"
+
+
+@query(f"SELECT doc_id, CAST(floor(120 - least({_AGE}, 96) + CASE WHEN category_hint IN ('Science', 'Tech') THEN 16 ELSE 0 END + 0.5) AS BIGINT) AS score FROM articles")
+def fast_rank(spark, sf):
+    return articles(spark, sf).select("doc_id", scoring.fast_rank(F.col("published_at"), now(), F.col("category_hint"), PREFERRED).alias("score"))
+
+
+@query(f"SELECT doc_id, CASE WHEN {_AGE} <= 2 THEN 22 WHEN {_AGE} <= 6 THEN 17 WHEN {_AGE} <= 12 THEN 12 WHEN {_AGE} <= 24 THEN 7 WHEN {_AGE} <= 40 THEN 3 ELSE -10 END AS points FROM articles")
+def freshness_scores(spark, sf):
+    return articles(spark, sf).select("doc_id", times.freshness(F.col("published_at"), now()).alias("points"))
+
+
+@query(
+    f"""SELECT label, count(*) AS n FROM (SELECT CASE date_diff('day', CAST(published_at AS DATE), DATE '{AS_OF[:10]}') WHEN 0 THEN 'Aujourd’hui' WHEN 1 THEN 'Hier' WHEN 2 THEN 'Avant-hier' ELSE strftime(published_at, '%Y-%m-%d') END AS label FROM articles
+        WHERE published_at >= date_trunc('month', TIMESTAMP '{AS_OF}') - INTERVAL 1 MONTH) GROUP BY label"""
+)
+def day_labels(spark, sf):
+    """Articles of the history by the label of their day."""
+    own = articles(spark, sf).where(F.col("published_at") >= times.history_start(now()))
+    return own.groupBy(times.day_label(F.col("published_at"), now()).alias("label")).agg(F.count("*").alias("n"))
+
+
+@query(
+    " UNION ALL ".join(
+        f"SELECT '{p}' AS period, doc_id FROM articles WHERE {c}"
+        for p, c in {
+            "today": f"published_at >= date_trunc('day', TIMESTAMP '{AS_OF}')",
+            "yesterday": f"published_at >= date_trunc('day', TIMESTAMP '{AS_OF}') - INTERVAL 1 DAY AND published_at < date_trunc('day', TIMESTAMP '{AS_OF}')",
+            "week": f"published_at >= date_trunc('day', TIMESTAMP '{AS_OF}') - INTERVAL 6 DAY",
+            "month": f"published_at >= date_trunc('day', TIMESTAMP '{AS_OF}') - INTERVAL 29 DAY",
+        }.items()
+    )
+)
+def period_articles(spark, sf):
+    """The articles of each period in one pass; one that is of several periods has a row for each."""
+    periods = ("today", "yesterday", "week", "month")
+    within = F.filter(F.array(*[F.when(times.in_period(F.col("published_at"), now(), p), F.lit(p)) for p in periods]), lambda p: p.isNotNull())
+    return articles(spark, sf).select(F.explode(within).alias("period"), "doc_id")
+
+
+@query(f"SELECT source, count(DISTINCT strftime(published_at, '%Y-%m-%d')) >= 3 AS ready FROM articles GROUP BY source")
+def brief_readiness(spark, sf):
+    return articles(spark, sf).groupBy("source").agg((F.countDistinct(times.day_key(F.col("published_at"))) >= 3).alias("ready"))
+
+
+@query(_SCORED + f", b AS (SELECT *, len({_MATCHES}) > 0 AS tagged FROM scored) SELECT CASE WHEN custom_source THEN 'Source suivie' WHEN tagged THEN 'À suivre' WHEN score >= 130 THEN 'Important' ELSE 'Nouveau' END AS badge, count(*) AS n FROM b GROUP BY 1")
+def card_badges(spark, sf):
+    tagged = F.size(filters.keyword_matches(filters.haystack(F.col("title"), F.col("summary")), KEYWORDS)) > 0
+    return _scored(spark, sf).groupBy(scoring.badge(F.col("custom_source"), tagged, F.col("score")).alias("badge")).agg(F.count("*").alias("n"))
+
+
+@query(_SIGNAL.replace("FROM articles", "FROM headlines") + " SELECT count(*) AS candidates, count(*) FILTER (WHERE signal > 0) AS positive, count(*) FILTER (WHERE signal < 0) AS negative, count(DISTINCT source) AS sources FROM signals")
+def catalogue_stats(spark, sf):
+    told = significance.with_signal(headlines(spark, sf))
+    return told.agg(F.count("*").alias("candidates"), F.count_if(F.col("signal") > 0).alias("positive"), F.count_if(F.col("signal") < 0).alias("negative"), F.countDistinct("source").alias("sources"))
+
+
+_DOMAIN = (*categories.TERMS, "À suivre")
+
+
+@query(f"SELECT d.category, count(a.doc_id) AS n FROM (VALUES {', '.join(f'({c!r})' for c in _DOMAIN)}) AS d(category) LEFT JOIN articles a ON a.category_hint = d.category GROUP BY d.category")
+def category_histogram(spark, sf):
+    """Counts over a stated domain: categories without articles have 0, others than these don't count."""
+    domain = spark.createDataFrame([(c,) for c in _DOMAIN], "category string")
+    counted = articles(spark, sf).groupBy("category_hint").agg(F.count("*").alias("n"))
+    return domain.join(counted, F.col("category") == F.col("category_hint"), "left").select("category", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query(
+    f"""SELECT category_hint AS category, sha256(array_to_string(list_filter(list(summary ORDER BY {_ORDER}), lambda s: s <> '')[1:3], ' ')) AS brief_sha256
+    FROM (SELECT *, row_number() OVER (PARTITION BY category_hint ORDER BY {_ORDER}) AS r FROM articles) WHERE r <= 5 GROUP BY category_hint"""
+)
+def category_briefs(spark, sf):
+    """The first three summaries that say something, of each category's first five articles."""
+    first = articles(spark, sf).withColumn("r", F.row_number().over(Window.partitionBy("category_hint").orderBy(*_newest()))).where("r <= 5")
+    told = first.groupBy("category_hint").agg(F.sort_array(F.collect_list(F.struct("r", "summary"))).alias("rows"))  # five rows at most
+    joined = F.array_join(F.slice(F.filter(F.transform("rows", lambda x: x["summary"]), lambda s: s != ""), 1, 3), " ")
+    return told.select(F.col("category_hint").alias("category"), F.sha2(joined, 256).alias("brief_sha256"))
+
+
+@query(
+    f"""SELECT doc_id, day, rank FROM (SELECT doc_id, strftime(published_at, '%Y-%m-%d') AS day, row_number() OVER (PARTITION BY strftime(published_at, '%Y-%m-%d') ORDER BY {_ORDER}) AS rank
+        FROM (SELECT *, {_norm("concat_ws(' ', title, summary)")} AS h FROM headlines) WHERE contains(h, 'sanctions') OR contains(h, 'vaccin') AND contains(h, 'essai')) WHERE rank <= 30"""
+)
+def watch_groups(spark, sf):
+    """What a watch rule matches, by day, thirty of a day at most (the view's own limit)."""
+    own = headlines(spark, sf).where(filters.watch_rule(filters.haystack(F.col("title"), F.col("summary")), "sanctions | vaccin + essai")).select("doc_id", "published_at", times.day_key(F.col("published_at")).alias("day"))
+    return own.withColumn("rank", F.row_number().over(Window.partitionBy("day").orderBy(*_newest()))).where("rank <= 30").select("doc_id", "day", "rank")
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,31 +3,53 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import ROUND_HALF_UP, Decimal
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Weights of actions.
-WEIGHTS = {"more": 0.6, "follow": 1.0, "open": 0.1, "impression": 0.0, "less": -0.6, "not": -1.0}
+#: Weights of actions (others have none), shares of an article's first topics, and bounds of the store.
+WEIGHTS = {"more": 0.35, "less": -0.3, "follow": 0.55, "not": -0.45}
+TOPIC_SHARES = (1.0, 0.6, 0.35)
 LIMIT, LEAST, MOST_TOPICS = 2.0, 0.01, 80
+_THREE = Decimal("0.001")
+
+
+def _move(weights: dict[str, float], topics: list[str], delta: float) -> None:
+    """One event: each topic's weight moves by its share of delta, is clamped and rounded; tiny weights go, and of the
+    others the MOST_TOPICS largest stay, older ones first where they are equal."""
+    for topic, share in zip(topics, TOPIC_SHARES, strict=False):
+        exact = Decimal(max(-LIMIT, min(LIMIT, weights.get(topic, 0.0) + delta * share)))
+        new = float(exact.quantize(_THREE, ROUND_HALF_UP))
+        if abs(new) < LEAST:
+            weights.pop(topic, None)
+        else:
+            weights[topic] = new
+    if len(weights) > MOST_TOPICS:
+        kept = sorted(weights.items(), key=lambda x: -abs(x[1]))[:MOST_TOPICS]
+        weights.clear()
+        weights.update(kept)
 
 
-def apply_feedback(weights: dict[str, float], topic: str, action: str) -> None:
-    """One event: the topic's weight moves, is clamped and rounded; tiny weights go, and the largest MOST_TOPICS stay."""
-    new = round(max(-LIMIT, min(LIMIT, weights.get(topic, 0.0) + WEIGHTS.get(action, 0.0))), 3)
-    weights[topic] = new
-    if abs(new) < LEAST:
-        del weights[topic]
-    if len(weights) > MOST_TOPICS:
-        del weights[min(weights, key=lambda t: (abs(weights[t]), t))]
+def feedback_deltas(events: DataFrame) -> DataFrame:
+    """events (user_id, doc_id, ts, event_id, action, topics) -> those that change something, with delta.
+
+    An action takes the place of the user's previous one on that article: its weight counts less the other's.
+    """
+    weight = F.coalesce(F.create_map(*[F.lit(x) for item in WEIGHTS.items() for x in item])[F.col("action")], F.lit(0.0))
+    own = events.where(F.col("action").isin(*WEIGHTS, "none")).withColumn("weight", weight)
+    before = F.lag("weight").over(Window.partitionBy("user_id", "doc_id").orderBy("ts", "event_id"))
+    told = own.withColumn("delta", F.col("weight") - F.coalesce(before, F.lit(0.0)))
+    topics = F.slice(F.filter(F.array_distinct(F.transform("topics", lambda t: F.trim(t))), lambda t: t.isNotNull() & ~t.isin("", "À suivre")), 1, len(TOPIC_SHARES))
+    return told.withColumn("topics", topics).where((F.abs("delta") >= 0.001) & (F.size("topics") > 0))
 
 
 def feedback(events: DataFrame) -> DataFrame:
-    """events (user_id, ts, event_id, topic, action) -> user_id, topic, weight.
+    """events (user_id, doc_id, ts, event_id, action, topics; action none takes one back) -> user_id, topic, weight.
 
-    The fold isn't commutative, so a user's events are read in order by one task; they stream through it, and what is
-    held is one user's MOST_TOPICS weights.
+    Every step clamps, rounds and drops, so the fold isn't a sum: a user's events are read in order by one task. They
+    stream through it, and what is held is one user's MOST_TOPICS weights.
     """
 
     def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -38,17 +60,17 @@ def feedback(events: DataFrame) -> DataFrame:
             weights.clear()
 
         for frame in frames:
-            for own, topic, action in zip(frame["user_id"], frame["topic"], frame["action"], strict=True):
+            for own, topics, delta in zip(frame["user_id"], frame["topics"], frame["delta"], strict=True):
                 if own != user:
                     end()
                     user = own
-                apply_feedback(weights, topic, action)
+                _move(weights, list(topics), delta)
             yield pd.DataFrame(done, columns=["user_id", "topic", "weight"])
             done.clear()
         end()
         yield pd.DataFrame(done, columns=["user_id", "topic", "weight"])
 
-    ordered = events.select("user_id", "ts", "event_id", "topic", "action").where("user_id is not null and topic is not null").repartition("user_id").sortWithinPartitions("user_id", "ts", "event_id")
+    ordered = feedback_deltas(events.where("user_id is not null")).select("user_id", "ts", "event_id", "topics", "delta").repartition("user_id").sortWithinPartitions("user_id", "ts", "event_id")
     return ordered.mapInPandas(fold, "user_id bigint, topic string, weight double")
 
 
