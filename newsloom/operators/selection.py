@@ -10,8 +10,9 @@ from newsloom.storage import cut
 
 def top_and_daily(df: DataFrame, day: str, order: list[Column], *, id_col: str = "doc_id", top: int = 160, daily: int = 12, cap: int = 700) -> DataFrame:
     """The first `top` rows, then the first `daily` of each day, newest day first, up to cap rows; adds phase and day_rank."""
-    first = df.orderBy(*order).limit(top)
-    ranked = df.withColumn("day_rank", F.row_number().over(Window.partitionBy(day).orderBy(*order))).where(F.col("day_rank") <= daily)
+    own = cut(df)  # both choices read it, and what its rows cost is paid once
+    first = own.orderBy(*order).limit(top)
+    ranked = own.withColumn("day_rank", F.row_number().over(Window.partitionBy(day).orderBy(*order))).where(F.col("day_rank") <= daily)
     rest = ranked.join(first.select(id_col), id_col, "left_anti").withColumn("phase", F.lit(1))
     both = first.withColumn("day_rank", F.lit(0)).withColumn("phase", F.lit(0)).unionByName(rest)
     return both.orderBy("phase", F.when(F.col("phase") == 1, F.col(day)).desc(), F.col("day_rank"), *order).limit(cap)

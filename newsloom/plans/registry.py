@@ -170,7 +170,7 @@ def core_rank(spark, sf):
     SELECT doc_id, day, score, phase FROM phased ORDER BY phase, CASE WHEN phase = 1 THEN day END DESC, CASE WHEN phase = 1 THEN d ELSE 0 END, score DESC, published_at DESC, doc_id LIMIT 700"""
 )
 def catalogue_quota(spark, sf):
-    return selection.top_and_daily(_scored(spark, sf), "day", [F.desc("score"), F.desc("published_at"), F.col("doc_id")]).select("doc_id", "day", "score", "phase")
+    return selection.top_and_daily(_scored(spark, sf).select("doc_id", "day", "score", "published_at"), "day", [F.desc("score"), F.desc("published_at"), F.col("doc_id")]).select("doc_id", "day", "score", "phase")
 
 
 @query(f"SELECT doc_id, source, turn FROM (SELECT *, row_number() OVER w AS turn, first_value(published_at) OVER w AS best_at, first_value(doc_id) OVER w AS best_id FROM articles WINDOW w AS (PARTITION BY source ORDER BY {_ORDER})) ORDER BY turn, best_at DESC, best_id LIMIT 120")
@@ -250,13 +250,12 @@ def summary_state_counts(spark, sf):
     articles_view=False,
 )
 def latency_quantiles(spark, sf):
-    """Nearest rank by counts of equal values, so a frequent event type is never gathered in one task."""
-    per = read(spark, sf, "events").groupBy("event_type", "value").agg(F.count("*").alias("c"))
-    upto = Window.partitionBy("event_type").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    total = per.groupBy("event_type").agg(F.sum("c").alias("n"))
-    ranked = per.withColumn("upto", F.sum("c").over(upto)).join(total, "event_type")
-    at = lambda q: F.round(F.min(F.when(F.col("upto") >= F.floor((F.col("n") - 1) * q) + 1, F.col("value"))), 6)
-    return ranked.groupBy("event_type").agg(F.first("n").alias("n"), at(0.5).alias("median"), at(0.95).alias("p95"))
+    """Nearest rank: rows are ranked in range-cut blocks, so a frequent event type is never gathered in one task."""
+    own = read(spark, sf, "events").select("event_type", "value").where("event_type is not null")
+    total = own.groupBy("event_type").agg(F.count("*").alias("n"))  # a row per type
+    placed = selection.ranked(own, [F.col("value")], "place", "event_type").join(total, "event_type")
+    at = lambda q: F.round(F.max(F.when(F.col("place") == F.floor((F.col("n") - 1) * q) + 1, F.col("value"))), 6)
+    return placed.groupBy("event_type").agg(F.max("n").alias("n"), at(0.5).alias("median"), at(0.95).alias("p95"))
 
 
 @query(f"SELECT doc_id, len(c) AS n_claims, array_to_string(c, '|') AS claims FROM (SELECT doc_id, regexp_extract_all(summary, '{text.NUMBER}') AS c FROM articles) WHERE len(c) > 0")
@@ -386,7 +385,7 @@ _RANKED = _SIGNAL + _SCORED.replace("WITH scored", ", scored", 1) + ", ranked AS
     SELECT doc_id, day, catalogue_score, phase FROM phased ORDER BY phase, CASE WHEN phase = 1 THEN day END DESC, CASE WHEN phase = 1 THEN d ELSE 0 END, catalogue_score DESC, published_at DESC, doc_id LIMIT 620"""
 )
 def signal_quota(spark, sf):
-    return selection.top_and_daily(_ranked(spark, sf), "day", [F.desc("catalogue_score"), F.desc("published_at"), F.col("doc_id")], top=120, daily=10, cap=620).select("doc_id", "day", "catalogue_score", "phase")
+    return selection.top_and_daily(_ranked(spark, sf).select("doc_id", "day", "catalogue_score", "published_at"), "day", [F.desc("catalogue_score"), F.desc("published_at"), F.col("doc_id")], top=120, daily=10, cap=620).select("doc_id", "day", "catalogue_score", "phase")
 
 
 _TITLE_KEY = f"substring({_norm('title')}, 1, 180)"

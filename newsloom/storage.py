@@ -8,8 +8,12 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, checkpointed in spark.checkpoint.dir (a new local folder where that is unset, as in tests)."""
+    """df, checkpointed in spark.checkpoint.dir. A local session without one (tests) gets a new temporary folder; on a
+    cluster that would be a folder of one machine, so it raises there."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-newsloom-"))
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-newsloom-"))
     return df.checkpoint()
