@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from newsloom.llm.common import bounded_batches, bounded_sample, materialise
 
 #: Bounds of the fit: components of all vectors of the sample, lists, and queries of the calibration.
-SAMPLE_VALUES = 1 << 22
+SAMPLE_VALUES = 1 << 21
 MOST_LISTS = 4096
 CALIBRATION_QUERIES = 400
 #: Of the sample's true neighbours: how many the test has to let pass, and how many have to be found in all.
@@ -123,13 +123,19 @@ def _own_lists(index: Index, rotated: np.ndarray) -> np.ndarray:
     return np.concatenate([index.nearest_lists(rotated[low : low + 4096], 1)[:, 0] for low in range(0, len(rotated), 4096)])
 
 
+def _nearest(vectors: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """The k rows of the largest inner products with each of the rows `at`, but itself."""
+    score = vectors[at] @ vectors.T
+    score[np.arange(len(at)), at] = -np.inf
+    return np.argpartition(score, score.shape[1] - k, axis=1)[:, -k:]
+
+
 def _calibrate(index: Index, vectors: np.ndarray, rng: np.random.Generator, k: int = 20) -> Index:
     """The strictest test that lets TEST_GOAL of the sample's own k nearest pass at their k-th distance, and with it the
     fewest probes that find RECALL_GOAL of them."""
     at = rng.choice(len(vectors), min(CALIBRATION_QUERIES, len(vectors)), replace=False)
-    score = vectors[at] @ vectors.T
-    score[np.arange(len(at)), at] = -np.inf
-    best = np.argsort(-score, axis=1)[:, : min(k, max(1, len(vectors) - 1))]
+    k = min(k, max(1, len(vectors) - 1))
+    best = np.concatenate([_nearest(vectors, at[low : low + 25], k) for low in range(0, len(at), 25)])
     data, asked = index.rotate(vectors), index.rotate(vectors[at], queries=True)
     partial = np.cumsum((data[best] - asked[:, None, :]) ** 2, axis=2)
     radius2 = partial[:, :, -1].max(axis=1, keepdims=True) * (1 + 1e-9)
