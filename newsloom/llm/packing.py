@@ -6,8 +6,8 @@ largest piece that fits first; then its smallest piece is replaced by the two un
 gap best, if they fill it more tightly, until no such pair is left. The bin's pattern is used as often as the counts
 allow, so the plan has about as many patterns as there are lengths, not as there are bins.
 
-Spark then ranks the pieces of each length (in as many salted groups as the length has RANKED_ROWS, so a length that a
-third of all pieces has is ranked by many tasks) and each rank looks up its bin and offset in the broadcast plan, which
+Spark then ranks the pieces of each length (in salted groups of RANKED_SHARE of all pieces, so a length that a third of
+all pieces has is ranked by many tasks) and each rank looks up its bin and offset in the broadcast plan, which
 has as many rows as there are lengths in patterns. The groups' first ranks are joined by a shuffle of their own, to rows
 that lie as they are ranked.
 
@@ -34,8 +34,8 @@ from newsloom.llm.common import Memo, arrow_map, byte_slices, materialise, of_wo
 
 CAPACITY = 4096
 END_ID = 1
-#: Pieces of one length that one task ranks, about: more are dealt over several.
-RANKED_ROWS = 1 << 16
+#: Pieces of one length that one task ranks, about: this share of all, RANKED_ROWS at most and LEAST_RANKED at least.
+RANKED_SHARE, RANKED_ROWS, LEAST_RANKED = 1 / 1024, 1 << 16, 64
 BATCH_BYTES = 1 << 20
 #: Bytes of each memo's generation.
 MEMO_BYTES = 24 << 20
@@ -219,7 +219,7 @@ def make_plan(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
     return Plan(*columns, sequences)
 
 
-def pack(cut: DataFrame, *, capacity: int = CAPACITY, length_col: str = "length", order_by: tuple[str, ...] = ("doc_id", "piece"), ranked_rows: int = RANKED_ROWS) -> DataFrame:
+def pack(cut: DataFrame, *, capacity: int = CAPACITY, length_col: str = "length", order_by: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
     """cut (rows with a length from 1 to capacity) with sequence_id and offset added."""
     spark = cut.sparkSession
     counts = {r[0]: r[1] for r in cut.groupBy(length_col).count().collect()}  # capacity rows at most
@@ -228,6 +228,7 @@ def pack(cut: DataFrame, *, capacity: int = CAPACITY, length_col: str = "length"
     order = F.struct(*order_by)
     own = cut.select(F.struct(*kept).alias("row"), F.col(length_col).cast("long").alias("length"), order.alias("key"), F.monotonically_increasing_id().alias("number"))
     # ids may all be equal, so a row's number decides too
+    ranked_rows = int(min(RANKED_ROWS, max(LEAST_RANKED, RANKED_SHARE * sum(counts.values()))))
     groups = {k: n for k, n in counts.items() if n > ranked_rows}  # capacity entries at most
     many = F.create_map(*[F.lit(x) for k, n in groups.items() for x in (int(k), -(-n // ranked_rows))])[F.col("length")] if groups else F.lit(None)
     salted = own.withColumn("salt", F.pmod(F.xxhash64("key", "number"), F.coalesce(many.cast("long"), F.lit(1).cast("long")))).drop("number")
