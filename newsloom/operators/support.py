@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.functions import text
+from newsloom.storage import cut
 from newsloom.operators.events import says
 
 #: Words that don't count as meaning, and as news.
@@ -129,8 +130,8 @@ def is_boilerplate(x: Column) -> Column:
 
 def distinct_sentences(summary: Column) -> Column:
     """An array of the sentences that are long enough, say something, and don't repeat a kept one's words."""
-    cut = F.filter(text.sentences(text.clean(summary)), lambda s: (F.length(s) >= SENTENCE_CHARS) & ~is_boilerplate(s))
-    tagged = F.filter(F.transform(cut, lambda s: F.struct(s.alias("s"), F.trim(F.regexp_replace(plain(s), "[^a-z0-9]+", " ")).alias("key"), news_tokens(s).alias("t"))), lambda x: x["key"] != "")
+    long = F.filter(text.sentences(text.clean(summary)), lambda s: (F.length(s) >= SENTENCE_CHARS) & ~is_boilerplate(s))
+    tagged = F.filter(F.transform(long, lambda s: F.struct(s.alias("s"), F.trim(F.regexp_replace(plain(s), "[^a-z0-9]+", " ")).alias("key"), news_tokens(s).alias("t"))), lambda x: x["key"] != "")
     repeats = lambda x, kept: F.exists(kept, lambda k: (k["key"] == x["key"]) | (text.containment(k["t"], x["t"]) >= SAME_SENTENCE))
     none = F.array().cast("array<struct<s:string,key:string,t:array<string>>>")
     return F.transform(F.aggregate(tagged, none, lambda kept, x: F.when(repeats(x, kept), kept).otherwise(F.array_append(kept, x))), lambda x: x["s"])
@@ -138,7 +139,7 @@ def distinct_sentences(summary: Column) -> Column:
 
 def final_gate(summaries: DataFrame, *, summary: str = "summary", title: str = "title", aggregate_risk: Column | None = None) -> DataFrame:
     """summaries with final_summary (empty if rejected), quality (accepted or rejected), reason and n_sentences."""
-    own = summaries.withColumn("_kept", distinct_sentences(F.col(summary)))
+    own = cut(summaries.withColumn("_kept", distinct_sentences(F.col(summary))))  # else every condition below works it out anew
     own = own.withColumn("_clean", F.array_join("_kept", " "))
     low = (F.size(news_tokens(F.col("_clean"))) < NEWS_TOKENS) & (F.length("_clean") < NEWS_CHARS)
     reason = F.when(F.length("_clean") < SUMMARY_CHARS, "too-short-or-boilerplate").when(restates_title(F.col("_clean"), F.col(title)), "title-restatement")

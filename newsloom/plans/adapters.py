@@ -46,13 +46,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents as articles: the first sentence (of 200 characters at most) is the title, all that follows the summary."""
+    """documents as articles: the first sentence (of 200 characters at most) is the title, the next 650 are the summary, as feeds give one."""
     head = F.regexp_extract("text", r"^[^.!?]{1,200}", 0)
     rest = F.substring(F.col("text"), F.length(head) + 1, F.length("text"))
     return read(spark, sf_dir, "documents").select(
         "doc_id",
         F.trim(head).alias("title"),
-        F.trim(F.regexp_replace(rest, r"^[.!?]", "")).alias("summary"),
+        F.trim(F.substring(F.regexp_replace(rest, r"^[.!?]", ""), 1, 650)).alias("summary"),
         "source",
         "lang",
         F.concat(F.lit("https://"), "source", F.lit(".example.com/a/"), F.col("doc_id").cast("string")).alias("url"),
@@ -64,7 +64,7 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ARTICLES_SQL = f"""
     articles AS (
-        SELECT doc_id, trim(head) AS title, trim(regexp_replace(substring(text, length(head) + 1), '^[.!?]', '')) AS summary, source, lang,
+        SELECT doc_id, trim(head) AS title, trim(substring(regexp_replace(substring(text, length(head) + 1), '^[.!?]', ''), 1, 650)) AS summary, source, lang,
                'https://' || source || '.example.com/a/' || doc_id AS url,
                TIMESTAMP '{AS_OF}' - to_minutes(CAST(doc_id * 37 % 44640 AS INTEGER)) AS published_at,
                list_extract(['{"','".join(CATEGORIES)}'], CAST(doc_id % 8 + 1 AS INTEGER)) AS category_hint,
