@@ -47,7 +47,12 @@ def normalise(x: Column, keep: str = "") -> Column:
 
 def plain_text(x: str) -> str:
     """normalise_terms() of a value that is known beforehand."""
-    plain = _without_marks(x.replace("œ", "oe").replace("Œ", "oe").replace("æ", "ae").replace("Æ", "ae"))
+    return plain_topic(x.replace("œ", "oe").replace("Œ", "oe").replace("æ", "ae").replace("Æ", "ae"))
+
+
+def plain_topic(x: str) -> str:
+    """normalise() of a value that is known beforehand."""
+    plain = _without_marks(x)
     return " ".join("".join(c if c in "abcdefghijklmnopqrstuvwxyz0123456789" else " " for c in plain).split())
 
 
@@ -102,3 +107,98 @@ def jaccard(a: Column, b: Column) -> Column:
 def extractive_summary(x: Column, sentences_most: int = 5, least: int = 36, chars: int = 1000) -> Column:
     """The first sentences that are long enough, joined and cut."""
     return F.substring(F.array_join(F.slice(F.filter(sentences(x), lambda s: F.length(s) >= least), 1, sentences_most), " "), 1, chars)
+
+
+#: Stop words of titles by what they are compared for, and what stands where a summary is missing.
+VISUAL_STOP = ("avec", "dans", "pour", "plus", "apres", "avant", "cette", "sont", "etre", "leur", "leurs", "tout", "mais", "sans", "vers", "entre", "une", "des", "les", "sur", "qui", "que", "aux")
+PHOTO_STOP = ("avec", "dans", "pour", "plus", "apres", "avant", "cette", "sont", "etre", "leur", "leurs", "tout", "mais", "sans", "vers", "entre", "une", "des", "les", "sur", "qui", "que", "aux", "par", "ses", "son", "ont", "est", "fait", "article", "parisien")
+NEWS_STOP = ("avec", "dans", "pour", "plus", "apres", "avant", "cette", "sont", "etre", "leur", "leurs", "tout", "mais", "sans", "vers", "entre", "une", "des", "les", "sur", "qui", "que", "aux", "par", "ses", "son", "ont", "est", "aux", "etats", "unis", "article", "direct")
+QUERY_STOP = tuple("avec dans pour plus apres avant cette cet ces sont etre leur leurs tout tous mais sans vers entre une des les sur qui que aux par son ses est fait font comme dont elle elles ils nous vous notre votre aussi encore deja tres moins depuis alors chez contre lors peut peuvent avait avoir sera un le la du de au en et ou ce se sa ne pas actualite direct video photos photo selon annonce nouvelle nouveau nouvelles nouveaux article".split())
+SUMMARY_STOP = tuple("avec dans pour plus apres avant cette cet ces sont etre leur leurs tout tous mais sans vers entre une des les sur qui que aux par son ses est fait font comme dont elle elles ils nous vous notre votre aussi encore deja tres moins depuis alors chez contre lors peut peuvent avait avoir sera un le la du de au en et ou ce se sa ne pas article direct video selon".split())
+PLACEHOLDER = r"ouvrez?\s+l[’']article|consultez?\s+(?:les?\s+)?détails|détails publiés par la source|résumé indisponible"
+SITE_ENDS = r"\.(?:fr|com|net|org|be|ch)$"
+
+
+def without_placeholder(x: Column) -> Column:
+    """clean(), or nothing where it only says that a summary is missing."""
+    own = clean(x)
+    return F.when(F.lower(own).rlike(PLACEHOLDER), "").otherwise(own)
+
+
+def without_source(title: Column, source: Column, signs: str) -> Column:
+    """clean(title) without a source at its end that one of signs and blanks part from it; in any case of letters."""
+    own, name = clean(title), clean(source)
+    quoted = F.regexp_replace(name, r"([.*+?^${}()|\[\]\\])", r"\\$1")
+    tail = F.concat(F.lit(rf"(?iu)\s*[{signs}]\s*"), quoted, F.lit(r"\s*$"))
+    return F.when((own == "") | (name == ""), own).otherwise(F.trim(F.regexp_replace(own, tail, F.lit(""))))
+
+
+def display_title(title: Column, source: Column) -> Column:
+    return without_source(title, source, "-–—|·:")
+
+
+def story_title(title: Column, source: Column) -> Column:
+    """display_title(), and without a last ' - site' that ends like a host."""
+    own = display_title(title, source)
+    tail = F.regexp_extract(own, r"\s+[-–—|]\s+[^–—|]{2,42}$", 0)
+    return F.when(tail.rlike(f"(?i){SITE_ENDS}"), F.trim(F.substring(own, F.lit(1), F.length(own) - F.length(tail)))).otherwise(own)
+
+
+def title_numbers(title: Column, source: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(normalise(story_title(title, source)), F.lit(js_regex(r"\b[0-9]+\b")), F.lit(0)))
+
+
+def query_variants(title: Column) -> Column:
+    """What to search for a title with: quoted, plain, its first nine of more than ten words, its first eight tokens."""
+    plain = F.substring(F.regexp_replace(clean(title), r"\s+[-–—|]\s+[^-–—|]{2,60}$", ""), 1, 220)
+    words = F.filter(F.split(plain, r"\s+"), lambda w: w != "")
+    some = F.filter(F.array_distinct(F.split(normalise(plain), " ")), lambda w: (w != "") & ~w.isin(*QUERY_STOP) & ((F.length(w) >= 4) | w.rlike("[0-9]")))
+    ways = F.array(F.concat(F.lit('"'), plain, F.lit('"')), plain, F.when(F.size(words) > 10, F.array_join(F.slice(words, 1, 9), " ")).otherwise(""), F.array_join(F.slice(some, 1, 8), " "))
+    return F.array_distinct(F.filter(ways, lambda w: w != ""))
+
+
+def search_subject(title: Column) -> Column:
+    """The part after the last colon if it has six words, else all; without a publisher."""
+    own = F.substring(F.regexp_replace(strip_html(title), r"\s+[-–—]\s+[^-–—]{2,90}$", ""), 1, 240)
+    parts = F.filter(F.transform(F.split(own, r"\s*[:：]\s*"), lambda p: F.trim(p)), lambda p: p != "")
+    tail = F.when(F.size(parts) > 1, F.element_at(parts, -1)).otherwise(own)
+    return F.when(F.size(F.filter(F.split(tail, r"\s+"), lambda w: w != "")) >= 6, tail).otherwise(own)
+
+
+def aggregate_headlines(x: Column) -> Column:
+    """Every other part between wide gaps, five at most; none of fewer than four parts."""
+    parts = F.filter(F.transform(F.split(decode_entities(F.coalesce(x, F.lit(""))), r"\s{2,}"), clean), lambda p: p != "")
+    return F.when(F.size(parts) < 4, F.array().cast("array<string>")).otherwise(F.slice(F.filter(parts, lambda _, i: i % 2 == 0), 1, 5))
+
+
+def fingerprint(title: Column, summary: Column, chars: int) -> Column:
+    """Title and the first chars characters of the summary, normalised: equal ones tell the same."""
+    return normalise(F.concat_ws("|", F.coalesce(title, F.lit("")), F.substring(F.coalesce(summary, F.lit("")), 1, chars)), "%€$")
+
+
+def escape_html(x: Column) -> Column:
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
+        x = F.replace(x, F.lit(sign), F.lit(name))
+    return x
+
+
+def bounded(x: Column, fallback: float, least: float, most: float) -> Column:
+    """x, a string, as a number between least and most; fallback where it is none, 0 where it is blank."""
+    number = F.when(F.trim(x) == "", 0.0).otherwise(x.try_cast("double"))
+    finite = F.when(~F.isnan(number) & (F.abs(number) != float("inf")), number)
+    return F.greatest(F.lit(least), F.least(F.lit(most), F.coalesce(finite, F.lit(fallback))))
+
+
+def agreement(found: Column, wanted: Column) -> Column:
+    """Of two arrays of distinct words: hits, and their share of the longer, of the shorter and of wanted; 0 if one is empty."""
+    hits = F.size(F.array_intersect(wanted, found))
+    share = lambda n: F.coalesce(hits / F.nullif(n, F.lit(0)), F.lit(0.0))
+    sizes = F.size(wanted), F.size(found)
+    return F.struct(hits.cast("long").alias("hits"), share(F.greatest(*sizes)).alias("of_longer"), share(F.least(*sizes)).alias("of_shorter"), share(F.when(sizes[1] > 0, sizes[0]).otherwise(0)).alias("of_wanted"))
+
+
+def overlap_ratio(a: Column, b: Column, least: int = 5, most: int = 70) -> Column:
+    """The share of a's first words that are among b's first; 0 with fewer than least words (distinct ones, in b)."""
+    words = lambda x: F.slice(F.filter(F.split(normalise(x), " "), lambda w: (F.length(w) >= 4) & ~w.isin(*SUMMARY_STOP)), 1, most)
+    own, other = words(a), F.array_distinct(words(b))
+    return F.when((F.size(own) < least) | (F.size(other) < least), 0.0).otherwise(F.size(F.filter(own, lambda w: F.array_contains(other, w))) / F.size(own))

@@ -66,3 +66,25 @@ def freshness(at: Column, now: Column) -> Column:
     for most, points in ((6, 17), (12, 12), (24, 7), (40, 3)):
         found = found.when(hours <= most, points)
     return found.otherwise(-10)
+
+
+#: Short names of months.
+MONTHS = ("janv.", "févr.", "mars", "avr.", "mai", "juin", "juil.", "août", "sept.", "oct.", "nov.", "déc.")
+
+
+def safe_date(raw: Column, fallback: Column | None = None) -> Column:
+    """raw as a time; fallback (null, or the present) where it is none."""
+    at = F.try_to_timestamp(F.nullif(F.trim(raw), F.lit("")))
+    return at if fallback is None else F.coalesce(at, fallback)
+
+
+def time_label(at: Column, now: Column) -> Column:
+    """Minutes or hours ago, yesterday's time, or day and month; empty without a date."""
+    minutes = F.floor((F.unix_millis(now) - F.unix_millis(at)) / 60_000.0 + 0.5)
+    found = F.when(at.isNull(), "").when(minutes < 1, "À l’instant").when(minutes < 60, F.concat(F.lit("Il y a "), minutes.cast("string"), F.lit(" min")))
+    found = found.when(minutes < 1440, F.concat(F.lit("Il y a "), F.floor(minutes / 60).cast("string"), F.lit(" h"))).when(minutes < 2880, F.concat(F.lit("Hier, "), F.date_format(at, "HH:mm")))
+    return found.otherwise(F.concat_ws(" ", F.dayofmonth(at).cast("string"), F.element_at(F.array(*[F.lit(m) for m in MONTHS]), F.month(at))))
+
+
+def fresh_within(at: Column, now: Column, minutes: int = 30) -> Column:
+    return F.coalesce(F.unix_millis(now) - F.unix_millis(at) < minutes * 60_000, F.lit(False))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,9 +18,12 @@ def keyword_matches(hay: Column, keywords: list[str]) -> Column:
 
 
 def watch_rule(hay: Column, query: str, exclude: str = "") -> Column:
-    """`|` parts alternatives, `+` parts what must all be there; no term of exclude (parted by `,` or `|`) may be there."""
-    terms = lambda s, sign: [t.strip().lower() for t in s.split(sign) if t.strip()]
-    groups = [terms(g, "+") for g in query.split("|")]
-    wanted = [reduce(lambda a, b: a & b, [F.contains(hay, F.lit(t)) for t in g]) for g in groups if g]
-    hit = reduce(lambda a, b: a | b, wanted) if wanted else F.lit(False)
-    return reduce(lambda a, t: a & ~F.contains(hay, F.lit(t)), terms(exclude.replace("|", ","), ","), hit)
+    """`|` parts alternatives, `+` parts what must all be there; no term of exclude (parted by `,` or `|`) may be there.
+
+    One pattern of lookaheads, so that hay is worked out once. Terms are normalised as hay is, so they need no quoting. A wanted word of three characters or fewer has to be a whole word.
+    """
+    terms = lambda s, sign: [t for t in map(text.plain_topic, s.split(sign)) if t]
+    whole = lambda t: f" {t} " if len(t) <= 3 and " " not in t else t
+    groups = ["".join(f"(?=.*{whole(t)})" for t in terms(g, "+")) for g in query.split("|") if g.strip()]
+    banned = "".join(f"(?!.*{t})" for t in terms(exclude.replace("|", ","), ","))
+    return F.concat(F.lit(" "), hay, F.lit(" ")).rlike(f"^{banned}(?:{'|'.join(groups)})") if groups else F.lit(False)

@@ -62,6 +62,17 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Forms of titles, summaries, addresses, images and dates that the tables lack, as expressions that Spark and DuckDB read alike.
+_FORMS = {
+    "title": ("title", "concat(title, ' - ', source)", "concat(title, ' | ', upper(source))", "concat(title, ' – Journal du Nord')", "concat(title, ' - journal.fr')", "concat('Vidéo : <b>', title, '</b> & \"suite\"')"),
+    "summary": ("''", "'Ouvrez l’article pour en savoir plus'", "substring(summary, 1, 45)", "concat(summary, '…')", "concat(summary, ' Lire la suite')", "'Résumé indisponible'", "title", "concat('Article réservé aux abonnés. ', summary)", "concat(substring(summary, 1, 200), ' —')", "concat(title, '  Journal  ', substring(summary, 1, 30), '  Revue  fin')", "summary"),
+    "url": ("concat('https://www.youtube.com/watch?v=', doc_id)", "concat('https://www.example.org/video/', doc_id, '/')", "concat('https://news.google.com/rss/articles/CB', doc_id, '?hl=fr')", "concat('https://', source, '.fr/a/', doc_id, '?utm_source=x&b=2&a=1#haut')", "concat('https://Example.org/A/', doc_id, '/?fbclid=1')", "concat('no address ', doc_id)", "''", "concat('https://', source, '.com/?id=', doc_id)", "concat('https://www.example.org/watch/', doc_id)"),
+    "image": ("''", "'https://cdn.example.org/favicon.ico'", "'https://cdn.example.org/photo.jpg'", "'https://cdn.example.org/site-logo.png'", "'no address'", "'https://lh3.googleusercontent.com/p'", "'https://cdn.example.org/a/b_logo.png?x=1'"),
+    "dated": ("'2024-01-05T10:20:30Z'", "'hier'", "''", "'2024-01-07'"),
+}
+_T_TITLE, _T_SUMMARY, _T_URL, _T_IMAGE, _T_DATED = (f"CASE doc_id % {len(f)} " + " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(f)) + " END" for f in _FORMS.values())
+
+
 ARTICLES_SQL = f"""
     articles AS (
         SELECT doc_id, trim(head) AS title, trim(substring(regexp_replace(substring(text, length(head) + 1), '^[.!?]', ''), 1, 650)) AS summary, source, lang,
@@ -70,7 +81,8 @@ ARTICLES_SQL = f"""
                list_extract(['{"','".join(CATEGORIES)}'], CAST(doc_id % 8 + 1 AS INTEGER)) AS category_hint,
                doc_id % 5 = 0 AS custom_source
         FROM (SELECT *, regexp_extract(text, '^[^.!?]{{1,200}}') AS head FROM documents)),
-    headlines AS (SELECT * REPLACE (list_extract(['{"','".join(h.replace("'", "''") for h in HEADS)}'], CAST(doc_id % {len(HEADS)} + 1 AS INTEGER)) || ' ' || title AS title) FROM articles)"""
+    headlines AS (SELECT * REPLACE (list_extract(['{"','".join(h.replace("'", "''") for h in HEADS)}'], CAST(doc_id % {len(HEADS)} + 1 AS INTEGER)) || ' ' || title AS title) FROM articles),
+    teasers AS (SELECT * REPLACE ({_T_TITLE} AS title, {_T_SUMMARY} AS summary, {_T_URL} AS url), {_T_IMAGE} AS image, {_T_DATED} AS dated FROM headlines)"""
 
 
 def headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,6 +91,13 @@ def headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return articles(spark, sf_dir).withColumn("title", F.concat(head, F.lit(" "), "title"))
 
 
+def teasers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """headlines with titles, summaries, addresses, images and dates of _FORMS."""
+    own = headlines(spark, sf_dir)
+    made = {"title": _T_TITLE, "summary": _T_SUMMARY, "url": _T_URL, "image": _T_IMAGE, "dated": _T_DATED}
+    return own.withColumns({name: F.expr(x) for name, x in made.items()})
+
+
 def interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as what users did with articles."""
     n_docs = read(spark, sf_dir, "documents").agg(F.count("*")).scalar()

@@ -173,9 +173,15 @@ def catalogue_quota(spark, sf):
     return selection.top_and_daily(_scored(spark, sf).select("doc_id", "day", "score", "published_at"), "day", [F.desc("score"), F.desc("published_at"), F.col("doc_id")]).select("doc_id", "day", "score", "phase")
 
 
-@query(f"SELECT doc_id, source, turn FROM (SELECT *, row_number() OVER w AS turn, first_value(published_at) OVER w AS best_at, first_value(doc_id) OVER w AS best_id FROM articles WINDOW w AS (PARTITION BY source ORDER BY {_ORDER})) ORDER BY turn, best_at DESC, best_id LIMIT 120")
+@query(
+    f"""WITH turns AS (SELECT doc_id, source, published_at, row_number() OVER (PARTITION BY source ORDER BY {_ORDER}) AS turn FROM articles),
+    places AS (SELECT source, row_number() OVER (ORDER BY {_ORDER}) AS place FROM turns WHERE turn = 1)
+    SELECT doc_id, turns.source, turn, place FROM turns JOIN places ON turns.source IS NOT DISTINCT FROM places.source"""
+)
 def source_round_robin(spark, sf):
-    return selection.round_robin(articles(spark, sf), "source", _newest(), 120).select("doc_id", "source", "turn")
+    """All rows in the order turn, place."""
+    own = articles(spark, sf).select("doc_id", "source", "published_at")
+    return selection.round_robin(own, "source", _newest()).select("doc_id", "source", "turn", "place")
 
 
 @query(
@@ -185,7 +191,7 @@ def source_round_robin(spark, sf):
     SELECT doc_id, source, turn, place FROM turns JOIN places USING (source)"""
 )
 def source_turns(spark, sf):
-    """All rows in the order turn, place; source_round_robin has only the first 120."""
+    """All rows in the order turn, place, by normalised sources."""
     own = articles(spark, sf).select("doc_id", "published_at", F.coalesce(F.nullif(text.normalise(F.col("source")), F.lit("")), F.lit("source")).alias("source"))
     return selection.round_robin(own, "source", _newest()).select("doc_id", "source", "turn", "place")
 
@@ -219,7 +225,7 @@ def home_day_quota(spark, sf):
     FROM (SELECT doc_id, day, dense_rank() OVER (ORDER BY day DESC NULLS LAST) AS day_rank, row_number() OVER (PARTITION BY day ORDER BY {_ORDER}) AS rank FROM (SELECT *, strftime(published_at, '%Y-%m-%d') AS day FROM articles))"""
 )
 def home_order(spark, sf):
-    """All rows in the order overflow, day_rank, rank; home_day_quota has only the first eight of each day."""
+    """All rows in the order overflow, day_rank, rank; home_day_quota has only those within the quotas."""
     own = articles(spark, sf).select("doc_id", "published_at", times.day_key(F.col("published_at")).alias("day"))
     return selection.day_order(own, "day", _newest()).select("doc_id", "day", "day_rank", "rank", "overflow")
 
@@ -743,3 +749,6 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
+
+
+from newsloom.plans import reader  # noqa: E402, F401  (adds its queries)
