@@ -751,4 +751,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
-from newsloom.plans import reader  # noqa: E402, F401  (adds its queries)
+from newsloom.plans import editorial, reader  # noqa: E402, F401  (add their queries)
