@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import byte_bpe, chat_format, language_id, near_dedup, packing, quality_rules, secret_scan, token_counts, vector_search, warc_writer
+from newsloom.llm import byte_bpe, chat_format, collocations, exact_dedup, hard_negatives, language_id, near_dedup, packing, quality_rules, secret_scan, token_counts, vector_search, warc_writer
 from newsloom.llm.common import scratch_path, table
 
 
@@ -82,6 +82,19 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, label)
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_vector_search": op2_vector_search,
@@ -93,6 +106,9 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_chat_format": op9_chat_format,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_exact_dedup": op12_exact_dedup,
+    "op13_collocations": op13_collocations,
 }
 
 _SQL: dict[str, str] = {
@@ -117,6 +133,50 @@ _SQL: dict[str, str] = {
             FROM w GROUP BY conv_id)
         SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars,
                sha256(loss) AS loss_sha256, formatted_chars FROM c""",
+    "op11_hard_negatives": """
+        WITH v AS (
+            SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+            FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT a.id AS anchor_id, b.id AS id, a.label = b.label AS same, CAST(list_inner_product(a.e, b.e) AS BIGINT) AS score
+              FROM v a JOIN v b ON a.id <> b.id WHERE a.id % 100 = 0),
+        p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+              QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+        SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, id AS negative_id, positive_score, score AS negative_score
+        FROM p JOIN s USING (anchor_id)
+        WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+        WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) QUALIFY row_number() OVER w <= 10""",
+    "op12_exact_dedup": """
+        WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256, coalesce(text, '') AS body FROM documents)
+        SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, text_sha256
+        FROM d WINDOW w AS (PARTITION BY body)""",
+    "op13_collocations": """
+        WITH pieces AS (
+            SELECT row_number() OVER () AS piece, coalesce(lang, 'und') AS lang, p.body
+            FROM documents, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS p(body)),
+        words AS (SELECT lang, piece, unnest(w) AS word, generate_subscripts(w, 1) AS i
+                  FROM (SELECT lang, piece, list_filter(regexp_split_to_array(body, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM pieces)),
+        ahead AS (SELECT lang, word AS w1, lead(word, 1) OVER p AS w2, lead(word, 2) OVER p AS w3, lead(word, 3) OVER p AS w4, lead(word, 4) OVER p AS w5
+                  FROM words WINDOW p AS (PARTITION BY piece ORDER BY i)),
+        grams AS (SELECT lang, k, concat_ws(' ', w1, w2, CASE WHEN k > 2 THEN w3 END, CASE WHEN k > 3 THEN w4 END, CASE WHEN k > 4 THEN w5 END) AS phrase
+                  FROM ahead, (VALUES (2), (3), (4), (5)) AS s(k)
+                  WHERE CASE k WHEN 2 THEN w2 WHEN 3 THEN w3 WHEN 4 THEN w4 ELSE w5 END IS NOT NULL),
+        counted AS (SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 100
+                    UNION ALL SELECT lang, 1, word, count(*) FROM words GROUP BY ALL),
+        candidates AS (SELECT lang, phrase, f AS a FROM counted WHERE k > 1),
+        left_over AS (SELECT * FROM candidates c WHERE NOT EXISTS (
+            SELECT 1 FROM candidates x WHERE x.lang = c.lang AND length(x.phrase) > length(c.phrase)
+              AND contains(' ' || x.phrase || ' ', ' ' || c.phrase || ' ') AND 100 * x.a >= 100 * c.a)),
+        totals AS (SELECT lang, count(*) AS n FROM words GROUP BY lang),
+        cuts AS (SELECT lang, phrase, a, string_split(phrase, ' ') AS w, unnest(generate_series(1, len(string_split(phrase, ' ')) - 1)) AS k FROM left_over),
+        scored AS (SELECT cuts.lang, cuts.phrase, a, h.f AS l, t.f AS r, n, cuts.k, (1000::HUGEINT * a * n) // (h.f::HUGEINT * t.f) AS score
+                   FROM cuts JOIN counted h ON h.lang = cuts.lang AND h.phrase = array_to_string(w[1:cuts.k], ' ')
+                   JOIN counted t ON t.lang = cuts.lang AND t.phrase = array_to_string(w[cuts.k + 1:], ' ')
+                   JOIN totals ON totals.lang = cuts.lang),
+        lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+        SELECT lang, row_number() OVER r AS rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM lowest
+        WINDOW r AS (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) QUALIFY row_number() OVER r <= 2000""",
 }
 
 
