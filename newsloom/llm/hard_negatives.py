@@ -63,7 +63,7 @@ class Node:
 
 
 class BallTree:
-    """Rows of integer vectors in balls: halves along the widest component, by rank, so equal vectors split too."""
+    """Rows of integer vectors in balls: halves along the line through two far rows, by rank, so equal vectors split too."""
 
     def __init__(self, ids: np.ndarray, labels: np.ndarray, vectors: np.ndarray, leaf_rows: int = LEAF_ROWS):
         self.order = np.lexsort((ids, labels))
@@ -81,9 +81,10 @@ class BallTree:
         label = int(first[0]) if (first == first[0]).all() else None
         if high - low <= self.leaf_rows:
             return Node(low, high, centre, radius, label, ())
-        widest = int((inside.max(axis=0) - inside.min(axis=0)).argmax())
+        one = inside[((inside - centre) ** 2).sum(axis=1).argmax()]
+        other = inside[((inside - one) ** 2).sum(axis=1).argmax()]
         half = (high - low) // 2
-        self.order[low:high] = own[np.argpartition(inside[:, widest], half)]
+        self.order[low:high] = own[np.argpartition(inside @ (other - one), half)]
         return Node(low, high, centre, radius, label, (self._ball(points, labels, low, low + half), self._ball(points, labels, low + half, high)))
 
     def search(self, anchors: np.ndarray, anchor_ids: np.ndarray, anchor_labels: np.ndarray, asks: np.ndarray, low: np.ndarray, high: np.ndarray, k: int, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
