@@ -2,11 +2,11 @@
 
 Shards are chunks of a task's texts of one language. Two passes read the texts, each in whole:
 
-1. Each shard counts its words and pairs of neighbours by 64-bit hash; summed over all shards, the hashes that are
-   frequent set bits in a filter of FILTER_BITS (a fixed size, whatever the table). A hash that two pairs share, or a
-   filter that fills up, lets more through and loses nothing.
-2. Each shard cuts its pieces wherever a pair is certainly too rare, since no frequent phrase holds a rare pair, and builds
-   the generalised suffix automaton of what is left. Its states are the classes of substrings with the same end
+1. Each shard counts its words, pairs and triples of neighbours by 64-bit hash; summed over all shards, the hashes that
+   are frequent set bits in a filter of FILTER_BITS (a fixed size, whatever the table). A hash that two phrases share, or
+   a filter that fills up, lets more through and loses nothing.
+2. Each shard cuts its pieces wherever a pair or triple is certainly too rare, since no frequent phrase holds a rare one,
+   and builds the generalised suffix automaton of what is left. Its states are the classes of substrings with the same end
    positions; the tree of suffix links is the tree of the reversed prefixes, so sorting those (up to `most_words` deep)
    gives states, lengths, links and end-position counts at once. States list their substrings, with counts; the counts
    are summed over all shards, as text, so they are exact.
@@ -39,10 +39,11 @@ from newsloom.llm.common import arrow_map, byte_slices, materialise
 UNDETERMINED = "und"
 LEAST, MOST_WORDS, TOP = 100, 5, 2000
 PERCENT = 100  # a phrase goes if a longer one has this share of its occurrences
-SHARD_BYTES = 24 << 20
+SHARD_BYTES = 16 << 20
 #: Bytes of all languages that a task holds before it ends the largest shard.
-HELD_BYTES = 48 << 20
-FILTER_BITS = 1 << 26
+HELD_BYTES = 32 << 20
+#: Bits of the filter, and the longest phrases that it knows.
+FILTER_BITS, FILTER_WORDS = 1 << 26, 3
 SALTS = 64
 OUT_ROWS = 1 << 16
 
@@ -69,8 +70,14 @@ class Shard:
         seed = xxhash.xxh3_64_intdigest(self.lang)
         return np.fromiter((xxhash.xxh3_64_intdigest(w, seed=seed) for w in self.vocabulary.to_pylist()), np.uint64, len(self.vocabulary))
 
-    def pair_hashes(self, words: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        return _mix(words[left] * np.uint64(0x9E3779B97F4A7C15) + words[right])
+    def phrase_hashes(self, words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For 2 to FILTER_WORDS words: the positions where such a phrase ends, and its hash."""
+        ends, hashes = np.arange(len(self.ids)), words[self.ids]
+        for _ in range(2, FILTER_WORDS + 1):
+            longer = (ends[1:] == ends[:-1] + 1) & ~self.begins[ends[1:]]
+            hashes = _mix(hashes[:-1][longer] * np.uint64(0x9E3779B97F4A7C15) + words[self.ids[ends[1:][longer]]])
+            ends = ends[1:][longer]
+            yield ends, hashes
 
 
 def shard(lang: str, texts: list[bytes]) -> Shard:
@@ -134,8 +141,9 @@ class Automaton:
             yield k, self.end[own], self.count[own]
 
 
-def automaton(ids: np.ndarray, begins: np.ndarray, depth: int) -> Automaton:
-    """Of runs of word ids (begins: whether a position begins one), by sorting the reversed prefixes up to depth words.
+def automaton(ids: np.ndarray, reach: np.ndarray, depth: int) -> Automaton:
+    """Of runs of word ids (reach: how many words the longest phrase that ends at a position has), by sorting the reversed
+    prefixes up to depth words.
 
     Prefixes that share their last d words form a class of substrings of d words with the same end positions; a class is
     the longest of its state if no class of d + 1 words has as many."""
@@ -143,10 +151,9 @@ def automaton(ids: np.ndarray, begins: np.ndarray, depth: int) -> Automaton:
     none = np.zeros(0, np.int64)
     if not n:
         return Automaton(none, none, none, none)
-    before = np.arange(n) - np.maximum.accumulate(np.where(begins, np.arange(n), 0))  # words of the run before this one
-    back = np.full((depth, n), -1, np.int64)
+    back = np.full((depth, n), -1, np.int32)
     for d in range(depth):
-        back[d, d:] = np.where(before[d:] >= d, ids[: n - d], -1)
+        back[d, d:] = np.where(reach[d:] > d, ids[: n - d], -1)
     order = np.lexsort(back[::-1])
     back, changed = back[:, order], np.zeros(n, bool)
     changed[0] = True
@@ -177,18 +184,14 @@ def automaton(ids: np.ndarray, begins: np.ndarray, depth: int) -> Automaton:
 
 
 def _hash_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(hash, n) of the words and of the pairs of neighbours of each shard."""
+    """(hash, n) of the words and short phrases of each shard."""
     for own in shards(batches):
-        if not len(own.ids):
-            continue
         words = own.word_hashes()
-        right = np.flatnonzero(~own.begins)
-        pairs, n = np.unique(own.ids[right - 1] << 32 | own.ids[right], return_counts=True)
-        hashes = np.concatenate([words, own.pair_hashes(words, pairs >> 32, pairs & 0xFFFFFFFF)])
-        counts = np.concatenate([np.bincount(own.ids, minlength=len(words)), n])
-        for low in range(0, len(hashes), OUT_ROWS):
-            part = slice(low, low + OUT_ROWS)
-            yield pa.RecordBatch.from_arrays([pa.array(hashes[part].view(np.int64)), pa.array(counts[part])], names=["hash", "n"])
+        phrases = (np.unique(hashes, return_counts=True) for _, hashes in own.phrase_hashes(words))
+        for hashes, counts in ((words, np.bincount(own.ids, minlength=len(words))), *phrases):
+            for low in range(0, len(hashes), OUT_ROWS):
+                part = slice(low, low + OUT_ROWS)
+                yield pa.RecordBatch.from_arrays([pa.array(hashes[part].view(np.int64)), pa.array(counts[part])], names=["hash", "n"])
 
 
 def frequent_filter(source: DataFrame, least: int, bits: int = FILTER_BITS) -> np.ndarray:
@@ -214,17 +217,30 @@ def _phrase_counts(own: Shard, frequent: np.ndarray, most_words: int) -> Iterato
     counts = np.bincount(own.ids, minlength=len(words))
     likely = np.flatnonzero(passes(frequent, words))
     yield 1, own.vocabulary.take(pa.array(likely)), counts[likely]
-    right = np.flatnonzero(~own.begins)
-    joined = np.zeros(len(own.ids), bool)  # to the word before
-    joined[right] = passes(frequent, own.pair_hashes(words, own.ids[right - 1], own.ids[right]))
-    stays = joined.copy()
-    stays[:-1] |= joined[1:]
+    joined = np.zeros((FILTER_WORDS + 1, len(own.ids)), bool)  # by words: whether a phrase of so many may end here
+    for k, (ends, hashes) in enumerate(own.phrase_hashes(words), 2):
+        joined[k, ends] = passes(frequent, hashes)
+    stays = joined[2].copy()
+    stays[:-1] |= joined[2, 1:]
     at = np.flatnonzero(stays)
-    for k, ends, n in automaton(own.ids[at], ~joined[at], most_words).substrings(2):
+    for k, ends, n in automaton(own.ids[at], reaches(joined[:, at]), most_words).substrings(2):
         parts = [own.vocabulary.take(pa.array(own.ids[at[ends - back]])) for back in range(k - 1, -1, -1)]
         yield k, pc.binary_join_element_wise(*parts, pa.scalar(b" ", own.vocabulary.type)), n
 
 
+def reaches(joined: np.ndarray) -> np.ndarray:
+    """How many words the longest phrase has that may end at each position: one more than at the position before, unless
+    a phrase of k words (joined[k], from 2 on) can't end here, which leaves k - 1."""
+    places = np.arange(joined.shape[1])
+    least = np.full(len(places), len(joined))
+    for k in range(len(joined) - 1, 1, -1):
+        least[~joined[k]] = k - 1
+    held = least < len(joined)  # else: as before, and one more
+    held[:1] = True
+    last = np.maximum.accumulate(np.where(held, places, 0))
+    return places - last + np.minimum(least, len(joined) - 1)[last]
+
+
 def phrase_counts(source: DataFrame, frequent: np.ndarray, most_words: int = MOST_WORDS) -> DataFrame:
     """lang, words, phrase (binary), n over all shards; phrases that are certainly rare may be missing."""
     shared = source.sparkSession.sparkContext.broadcast(frequent)

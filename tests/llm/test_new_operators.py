@@ -201,7 +201,7 @@ def test_op13_automaton_states():
             if i - k + 1 < 0 or begins[i - k + 2 : i + 1].any():
                 break
             ends.setdefault(tuple(ids[i - k + 1 : i + 1]), set()).add(i)
-    own = collocations.automaton(ids, begins, 3)
+    own = collocations.automaton(ids, np.array([max(j for j in range(1, i + 2) if not begins[i - j + 2 : i + 1].any()) for i in range(60)]), 3)
     got = {tuple(ids[e - k + 1 : e + 1]): int(n) for k, at, counts in own.substrings(1) for e, n in zip(at, counts, strict=True)}
     assert got == {s: len(at) for s, at in ends.items()}
     assert len(own.length) == len({frozenset(at) for at in ends.values()})
@@ -212,3 +212,9 @@ def test_op13_automaton_states():
         else:
             up = tuple(ids[own.end[link] - own.length[link] + 1 : own.end[link] + 1])
             assert text[-len(up) :] == up and ends[up] > ends[text] == ends[text[-len(up) - 1 :]]
+
+
+def test_op13_reaches():
+    """A pair that can't end at a position leaves one word there, a triple that can't leaves two."""
+    joined = np.array([[0] * 8, [0] * 8, [0, 1, 1, 1, 0, 1, 1, 1], [0, 0, 1, 1, 0, 0, 0, 1]], bool)
+    assert collocations.reaches(joined).tolist() == [1, 2, 3, 4, 1, 2, 2, 3]
