@@ -2,10 +2,10 @@
 
 Shards are chunks of a task's texts of one language. Two passes read the texts, each in whole:
 
-1. Each shard counts its words, pairs and triples of neighbours by 64-bit hash; summed over all shards, the hashes that
+1. Each shard counts its words and short phrases (FILTER_WORDS) by 64-bit hash; summed over all shards, the hashes that
    are frequent set bits in a filter of FILTER_BITS (a fixed size, whatever the table). A hash that two phrases share, or
    a filter that fills up, lets more through and loses nothing.
-2. Each shard cuts its pieces wherever a pair or triple is certainly too rare, since no frequent phrase holds a rare one,
+2. Each shard cuts its pieces wherever a short phrase is certainly too rare, since no frequent one holds a rare one,
    and builds the generalised suffix automaton of what is left. Its states are the classes of substrings with the same end
    positions; the tree of suffix links is the tree of the reversed prefixes, so sorting those (up to `most_words` deep)
    gives states, lengths, links and end-position counts at once. States list their substrings, with counts; the counts
@@ -39,11 +39,10 @@ from newsloom.llm.common import arrow_map, byte_slices, materialise
 UNDETERMINED = "und"
 LEAST, MOST_WORDS, TOP = 100, 5, 2000
 PERCENT = 100  # a phrase goes if a longer one has this share of its occurrences
+#: Bytes of a shard; when a task holds twice as many, of all languages, it ends the largest shard.
 SHARD_BYTES = 16 << 20
-#: Bytes of all languages that a task holds before it ends the largest shard.
-HELD_BYTES = 32 << 20
 #: Bits of the filter, and the longest phrases that it knows.
-FILTER_BITS, FILTER_WORDS = 1 << 26, 3
+FILTER_BITS, FILTER_WORDS = 1 << 26, 2
 SALTS = 64
 OUT_ROWS = 1 << 16
 
@@ -70,10 +69,10 @@ class Shard:
         seed = xxhash.xxh3_64_intdigest(self.lang)
         return np.fromiter((xxhash.xxh3_64_intdigest(w, seed=seed) for w in self.vocabulary.to_pylist()), np.uint64, len(self.vocabulary))
 
-    def phrase_hashes(self, words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """For 2 to FILTER_WORDS words: the positions where such a phrase ends, and its hash."""
+    def phrase_hashes(self, words: np.ndarray, known: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For 2 to known words: the positions where such a phrase ends, and its hash."""
         ends, hashes = np.arange(len(self.ids)), words[self.ids]
-        for _ in range(2, FILTER_WORDS + 1):
+        for _ in range(2, known + 1):
             longer = (ends[1:] == ends[:-1] + 1) & ~self.begins[ends[1:]]
             hashes = _mix(hashes[:-1][longer] * np.uint64(0x9E3779B97F4A7C15) + words[self.ids[ends[1:][longer]]])
             ends = ends[1:][longer]
@@ -100,8 +99,8 @@ def shard(lang: str, texts: list[bytes]) -> Shard:
     return Shard(lang, encoded.indices.to_numpy().astype(np.int64), np.concatenate([[True], pieces[1:] != pieces[:-1]]), encoded.dictionary)
 
 
-def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[Shard]:
-    """(lang, text) rows as shards of SHARD_BYTES, or of what is largest where all languages together hold HELD_BYTES."""
+def shards(batches: Iterator[pa.RecordBatch], size: int = SHARD_BYTES) -> Iterator[Shard]:
+    """(lang, text) rows as shards of about size bytes, or of what is largest where all languages together hold twice as many."""
     held: dict[str, list[bytes]] = {}
     sizes: dict[str, int] = {}
 
@@ -115,9 +114,9 @@ def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[Shard]:
                 body = bytes(text.as_buffer())
                 held.setdefault(lang, []).append(body)
                 sizes[lang] = sizes.get(lang, 0) + len(body) + 1
-                if sizes[lang] >= SHARD_BYTES:
+                if sizes[lang] >= size:
                     yield end(lang)
-        while sum(sizes.values()) >= HELD_BYTES:
+        while sum(sizes.values()) >= 2 * size:
             yield end(max(sizes, key=sizes.get))
     for lang in list(held):
         yield end(lang)
@@ -183,20 +182,20 @@ def automaton(ids: np.ndarray, reach: np.ndarray, depth: int) -> Automaton:
     return Automaton(*(np.concatenate(x).astype(np.int64) for x in (length, end, count, link)))
 
 
-def _hash_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _hash_counts(batches: Iterator[pa.RecordBatch], known: int, size: int) -> Iterator[pa.RecordBatch]:
     """(hash, n) of the words and short phrases of each shard."""
-    for own in shards(batches):
+    for own in shards(batches, size):
         words = own.word_hashes()
-        phrases = (np.unique(hashes, return_counts=True) for _, hashes in own.phrase_hashes(words))
+        phrases = (np.unique(hashes, return_counts=True) for _, hashes in own.phrase_hashes(words, known))
         for hashes, counts in ((words, np.bincount(own.ids, minlength=len(words))), *phrases):
             for low in range(0, len(hashes), OUT_ROWS):
                 part = slice(low, low + OUT_ROWS)
                 yield pa.RecordBatch.from_arrays([pa.array(hashes[part].view(np.int64)), pa.array(counts[part])], names=["hash", "n"])
 
 
-def frequent_filter(source: DataFrame, least: int, bits: int = FILTER_BITS) -> np.ndarray:
+def frequent_filter(source: DataFrame, least: int, bits: int = FILTER_BITS, known: int = FILTER_WORDS, size: int = SHARD_BYTES) -> np.ndarray:
     """A filter of the hashes with `least` occurrences: words of 64 bits, bits of them in all."""
-    counts = arrow_map(source, _hash_counts, "hash bigint, n bigint").groupBy("hash").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    counts = arrow_map(source, lambda batches: _hash_counts(batches, known, size), "hash bigint, n bigint").groupBy("hash").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     bit = F.pmod("hash", F.lit(bits))
     words = counts.groupBy(F.floor(bit / 64).cast("int").alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST(pmod(hash, {bits}) % 64 AS INT))")).alias("bits"))
     found = words.toArrow()  # bits / 64 rows at most
@@ -210,15 +209,15 @@ def passes(frequent: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (frequent[at >> 6] >> (at & 63)) & 1 == 1
 
 
-def _phrase_counts(own: Shard, frequent: np.ndarray, most_words: int) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
+def _phrase_counts(own: Shard, frequent: np.ndarray, most_words: int, known: int) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
     """(words, phrases, counts) of a shard: its number of words as words 0, words by themselves, and phrases."""
     yield 0, pa.array([b""], pa.binary()), np.array([len(own.ids)])
     words = own.word_hashes()
     counts = np.bincount(own.ids, minlength=len(words))
     likely = np.flatnonzero(passes(frequent, words))
     yield 1, own.vocabulary.take(pa.array(likely)), counts[likely]
-    joined = np.zeros((FILTER_WORDS + 1, len(own.ids)), bool)  # by words: whether a phrase of so many may end here
-    for k, (ends, hashes) in enumerate(own.phrase_hashes(words), 2):
+    joined = np.zeros((known + 1, len(own.ids)), bool)  # by words: whether a phrase of so many may end here
+    for k, (ends, hashes) in enumerate(own.phrase_hashes(words, known), 2):
         joined[k, ends] = passes(frequent, hashes)
     stays = joined[2].copy()
     stays[:-1] |= joined[2, 1:]
@@ -241,13 +240,13 @@ def reaches(joined: np.ndarray) -> np.ndarray:
     return places - last + np.minimum(least, len(joined) - 1)[last]
 
 
-def phrase_counts(source: DataFrame, frequent: np.ndarray, most_words: int = MOST_WORDS) -> DataFrame:
+def phrase_counts(source: DataFrame, frequent: np.ndarray, most_words: int = MOST_WORDS, known: int = FILTER_WORDS, size: int = SHARD_BYTES) -> DataFrame:
     """lang, words, phrase (binary), n over all shards; phrases that are certainly rare may be missing."""
     shared = source.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for own in shards(batches):
-            for k, phrases, n in _phrase_counts(own, shared.value, most_words):
+        for own in shards(batches, size):
+            for k, phrases, n in _phrase_counts(own, shared.value, most_words, known):
                 for low in range(0, len(n), OUT_ROWS):
                     some = phrases.slice(low, OUT_ROWS).cast(pa.binary())
                     size = len(some)
@@ -257,12 +256,12 @@ def phrase_counts(source: DataFrame, frequent: np.ndarray, most_words: int = MOS
     return found.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"))
 
 
-def collocations(docs: DataFrame, *, lang_col: str = "lang", text_col: str = "text", least: int = LEAST, most_words: int = MOST_WORDS, top: int = TOP, percent: int = PERCENT, filter_bits: int = FILTER_BITS) -> DataFrame:
+def collocations(docs: DataFrame, *, lang_col: str = "lang", text_col: str = "text", least: int = LEAST, most_words: int = MOST_WORDS, top: int = TOP, percent: int = PERCENT, filter_bits: int = FILTER_BITS, filter_words: int = FILTER_WORDS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's first `top` phrases by score, count and phrase."""
     if percent != 100:
         raise ValueError("subsumption goes by equal counts: percent has to be 100")
     source = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(UNDETERMINED)).alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
-    counts = phrase_counts(source, frequent_filter(source, least, filter_bits), most_words)
+    counts = phrase_counts(source, frequent_filter(source, least, filter_bits, filter_words, shard_bytes), most_words, filter_words, shard_bytes)
     known = materialise(counts.where((F.col("n") >= least) | (F.col("words") == 0)).withColumn("phrase", F.col("phrase").cast("string")), "phrases")
     candidates = known.where("words >= 2").select("lang", F.split("phrase", " ").alias("parts"), "phrase", F.col("n").alias("a"))
     piece = lambda start, size: F.array_join(F.slice("parts", start, size), " ")

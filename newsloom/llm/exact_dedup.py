@@ -139,7 +139,7 @@ def _batches(rows: Iterator[tuple], schema: pa.Schema, text_at: int) -> Iterator
 _ARROW = pa.schema([("length", pa.int64()), ("digest", pa.binary()), ("text", pa.binary()), ("n", pa.int64()), ("owner", pa.int64())])
 
 
-def _once_a_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _once_a_task(batches: Iterator[pa.RecordBatch], seen_texts: int) -> Iterator[pa.RecordBatch]:
     """(id, text) rows -> a text where a task first sees it, and at its end the further rows of that text."""
 
     def rows() -> Iterator[tuple]:
@@ -159,7 +159,7 @@ def _once_a_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if known is not None:
                     known[1:] = known[1] + 1, largest(known[2], own)
                     continue
-                if len(more) >= SEEN_TEXTS:
+                if len(more) >= seen_texts:
                     yield from further()
                 more[digest] = [len(body), 0, None]
                 yield len(body), digest, bytes(body), 1, own
@@ -210,13 +210,13 @@ def owners(texts: DataFrame, size: int, *, partition_bytes: int = PARTITION_BYTE
         texts, deal = found.where("open").drop("open"), deal + 1
 
 
-def exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", partition_bytes: int = PARTITION_BYTES, trie_bytes: int = TRIE_BYTES) -> DataFrame:
+def exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", partition_bytes: int = PARTITION_BYTES, trie_bytes: int = TRIE_BYTES, seen_texts: int = SEEN_TEXTS) -> DataFrame:
     """One row per row of docs: id_col (long), keep_id, group_size, kept and text_sha256."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     source = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"))
     rows = materialise(source.select("id", F.unhex(F.sha2("text", 256)).alias("digest"), F.octet_length("text").cast("long").alias("length")), "digests")
     total, size = rows.agg(F.count("*"), F.sum("length")).first()
-    found = owners(arrow_map(source, _once_a_task, _TEXTS), size or 0, partition_bytes=partition_bytes, trie_bytes=trie_bytes)
+    found = owners(arrow_map(source, lambda batches: _once_a_task(batches, seen_texts), _TEXTS), size or 0, partition_bytes=partition_bytes, trie_bytes=trie_bytes)
     sized = found.withColumn("group_size", F.col("n"))
     named = join_counted(rows.select("id", "digest"), sized, "digest", total)
     kept = F.col("owner").isNull() | F.coalesce(F.col("id") == F.col("owner"), F.lit(False))

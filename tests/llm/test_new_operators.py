@@ -101,14 +101,13 @@ def test_op12_odd_rows(spark):
     assert exact_dedup.exact_duplicates(no_docs(spark)).count() == 0
 
 
-def test_op12_hot_copies_and_spilled_subtrees(spark, monkeypatch):
-    monkeypatch.setattr(exact_dedup, "SEEN_TEXTS", 7)
+def test_op12_hot_copies_and_spilled_subtrees(spark):
     r = random.Random(2)
     stem = "".join(r.choice("ab") for _ in range(3000))
     texts = [stem[: r.randrange(3000)] + r.choice(["", "x", "y" * 2000]) for _ in range(150)] + ["", "a", "ab", "b"]
     rows = [(i, r.choice(texts)) for i in range(700)] + [(1000 + i, texts[0]) for i in range(400)] + [(None, "only without an id"), (None, "only without an id"), (None, texts[0])]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
-    got = exact_dedup.exact_duplicates(docs, partition_bytes=60_000, trie_bytes=9_000).collect()
+    got = exact_dedup.exact_duplicates(docs, partition_bytes=60_000, trie_bytes=9_000, seen_texts=7).collect()
     assert sorted(map(tuple, got), key=str) == brute_owners(rows)
 
 
@@ -157,11 +156,9 @@ def brute_collocations(rows, least, most_words=5, top=2000):
     return {(lang, rank, p.decode(), -a, left, right, n, -s) for lang, own in out.items() for rank, (s, a, p, left, right, n) in enumerate(sorted(own)[:top], 1)}
 
 
-@pytest.mark.parametrize(("shard_bytes", "bits"), [(1 << 20, 1 << 20), (900, 64), (200, 1 << 12)])
-def test_op13_equals_brute_force(spark, monkeypatch, shard_bytes, bits):
+@pytest.mark.parametrize(("shard_bytes", "bits", "known"), [(1 << 20, 1 << 20, 2), (900, 64, 2), (200, 1 << 12, 3), (5000, 1 << 16, 4)])
+def test_op13_equals_brute_force(spark, shard_bytes, bits, known):
     """Also with many shards, and with a filter that lets nearly all through."""
-    monkeypatch.setattr(collocations, "SHARD_BYTES", shard_bytes)
-    monkeypatch.setattr(collocations, "HELD_BYTES", 2 * shard_bytes)
     r = random.Random(6)
     passage = "alpha beta gamma delta epsilon zeta"
     rows = []
@@ -170,7 +167,7 @@ def test_op13_equals_brute_force(spark, monkeypatch, shard_bytes, bits):
         rows.append((r.choice(["en", "fr", None]), r.choice([" ", "  ", " \t"]).join(body)))
     rows += [("en", None), (None, ""), ("fr", " .,! \n"), ("xx", "one")]
     docs = spark.createDataFrame([(k, t, lang) for k, (lang, t) in enumerate(rows)], "doc_id bigint, text string, lang string").repartition(5)
-    got = collocations.collocations(docs, least=12, filter_bits=bits, top=60).collect()
+    got = collocations.collocations(docs, least=12, filter_bits=bits, filter_words=known, shard_bytes=shard_bytes, top=60).collect()
     want = brute_collocations(rows, 12, top=60)
     assert {tuple(x) for x in got} == want and len(got) == len(want) > 50
 
