@@ -249,8 +249,8 @@ def phrase_counts(source: DataFrame, frequent: np.ndarray, most_words: int = MOS
             for k, phrases, n in _phrase_counts(own, shared.value, most_words, known):
                 for low in range(0, len(n), OUT_ROWS):
                     some = phrases.slice(low, OUT_ROWS).cast(pa.binary())
-                    size = len(some)
-                    yield pa.RecordBatch.from_arrays([pa.array([own.lang] * size, pa.string()), pa.array(np.full(size, k, np.int32)), some, pa.array(n[low : low + size].astype(np.int64))], names=["lang", "words", "phrase", "n"])
+                    rows = len(some)
+                    yield pa.RecordBatch.from_arrays([pa.array([own.lang] * rows, pa.string()), pa.array(np.full(rows, k, np.int32)), some, pa.array(n[low : low + rows].astype(np.int64))], names=["lang", "words", "phrase", "n"])
 
     found = arrow_map(source, run, "lang string, words int, phrase binary, n bigint")
     return found.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"))
