@@ -151,7 +151,7 @@ def automaton(ids: np.ndarray, reach: np.ndarray, depth: int) -> Automaton:
     if not n:
         return Automaton(none, none, none, none)
     back = np.full((depth, n), -1, np.int32)
-    for d in range(depth):
+    for d in range(min(depth, n)):
         back[d, d:] = np.where(reach[d:] > d, ids[: n - d], -1)
     order = np.lexsort(back[::-1])
     back, changed = back[:, order], np.zeros(n, bool)
@@ -219,6 +219,8 @@ def _phrase_counts(own: Shard, frequent: np.ndarray, most_words: int, known: int
     joined = np.zeros((known + 1, len(own.ids)), bool)  # by words: whether a phrase of so many may end here
     for k, (ends, hashes) in enumerate(own.phrase_hashes(words, known), 2):
         joined[k, ends] = passes(frequent, hashes)
+        if k > 2:  # a hash may pass by chance: a phrase needs both of its parts
+            joined[k, 1:] &= joined[k - 1, 1:] & joined[k - 1, :-1]
     stays = joined[2].copy()
     stays[:-1] |= joined[2, 1:]
     at = np.flatnonzero(stays)
