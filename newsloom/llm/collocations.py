@@ -40,7 +40,7 @@ UNDETERMINED = "und"
 LEAST, MOST_WORDS, TOP = 100, 5, 2000
 PERCENT = 100  # a phrase goes if a longer one has this share of its occurrences
 #: Bytes of a shard; when a task holds twice as many, of all languages, it ends the largest shard.
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 8 << 20
 #: Bits of the filter, and the longest phrases that it knows.
 FILTER_BITS, FILTER_WORDS = 1 << 26, 2
 SALTS = 64
@@ -82,14 +82,14 @@ class Shard:
 def shard(lang: str, texts: list[bytes]) -> Shard:
     """Lower-cases A-Z and splits, for all the texts at once."""
     body = np.frombuffer(b"\n".join(texts).translate(_FOLD), np.uint8)
-    broken = body == _BREAK
-    inside = ~(broken | (body == _BLANK))
+    inside = (body != _BREAK) & (body != _BLANK)
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     starts = np.flatnonzero(first)
+    del first
     if not len(starts):
         return Shard(lang, np.zeros(0, np.int64), np.zeros(0, bool), pa.array([], pa.binary()))
-    pieces = np.cumsum(broken, dtype=np.int32)[starts]
+    pieces = np.searchsorted(np.flatnonzero(body == _BREAK), starts).astype(np.int32)
     kept = body[inside]
     lengths = np.add.reduceat(inside, starts, dtype=np.int64)
     offsets = np.zeros(len(starts) + 1, np.int64)
