@@ -18,11 +18,12 @@ def _without_marks(c: str) -> str:
 _MARKED = [chr(c) for c in range(0xC0, 0x1F00) if chr(c).lower() == chr(c) and _without_marks(chr(c)) in set("abcdefghijklmnopqrstuvwxyz")]
 ACCENTED = "".join(_MARKED) + "".join(map(chr, range(0x300, 0x370)))
 PLAIN = "".join(map(_without_marks, _MARKED))
-#: Named entities, in the order in which they are decoded.
-ENTITIES = (("&nbsp;", " "), ("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"))
+#: Named entities in any case of letters, in the order in which they are decoded (so &amp;lt; is a tag's sign in the end).
+ENTITIES = (("&nbsp;", " "), ("&amp;", "&"), ("&quot;", '"'), ("&#39;|&apos;", "'"), ("&lt;", "<"), ("&gt;", ">"))
+CDATA = r"(?s)<!\[CDATA\[(.*?)\]\]>"
 #: Patterns of sentences and of numbers with their units.
 SENTENCE = r"[^.!?]+[.!?]+|[^.!?]+$"
-NUMBER = r"[0-9]+(?:[.,][0-9]+)?(?: ?(?:%|€|euros?|dollars?|km|milliards?|millions?|ans?|mois|jours?|heures?|morts?|blessés?|personnes?))?"
+NUMBER = r"\b\d+(?:[.,]\d+)?(?:\s?(?:%|€|\$|euros?|dollars?|km|milliards?|millions?|ans?|mois|jours?|heures?|morts?|blessés?|disparus?|personnes?))?\b"
 
 
 def js_regex(pattern: str) -> str:
@@ -64,16 +65,29 @@ def normalise_terms(x: Column) -> Column:
     return normalise(own)
 
 
+def _decode_codes(x: Column, pattern: str, base: int) -> Column:
+    """Numeric references as characters of 16 bits (halves of a pair become U+FFFD)."""
+    code = lambda c: F.coalesce((c.try_cast("decimal(38,0)") if base == 10 else F.conv(c, 16, 10).try_cast("decimal(38,0)")) % 65536, F.lit(0)).cast("int")
+    sign = lambda n: F.decode(F.unhex(F.lpad(F.hex(F.when(n.between(0xD800, 0xDFFF), 0xFFFD).otherwise(n)), 4, "0")), "UTF-16BE")
+    signs = F.transform(F.regexp_extract_all(x, F.lit(pattern), F.lit(1)), lambda c: sign(code(c)))
+    joined = F.zip_with(F.split(x, pattern), signs, lambda part, own: F.concat(F.coalesce(part, F.lit("")), F.coalesce(own, F.lit(""))))
+    return F.when(F.contains(x, F.lit("&#")), F.array_join(joined, "")).otherwise(x)
+
+
 def decode_entities(x: Column) -> Column:
-    for name, sign in ENTITIES:
-        x = F.replace(x, F.lit(name), F.lit(sign))
-    return x
+    """CDATA sections opened, then named entities, then decimal and hexadecimal references."""
+    x = F.regexp_replace(x, CDATA, "$1")
+    for names, sign in ENTITIES:
+        x = F.regexp_replace(x, f"(?i){names}", sign)
+    return _decode_codes(_decode_codes(x, "&#([0-9]+);", 10), "(?i)&#x([0-9a-f]+);", 16)
 
 
 def strip_html(x: Column) -> Column:
     """Entities decoded, then script and style blocks and tags removed: an escaped tag is a tag."""
-    x = F.regexp_replace(decode_entities(F.coalesce(x, F.lit(""))), r"(?is)<(script|style)\b.*?</(script|style)>", " ")
-    return clean(F.regexp_replace(x, r"(?s)<[^>]*>", " "))
+    x = decode_entities(F.coalesce(x, F.lit("")))
+    for block in ("script", "style"):
+        x = F.regexp_replace(x, f"(?is)<{block}.*?</{block}>", " ")
+    return clean(F.regexp_replace(x, r"<[^>]+>", " "))
 
 
 def strip_publisher(title: Column) -> Column:
@@ -92,7 +106,8 @@ def sentences(x: Column) -> Column:
 
 
 def numeric_claims(x: Column) -> Column:
-    return F.regexp_extract_all(x, F.lit(NUMBER), F.lit(0))
+    """Numbers with their units, in any case of letters."""
+    return F.regexp_extract_all(clean(x), F.lit("(?iu)" + js_regex(NUMBER)), F.lit(0))
 
 
 def containment(a: Column, b: Column) -> Column:

@@ -33,9 +33,9 @@ PATTERNS = {
     "cyber": r"\b(pirat(?:age|é|er)|hackers?|cybercriminels?|fuite de données|vol de .*données|millions? de données|serveurs? compromis)\b",
     "quake": r"\bséisme\b",
 }
-#: A title of signs only, and numbers with their units.
+#: A title of signs only; numbers are those of text.NUMBER.
 MALFORMED = r"^\s*[-–—|:]+\s*(?:$|[^\p{L}\p{N}]{0,4})"
-NUMBERS = r"\b\d+(?:[.,]\d+)?(?:\s?(?:%|€|\$|euros?|dollars?|km|milliards?|millions?|ans?|mois|jours?|heures?|morts?|blessés?|disparus?|personnes?))?\b"
+NUMBERS = text.NUMBER
 #: Points of the signals, and the bounds of their sum.
 POINTS = {"malformed": -34, "human": 24, "major": 15, "decision": 10, "utility": 6, "cyber": 11, "science": 7, "figures": 5, "figure": 2, "consumer": -16, "reaction": -13, "sports": -16, "celebrity": -11, "question": -4}
 NAMES = {"malformed": "titre pauvre", "human": "bilan humain", "major": "événement majeur", "decision": "décision publique", "utility": "utilité publique", "cyber": "cybersécurité", "science": "science", "figures": "faits chiffrés", "consumer": "contenu pratique/achat", "reaction": "réaction", "sports": "sport léger", "celebrity": "people"}

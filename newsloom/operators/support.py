@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import text
 from newsloom.storage import cut
+from newsloom.operators.clustering import leader_clusters, similar_sets
 from newsloom.operators.events import says
 
 #: Words that don't count as meaning, and as news.
@@ -128,19 +129,26 @@ def is_boilerplate(x: Column) -> Column:
     return (own == "") | reduce(lambda a, b: a | b, [own.rlike(p) for p in BOILERPLATE])
 
 
-def distinct_sentences(summary: Column) -> Column:
-    """An array of the sentences that are long enough, say something, and don't repeat a kept one's words."""
-    long = F.filter(text.sentences(text.clean(summary)), lambda s: (F.length(s) >= SENTENCE_CHARS) & ~is_boilerplate(s))
-    tagged = F.filter(F.transform(long, lambda s: F.struct(s.alias("s"), F.trim(F.regexp_replace(plain(s), "[^a-z0-9]+", " ")).alias("key"), news_tokens(s).alias("t"))), lambda x: x["key"] != "")
-    repeats = lambda x, kept: F.exists(kept, lambda k: (k["key"] == x["key"]) | (text.containment(k["t"], x["t"]) >= SAME_SENTENCE))
-    none = F.array().cast("array<struct<s:string,key:string,t:array<string>>>")
-    return F.transform(F.aggregate(tagged, none, lambda kept, x: F.when(repeats(x, kept), kept).otherwise(F.array_append(kept, x))), lambda x: x["s"])
+def distinct_sentences(summaries: DataFrame, summary: str = "summary", *, id_col: str = "doc_id") -> DataFrame:
+    """id_col and kept: the sentences that are long enough, say something, and don't repeat a kept one's words, in order; of whole texts.
 
-
-def final_gate(summaries: DataFrame, *, summary: str = "summary", title: str = "title", aggregate_risk: Column | None = None) -> DataFrame:
-    """summaries with final_summary (empty if rejected), quality (accepted or rejected), reason and n_sentences."""
-    own = cut(summaries.withColumn("_kept", distinct_sentences(F.col(summary))))  # else every condition below works it out anew
-    own = own.withColumn("_clean", F.array_join("_kept", " "))
+    Going through a text and keeping what is like no kept sentence is leader clustering, so it is decided over pairs of
+    sentences of one text that share rare tokens, in rounds; a text's sentences are never compared with one another in one row.
+    """
+    cut_up = summaries.select(F.col(id_col).alias("own"), F.posexplode(text.sentences(text.clean(F.col(summary)))).alias("place", "s"))
+    said = cut_up.where((F.length("s") >= SENTENCE_CHARS) & ~is_boilerplate(F.col("s"))).withColumn("key", F.trim(F.regexp_replace(plain(F.col("s")), "[^a-z0-9]+", " "))).where("key <> ''")
+    first = cut(said.groupBy("own", "key").agg(F.min("place").alias("place"), F.min_by("s", "place").alias("s")))
+    name = lambda t: F.concat_ws(" ", F.col("own").cast("string"), t)  # noqa: E731  a token of this text
+    nodes = first.select(F.struct("own", "place").alias("id"), F.struct("own", "place").alias("ord"), F.transform(news_tokens(F.col("key")), name).alias("tokens"))
+    leaders = leader_clusters(nodes, similar_sets(nodes, round(100 * SAME_SENTENCE))).where("id = leader").select("id.own", "id.place")
+    kept = first.join(leaders, ["own", "place"]).groupBy("own").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "s"))), lambda x: x["s"]).alias("kept"))  # a text is a row again
+    return kept.select(F.col("own").alias(id_col), "kept")
+
+
+def final_gate(summaries: DataFrame, *, summary: str = "summary", title: str = "title", id_col: str = "doc_id", aggregate_risk: Column | None = None) -> DataFrame:
+    """summaries (of unique ids) with final_summary (empty if rejected), quality (accepted or rejected), reason and n_sentences."""
+    own = summaries.join(distinct_sentences(summaries, summary, id_col=id_col), id_col, "left")
+    own = cut(own.withColumn("_clean", F.coalesce(F.array_join("kept", " "), F.lit(""))).drop("kept"))
     low = (F.size(news_tokens(F.col("_clean"))) < NEWS_TOKENS) & (F.length("_clean") < NEWS_CHARS)
     reason = F.when(F.length("_clean") < SUMMARY_CHARS, "too-short-or-boilerplate").when(restates_title(F.col("_clean"), F.col(title)), "title-restatement")
     if aggregate_risk is not None:
@@ -163,9 +171,11 @@ AROUND, CONTEXT_MOST, CONTEXT_LEAST, CONTEXT_SHARE = 6, 10, 3, 0.52
 def numeric_contexts(items: DataFrame, story: str, source: str, body: str, *, id_col: str = "doc_id", stop: tuple[str, ...] = STOP_NEWS) -> DataFrame:
     """story, source, id_col, value and context: for each number the first distinct words of AROUND parts on either side."""
     parts = items.select(F.col(story).alias("story"), F.col(source).alias("source"), id_col, F.regexp_extract_all(F.regexp_replace(text.clean(F.col(body)), r"[\x{202F}\x{00A0}]", " "), F.lit(PART), F.lit(0)).alias("parts"))
-    each = parts.select("story", "source", id_col, "parts", F.posexplode("parts").alias("i", "part")).where(F.col("part").rlike(r"^\d"))
-    low = F.greatest(F.col("i") - AROUND, F.lit(0))
-    window = F.array_join(F.slice("parts", low + 1, F.col("i") + AROUND + 1 - low), " ")
+    around = lambda i: F.slice("parts", F.greatest(i - AROUND, F.lit(0)) + 1, F.least(i, F.lit(AROUND)) + AROUND + 1)
+    # a number takes its neighbours along, not the whole text
+    told = F.filter(F.transform("parts", lambda p, i: F.when(p.rlike(r"^\d"), F.struct(p.alias("part"), F.array_join(around(i), " ").alias("around")))), lambda x: x.isNotNull())
+    each = parts.select("story", "source", id_col, F.explode(told).alias("told")).select("story", "source", id_col, "told.*")
+    window = F.col("around")
     words = F.filter(F.split(text.normalise(window), " "), lambda w: (F.length(w) >= 4) & ~w.rlike(r"^\d") & ~w.isin(*stop))
     value = F.replace(F.regexp_replace("part", "[ .]", ""), F.lit(","), F.lit("."))
     return each.select("story", "source", id_col, value.alias("value"), F.slice(F.array_distinct(words), 1, CONTEXT_MOST).alias("context")).where(F.size("context") >= CONTEXT_LEAST).distinct()

@@ -47,12 +47,22 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as articles: the first sentence (of 200 characters at most) is the title, the next 650 are the summary, as feeds give one."""
+    return _as_articles(spark, sf_dir, 650)
+
+
+def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """articles whose summaries are all that follows the title: for what reads texts, not feeds."""
+    return _as_articles(spark, sf_dir, None)
+
+
+def _as_articles(spark: SparkSession, sf_dir: str, most: int | None) -> DataFrame:
     head = F.regexp_extract("text", r"^[^.!?]{1,200}", 0)
-    rest = F.substring(F.col("text"), F.length(head) + 1, F.length("text"))
+    rest = F.substring(F.col("text"), F.length(head) + 1, F.lit(most + 1) if most else F.length("text"))
+    said = F.regexp_replace(rest, r"^[.!?]", "")
     return read(spark, sf_dir, "documents").select(
         "doc_id",
         F.trim(head).alias("title"),
-        F.trim(F.substring(F.regexp_replace(rest, r"^[.!?]", ""), 1, 650)).alias("summary"),
+        F.trim(F.substring(said, 1, most) if most else said).alias("summary"),
         "source",
         "lang",
         F.concat(F.lit("https://"), "source", F.lit(".example.com/a/"), F.col("doc_id").cast("string")).alias("url"),
@@ -81,6 +91,7 @@ ARTICLES_SQL = f"""
                list_extract(['{"','".join(CATEGORIES)}'], CAST(doc_id % 8 + 1 AS INTEGER)) AS category_hint,
                doc_id % 5 = 0 AS custom_source
         FROM (SELECT *, regexp_extract(text, '^[^.!?]{{1,200}}') AS head FROM documents)),
+    reports AS (SELECT a.* REPLACE (trim(regexp_replace(substring(text, length(regexp_extract(text, '^[^.!?]{{1,200}}')) + 1), '^[.!?]', '')) AS summary) FROM articles a JOIN documents USING (doc_id)),
     headlines AS (SELECT * REPLACE (list_extract(['{"','".join(h.replace("'", "''") for h in HEADS)}'], CAST(doc_id % {len(HEADS)} + 1 AS INTEGER)) || ' ' || title AS title) FROM articles),
     teasers AS (SELECT * REPLACE ({_T_TITLE} AS title, {_T_SUMMARY} AS summary, {_T_URL} AS url), {_T_IMAGE} AS image, {_T_DATED} AS dated FROM headlines)"""
 
@@ -98,6 +109,35 @@ def teasers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.withColumns({name: F.expr(x) for name, x in made.items()})
 
 
+#: Forms of addresses and marked-up paragraphs that the tables' pages lack, as expressions that Spark and DuckDB read alike.
+_PAGE_URLS = ("url", "concat('https://Example.org/A/', page_id, '/?UTM_SOURCE=1&b=2&utm_source2=x&mc_foo=3&a=1#haut')", "concat('HTTPS://page', page_id, '.org')", "concat('https://example.org/p//?fbclid&gclid=', page_id)", "concat('  no address ', page_id, ' ')", "concat(url, '#a?b')")
+_PAGE_HTML = ("html", "concat(html, '<p>Un &amp;lt;b&amp;gt;texte&amp;lt;/b&amp;gt; d&apos;&#233;t&#xE9; &AMP; &Nbsp;assez long pour un paragraphe, num&#00233;ro ', page_id, '</p>')", "concat(html, '<p><![CDATA[Un <i>autre</i> texte &quot;cit&eacute;&quot; &#39;assez long&#39;]]> <script>x()</script><STYLE>y</STYLE> pour un paragraphe &#65601;bien &#xZZ; &#;</p>')")
+_CASES = lambda forms: f"CASE page_id % {len(forms)} " + " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(forms)) + " END"
+FETCHED_SQL = f"fetched AS (SELECT page_id, {_CASES(_PAGE_URLS)} AS url, {_CASES(_PAGE_HTML)} AS html FROM pages)"
+
+
+def fetched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pages with addresses and paragraphs of those forms."""
+    return read(spark, sf_dir, "pages").select("page_id", F.expr(_CASES(_PAGE_URLS)).alias("url"), F.expr(_CASES(_PAGE_HTML)).alias("html"))
+
+
+def sql_decoded(x: str) -> str:
+    """DuckDB's form of text.decode_entities, written from the rule: CDATA, names, decimal and hexadecimal references."""
+    x = rf"regexp_replace({x}, '(?s)<!\[CDATA\[(.*?)\]\]>', '\1', 'g')"
+    for names, sign in (("&nbsp;", " "), ("&amp;", "&"), ("&quot;", '"'), ("&#39;|&apos;", "''"), ("&lt;", "<"), ("&gt;", ">")):
+        x = f"regexp_replace({x}, '{names}', '{sign}', 'gi')"
+    for pattern, number in (("&#([0-9]+);", "CAST(z[2] AS HUGEINT)"), ("(?i)&#x([0-9a-f]+);", "CAST('0x' || z[2] AS BIGINT)")):
+        x = f"array_to_string(list_transform(list_zip(regexp_split_to_array({x}, '{pattern}'), regexp_extract_all({x}, '{pattern}', 1)), lambda z: coalesce(z[1], '') || coalesce(chr(CAST({number} % 65536 AS INTEGER)), '')), '')"
+    return x
+
+
+def sql_stripped(x: str) -> str:
+    x = sql_decoded(x)
+    for pattern in ("<script.*?</script>", "<style.*?</style>", "<[^>]+>"):
+        x = f"regexp_replace({x}, '(?is){pattern}', ' ', 'g')"
+    return rf"trim(regexp_replace({x}, '\s+', ' ', 'g'))"
+
+
 def interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as what users did with articles."""
     n_docs = read(spark, sf_dir, "documents").agg(F.count("*")).scalar()

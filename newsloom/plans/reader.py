@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import text, times, urls
 from newsloom.operators import filters, reader
-from newsloom.plans.adapters import AS_OF, INTERACTIONS_SQL, interactions, now, read, teasers
+from newsloom.plans.adapters import AS_OF, INTERACTIONS_SQL, interactions, now, read, teasers, sql_decoded, sql_stripped
 from newsloom.plans.registry import _norm, query
 
 COLUMN = F.col
@@ -72,11 +72,8 @@ def query_variants(spark, sf):
     return teasers(spark, sf).select("doc_id", F.array_join(text.query_variants(COLUMN("title")), "\n").alias("ways"))
 
 
-_DECODED = "replace(replace(replace(replace(replace(replace({0}, '&nbsp;', ' '), '&quot;', '\"'), '&#39;', ''''), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
-
-
 @query(
-    f"""WITH p AS (SELECT doc_id, substring(regexp_replace(trim(regexp_replace(regexp_replace({_DECODED.format('title')}, '(?s)<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')), '\\s+[-–—]\\s+[^-–—]{{2,90}}$', ''), 1, 240) AS own FROM teasers),
+    f"""WITH p AS (SELECT doc_id, substring(regexp_replace({sql_stripped('title')}, '\\s+[-–—]\\s+[^-–—]{{2,90}}$', ''), 1, 240) AS own FROM teasers),
     t AS (SELECT doc_id, own, list_filter(list_transform(regexp_split_to_array(own, '\\s*[:：]\\s*'), lambda x: trim(x)), lambda x: x <> '') AS parts FROM p),
     l AS (SELECT doc_id, own, CASE WHEN len(parts) > 1 THEN parts[-1] ELSE own END AS tail FROM t)
     SELECT doc_id, CASE WHEN len(list_filter(string_split(tail, ' '), lambda x: x <> '')) >= 6 THEN tail ELSE own END AS subject FROM l"""
@@ -91,7 +88,7 @@ def escaped_titles(spark, sf):
 
 
 @query(
-    f"""WITH p AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array({_DECODED.format('summary')}, '\\s{{2,}}'), lambda x: {_clean('x')}), lambda x: x <> '') AS parts FROM teasers)
+    f"""WITH p AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array({sql_decoded('summary')}, '\\s{{2,}}'), lambda x: {_clean('x')}), lambda x: x <> '') AS parts FROM teasers)
     SELECT doc_id, array_to_string(list_filter(parts, lambda x, i: i % 2 = 1)[1:5], chr(10)) AS titles FROM p WHERE len(parts) >= 4"""
 )
 def aggregate_titles(spark, sf):

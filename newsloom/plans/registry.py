@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import text, times, urls
 from newsloom.operators import categories, classify, clustering, events, extract, filters, greedy, novelty, scoring, selection, significance, support
-from newsloom.plans.adapters import ARTICLES_SQL, AS_OF, INTERACTIONS_SQL, articles, headlines, interactions, now, read
+from newsloom.plans.adapters import ARTICLES_SQL, AS_OF, FETCHED_SQL, INTERACTIONS_SQL, articles, fetched, headlines, interactions, now, read, reports, sql_decoded, sql_stripped
 from newsloom.streaming import state
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,14 +71,18 @@ def title_tokens(spark, sf):
     return articles(spark, sf).select("doc_id", F.explode(text.tokens(F.col("title"), 4, STOP)).alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("n"))
 
 
+_WEB = r"(?i)^(https?)://([^/?#]+)([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
+
+
 @query(
-    """SELECT page_id, CASE WHEN q = '' THEN p ELSE p || '?' || q END AS canonical FROM (
-         SELECT page_id, regexp_replace(split_part(split_part(url, '#', 1), '?', 1), '/+$', '') AS p,
-                array_to_string(list_filter(string_split(split_part(split_part(url, '#', 1), '?', 2), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|fbclid|gclid|mc_[a-z]+)=')), '&') AS q FROM pages)""",
+    f"""WITH {FETCHED_SQL},
+    parts AS (SELECT page_id, trim(url) AS u, lower(regexp_extract(trim(url), '{_WEB}', 1)) AS scheme, lower(regexp_extract(trim(url), '{_WEB}', 2)) AS host, regexp_extract(trim(url), '{_WEB}', 3) AS path,
+                list_filter(string_split(regexp_extract(trim(url), '{_WEB}', 4), '&'), lambda p: p <> '' AND NOT starts_with(lower(split_part(p, '=', 1)), 'utm_') AND lower(split_part(p, '=', 1)) NOT IN ('fbclid', 'gclid', 'mc_cid', 'mc_eid')) AS kept FROM fetched)
+    SELECT page_id, CASE WHEN scheme = '' THEN u ELSE scheme || '://' || host || coalesce(nullif(CASE WHEN ends_with(path, '/') THEN left(path, length(path) - 1) ELSE path END, ''), '/') || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END END AS canonical FROM parts""",
     articles_view=False,
 )
 def canonical_url(spark, sf):
-    return read(spark, sf, "pages").select("page_id", urls.canonical(F.col("url")).alias("canonical"))
+    return fetched(spark, sf).select("page_id", urls.canonical(F.col("url")).alias("canonical"))
 
 
 @query("SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/:?#]+)', 1)), '^www\\.', '') AS host FROM pages", articles_view=False)
@@ -105,21 +109,21 @@ _HAY = _norm("concat_ws(' ', title, summary)")
 _MATCHES = f"list_filter({KEYWORDS!r}, lambda k: contains({_HAY}, k))"
 
 
-@query(f"SELECT doc_id, array_to_string(m, '|') AS matches FROM (SELECT doc_id, {_MATCHES} AS m FROM articles) WHERE len(m) > 0")
+@query(f"SELECT doc_id, array_to_string(m, '|') AS matches FROM (SELECT doc_id, {_MATCHES} AS m FROM reports) WHERE len(m) > 0")
 def keyword_matches(spark, sf):
-    found = articles(spark, sf).select("doc_id", filters.keyword_matches(filters.haystack(F.col("title"), F.col("summary")), KEYWORDS).alias("m"))
+    found = reports(spark, sf).select("doc_id", filters.keyword_matches(filters.haystack(F.col("title"), F.col("summary")), KEYWORDS).alias("m"))
     return found.where(F.size("m") > 0).select("doc_id", F.array_join("m", "|").alias("matches"))
 
 
-@query(f"SELECT doc_id FROM (SELECT doc_id, {_HAY} AS h FROM articles) WHERE (contains(h, 'inst') AND contains(h, 'thonre') OR contains(h, 'ouchan')) AND NOT contains(h, 'hend') AND NOT contains(h, 'treai')")
+@query(f"SELECT doc_id FROM (SELECT doc_id, {_HAY} AS h FROM reports) WHERE (contains(h, 'inst') AND contains(h, 'thonre') OR contains(h, 'ouchan')) AND NOT contains(h, 'hend') AND NOT contains(h, 'treai')")
 def watch_rule_match(spark, sf):
-    return articles(spark, sf).where(filters.watch_rule(filters.haystack(F.col("title"), F.col("summary")), "inst + thonre | ouchan", "hend, treai")).select("doc_id")
+    return reports(spark, sf).where(filters.watch_rule(filters.haystack(F.col("title"), F.col("summary")), "inst + thonre | ouchan", "hend, treai")).select("doc_id")
 
 
-@query(f"SELECT doc_id FROM articles WHERE source NOT IN ('src1', 'src2') AND NOT contains({_HAY}, 'rend')")
+@query(f"SELECT doc_id FROM reports WHERE source NOT IN ('src1', 'src2') AND NOT contains({_HAY}, 'rend')")
 def blocked_filter(spark, sf):
     blocked = spark.createDataFrame([("src1",), ("src2",)], "source string")
-    return articles(spark, sf).join(blocked, "source", "left_anti").where(~filters.watch_rule(filters.haystack(F.col("title"), F.col("summary")), "rend")).select("doc_id")
+    return reports(spark, sf).join(blocked, "source", "left_anti").where(~filters.watch_rule(filters.haystack(F.col("title"), F.col("summary")), "rend")).select("doc_id")
 
 
 _TERM_ROWS = ", ".join(f"({r}, '{c}', '{t}')" for r, c, t in TERMS)
@@ -264,30 +268,29 @@ def latency_quantiles(spark, sf):
     return placed.groupBy("event_type").agg(F.max("n").alias("n"), at(0.5).alias("median"), at(0.95).alias("p95"))
 
 
-@query(f"SELECT doc_id, len(c) AS n_claims, array_to_string(c, '|') AS claims FROM (SELECT doc_id, regexp_extract_all(summary, '{text.NUMBER}') AS c FROM articles) WHERE len(c) > 0")
+@query(f"SELECT doc_id, len(c) AS n_claims, array_to_string(c, '|') AS claims FROM (SELECT doc_id, regexp_extract_all(trim(regexp_replace(summary, '\\s+', ' ', 'g')), '(?i){text.NUMBER}') AS c FROM reports) WHERE len(c) > 0")
 def numeric_claims(spark, sf):
-    return articles(spark, sf).select("doc_id", text.numeric_claims(F.col("summary")).alias("c")).where(F.size("c") > 0).select("doc_id", F.size("c").cast("long").alias("n_claims"), F.array_join("c", "|").alias("claims"))
+    return reports(spark, sf).select("doc_id", text.numeric_claims(F.col("summary")).alias("c")).where(F.size("c") > 0).select("doc_id", F.size("c").cast("long").alias("n_claims"), F.array_join("c", "|").alias("claims"))
 
 
 _SENTENCES = f"list_filter(list_transform(regexp_extract_all(summary, '{text.SENTENCE}'), lambda s: trim(s)), lambda s: s <> '')"
 
 
-@query(f"SELECT doc_id, len({_SENTENCES}) AS n_sentences, substring(array_to_string(list_filter({_SENTENCES}, lambda s: length(s) >= 36)[1:5], ' '), 1, 1000) AS digest FROM articles")
+@query(f"SELECT doc_id, len({_SENTENCES}) AS n_sentences, substring(array_to_string(list_filter({_SENTENCES}, lambda s: length(s) >= 36)[1:5], ' '), 1, 1000) AS digest FROM reports")
 def extractive_summary(spark, sf):
-    return articles(spark, sf).select("doc_id", F.size(text.sentences(F.col("summary"))).cast("long").alias("n_sentences"), text.extractive_summary(F.col("summary")).alias("digest"))
+    return reports(spark, sf).select("doc_id", F.size(text.sentences(F.col("summary"))).cast("long").alias("n_sentences"), text.extractive_summary(F.col("summary")).alias("digest"))
 
 
 @query(
-    """WITH p AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<p\\b[^>]*>(.*?)</p>', 1)) AS raw, generate_subscripts(regexp_extract_all(html, '(?is)<p\\b[^>]*>(.*?)</p>', 1), 1) - 1 AS place FROM pages),
-    e AS (SELECT page_id, place, replace(replace(replace(replace(replace(replace(raw, '&nbsp;', ' '), '&quot;', '"'), '&#39;', ''''), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS d FROM p),
-    t AS (SELECT page_id, place, trim(regexp_replace(regexp_replace(regexp_replace(d, '(?is)<(script|style)\\b.*?</(script|style)>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) AS text FROM e),
+    f"""WITH {FETCHED_SQL}, p AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<p\\b[^>]*>(.*?)</p>', 1)) AS raw, generate_subscripts(regexp_extract_all(html, '(?is)<p\\b[^>]*>(.*?)</p>', 1), 1) - 1 AS place FROM fetched),
+    t AS (SELECT page_id, place, {sql_stripped("raw")} AS text FROM p),
     f AS (SELECT *, row_number() OVER (PARTITION BY page_id, lower(substring(text, 1, 140)) ORDER BY place) AS c FROM t WHERE length(text) >= 55),
     r AS (SELECT *, coalesce(sum(length(text)) OVER (PARTITION BY page_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM f WHERE c = 1)
     SELECT page_id, CAST(place AS INTEGER) AS place, text FROM r WHERE b <= 14000""",
     articles_view=False,
 )
 def paragraph_extract(spark, sf):
-    return extract.paragraphs(read(spark, sf, "pages")).select("page_id", "place", "text")
+    return extract.paragraphs(fetched(spark, sf)).select("page_id", "place", "text")
 
 
 @query("SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')) AS title FROM pages", articles_view=False)
@@ -463,24 +466,57 @@ def event_merge(spark, sf):
 _MEANING = "list_filter(regexp_extract_all(strip_accents(lower({0})), '[a-z0-9]{{5,}}'), lambda t: t NOT IN (" + ", ".join(f"'{w}'" for w in support.STOP_MEANING) + "))"
 
 
-@query(f"""WITH m AS (SELECT doc_id, {_MEANING.format("title")} AS a, {_MEANING.format("summary")} AS b FROM articles)
+@query(f"""WITH m AS (SELECT doc_id, {_MEANING.format("title")} AS a, {_MEANING.format("summary")} AS b FROM reports)
     SELECT doc_id, CAST(len(a) AS BIGINT) AS n, len(a) >= 8 AND len(b) > 0 AND len(list_filter(a, lambda t: list_contains(b, t))) >= 0.28 * len(a) AS supported FROM m""")
 def title_support(spark, sf):
-    own = articles(spark, sf)
+    own = reports(spark, sf)
     return own.select("doc_id", F.size(support.meaningful(F.col("title"))).cast("long").alias("n"), support.token_share_supported(F.col("title"), F.col("summary")).alias("supported"))
 
 
-@query()
+_STOP_NEWS = ", ".join(f"'{w}'" for w in support.STOP_NEWS)
+
+
+
+def _plain(x: str) -> str:
+    return f"regexp_replace(strip_accents(lower({sql_decoded(x)})), '[’'']', ' ', 'g')"
+
+
+def _key(x: str) -> str:
+    return f"trim(regexp_replace({_plain(x)}, '[^a-z0-9]+', ' ', 'g'))"
+
+
+def _news_tokens(key: str) -> str:
+    return f"list_distinct(list_filter(string_split({key}, ' '), lambda t: length(t) >= 4 AND t NOT IN ({_STOP_NEWS})))"
+
+
+_BOILER = "(" + "|".join(p.replace("'", "''") for p in support.BOILERPLATE) + ")"
+_SAID = r"list_filter(list_transform(regexp_extract_all(trim(regexp_replace(summary, '\s+', ' ', 'g')), '" + text.SENTENCE + "'), lambda s: trim(s)), lambda s: s <> '')"
+
+
+@query(
+    rf"""WITH s AS (SELECT doc_id, title, list_transform(list_filter({_SAID}, lambda s: length(s) >= {support.SENTENCE_CHARS} AND NOT regexp_matches(lower({sql_decoded('s')}), '{_BOILER}')), lambda s: {{'s': s, 'key': {_key('s')}}}) AS e FROM reports),
+    t AS (SELECT doc_id, title, list_transform(list_filter(e, lambda x: x.key <> ''), lambda x: [{{'s': x.s, 'key': x.key, 't': {_news_tokens('x.key')}}}]) AS e FROM s),
+    k AS (SELECT doc_id, title, coalesce(list_reduce(e, lambda kept, x: CASE WHEN len(list_filter(kept, lambda o: o.key = x[1].key OR len(o.t) > 0 AND len(x[1].t) > 0 AND len(list_intersect(o.t, x[1].t)) >= {support.SAME_SENTENCE} * least(len(o.t), len(x[1].t)))) > 0 THEN kept ELSE list_concat(kept, x) END), []) AS kept FROM t WHERE len(e) > 0
+          UNION ALL SELECT doc_id, title, [] FROM t WHERE len(e) = 0),
+    c AS (SELECT doc_id, title, array_to_string(list_transform(kept, lambda x: x.s), ' ') AS clean FROM k),
+    m AS (SELECT *, trim(regexp_replace({sql_decoded('clean')}, '(?i)^(?:résumé|synthèse)\s*:\s*', '')) AS own, trim({sql_decoded('title')}) AS head, {_news_tokens(_key('clean'))} AS told FROM c),
+    n AS (SELECT *, {_news_tokens(_key('own'))} AS a, {_news_tokens(_key('head'))} AS b FROM m),
+    r AS (SELECT doc_id, clean, CASE WHEN length(clean) < {support.SUMMARY_CHARS} THEN 'too-short-or-boilerplate'
+        WHEN own <> '' AND head <> '' AND (regexp_matches(own, '(?i){support.INTRODUCTION.replace("'", "''")}') OR len(b) >= 4 AND len(a) >= 3 AND len(list_intersect(a, b)) >= {support.RESTATED} * len(b) AND len(list_filter(a, lambda x: NOT list_contains(b, x))) <= 3 AND length(own) <= greatest(190, 1.65 * length(head))) THEN 'title-restatement'
+        WHEN len(told) < {support.NEWS_TOKENS} AND length(clean) < {support.NEWS_CHARS} THEN 'low-information' END AS reason FROM n)
+    SELECT doc_id, CASE WHEN reason IS NULL THEN 'accepted' ELSE 'rejected' END AS quality, reason, CAST(CASE WHEN reason IS NULL THEN len({_SAID.replace("regexp_replace(summary,", "regexp_replace(clean,")}) ELSE 0 END AS BIGINT) AS n_sentences, sha256(CASE WHEN reason IS NULL THEN clean ELSE '' END) AS summary_sha256 FROM r"""
+)
 def summary_gate(spark, sf):
-    """Tested on stated texts."""
-    return support.final_gate(articles(spark, sf).select("doc_id", "title", "summary")).select("doc_id", "quality", "reason", "n_sentences", F.sha2("final_summary", 256).alias("summary_sha256"))
+    """Of whole texts."""
+    return support.final_gate(reports(spark, sf).select("doc_id", "title", "summary")).select("doc_id", "quality", "reason", "n_sentences", F.sha2("final_summary", 256).alias("summary_sha256"))
 
 
-_STOP_NEWS = ", ".join(f"'{w}'" for w in support.STOP_NEWS)
+#: Every seventh report begins with a toll that reports disagree on.
+_CLAIM = "CASE WHEN doc_id % 7 = 0 THEN concat('Le séisme du Japon a fait ', CAST(doc_id % 3 + 12 AS STRING), ' morts dans la province centrale. ', summary) ELSE summary END"
 
 
 @query(
-    f"""WITH parts AS (SELECT doc_id, source, CAST(epoch_ms(published_at) // 259200000 AS BIGINT) AS story, regexp_extract_all(trim(regexp_replace(summary, '\\s+', ' ', 'g')), '{support.PART.replace("'", "''")}') AS parts FROM articles),
+    f"""WITH claims AS (SELECT * REPLACE ({_CLAIM} AS summary) FROM reports), parts AS (SELECT doc_id, source, CAST(epoch_ms(published_at) // 259200000 AS BIGINT) AS story, regexp_extract_all(trim(regexp_replace(summary, '\\s+', ' ', 'g')), '{support.PART.replace("'", "''")}') AS parts FROM claims),
     each AS (SELECT doc_id, source, story, parts, unnest(parts) AS part, generate_subscripts(parts, 1) AS i FROM parts),
     ctx AS (SELECT doc_id, source, story, replace(regexp_replace(part, '[ .]', '', 'g'), ',', '.') AS value,
               string_split({_norm("array_to_string(parts[greatest(i - 6, 1):i + 6], ' ')")}, ' ') AS words FROM each WHERE regexp_matches(part, '^[0-9]')),
@@ -492,7 +528,7 @@ _STOP_NEWS = ", ".join(f"'{w}'" for w in support.STOP_NEWS)
     SELECT story, value_a, value_b, source_a, source_b, min(id_a) AS id_a, min(id_b) AS id_b FROM p GROUP BY ALL"""
 )
 def contradictions(spark, sf):
-    own = articles(spark, sf).withColumn("story", times.story_bucket(F.col("published_at")))
+    own = reports(spark, sf).withColumns({"story": times.story_bucket(F.col("published_at")), "summary": F.expr(_CLAIM)})
     return support.contradictions(support.numeric_contexts(own, "story", "source", "summary"))
 
 
@@ -500,17 +536,6 @@ def _stories(spark, sf):
     return articles(spark, sf).withColumn("story", text.normalise(F.col("title")))
 
 
-@query()
-def story_novelty(spark, sf):
-    """Each report of a story against its first one; tested on stated pairs."""
-    told = _stories(spark, sf)
-    none = F.array().cast("array<string>")
-    report = F.struct("title", "published_at", text.numeric_claims(F.col("summary")).alias("facts"), none.alias("actions"), none.alias("entities"), "doc_id")
-    first = told.groupBy("story").agg(F.min_by(report, F.struct("published_at", "doc_id")).alias("previous"))
-    pairs = told.select("doc_id", "story", report.alias("current")).join(first, "story").where("doc_id <> previous.doc_id")
-    return novelty.novelty(pairs).select("doc_id", F.col("previous.doc_id").alias("first_id"), "gap_minutes", "state", "delta", "confidence")
-
-
 @query(
     f"""WITH s AS (SELECT doc_id, published_at, {_norm('title')} AS story FROM articles WHERE published_at >= TIMESTAMP '{AS_OF}' - INTERVAL 14 DAY),
     n AS (SELECT story FROM s GROUP BY story ORDER BY max(row(published_at, doc_id)) DESC, story LIMIT 180)

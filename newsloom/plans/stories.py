@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from newsloom.functions import stories
+from newsloom.functions import stories, text
 from newsloom.operators import editorial, memory, novelty
-from newsloom.plans.adapters import AS_OF, headlines, now
+from newsloom.plans.adapters import AS_OF, headlines, now, reports
 from newsloom.plans.registry import query
 
 #: The last visit: what is older makes the stories that later articles are looked up in.
@@ -176,3 +176,21 @@ def story_lookup(spark, sf):
     return found.select(F.col("id").alias("doc_id"), "story", "how")
 
 
+
+
+_STORY = r"trim(regexp_replace(strip_accents(lower(trim(regexp_replace(title, '\\s+', ' ', 'g')))), '[^a-z0-9]+', ' ', 'g'))"
+
+
+@query(
+    f"""WITH {told_sql("reports", f"doc_id, published_at, {_STORY} AS story")},
+    firsts AS (SELECT story, arg_min(doc_id, (published_at, doc_id)) AS first_id FROM told GROUP BY story),
+    pairs AS (SELECT c.doc_id, p.doc_id AS first_id, {_SIDE("c")}, {_SIDE("p")} FROM told c JOIN firsts f ON f.story = c.story JOIN told p ON p.doc_id = f.first_id WHERE c.doc_id <> f.first_id){verdict_sql("pairs")}
+    SELECT doc_id, first_id, gap AS gap_minutes, v.state AS state, v.delta AS delta, v.confidence AS confidence FROM judged"""
+)
+def story_novelty(spark, sf):
+    """Each report of a story against its first one, by the facts, actions and entities of whole texts."""
+    told = with_told(reports(spark, sf)).withColumn("story", text.normalise(F.col("title")))
+    report = F.struct("title", "published_at", "facts", "actions", "entities", "doc_id")
+    first = told.groupBy("story").agg(F.min_by(report, F.struct("published_at", "doc_id")).alias("previous"))
+    pairs = told.select("doc_id", "story", report.alias("current")).join(first, "story").where("doc_id <> previous.doc_id")
+    return novelty.novelty(pairs).select("doc_id", F.col("previous.doc_id").alias("first_id"), "gap_minutes", "state", "delta", "confidence")

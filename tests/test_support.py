@@ -1,5 +1,8 @@
 """Gates of summaries on stated texts, and contradictions against all pairs."""
 
+import random
+import re
+
 from pyspark.sql import functions as F
 
 from newsloom.operators import support
@@ -40,8 +43,8 @@ def test_support_with_title(spark):
 
 
 def test_gate(spark):
-    df = spark.createDataFrame([(i, s, TITLE) for i, (s, *_) in enumerate(GATED)], "i int, summary string, title string")
-    got = sorted((r["i"], r["quality"], r["reason"], r["n_sentences"]) for r in support.final_gate(df).collect())
+    df = spark.createDataFrame([(i, s, TITLE) for i, (s, *_) in enumerate(GATED)], "doc_id int, summary string, title string")
+    got = sorted((r["doc_id"], r["quality"], r["reason"], r["n_sentences"]) for r in support.final_gate(df).collect())
     assert got == [(i, *rest) for i, (_, *rest) in enumerate(GATED)]
 
 
@@ -63,3 +66,32 @@ def test_contradictions_are_all_pairs(spark):
     contexts = spark.createDataFrame(found, "story string, source string, doc_id long, value string, context array<string>")
     got = {(r["story"], r["value_a"], r["value_b"], r["source_a"], r["source_b"]) for r in support.contradictions(contexts).collect()}
     assert got == want == {("s", "12", "15", "A", "B")}
+
+
+def test_sentences_of_long_texts_equal_the_loop(spark):
+    """Many sentences a text, repeated in whole, in part and in another order; texts don't touch one another."""
+    r = random.Random(4)
+    words = [f"parole{c}{d}" for c in "abcdef" for d in "xyz"]
+    rows = []
+    for k in range(6):
+        said = [" ".join(r.sample(words, r.randrange(2, 12))) for _ in range(60)]
+        said += [" ".join(sorted(s.split())) + r.choice(["", " bis", " encore nouveau"]) for s in r.sample(said, 30)] + ["Abonnez-vous à notre newsletter ici", "court"]
+        r.shuffle(said)
+        rows.append((k, ". ".join(said) + "."))
+    got = {x["doc_id"]: x["kept"] for x in support.distinct_sentences(spark.createDataFrame(rows, "doc_id int, summary string")).collect()}
+    for k, body in rows:
+        kept = []
+        for s in (p.strip() + "." for p in body.split(".") if p.strip()):
+            t = {w for w in re.sub("[^a-z0-9]+", " ", s.lower()).split() if len(w) >= 4}
+            if len(s) < 18 or s.startswith("Abonnez") or any(len(t & o) >= 0.9 * min(len(t), len(o)) or a == s for a, o in kept):
+                continue
+            kept.append((s, t))
+        assert got[k] == [s for s, _ in kept] and len(kept) < 85
+
+
+def test_contexts_of_a_long_text(spark):
+    """A number takes six parts on either side along, wherever it stands."""
+    body = " ".join(f"mot{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}xx {k}" for k in range(990))
+    got = support.numeric_contexts(spark.createDataFrame([(1, "s", "A", body)], "doc_id int, story string, source string, body string"), "story", "source", "body")
+    rows = {r["value"]: r["context"] for r in got.collect()}
+    assert len(rows) > 980 and all(3 <= len(c) <= 7 for c in rows.values())
