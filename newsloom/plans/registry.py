@@ -776,4 +776,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
-from newsloom.plans import editorial, reader, stories  # noqa: E402, F401  (add their queries)
+from newsloom.plans import editorial, groups, reader, stories  # noqa: E402, F401  (add their queries)
