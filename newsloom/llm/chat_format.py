@@ -10,8 +10,8 @@ Inside roles and texts the escape sign and `<`, `[`, `]` are written as the esca
 
 Defined cases: null texts count as empty, null roles as an empty role; null conv_ids are one conversation; a log
 without rows gives no conversations; equal rows of a turn table are messages of their own; ties of seq go by
-message_id; an unknown kind counts as `delta`. What is held at once is a message, then a conversation, which are
-single strings in the result.
+message_id; an unknown kind counts as `delta`; other columns, whatever their names, aren't read. A very long text is no
+case of its own: what is held at once is a message, then a conversation, which are single strings in the result.
 """
 
 from __future__ import annotations
@@ -46,6 +46,27 @@ def events_of_turns(turns: DataFrame) -> DataFrame:
     return own.select("conv_id", F.struct("turn", "role", F.xxhash64("text").alias("digest"), "copy").alias("message_id"), F.col("turn").alias("seq"), F.lit("delta").alias("kind"), "role", "text")
 
 
+def streamed(turns: DataFrame) -> DataFrame:
+    """A log as chats write it: a turn's text comes in three deltas, after a draft that an assistant regenerates and others edit.
+
+    The edit puts the first third in the draft's place; the steps of a turn follow one another in seq.
+    """
+    own = events_of_turns(turns)
+    third = F.ceil(F.length("text") / 3).cast("int")
+    part = lambda k: F.substring(F.col("text"), third * k + 1, third)
+    generated = F.col("role") == ASSISTANT
+    step = lambda kind, text: F.struct(kind.alias("kind"), text.alias("text"))
+    steps = F.array(
+        step(F.lit("delta"), F.concat(F.lit("[draft] "), F.reverse("text"))),
+        step(F.when(generated, "regenerate").otherwise("edit"), F.when(generated, "").otherwise(part(0))),
+        step(F.lit("delta"), F.when(generated, part(0)).otherwise("")),
+        step(F.lit("delta"), part(1)),
+        step(F.lit("delta"), part(2)),
+    )
+    each = own.select("conv_id", "message_id", "seq", "role", F.posexplode(steps).alias("step", "event"))
+    return each.select("conv_id", "message_id", F.struct("seq", "step").alias("seq"), "event.kind", "role", "event.text")
+
+
 def reconstruct(events: DataFrame) -> DataFrame:
     """One row per message: conv_id, message_id, first_seq, role (of its first event) and the folded text."""
     event = F.struct("seq", F.coalesce("kind", F.lit("delta")).alias("kind"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
@@ -96,5 +117,5 @@ def read_back(rendered: DataFrame) -> DataFrame:
 
 
 def format_chats(turns: DataFrame) -> DataFrame:
-    """Turn table -> rendered conversations, through the event log."""
-    return render(reconstruct(events_of_turns(turns)))
+    """Turn table -> rendered conversations, through a log of drafts, edits, regenerations and deltas."""
+    return render(reconstruct(streamed(turns)))

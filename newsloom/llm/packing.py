@@ -227,15 +227,15 @@ def pack(cut: DataFrame, *, capacity: int = CAPACITY, length_col: str = "length"
     kept = [c for c in cut.columns if c not in ("sequence_id", "offset")]
     order = F.struct(*order_by)
     own = cut.select(F.struct(*kept).alias("row"), F.col(length_col).cast("long").alias("length"), order.alias("key"), F.monotonically_increasing_id().alias("number"))
-    # ids may all be equal, so a row's number decides too
+    # ids may all be equal, so a row's number decides too: a task that is repeated ranks its rows as before
     ranked_rows = int(min(RANKED_ROWS, max(LEAST_RANKED, RANKED_SHARE * sum(counts.values()))))
     groups = {k: n for k, n in counts.items() if n > ranked_rows}  # capacity entries at most
     many = F.create_map(*[F.lit(x) for k, n in groups.items() for x in (int(k), -(-n // ranked_rows))])[F.col("length")] if groups else F.lit(None)
-    salted = own.withColumn("salt", F.pmod(F.xxhash64("key", "number"), F.coalesce(many.cast("long"), F.lit(1).cast("long")))).drop("number")
+    salted = own.withColumn("salt", F.pmod(F.xxhash64("key", "number"), F.coalesce(many.cast("long"), F.lit(1).cast("long"))))
     per = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = per.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    ranked = salted.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("key")))
+    ranked = salted.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("key", "number")))
     placed = ranked.join(starts, ["length", "salt"])
 
     @F.pandas_udf("sequence_id bigint, offset bigint")

@@ -1,24 +1,23 @@
 """Secret scans: base patterns, and formats inferred from the credentials that they label.
 
 A bounded, documented sample of documents gives labelled credentials and ordinary tokens. Credentials are clustered by
-a literal start that many share, or else by alphabet and length. For each cluster a prefix tree is built; subtrees that
-are too thin to be told apart are pooled by depth, and states whose symbols, ends and remaining lengths are
-statistically compatible all the way down (Hoeffding's bound) are merged into a probabilistic automaton. So a format
-keeps its literal start, its alphabet by place, and its length. Two bigram models of ordinary tokens, with digits and
-without, are the other side: a candidate's score is the gain in log-likelihood per character of its best format over
-them. Every candidate of every whole text is scored, and one over the threshold becomes a span of kind `format`; base
+a literal start that many share, or else by alphabet and length. For each cluster a prefix tree is built, in which
+siblings that are too thin to be told apart are one state, and states whose symbols are statistically compatible all the way down (Hoeffding's bound) are merged, whatever their depths, into
+a probabilistic automaton: a literal start stays a chain, a random rest becomes a loop. Lengths are a distribution of
+their own beside it, so the merge test doesn't see them. Two bigram models of ordinary tokens, with digits and without,
+are the other side: a candidate's score is the gain in log-likelihood per character of its best format over them. Every
+candidate of every whole text is scored, however long, and one over the threshold becomes a span of kind `format`; base
 spans always stay. Formats are learned from one half of the credentials; the threshold comes from the scores of all
 labelled credentials of the other half and of all other candidates of all documents, counted in bins.
 
 A candidate is a whole run of [A-Za-z0-9+/_=.-] between other characters that aren't letters, without `.`, `-`, `/` or
-`=` at its start and `.` or `-` at its end, of CANDIDATE_LEAST characters or more: fewer say too little. A run that is
-more than twice as long as the longest credential learned from fits no format.
+`=` at its start and `.` or `-` at its end, of CANDIDATE_LEAST characters or more: fewer say too little.
 
 Defined cases: a null text has no spans; ids may repeat or be null, and equal rows are learned from once; without
 MIN_FORMAT labelled credentials of one cluster no format spans are added; spans count code points, end exclusive; of
 spans with one start base kinds come first, in their order; a candidate that overlaps a base span isn't added again;
 other columns aren't read, and mask() leaves them as they are; an empty table gives an empty result. A text is read as
-one string by one task.
+one string by one task, in time that grows with its length: runs and base spans are merged as sorted lists.
 """
 
 from __future__ import annotations
@@ -27,7 +26,7 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -49,19 +48,23 @@ ASSIGN_LEAST, ACCESS_LEAST = 6, 20
 _KEYWORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
 
 #: A run of credential characters that no letter of another alphabet adjoins.
-CANDIDATE_LEAST = 12
+CANDIDATE_LEAST = 8
 RUN = re.compile(r"(?<![\w+/=.-])[A-Za-z0-9+/_=.-]{%d,}+(?!\w)" % CANDIDATE_LEAST)
 
 #: Bounds of the fit: documents of the sample, credentials of a base kind, ordinary tokens with and without digits, and
-#: the longest credential that is learned from.
+#: the first characters of a word that its format is learned from (its length counts whole).
 TRAIN_DOCS = 40_000
 TRAIN_PER_KIND = 2_000
 TRAIN_ORDINARY = 8_000
-LONGEST_LEARNED = 512
+LEARNED_CHARS = 512
 #: A format needs this many distinct credentials; a state with fewer visits than MIN_EVIDENCE is pooled with its like.
 MIN_FORMAT = 8
 MIN_EVIDENCE = 24
 ALPHA = 0.05
+#: The share of lengths that no credential of a format has had.
+OTHER_LENGTHS = 0.02
+#: Words up to so many characters are scored side by side, in tables of at most so many cells; longer ones one by one.
+SIDE_BY_SIDE, CELLS = 2048, 1 << 20
 #: What a false span costs against a missed credential, in shares of either; bins of scores; and the least gain.
 FALSE_COST = 10.0
 BIN_WIDTH, BINS = 0.02, 1000
@@ -89,31 +92,30 @@ def base_spans(text: str) -> list[tuple[int, int, str, str]]:
 
 @dataclass
 class Automaton:
-    """A probabilistic automaton: counts of symbols, ends and remaining characters by state, and moves; state 0 starts."""
+    """A probabilistic automaton: counts of symbols and ends by state, and moves; state 0 starts. lengths: of its words."""
 
     symbols: list[Counter] = field(default_factory=lambda: [Counter()])
     ends: list[int] = field(default_factory=lambda: [0])
     moves: list[dict[str, int]] = field(default_factory=lambda: [{}])
-    rest: list[tuple[float, float]] = field(default_factory=lambda: [(0.0, 0.0)])  # sum and sum of squares
+    lengths: Counter = field(default_factory=Counter)
 
     def _state(self) -> int:
         self.symbols.append(Counter())
         self.ends.append(0)
         self.moves.append({})
-        self.rest.append((0.0, 0.0))
         return len(self.ends) - 1
 
     @classmethod
-    def prefix_tree(cls, words: list[str], least: int = MIN_EVIDENCE) -> Automaton:
-        """The prefix tree of words, in which the children of a state that fewer than `least` words visit are one state."""
+    def prefix_tree(cls, words: list[str], lengths: list[int] | None = None, least: int = 1) -> Automaton:
+        """The prefix tree of words, in which children of a state that fewer than `least` words visit are one state: too
+        few to be told apart. lengths: the words' own, where a word is only a beginning."""
         tree, todo = cls(), [(0, words, 0)]
+        tree.lengths.update(lengths or map(len, words))
         while todo:
             at, own, depth = todo.pop()
             nexts: dict[str, list[str]] = defaultdict(list)
             for w in own:
-                left = len(w) - depth
-                tree.rest[at] = (tree.rest[at][0] + left, tree.rest[at][1] + left * left)
-                if left:
+                if len(w) > depth:
                     nexts[w[depth]].append(w)
                 else:
                     tree.ends[at] += 1
@@ -135,40 +137,36 @@ class Automaton:
     def total(self, state: int) -> int:
         return self.ends[state] + self.symbols[state].total()
 
-    def _rest_differs(self, a: int, b: int) -> bool:
-        """Whether the remaining lengths of two states differ by more than their spread allows."""
-        n, m = self.total(a), self.total(b)
-        mean, other = self.rest[a][0] / n, self.rest[b][0] / m
-        spread = max(0.0, self.rest[a][1] / n - mean * mean) / n + max(0.0, self.rest[b][1] / m - other * other) / m
-        return abs(mean - other) > 3 * math.sqrt(spread) + 0.25
-
-    def compatible(self, a: int, b: int, alpha: float, of) -> bool:
-        """Whether the futures of states a and b differ by no more than Hoeffding's bound, all the way down."""
-        todo, seen, width = [(a, b)], set(), math.sqrt(0.5 * math.log(2 / alpha))
+    def difference(self, a: int, b: int, alpha: float, of) -> float:
+        """By how much the next symbols of states a and b, and of all that follow, differ at most, as a share of
+        Hoeffding's bound; over 1 they aren't compatible."""
+        todo, seen, width, most = [(a, b)], set(), math.sqrt(0.5 * math.log(2 / alpha)), 0.0
         while todo:
             a, b = map(of, todo.pop())
             if a == b or (a, b) in seen:
                 continue
             seen.add((a, b))
-            n, m = self.total(a), self.total(b)
+            n, m = self.symbols[a].total(), self.symbols[b].total()
             if not n or not m:
                 continue
-            if self._rest_differs(a, b):
-                return False
-            most = width * (1 / math.sqrt(n) + 1 / math.sqrt(m))
-            if abs(self.ends[a] / n - self.ends[b] / m) > most:
-                return False
+            bound = width * (1 / math.sqrt(n) + 1 / math.sqrt(m))
             for c in self.symbols[a].keys() | self.symbols[b].keys():
-                if abs(self.symbols[a][c] / n - self.symbols[b][c] / m) > most:
-                    return False
+                most = max(most, abs(self.symbols[a][c] / n - self.symbols[b][c] / m) / bound)
                 if c in self.moves[a] and c in self.moves[b]:
                     todo.append((self.moves[a][c], self.moves[b][c]))
-        return True
+            if most > 1:
+                break
+        return most
+
+    def fit(self, state: int, other: int) -> float:
+        """The log-likelihood of the other state's next symbols under this one's."""
+        seen = self.symbols[state].total() + 1.0
+        return sum(n * math.log((self.symbols[state][c] + 0.01) / seen) for c, n in self.symbols[other].items())
 
     @classmethod
-    def infer(cls, words: list[str], alpha: float = ALPHA, least: int = MIN_EVIDENCE) -> Automaton:
-        """Merge the compatible states of the prefix tree of words, nearest to the start first."""
-        auto = cls.prefix_tree(words, least)
+    def infer(cls, words: list[str], alpha: float = ALPHA, lengths: list[int] | None = None, least: int = MIN_EVIDENCE) -> Automaton:
+        """Merge the compatible states of the prefix tree of words, the most visited first, each into the one that tells its symbols best."""
+        auto = cls.prefix_tree(words, lengths, least)
         parent = list(range(len(auto.ends)))
 
         def of(x: int) -> int:
@@ -188,7 +186,6 @@ class Automaton:
                 parent[b] = a
                 auto.ends[a] += auto.ends[b]
                 auto.symbols[a] += auto.symbols[b]
-                auto.rest[a] = (auto.rest[a][0] + auto.rest[b][0], auto.rest[a][1] + auto.rest[b][1])
                 for c, child in auto.moves[b].items():
                     if c in auto.moves[a]:
                         todo.append((auto.moves[a][c], child))
@@ -203,16 +200,22 @@ class Automaton:
             if not fringe:
                 break
             state = min(fringe, key=lambda x: (-auto.total(x), x))
-            same = next((k for k in kept if auto.compatible(k, state, alpha, of)), None)
-            if same is None:
-                kept.append(state)
+            alike = [k for k in kept if auto.difference(k, state, alpha, of) <= 1]
+            if alike:
+                merge(max(alike, key=lambda k: (auto.fit(k, state), -k)), state)
             else:
-                merge(same, state)
+                kept.append(state)
         place = {k: i for i, k in enumerate(kept)}
-        return cls([auto.symbols[k] for k in kept], [auto.ends[k] for k in kept], [{c: place[of(t)] for c, t in auto.moves[k].items()} for k in kept], [auto.rest[k] for k in kept])
+        return cls([auto.symbols[k] for k in kept], [auto.ends[k] for k in kept], [{c: place[of(t)] for c, t in auto.moves[k].items()} for k in kept], auto.lengths)
+
+    def log_length(self, sizes: np.ndarray) -> np.ndarray:
+        """Log-probabilities of lengths: mostly those seen, and a little of all others."""
+        seen = max(1, self.lengths.total())
+        share = np.fromiter((self.lengths[int(n)] / seen for n in sizes), float, len(sizes))
+        return np.log((1 - OTHER_LENGTHS) * share + OTHER_LENGTHS / (1.0 + sizes) ** 1.5)
 
-    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Log-probabilities of symbols and of an end by state, and moves, for whole batches.
+    def tables(self) -> tuple[np.ndarray, np.ndarray]:
+        """Log-probabilities of symbols by state, and moves, for whole batches.
 
         A state backs off to the format's characters as a whole, the more so the more different ones it has seen, and
         these a little to all others; a symbol without a move goes where most of the state's do.
@@ -231,16 +234,12 @@ class Automaton:
                 moves[k, _CODE[ord(c)]] = t
         whole = counts.sum(axis=0)
         common = 0.998 * (whole + 0.5 * (whole > 0)) / max((whole + 0.5 * (whole > 0)).sum(), 1e-9) + 0.002 / size
-        ends = np.array(self.ends, float)
-        rate = ends.sum() / max(whole.sum() + ends.sum(), 1.0)
         seen = counts.sum(axis=1)
-        end = (ends + rate) / (seen + ends + 1.0)
         kinds = 1.0 + (counts > 0).sum(axis=1)
-        share = (counts + kinds[:, None] * common) / (seen + kinds)[:, None]
-        return np.log(share) + np.log1p(-end)[:, None], np.log(end), moves
+        return np.log((counts + kinds[:, None] * common) / (seen + kinds)[:, None]), moves
 
     def log_likelihood(self, word: str) -> float:
-        return float(_likelihood([self.tables()], *_codes([word]))[0])
+        return float(_likelihood([self], [self.tables()], *_codes([word]))[0])
 
 
 def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -252,17 +251,26 @@ def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return out, sizes
 
 
-def _likelihood(formats: list[tuple[np.ndarray, np.ndarray, np.ndarray]], codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+def _likelihood(automata: list[Automaton], tables: list[tuple[np.ndarray, np.ndarray]], codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The log-likelihood of each word under its best format."""
     best = np.full(len(sizes), -np.inf)
-    for log_symbol, log_end, moves in formats:
-        state, total = np.zeros(len(sizes), np.int64), np.zeros(len(sizes))
-        for at in range(codes.shape[1]):
-            live = np.flatnonzero(sizes > at)
-            own, c = state[live], codes[live, at]
-            total[live] += log_symbol[own, c]
-            state[live] = moves[own, c]
-        best = np.maximum(best, total + log_end[state])
+    for own, (log_symbol, moves) in zip(automata, tables, strict=True):
+        if len(sizes) == 1:  # a long word by itself: plain steps
+            log_of, to = log_symbol.ravel().tolist(), (moves * log_symbol.shape[1]).ravel().tolist()
+            total, at = 0.0, 0
+            for low in range(0, codes.shape[1], 1 << 16):
+                for c in codes[0, low : low + (1 << 16)].tolist():
+                    total += log_of[at + c]
+                    at = to[at + c]
+            total = np.array([total])
+        else:
+            state, total = np.zeros(len(sizes), np.int64), np.zeros(len(sizes))
+            for at in range(codes.shape[1]):
+                live = np.flatnonzero(sizes > at)
+                c = codes[live, at]
+                total[live] += log_symbol[state[live], c]
+                state[live] = moves[state[live], c]
+        best = np.maximum(best, total + own.log_length(sizes))
     return best
 
 
@@ -283,7 +291,6 @@ class Formats:
     names: list[str]
     automata: list[Automaton]
     ordinary: list[np.ndarray]
-    longest: int
     threshold: float = math.inf
     recall: float = 0.0  # of labelled credentials of all documents that weren't learned from
     others: float = 0.0  # share of all other candidates over the threshold
@@ -292,25 +299,38 @@ class Formats:
         self.tables = [a.tables() for a in self.automata]
 
     def scores(self, words: list[str]) -> np.ndarray:
-        """The gain per character of the best format over ordinary tokens; -inf for what fits none by its length."""
-        out = np.full(len(words), -np.inf)
-        few = [i for i, w in enumerate(words) if len(w) <= self.longest]
-        if not few:
-            return out
+        """The gain per character of the best format over ordinary tokens, of each word; equal words are worked out once."""
+        place: dict[str, int] = {}
+        at = np.fromiter((place.setdefault(w, len(place)) for w in words), np.int64, len(words))
+        once = list(place)
+        out = np.zeros(len(once))
         # words of like length together, so that one long word doesn't stretch all
-        few.sort(key=lambda i: len(words[i]))
-        for low in range(0, len(few), 2048):
-            part = few[low : low + 2048]
-            codes, sizes = _codes([words[i] for i in part])
-            size = len(ALPHABET)
-            before = np.concatenate([np.full((len(part), 1), size), codes], axis=1)
-            after = np.concatenate([codes, np.full((len(part), 1), size)], axis=1)
-            last = np.arange(after.shape[1])[None, :] == sizes[:, None]
-            after[last] = size
-            inside = np.arange(after.shape[1])[None, :] <= sizes[:, None]
-            plain = np.logaddexp.reduce([np.where(inside, table[before, after], 0.0).sum(axis=1) - math.log(len(self.ordinary)) for table in self.ordinary], axis=0)
-            out[part] = (_likelihood(self.tables, codes, sizes) - plain) / (sizes + 1)
-        return out
+        order = sorted(range(len(once)), key=lambda i: len(once[i]))
+        low = 0
+        while low < len(order):
+            high = low + 1
+            while high < len(order) and len(once[order[high]]) <= SIDE_BY_SIDE and (high + 1 - low) * len(once[order[high]]) <= CELLS:
+                high += 1
+            part = order[low:high]
+            codes, sizes = _codes([once[i] for i in part])
+            out[part] = (_likelihood(self.automata, self.tables, codes, sizes) - self._plain(codes, sizes)) / (sizes + 1)
+            low = high
+        return out[at]
+
+    def _plain(self, codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The log-likelihood of each word as an ordinary token."""
+        size, sums = len(ALPHABET), np.zeros((len(self.ordinary), len(sizes)))
+        for low in range(0, codes.shape[1] + 1, max(1, CELLS // len(sizes))):
+            high = min(low + max(1, CELLS // len(sizes)), codes.shape[1] + 1)
+            before = np.full((len(sizes), high - low), size)
+            before[:, (low == 0) :] = codes[:, max(0, low - 1) : high - 1]
+            after = np.full((len(sizes), high - low), size)
+            after[:, : min(high, codes.shape[1]) - low] = codes[:, low : min(high, codes.shape[1])]
+            places = np.arange(low, high)[None, :]
+            after[places == sizes[:, None]] = size
+            for k, table in enumerate(self.ordinary):
+                sums[k] += np.where(places <= sizes[:, None], table[before, after], 0.0).sum(axis=1)
+        return np.logaddexp.reduce(sums - math.log(len(self.ordinary)), axis=0)
 
 
 def cluster(words: list[str]) -> dict[str, list[str]]:
@@ -336,14 +356,21 @@ def cluster(words: list[str]) -> dict[str, list[str]]:
     return found
 
 
+def literal_starts(names: Iterable[str]) -> tuple[str, ...]:
+    return tuple(name.removesuffix("...") for name in names if name.endswith("..."))
+
+
 def candidates(text: str, base: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str]]:
-    """(start, end, run) of the candidates of text that no base span overlaps."""
-    out = []
+    """(start, end, run) of the candidates of text that no base span (in order of start) overlaps."""
+    out, at, last = [], 0, -1
     for m in RUN.finditer(text):
         run = m[0].rstrip(".-")
         start = m.end() - len(m[0].lstrip(".-/="))
         end = m.start() + len(run)
-        if end - start >= CANDIDATE_LEAST and not any(s < end and start < e for s, e, _, _ in base):
+        while at < len(base) and base[at][0] < end:
+            last = max(last, base[at][1])
+            at += 1
+        if end - start >= CANDIDATE_LEAST and last <= start:
             out.append((start, end, text[start:end]))
     return out
 
@@ -367,22 +394,27 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", trai
                 found: Counter = Counter()
                 for text in part.column(0).to_pylist():
                     own = base_spans(text)
-                    found.update((k, w) for _, _, k, w in own if len(w) <= LONGEST_LEARNED)
-                    found.update(("digits" if any(map(str.isdigit, w)) else "letters", w) for _, _, w in candidates(text, own) if len(w) <= LONGEST_LEARNED)
-                kinds, words = zip(*found, strict=True) if found else ((), ())
-                yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(words, pa.string())], names=["kind", "word"])
+                    found.update((k, w[:LEARNED_CHARS], len(w)) for _, _, k, w in own)
+                    found.update(("digits" if any(map(str.isdigit, w)) else "letters", w[:LEARNED_CHARS], len(w)) for _, _, w in candidates(text, own))
+                kinds, words, sizes = zip(*found, strict=True) if found else ((), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(words, pa.string()), pa.array(sizes, pa.int32())], names=["kind", "word", "size"])
 
     sample = bounded_sample(source, ["id", "text"], train_docs)
-    told = materialise(arrow_map(sample.select("text"), label, "kind string, word string").distinct(), "credential-words")
+    told = materialise(arrow_map(sample.select("text"), label, "kind string, word string, size int").distinct(), "credential-words")
     held: dict[str, list[str]] = {}
+    sizes: dict[str, int] = {}
     for kind, most in (*((k, per_kind) for k in BASE_KINDS), ("digits", TRAIN_ORDINARY), ("letters", TRAIN_ORDINARY)):
-        held[kind] = [r["word"] for r in told.where(F.col("kind") == kind).select("word").orderBy(F.xxhash64("word", F.lit(5)), "word").limit(most).collect()]
+        rows = told.where(F.col("kind") == kind).groupBy("word").agg(F.max("size").alias("size")).orderBy(F.xxhash64("word", F.lit(5)), "word").limit(most).collect()
+        held[kind] = [r["word"] for r in rows]
+        sizes |= {r["word"]: r["size"] for r in rows}
     words = [w for k in BASE_KINDS for w in held[k]]
     known = cluster([w for w in words if learned_from(w)]) or cluster(words)
     if not known:
         return None
-    ordinary = [_bigrams(own) for own in (held["digits"], held["letters"]) if own] or [_bigrams([])]
-    formats = Formats(list(known), [Automaton.infer(own) for own in known.values()], ordinary, 2 * max(len(w) for own in known.values() for w in own))
+    starts = literal_starts(known)
+    plain = ([w for w in held[kind] if not w.startswith(starts)] for kind in ("digits", "letters"))  # unlabelled credentials aren't ordinary
+    ordinary = [_bigrams(own) for own in plain if own] or [_bigrams([])]
+    formats = Formats(list(known), [Automaton.infer(own, lengths=[sizes[w] for w in own]) for own in known.values()], ordinary)
     return calibrate(source, formats)
 
 
@@ -392,13 +424,14 @@ def calibrate(source: DataFrame, formats: Formats) -> Formats:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, held = shared.value, np.zeros((2, BINS), np.int64)
+        starts = literal_starts(own.names)  # candidates that begin so are no evidence against a format
         for batch in batches:
             for part in byte_slices(batch, 0, BATCH_BYTES):
                 known, other = [], []
                 for text in part.column(0).to_pylist():
                     base = base_spans(text)
                     known += [w for _, _, _, w in base if len(w) >= CANDIDATE_LEAST and not learned_from(w)]
-                    other += [w for _, _, w in candidates(text, base)]
+                    other += [w for _, _, w in candidates(text, base) if not w.startswith(starts)]
                 for row, words in enumerate((other, known)):
                     held[row] += np.bincount(_bin(own.scores(words)), minlength=BINS)
         which, at = np.nonzero(held)

@@ -74,7 +74,7 @@ def count_texts(texts: list[str], path: str, batch_bytes: int = BATCH_BYTES, chu
         for part in safe_chunks(text, chunk_chars) if splits and len(text) > chunk_chars else (text,):
             batch.append(part)
             owners.append(i)
-            held += len(part)
+            held += len(part) if part.isascii() else len(part.encode("utf-8", "surrogatepass"))
             if held >= batch_bytes:
                 flush()
                 held = 0

@@ -274,6 +274,18 @@ def test_packing_odd_tables(spark):
     assert packing.packed_pieces(no_docs(spark)).count() == 0
 
 
+def test_packing_rows_of_one_id_and_length(spark):
+    """Equal rows and ids: every piece has a place of its own, the same on every run."""
+    docs = spark.createDataFrame([(7, BASE)] * 300 + [(None, BASE)] * 50 + [(8, BASE), (8, BASE.replace(" ", "  "))], "doc_id bigint, text string").repartition(5)
+    packed = packing.packed_pieces(docs, keep_ids=False)
+    rows = packed.select("sequence_id", "offset", "length").collect()
+    assert len(rows) == 352 == len({(r["sequence_id"], r["offset"]) for r in rows})
+    by: dict = {}
+    for r in sorted(rows):
+        assert r["offset"] == by.get(r["sequence_id"], 0)
+        by[r["sequence_id"]] = r["offset"] + r["length"]
+
+
 def test_plan_places_every_piece_once():
     r = np.random.default_rng(6)
     for capacity, n in ((10, 50), (100, 3000), (4096, 20_000)):
@@ -294,6 +306,15 @@ def test_plan_places_every_piece_once():
 # -- chat formatting
 
 
+def test_op9_folds_drafts_edits_and_regenerations(spark):
+    turns = spark.createDataFrame([(1, 0, "user", "abcdefgh"), (1, 1, "assistant", "😀é1"), (1, 2, "user", None), (1, 3, "assistant", ""), (2, 0, "assistant", "x" * 200_001)], "conv_id long, turn long, role string, text string")
+    log = chat_format.streamed(turns.withColumn("message_id", F.lit("clash")).withColumn("kind", F.lit(1)))
+    kinds = {r["kind"]: r["count"] for r in log.groupBy("kind").count().collect()}
+    assert kinds == {"delta": 20, "edit": 2, "regenerate": 3}
+    told = {(r["conv_id"], r["first_seq"]["seq"]): r["text"] for r in chat_format.reconstruct(log).collect()}
+    assert told == {(1, 0): "abcdefgh", (1, 1): "😀é1", (1, 2): "", (1, 3): "", (2, 0): "x" * 200_001}
+
+
 def test_op9_is_its_sql(spark):
     same_as_sql(spark, "op9_chat_format")
 

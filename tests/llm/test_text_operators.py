@@ -2,8 +2,10 @@
 
 import base64
 import hashlib
+import random
 import re
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 
 from newsloom.llm import byte_bpe, language_id, quality_rules, queries, secret_scan, token_counts
 
-from .helpers import SF, documents, no_docs, odd_docs, odd_rows
+from .helpers import SF, documents, no_docs, odd_docs, odd_rows, prose
 
 
 def both(spark):
@@ -144,7 +146,7 @@ def test_formats_are_learned_from_labelled_credentials(spark):
     rows = [(i, f"{prose(60, i)} {others(i)} secret = {planted(r, kinds[i % 4])} {prose(20, i + 500)}") for i in range(160)]
     formats = secret_scan.fit(spark.createDataFrame(rows, "doc_id bigint, text string"))
     assert {"ghp_...", "sk_live_...", "eyJh...", "AKIA..."} <= set(formats.names) and formats.recall >= 0.9 and formats.others <= 0.01
-    assert all(len(a.ends) > 15 for name, a in zip(formats.names, formats.automata, strict=True) if name.endswith("..."))
+    assert all(len(a.ends) > 3 for name, a in zip(formats.names, formats.automata, strict=True) if name.endswith("..."))
     for kind in kinds:
         bare = [planted(r, kind) for _ in range(100)]
         found = [[s[3] for s in secret_scan.spans_of(f"{prose(9, k)} {w}. {prose(9, k)}", formats)] for k, w in enumerate(bare)]
@@ -171,6 +173,53 @@ def test_merged_automaton_reads_its_own_words():
     assert auto.log_likelihood("AK1234") > auto.log_likelihood("zzzzzz") + 10
 
 
+def test_states_of_different_depths_merge():
+    """A random rest is one loop, however deep its states lay; a literal start stays a chain; lengths are told apart beside it."""
+    r = random.Random(2)
+    words = ["".join(r.choice("0123456789abcdef") for _ in range(40)) for _ in range(300)]
+    tree, auto = secret_scan.Automaton.prefix_tree(words), secret_scan.Automaton.infer(words)
+    assert len(tree.ends) > 10_000 and len(auto.ends) <= 3
+    keyed = secret_scan.Automaton.infer(["ghp_" + w for w in words])
+    assert 5 <= len(keyed.ends) <= 8 and keyed.log_likelihood("ghp_" + words[0]) > keyed.log_likelihood("ghq_" + words[0]) + 5
+    assert auto.log_likelihood(words[0]) > auto.log_likelihood(words[0][:39]) + 2
+
+
+def test_every_candidate_is_scored_in_time_with_its_length():
+    import time
+
+    r = random.Random(8)
+    words = ["".join(r.choice("0123456789abcdef") for _ in range(40)) for _ in range(200)]
+    formats = secret_scan.Formats(["hex"], [secret_scan.Automaton.infer(words)], [secret_scan._bigrams([prose(1, k) for k in range(900)])], 0.5)
+    long = words[0] * 50 + "z"  # fifty times as long as any that was learned from
+    assert np.isfinite(formats.scores([long, "y" * 3_000_000])).all()
+    one_by_one = np.array([formats.scores([w])[0] for w in [*words[:9], long]])
+    assert np.allclose(formats.scores([*words[:9], long]), one_by_one)
+    took = {}
+    for n in (20_000, 80_000):
+        dense = " ".join(f"token={words[k % 200]} {words[k % 199][:30]}g{k}" for k in range(n // 40))
+        began = time.perf_counter()
+        spans = secret_scan.spans_of(dense, formats)
+        took[n] = time.perf_counter() - began
+        assert len(spans) >= n // 40
+    assert took[80_000] < 12 * took[20_000] + 1
+    began = time.perf_counter()
+    secret_scan.spans_of(" ".join(f"token={words[k % 200]} lorem ipsum dolor{k}" for k in range(300_000)), formats)
+    assert time.perf_counter() - began < 60  # 20 MB
+
+
+def test_op3_adds_spans_of_formats(spark, tmp_path):
+    """The query, on a table whose labelled credentials have a format that some stand without a label."""
+    r = random.Random(4)
+    rows = [(i, f"{prose(30, i)} secret = {planted(r, 'ghp')} {prose(20, 900 + i)}") for i in range(120)]
+    loose = {1000 + i: planted(r, "ghp") for i in range(20)}
+    rows += [(i, f"{prose(9, i)} {w} {prose(9, i)}") for i, w in loose.items()] + [(2000 + i, f"{prose(200, i)} order{i}2024 mail{i}@host.example.com 2024-01-{i % 28 + 1:02d}T10:00:00 4929{r.randrange(10**11, 10**12)}") for i in range(30)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {x["doc_id"]: x["spans"] for x in queries.op3_secret_scan(spark, str(tmp_path)).collect()}
+    texts = dict(rows)
+    assert sum(f"format:{texts[i].index(w)}:{texts[i].index(w) + len(w)}" in got[i].split(",") for i, w in loose.items()) >= 18
+    assert not any("format" in got[2000 + i] for i in range(30))
+
+
 # -- token counts
 
 
