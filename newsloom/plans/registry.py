@@ -545,14 +545,6 @@ def story_retention(spark, sf):
     return novelty.retain(_stories(spark, sf), "story", "published_at", now(), id_col="doc_id").select("doc_id")
 
 
-@query("SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'Corps de la page ' || page_id ELSE '' END AS body, CASE WHEN page_id % 2 = 0 THEN 'Chapeau ' || page_id ELSE '' END AS description FROM pages", articles_view=False)
-def json_ld(spark, sf):
-    """The tables' pages have no JSON-LD, so every other one gets some; also tested on stated pages."""
-    told = F.format_string('<script type="application/ld+json">{"@graph": [{"articleBody": "<b>Corps</b> de la  page %1$d"}, {"text": "court", "description": "Chapeau %1$d"}]}</script>', F.col("page_id"))
-    own = read(spark, sf, "pages").withColumn("html", F.when(F.col("page_id") % 2 == 0, F.concat(F.coalesce("html", F.lit("")), told)).otherwise(F.col("html")))
-    return extract.json_ld(own)
-
-
 def _terms(spark):
     return spark.createDataFrame(TERMS, "rule int, category string, term string")
 
@@ -776,4 +768,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
-from newsloom.plans import editorial, groups, reader, stories  # noqa: E402, F401  (add their queries)
+from newsloom.plans import editorial, groups, pages, reader, stories  # noqa: E402, F401  (add their queries)
