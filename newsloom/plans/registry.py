@@ -239,11 +239,6 @@ def stratified_sample(spark, sf):
     return selection.stratified(articles(spark, sf), ["source", "lang"], _newest()).select("doc_id", "source", "lang")
 
 
-@query(f"SELECT {_norm('source')} AS source, count(*) AS n, count(DISTINCT lang) AS langs, max(published_at) AS latest FROM articles GROUP BY 1")
-def source_directory(spark, sf):
-    return articles(spark, sf).groupBy(text.normalise(F.col("source")).alias("source")).agg(F.count("*").alias("n"), F.countDistinct("lang").alias("langs"), F.max("published_at").alias("latest"))
-
-
 _COVER = f"coalesce(len(list_intersect(list_distinct({_tokens('title')}), list_distinct({_tokens('summary')}))) / nullif(least(len(list_distinct({_tokens('title')})), len(list_distinct({_tokens('summary')}))), 0), 0.0)"
 
 
@@ -768,4 +763,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
-from newsloom.plans import editorial, groups, pages, reader, stories  # noqa: E402, F401  (add their queries)
+from newsloom.plans import digests, editorial, groups, pages, reader, stories  # noqa: E402, F401  (add their queries)
