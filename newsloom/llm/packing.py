@@ -38,7 +38,7 @@ END_ID = 1
 RANKED_SHARE, RANKED_ROWS, LEAST_RANKED = 1 / 1024, 1 << 16, 64
 BATCH_BYTES = 1 << 20
 #: Bytes of each memo's generation.
-MEMO_BYTES = 24 << 20
+MEMO_BYTES = 48 << 20
 
 _PARTS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
 _ODD = re.compile(r"[^ \nA-Za-zÀ-ÖØ-öø-ÿ0-9!-&(-/:-@\[-`{-~]")
