@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -65,21 +65,30 @@ def normalise_terms(x: Column) -> Column:
     return normalise(own)
 
 
+def _bound(x: Column, use: Callable[[Column], Column]) -> Column:
+    """use(x), with x worked out once however often use names it."""
+    return F.element_at(F.transform(F.array(x), use), 1)
+
+
 def _decode_codes(x: Column, pattern: str, base: int) -> Column:
     """Numeric references as characters of 16 bits (halves of a pair become U+FFFD)."""
     code = lambda c: F.coalesce((c.try_cast("decimal(38,0)") if base == 10 else F.conv(c, 16, 10).try_cast("decimal(38,0)")) % 65536, F.lit(0)).cast("int")
     sign = lambda n: F.decode(F.unhex(F.lpad(F.hex(F.when(n.between(0xD800, 0xDFFF), 0xFFFD).otherwise(n)), 4, "0")), "UTF-16BE")
-    signs = F.transform(F.regexp_extract_all(x, F.lit(pattern), F.lit(1)), lambda c: sign(code(c)))
-    joined = F.zip_with(F.split(x, pattern), signs, lambda part, own: F.concat(F.coalesce(part, F.lit("")), F.coalesce(own, F.lit(""))))
-    return F.when(F.contains(x, F.lit("&#")), F.array_join(joined, "")).otherwise(x)
+    signs = lambda v: F.transform(F.regexp_extract_all(v, F.lit(pattern), F.lit(1)), lambda c: _bound(code(c), sign))
+    joined = lambda v: F.array_join(F.zip_with(F.split(v, pattern), signs(v), lambda part, own: F.concat(F.coalesce(part, F.lit("")), F.coalesce(own, F.lit("")))), "")
+    return _bound(x, lambda v: F.when(F.contains(v, F.lit("&#")), joined(v)).otherwise(v))
 
 
 def decode_entities(x: Column) -> Column:
-    """CDATA sections opened, then named entities, then decimal and hexadecimal references."""
-    x = F.regexp_replace(x, CDATA, "$1")
-    for names, sign in ENTITIES:
-        x = F.regexp_replace(x, f"(?i){names}", sign)
-    return _decode_codes(_decode_codes(x, "&#([0-9]+);", 10), "(?i)&#x([0-9a-f]+);", 16)
+    """CDATA sections opened, then named entities, then decimal and hexadecimal references; texts without either pass as they are."""
+
+    def decoded(v: Column) -> Column:
+        v = F.regexp_replace(v, CDATA, "$1")
+        for names, sign in ENTITIES:
+            v = F.regexp_replace(v, f"(?i){names}", sign)
+        return _decode_codes(_decode_codes(v, "&#([0-9]+);", 10), "(?i)&#x([0-9a-f]+);", 16)
+
+    return _bound(x, lambda v: F.when(F.contains(v, F.lit("&")) | F.contains(v, F.lit("<![CDATA[")), decoded(v)).otherwise(v))
 
 
 def strip_html(x: Column) -> Column:
