@@ -187,3 +187,27 @@ def test_brief_day_picks_are_the_sequential_form(spark):
         picked += [r for r in own if r not in picked][: 5 - len(picked)]
         want |= {r["doc_id"]: i for i, r in enumerate(picked, 1)}
     assert {r["doc_id"]: r["pick"] for r in registry.brief_day_picks(spark, SF).collect()} == want
+
+
+def test_essential_picks_are_the_sequential_form(spark):
+    """Of the last 40 hours: two of a category and of a source at most, no two of one event, then filled up to four."""
+    rows = sorted((r.asDict() for r in registry._brief_scored(spark, SF).where(F.col("published_at") >= F.lit("2024-01-29 08:00:00").cast("timestamp")).withColumn("at", F.unix_millis("published_at")).collect()), key=lambda r: (-r["score"], -r["at"], r["doc_id"]))
+    picked: list[dict] = []
+    for r in rows:
+        alike = any(len({*p["words"]} & {*r["words"]}) >= max(2, 0.28 * min(len(p["words"]), len(r["words"]))) for p in picked)
+        if len(picked) < 6 and not alike and all(sum(p[c] == r[c] for p in picked) < 2 for c in ("category_hint", "source")):
+            picked.append(r)
+    picked += [r for r in rows if r not in picked][: max(0, 4 - len(picked))]
+    assert {r["doc_id"]: r["pick"] for r in registry.essential_picks(spark, SF).collect()} == {r["doc_id"]: i for i, r in enumerate(picked, 1)}
+
+
+def test_unseen_drops_what_came_before(spark, tmp_path):
+    """The first row of each key, over two micro-batches."""
+    from newsloom.streaming import state
+
+    kind = "k string, at timestamp, n int"
+    for n in range(2):
+        spark.createDataFrame([(k, f"2024-01-0{1 + n} 10:00:00", n) for k in "aab"[n:] + "c" * n], "k string, at string, n int").withColumn("at", F.col("at").cast("timestamp")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = state.unseen(spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), "k", "at")
+    stream.writeStream.foreachBatch(lambda df, b: df.write.mode("append").parquet(str(tmp_path / "out"))).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    assert sorted((r["k"], r["n"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [("a", 0), ("b", 0), ("c", 1)]
