@@ -57,6 +57,11 @@ def plain_topic(x: str) -> str:
     return " ".join("".join(c if c in "abcdefghijklmnopqrstuvwxyz0123456789" else " " for c in plain).split())
 
 
+def fold_known(x: str, keep: str = "") -> str:
+    """normalise(), keeping some signs, of a value that is known beforehand."""
+    return " ".join("".join(c if c in "abcdefghijklmnopqrstuvwxyz0123456789" + keep else " " for c in _without_marks(x)).split())
+
+
 def normalise_terms(x: Column) -> Column:
     """As normalise(), with both ligatures written out."""
     own = F.coalesce(x, F.lit(""))

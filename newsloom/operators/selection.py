@@ -71,6 +71,32 @@ def stratified(df: DataFrame, strata: list[str], order: list[Column], each: int
     return df.withColumn("_rank", F.row_number().over(Window.partitionBy(*strata).orderBy(*order))).where(F.col("_rank") <= each).drop("_rank")
 
 
+def audit_sample(df: DataFrame, strata: list[Column], order: list[Column], limit: int, *, id_col: str = "doc_id") -> DataFrame:
+    """The sample of a pass over strata: of each the first row of every value that isn't chosen yet, values by their first
+    rows, then the first rows of all; `limit` rows, with pick (from 1).
+
+    order has ascending columns and ends in what tells rows apart. A stratum is two aggregations by its values; chosen rows
+    are `limit` at most, so they are broadcast.
+    """
+    key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)])
+    own = cut(df.select(F.col(id_col).alias("_id"), key.alias("_key"), *[s.alias(f"_s{i}") for i, s in enumerate(strata)]))
+    chosen = df.sparkSession.createDataFrame([], own.select("_id").withColumn("pick", F.lit(0)).schema)
+    for i in range(len(strata) + 1):
+        have = chosen.count()
+        if have >= limit:
+            break
+        left = own.join(F.broadcast(chosen.select("_id")), "_id", "left_anti")
+        if i < len(strata):
+            first = own.groupBy(f"_s{i}").agg(F.min("_key").alias("_first"))
+            best = left.groupBy(f"_s{i}").agg(F.min_by("_id", "_key").alias("_id"))
+            found = first.join(best, first[f"_s{i}"].eqNullSafe(best[f"_s{i}"])).select("_id", F.col("_first").alias("_place"))
+        else:
+            found = left.select("_id", F.col("_key").alias("_place"))
+        some = found.orderBy("_place").limit(limit - have)
+        chosen = cut(chosen.unionByName(some.select("_id", (F.row_number().over(Window.orderBy("_place")) + have).alias("pick"))))
+    return df.join(F.broadcast(chosen), F.col(id_col) == F.col("_id")).drop("_id")
+
+
 def running_cut(df: DataFrame, key: str, order: list[Column], size: Column, most: int) -> DataFrame:
     """Rows of each key as long as the sum of their sizes stays within most."""
     total = F.sum(size).over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))

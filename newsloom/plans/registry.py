@@ -763,4 +763,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
-from newsloom.plans import digests, editorial, groups, pages, reader, stories  # noqa: E402, F401  (add their queries)
+from newsloom.plans import access, digests, editorial, groups, pages, reader, stories  # noqa: E402, F401  (add their queries)
