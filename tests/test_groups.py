@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from newsloom.functions import digests
-from newsloom.operators import groups
+from newsloom.operators import editorial, groups
 from newsloom.streaming import shared
 
 ROWS = "key string, name string, told string, updated_at timestamp, expires_at timestamp"
@@ -41,6 +41,36 @@ def test_equal_keys_reach_all_earlier_rows_in_few_rounds(spark):
     assert got.rounds <= 12
 
 
+def test_alike_titles_give_few_pairs_and_the_same_groups(spark):
+    """Short titles that are part of many: pairs grow with rows, and what can be reached is the same as by all pairs."""
+    r = random.Random(7)
+    words = [f"mot{k}" for k in range(30)]
+    rows = []
+    for k in range(900):
+        own = r.sample(words, r.choice((0, 1, 1, 2, 3, 5, 8)))
+        rows.append((k, -k, r.choice(("Politique", "International", "", None)), None if r.random() < 0.01 else 1_700_000_000 - k * 1000, ["seisme", "japon", "bilan", "province", "centrale"][: r.choice((3, 4, 5))] + own))
+    frame = spark.createDataFrame(rows, "id long, neg long, category string, s long, tokens array<string>").select("id", F.struct(-F.col("s").alias("t"), "id").alias("ord"), "category", F.timestamp_seconds("s").alias("published_at"), "tokens")
+    order = sorted(rows, key=lambda x: (x[3] is not None, -(x[3] or 0), x[0]))
+    place, families = {x[0]: k for k, x in enumerate(order)}, [set(f) for f in editorial.FAMILIES]
+
+    def linked(a, b):
+        common = len(set(a[4]) & set(b[4]))
+        fits = not a[2] or not b[2] or a[2] == b[2] or any({a[2], b[2]} <= f for f in families)
+        near = a[3] is None or b[3] is None or abs(a[3] - b[3]) <= 72 * 3600
+        least, union = min(len(a[4]), len(b[4])), len(a[4]) + len(b[4]) - common
+        return fits and near and (common >= 5 and common / least >= 0.68 and common / union >= 0.44 or common >= 4 and common / least >= 0.8)
+
+    pairs, label = {(a[0], b[0]) for k, a in enumerate(order) for b in order[:k] if linked(a, b)}, {}
+    for a in order:
+        found = [label[b[0]] for b in order[: place[a[0]]] if (a[0], b[0]) in pairs]
+        label[a[0]] = min(found, key=place.get) if found else a[0]
+    edges = groups.alike_edges(frame)
+    got = {(x["a"], x["b"]) for x in edges.collect()}
+    assert all((a, b) in pairs or (b, a) in pairs for a, b in got)
+    assert len(got) < len(pairs) / 2
+    assert {x["id"]: x["group"] for x in groups.any_member_groups(frame.select("id", "ord"), edges).groups.collect()} == label
+
+
 def looped_hash(x: str, seed: int) -> int:
     raw, h = x.encode("utf-16-be"), seed
     for k in range(0, len(raw), 2):
