@@ -79,14 +79,22 @@ def _number_words(x: Column) -> Column:
     return F.filter(F.array(*[F.when(plain(x).rlike(rf"(?<!-)\b{w}\b(?!-)"), F.lit(n)) for w, n in NUMBER_WORDS.items()]), lambda v: v.isNotNull())
 
 
+def _held(own: Column, theirs: Column, use=lambda x: x) -> Column:
+    """How many of own are in theirs, repetitions counted; theirs is worked out once, not for each of own."""
+    return text._bound(theirs, lambda v: F.size(F.filter(own, lambda t: F.array_contains(v, use(t)))))
+
+
+def _share(n: Column, share: float, total: Column) -> Column:
+    """n >= share * total, exactly: 0.28 * 25 is more than 7 in binary."""
+    return 1000 * n >= round(1000 * share) * total
+
+
 def _words_held(summary: Column, source: Column, own_least: int, source_least: int, exact_least: int, alike_least: int, exact_share: float, alike_share: float) -> Column:
     """Whether enough of summary's words with meaning, or of their stems, are in source, by number or by share."""
     own, theirs = meaningful(summary), meaningful(source)
-    exact = F.size(F.filter(own, lambda t: F.array_contains(theirs, t)))
-    stems = F.transform(theirs, stem)
-    alike = F.size(F.filter(own, lambda t: F.array_contains(stems, stem(t))))
+    exact, alike = _held(own, theirs), _held(own, F.transform(theirs, stem), stem)
     n = F.size(own)
-    return (n >= own_least) & (F.size(theirs) >= source_least) & ((exact >= exact_least) | (alike >= alike_least) | (exact >= exact_share * n) | (alike >= alike_share * n))
+    return (n >= own_least) & (F.size(theirs) >= source_least) & ((exact >= exact_least) | (alike >= alike_least) | _share(exact, exact_share, n) | _share(alike, alike_share, n))
 
 
 def _figures_held(summary: Column, source: Column) -> Column:
@@ -111,14 +119,14 @@ def supported_with_title(summary: Column, source: Column, title: Column) -> Colu
 def token_share_supported(summary: Column, source: Column, least: int = 8, share: float = 0.28) -> Column:
     """Whether summary has `least` words with meaning and that share of them, repetitions counted, is in source."""
     own, theirs = meaningful(summary), meaningful(source)
-    return (F.size(own) >= least) & (F.size(theirs) > 0) & (F.size(F.filter(own, lambda t: F.array_contains(theirs, t))) >= share * F.size(own))
+    return (F.size(own) >= least) & (F.size(theirs) > 0) & _share(_held(own, theirs), share, F.size(own))
 
 
 def restates_title(summary: Column, title: Column) -> Column:
     own, head = F.trim(F.regexp_replace(text.decode_entities(F.coalesce(summary, F.lit(""))), r"(?iu)^(?:résumé|synthèse)\s*:\s*", "")), F.trim(text.decode_entities(F.coalesce(title, F.lit(""))))
     a, b = news_tokens(own), news_tokens(head)
     enough = (F.size(b) >= 4) & (F.size(a) >= 3)
-    close = (F.size(F.array_intersect(a, b)) >= RESTATED * F.size(b)) & (F.size(F.array_except(a, b)) <= 3) & (F.length(own) <= F.greatest(F.lit(190.0), F.length(head) * 1.65))
+    close = _share(F.size(F.array_intersect(a, b)), RESTATED, F.size(b)) & (F.size(F.array_except(a, b)) <= 3) & (F.length(own) <= F.greatest(F.lit(190.0), F.length(head) * 1.65))
     return (own != "") & (head != "") & (says(own, INTRODUCTION) | (enough & close))
 
 

@@ -95,3 +95,10 @@ def test_contexts_of_a_long_text(spark):
     got = support.numeric_contexts(spark.createDataFrame([(1, "s", "A", body)], "doc_id int, story string, source string, body string"), "story", "source", "body")
     rows = {r["value"]: r["context"] for r in got.collect()}
     assert len(rows) > 980 and all(3 <= len(c) <= 7 for c in rows.values())
+
+
+def test_shares_are_exact(spark):
+    """7 of 25 words are 28 %, though 0.28 * 25 is more than 7 in binary."""
+    words = [f"parole{chr(97 + k)}" for k in range(25)]
+    row = spark.createDataFrame([(" ".join(words), " ".join(words[:7]), " ".join(words[:6]))], "a string, b string, c string")
+    assert row.select(support.token_share_supported(F.col("a"), F.col("b")), support.token_share_supported(F.col("a"), F.col("c"))).first()[:] == (True, False)
