@@ -78,3 +78,15 @@ def test_stream_and_batch_windows_agree(spark):
     run.awaitTermination(120)
     key = lambda df: sorted((r["window_start"], r["event_type"], r["n"]) for r in df.collect())
     assert key(spark.table("windows")) == key(state.windowed_counts(events))
+
+
+def test_candidates_are_not_shuffled(spark):
+    """A pair of sets is judged where it meets: nothing is made distinct afterwards, and each pair is given once."""
+    from newsloom.operators import clustering
+
+    sets = {k: {f"w{x}" for x in (k % 7, k % 5 + 7, k % 3 + 12, k + 20, 99)[: k % 4 + 2]} for k in range(120)}
+    frame = spark.createDataFrame([(k, sorted(v)) for k, v in sets.items()], "id long, tokens array<string>")
+    got = clustering.similar_sets(frame, 60)
+    assert "Aggregate" not in got._jdf.queryExecution().optimizedPlan().toString()
+    want = sorted((a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 60 * min(len(sets[a]), len(sets[b])))
+    assert sorted(map(tuple, got.collect())) == want
