@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions import text
 from newsloom.storage import cut
-from newsloom.operators.clustering import leader_clusters, similar_sets
+from newsloom.operators.clustering import by_rarity, leader_clusters, similar_sets, tails
 from newsloom.operators.events import says
 
 #: Words that don't count as meaning, and as news.
@@ -144,9 +144,8 @@ def distinct_sentences(summaries: DataFrame, summary: str = "summary", *, id_col
     cut_up = summaries.select(F.col(id_col).alias("own"), F.posexplode(text.sentences(text.clean(F.col(summary)))).alias("place", "s"))
     said = cut_up.where((F.length("s") >= SENTENCE_CHARS) & ~is_boilerplate(F.col("s"))).withColumn("key", F.trim(F.regexp_replace(plain(F.col("s")), "[^a-z0-9]+", " "))).where("key <> ''")
     first = cut(said.groupBy("own", "key").agg(F.min("place").alias("place"), F.min_by("s", "place").alias("s")))
-    name = lambda t: F.concat_ws(" ", F.col("own").cast("string"), t)  # noqa: E731  a token of this text
-    nodes = first.select(F.struct("own", "place").alias("id"), F.struct("own", "place").alias("ord"), F.transform(news_tokens(F.col("key")), name).alias("tokens"))
-    leaders = leader_clusters(nodes, similar_sets(nodes, round(100 * SAME_SENTENCE))).where("id = leader").select("id.own", "id.place")
+    nodes = first.select("own", F.struct("own", "place").alias("id"), F.struct("own", "place").alias("ord"), news_tokens(F.col("key")).alias("tokens"))
+    leaders = leader_clusters(nodes, similar_sets(nodes, round(100 * SAME_SENTENCE), ["own"])).where("id = leader").select("id.own", "id.place")
     kept = first.join(leaders, ["own", "place"]).groupBy("own").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "s"))), lambda x: x["s"]).alias("kept"))  # a text is a row again
     return kept.select(F.col("own").alias(id_col), "kept")
 
@@ -190,21 +189,21 @@ def numeric_contexts(items: DataFrame, story: str, source: str, body: str, *, id
 def contradictions(contexts: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
     """numeric_contexts() -> story, values, sources and ids: different values of two sources in like contexts, one row for each pair of values and sources.
 
-    Equal contexts of one story are one node. Similar ones share a rare word of the smaller context, so pairs come from
-    an equi-join on that; then each node's distinct values and sources are compared.
+    Equal contexts of one story are one node. Contexts of one size whose rarest possible common word begins the same tail
+    are a hub: all of them are like each context that shares enough of the tail. So values and sources of a hub are
+    gathered once on either side, and only those meet, not contexts.
     """
-    keyed = contexts.withColumn("context", F.array_sort("context"))
-    told = keyed.groupBy("story", "context", "value", "source").agg(F.min(id_col).alias("first_id"))
-    nodes = told.select("story", "context").distinct().withColumn("n", F.size("context"))
-    words = nodes.select("story", "context", "n", F.explode("context").alias("word"))
-    rarity = words.groupBy("story", "word").agg(F.count("*").alias("df"))
-    needed = F.greatest(F.lit(CONTEXT_LEAST), F.ceil(F.col("n") * CONTEXT_SHARE))
-    rare = words.join(rarity, ["story", "word"]).withColumn("place", F.row_number().over(Window.partitionBy("story", "context").orderBy("df", "word"))).where(F.col("place") <= F.col("n") - needed + 1)
-    small = rare.select("story", "word", F.col("context").alias("a"), F.col("n").alias("an"))
-    large = words.select("story", "word", F.col("context").alias("b"), F.col("n").alias("bn"))
-    common = F.size(F.array_intersect("a", "b"))
-    near = small.join(large, ["story", "word"]).where("an <= bn").select("story", "a", "b", "an").distinct().where((common >= CONTEXT_LEAST) & (common >= CONTEXT_SHARE * F.col("an"))).select("story", "a", "b")
-    of = lambda side: told.select("story", F.col("context").alias(side), F.struct("value", "source", "first_id").alias(f"{side}_told"))
-    both = near.join(of("a"), ["story", "a"]).join(of("b"), ["story", "b"]).where("a_told.value <> b_told.value and a_told.source <> b_told.source")
-    low, high = F.least("a_told", "b_told"), F.greatest("a_told", "b_told")
+    told = cut(contexts.withColumn("context", F.array_sort("context")).groupBy("story", "context", "value", "source").agg(F.min(id_col).alias("first_id")))
+    nodes = cut(by_rarity(told.select("story", F.col("context").alias("id"), F.col("context").alias("tokens")).distinct(), ["story"]).withColumn("n", F.size("tokens")))
+    needed = F.greatest(F.lit(CONTEXT_LEAST), F.ceil(F.col("n") * round(100 * CONTEXT_SHARE) / 100).cast("int"))
+    hubs = nodes.where(F.col("n") >= CONTEXT_LEAST).select("story", "n", F.explode(tails(F.col("tokens"), needed)).alias("tail")).distinct().withColumn("token", F.get("tail", F.lit(0)))
+    others = nodes.select("story", F.col("id").alias("context"), F.col("tokens").alias("held"), F.col("n").alias("m"), F.explode("tokens").alias("token"))
+    alike = F.exists(F.array(F.size(F.array_intersect("tail", "held"))), lambda c: (c >= CONTEXT_LEAST) & _share(c, CONTEXT_SHARE, F.col("n")))
+    small = (F.col("n") == F.col("m")) & (F.slice("held", F.array_position("held", F.col("token")).cast("int"), F.col("m")) == F.col("tail"))
+    met = hubs.join(others, ["story", "token"]).where("n <= m").where(alike).select("story", F.md5(F.concat_ws("|", "n", F.array_join("tail", " ")).cast("binary")).alias("hub"), "context", small.alias("small"))
+    sides = met.join(told, ["story", "context"]).groupBy("story", "hub", "value", "source").agg(F.min("first_id").alias("first_id"), F.min(F.when(F.col("small"), F.col("first_id"))).alias("small_id"))
+    sides = cut(sides)
+    a = sides.where("small_id is not null").select("story", "hub", F.struct("value", "source", F.col("small_id").alias("first_id")).alias("a"))
+    both = a.join(sides.select("story", "hub", F.struct("value", "source", "first_id").alias("b")), ["story", "hub"]).where("a.value <> b.value and a.source <> b.source")
+    low, high = F.least("a", "b"), F.greatest("a", "b")
     return both.select("story", low.alias("x"), high.alias("y")).groupBy("story", F.col("x.value").alias("value_a"), F.col("y.value").alias("value_b"), F.col("x.source").alias("source_a"), F.col("y.source").alias("source_b")).agg(F.min("x.first_id").alias("id_a"), F.min("y.first_id").alias("id_b"))

@@ -102,3 +102,17 @@ def test_shares_are_exact(spark):
     words = [f"parole{chr(97 + k)}" for k in range(25)]
     row = spark.createDataFrame([(" ".join(words), " ".join(words[:7]), " ".join(words[:6]))], "a string, b string, c string")
     assert row.select(support.token_share_supported(F.col("a"), F.col("b")), support.token_share_supported(F.col("a"), F.col("c"))).first()[:] == (True, False)
+
+
+def test_contexts_meet_as_hubs(spark):
+    """Values and sources are gathered before they meet: no pair of contexts is compared in the join that gives the rows."""
+    rows = [("s", f"src{k % 3}", k, str(k % 2), ["japon", "morts", "province", f"mot{k}"]) for k in range(40)]
+    got = support.contradictions(spark.createDataFrame(rows, "story string, source string, doc_id long, value string, context array<string>"))
+    assert "array_intersect" not in got._jdf.queryExecution().optimizedPlan().toString()
+    want = {}
+    for _, s, i, v, _ in rows:
+        for _, t, j, w, _ in rows:
+            if s != t and v < w:
+                a, b = want.get((v, w, s, t), (i, j))
+                want[v, w, s, t] = (min(a, i), min(b, j))
+    assert {(r["value_a"], r["value_b"], r["source_a"], r["source_b"]): (r["id_a"], r["id_b"]) for r in got.collect()} == want
