@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.functions import text
+from newsloom.operators.clustering import by_rarity
 from newsloom.storage import cut
 
 GAP_HOURS, UPDATE_HOURS = 36, 2
@@ -149,17 +150,20 @@ def event_edges(view: DataFrame, order: DataFrame) -> DataFrame:
     Every rule wants half of the shorter title's tokens and three at least, so one of its rarest slots must be shared.
     """
     live = view.where(F.col("n") >= LEAST_TOKENS)
-    each = live.select("id", "n", "at", F.explode("slots").alias("slot"))
-    rarity = each.groupBy("slot").agg(F.count("*").alias("df"))
-    needed = F.greatest(F.lit(LEAST_COMMON), F.ceil(F.col("n") * LEAST_COVERAGE))
-    rare = each.join(rarity, "slot").withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("df", "slot"))).where(F.col("place") <= F.col("n") - needed + 1)
+    held = cut(by_rarity(live.select("id", F.col("slots").alias("tokens"))).join(live.select("id", "n", "at"), "id"))
+    needed = F.greatest(F.lit(LEAST_COMMON), F.ceil(F.col("n") * LEAST_COVERAGE).cast("int"))
     bucket = F.floor(F.col("at") / (GAP_HOURS * 3_600_000))
     unknown = F.lit(-(1 << 40))
-    small = rare.select(F.col("id").alias("small"), F.col("n").alias("small_n"), "slot", "at", bucket.alias("bucket"))
-    large = each.select(F.col("id").alias("large"), F.col("n").alias("large_n"), "slot", F.when(F.col("at") == 0, unknown).otherwise(bucket).alias("bucket"))
+    shared = lambda last: F.explode(F.slice("tokens", F.col("lone") + 1, F.greatest(last - F.col("lone"), F.lit(0)))).alias("slot")  # noqa: E731  slots of one title alone meet nothing
+    small = held.select(F.col("id").alias("small"), "tokens", F.col("n").alias("small_n"), "at", shared(F.col("n") - needed + 1), bucket.alias("bucket"))
+    large = held.select(F.col("id").alias("large"), F.col("tokens").alias("others"), F.col("n").alias("large_n"), F.col("at").alias("large_at"), shared(F.col("n")), F.when(F.col("at") == 0, unknown).otherwise(bucket).alias("bucket"))
     dated = small.where("at <> 0").withColumn("bucket", F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1, unknown))).join(large, ["slot", "bucket"])
     undated = small.where("at = 0").drop("bucket").join(large.drop("bucket"), "slot")
-    pairs = dated.select("small", "large", "small_n", "large_n").unionByName(undated.select("small", "large", "small_n", "large_n")).where("small <> large and small_n <= large_n").select(F.least("small", "large").alias("x"), F.greatest("small", "large").alias("y")).distinct()
+    # a pair is judged where its first common slot meets, so it is found once and no candidates are shuffled
+    enough = F.exists(F.array(F.array_intersect("tokens", "others")), lambda c: (F.get(c, F.lit(0)) == F.col("slot")) & (F.size(c) >= LEAST_COMMON) & (F.size(c) >= LEAST_COVERAGE * F.col("small_n")))
+    near = f"(at = 0 or large_at = 0 or abs(at - large_at) <= {GAP_HOURS * 3_600_000}) and (small_n < large_n or small_n = large_n and small < large)"
+    found = lambda met: met.where(near).where(enough).select(F.least("small", "large").alias("x"), F.greatest("small", "large").alias("y"))
+    pairs = found(dated).unionByName(found(undated))
     rows = live.select("id", F.struct("tokens", "slots", "n", "at", "markers", "claims").alias("row")).join(order, "id")
     of = lambda side: rows.select(F.col("id").alias(side), F.col("row").alias(f"{side}_row"), F.col("ord").alias(f"{side}_ord"))
     both = pairs.join(of("x"), "x").join(of("y"), "y")
