@@ -17,6 +17,7 @@ from newsloom.functions import text
 from newsloom.operators import novelty as precise
 from newsloom.operators.editorial import compatible_categories
 from newsloom.operators.selection import ranked
+from newsloom.storage import cut
 
 
 @dataclass(frozen=True)
@@ -71,7 +72,8 @@ def best_earlier(articles: DataFrame, like: Likeness, most: int, *, days: int =
 
 def refine(articles: DataFrame, *, most: int = REFINED_MOST, days: int = MEMORY_DAYS) -> DataFrame:
     """articles (id, scope, refresh, title, published_at, tokens, facts, actions, entities) -> id, previous_id, state, delta, reason, confidence."""
-    return verdicts(articles, best_earlier(articles, REFINED, most, days=days))
+    own = cut(articles.select("id", "scope", "refresh", "title", "published_at", "tokens", "facts", "actions", "entities"))  # its patterns are looked for once
+    return verdicts(own, best_earlier(own, REFINED, most, days=days))
 
 
 def verdicts(articles: DataFrame, matched: DataFrame) -> DataFrame:
