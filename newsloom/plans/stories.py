@@ -8,6 +8,7 @@ from newsloom.functions import stories, text
 from newsloom.operators import editorial, memory, novelty
 from newsloom.plans.adapters import AS_OF, headlines, now, reports
 from newsloom.plans.registry import query
+from newsloom.storage import cut
 
 #: The last visit: what is older makes the stories that later articles are looked up in.
 VISIT_DAYS, STORIES_MOST = 3, 180
@@ -189,7 +190,8 @@ _STORY = r"trim(regexp_replace(strip_accents(lower(trim(regexp_replace(title, '\
 )
 def story_novelty(spark, sf):
     """Each report of a story against its first one, by the facts, actions and entities of whole texts."""
-    told = with_told(reports(spark, sf)).withColumn("story", text.normalise(F.col("title")))
+    made = with_told(reports(spark, sf)).withColumn("story", text.normalise(F.col("title")))
+    told = cut(made.select("doc_id", "story", "title", "published_at", "facts", "actions", "entities"))  # texts are read once
     report = F.struct("title", "published_at", "facts", "actions", "entities", "doc_id")
     first = told.groupBy("story").agg(F.min_by(report, F.struct("published_at", "doc_id")).alias("previous"))
     pairs = told.select("doc_id", "story", report.alias("current")).join(first, "story").where("doc_id <> previous.doc_id")

@@ -103,3 +103,12 @@ def test_memory_keeps_the_newest_of_each_scope(spark):
     young = [r for r in rows if (dt.date(2024, 1, 6) - r[2]).days <= 3]
     want = {(s, r[0]) for s in ("fr", "en") for r in sorted((r for r in young if r[1] == s), key=lambda r: (r[2], r[0]))[-5:]}
     assert {tuple(r) for r in got} == want
+
+
+def test_texts_are_read_once(spark):
+    """Memories and verdicts read stored facts: no pattern is looked for again by their uses."""
+    from newsloom.plans import registry
+
+    for name in ("story_memory", "story_novelty"):
+        plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "regexp_extract_all" not in plan, name
