@@ -2,19 +2,17 @@
 
 Shards are chunks of a task's texts of one language. Two passes read the texts, each in whole:
 
-1. Each shard counts its words and short phrases (FILTER_WORDS) by 64-bit hash; summed over all shards, the hashes that
-   are frequent set bits in a filter of FILTER_BITS (a fixed size, whatever the table). A hash that two phrases share, or
-   a filter that fills up, lets more through and loses nothing.
+1. Each shard counts its words and short phrases (FILTER_WORDS). They are summed over all shards, as text, so the counts
+   are exact; at most FILTER_WORDS rows for each word are made, whatever is frequent. The frequent ones are candidates,
+   and the hashes of their phrases set PROBES bits each in a filter of FILTER_BITS (a fixed size, whatever the table).
+   Phrases that share bits, or a filter that fills up, let more through and lose nothing.
 2. Each shard cuts its pieces wherever a short phrase is certainly too rare, since no frequent one holds a rare one,
    and builds the generalised suffix automaton of what is left. Its states are the classes of substrings with the same end
    positions; the tree of suffix links is the tree of the reversed prefixes, so sorting those (up to `most_words` deep)
-   gives states, lengths, links and end-position counts at once. States list their substrings, with counts; the counts
-   are summed over all shards, as text, so they are exact.
-
-Of the summed phrases those with `least` occurrences are the candidates. A phrase lies in a longer one with as many
-occurrences if and only if it does in one longer by a word, as counts can only fall on the way; so each candidate tells
-its suffix (its suffix link, across shards) and its prefix (that of the reversed text) its own count, and who hears its
-own count goes. Scores are integer divisions of 38-digit decimals.
+   gives states, lengths, links and end-position counts at once. Only the states in which prefixes end are told, with
+   how many end there: one row for each word at most, not one for each substring. These are summed over all shards, as
+   text, and only then handed on to their suffixes, down to those one word longer than what the first pass has counted;
+   all that share such a suffix meet in one partition.
 
 Defined cases: a null text counts as empty, a null language as UNDETERMINED (with rows that say so); rows that repeat
 count each; words and phrases are compared as UTF-8 bytes; ties go by score, count and phrase, which no two rows of a
@@ -24,8 +22,9 @@ a shard by itself. Ranks are taken in salted groups first, so that no language i
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +42,7 @@ PERCENT = 100  # a phrase goes if a longer one has this share of its occurrences
 SHARD_BYTES = 8 << 20
 #: Bits of the filter, and the longest phrases that it knows.
 FILTER_BITS, FILTER_WORDS = 1 << 26, 2
+PROBES = 3
 SALTS = 64
 OUT_ROWS = 1 << 16
 
@@ -56,6 +56,16 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def word_hashes(lang: str, words: list[bytes]) -> np.ndarray:
+    seed = xxhash.xxh3_64_intdigest(lang)
+    return np.fromiter((xxhash.xxh3_64_intdigest(w, seed=seed) for w in words), np.uint64, len(words))
+
+
+def joined_hashes(hashes: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Of phrases and the words that follow them."""
+    return _mix(hashes * np.uint64(0x9E3779B97F4A7C15) + words)
+
+
 @dataclass(frozen=True)
 class Shard:
     """Words of texts in order: ids into vocabulary, and whether each one begins a piece."""
@@ -66,15 +76,28 @@ class Shard:
     vocabulary: pa.Array
 
     def word_hashes(self) -> np.ndarray:
-        seed = xxhash.xxh3_64_intdigest(self.lang)
-        return np.fromiter((xxhash.xxh3_64_intdigest(w, seed=seed) for w in self.vocabulary.to_pylist()), np.uint64, len(self.vocabulary))
+        return word_hashes(self.lang, self.vocabulary.to_pylist())
+
+    def phrases(self, ends: np.ndarray, words: int) -> pa.Array:
+        """The phrases of so many words that end at these positions, space-joined."""
+        parts = [self.vocabulary.take(pa.array(self.ids[ends - back])) for back in range(words - 1, -1, -1)]
+        return pc.binary_join_element_wise(*parts, pa.scalar(b" ", self.vocabulary.type))
+
+    def phrase_counts(self, known: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For 2 to known words: the phrases, each by a position where it ends, and their counts."""
+        ends, own = np.arange(len(self.ids)), self.ids
+        for k in range(2, known + 1):
+            longer = (ends[1:] == ends[:-1] + 1) & ~self.begins[ends[1:]]
+            own, ends = own[:-1][longer] * len(self.vocabulary) + self.ids[ends[1:][longer]], ends[1:][longer]
+            _, firsts, own, counts = np.unique(own, return_index=True, return_inverse=True, return_counts=True)
+            yield k, ends[firsts], counts
 
     def phrase_hashes(self, words: np.ndarray, known: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For 2 to known words: the positions where such a phrase ends, and its hash."""
         ends, hashes = np.arange(len(self.ids)), words[self.ids]
         for _ in range(2, known + 1):
             longer = (ends[1:] == ends[:-1] + 1) & ~self.begins[ends[1:]]
-            hashes = _mix(hashes[:-1][longer] * np.uint64(0x9E3779B97F4A7C15) + words[self.ids[ends[1:][longer]]])
+            hashes = joined_hashes(hashes[:-1][longer], words[self.ids[ends[1:][longer]]])
             ends = ends[1:][longer]
             yield ends, hashes
 
@@ -139,6 +162,11 @@ class Automaton:
             own = (below < k) & (self.length >= k)
             yield k, self.end[own], self.count[own]
 
+    def prefixes(self) -> np.ndarray:
+        """Of each state: how many prefixes (up to the depth) end in it, which are its end positions without its children's."""
+        inner = self.link >= 0
+        return self.count - np.bincount(self.link[inner], self.count[inner], len(self.count)).astype(np.int64)
+
 
 def automaton(ids: np.ndarray, reach: np.ndarray, depth: int) -> Automaton:
     """Of runs of word ids (reach: how many words the longest phrase that ends at a position has), by sorting the reversed
@@ -182,22 +210,58 @@ def automaton(ids: np.ndarray, reach: np.ndarray, depth: int) -> Automaton:
     return Automaton(*(np.concatenate(x).astype(np.int64) for x in (length, end, count, link)))
 
 
-def _hash_counts(batches: Iterator[pa.RecordBatch], known: int, size: int) -> Iterator[pa.RecordBatch]:
-    """(hash, n) of the words and short phrases of each shard."""
-    for own in shards(batches, size):
-        words = own.word_hashes()
-        phrases = (np.unique(hashes, return_counts=True) for _, hashes in own.phrase_hashes(words, known))
-        for hashes, counts in ((words, np.bincount(own.ids, minlength=len(words))), *phrases):
-            for low in range(0, len(hashes), OUT_ROWS):
-                part = slice(low, low + OUT_ROWS)
-                yield pa.RecordBatch.from_arrays([pa.array(hashes[part].view(np.int64)), pa.array(counts[part])], names=["hash", "n"])
+def _counted(source: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """lang, words, phrase, n as run tells them; as bytes until here, since Arrow checks strings and a text may hold any bytes."""
+    return arrow_map(source, run, "lang string, words int, phrase binary, n bigint").withColumn("phrase", F.col("phrase").cast("string"))
+
+
+def _count_rows(lang: str, words: int, phrases: pa.Array, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for low in range(0, len(n), OUT_ROWS):
+        some = phrases.slice(low, OUT_ROWS).cast(pa.binary())
+        rows = len(some)
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * rows, pa.string()), pa.array(np.full(rows, words, np.int32)), some, pa.array(n[low : low + rows].astype(np.int64))], names=["lang", "words", "phrase", "n"])
 
 
-def frequent_filter(source: DataFrame, least: int, bits: int = FILTER_BITS, known: int = FILTER_WORDS, size: int = SHARD_BYTES) -> np.ndarray:
-    """A filter of the hashes with `least` occurrences: words of 64 bits, bits of them in all."""
-    counts = arrow_map(source, lambda batches: _hash_counts(batches, known, size), "hash bigint, n bigint").groupBy("hash").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    bit = F.pmod("hash", F.lit(bits))
-    words = counts.groupBy(F.floor(bit / 64).cast("int").alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST(pmod(hash, {bits}) % 64 AS INT))")).alias("bits"))
+def short_counts(source: DataFrame, least: int, known: int = FILTER_WORDS, size: int = SHARD_BYTES) -> DataFrame:
+    """lang, words, phrase, n of all words and phrases of known words at most with `least` occurrences; a language's number of words as words 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own in shards(batches, size):
+            yield from _count_rows(own.lang, 0, pa.array([b""], pa.binary()), np.array([len(own.ids)]))
+            yield from _count_rows(own.lang, 1, own.vocabulary, np.bincount(own.ids, minlength=len(own.vocabulary)))
+            for k, ends, n in own.phrase_counts(known):
+                for low in range(0, len(n), OUT_ROWS):
+                    part = slice(low, low + OUT_ROWS)
+                    yield from _count_rows(own.lang, k, own.phrases(ends[part], k), n[part])
+
+    return _counted(source, run).groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | (F.col("words") == 0))
+
+
+def _bits(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """(at, bits) of the phrases of (lang, phrase) rows, in a filter of so many words of 64 bits."""
+    for batch in batches:
+        by_lang: dict[tuple[str, int], list[list[bytes]]] = {}
+        for lang, phrase in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
+            parts = phrase.split(b" ")
+            by_lang.setdefault((lang, len(parts)), []).append(parts)
+        for (lang, _), phrases in by_lang.items():
+            first, *rest = (word_hashes(lang, words) for words in zip(*phrases, strict=True))
+            for words in rest:
+                first = joined_hashes(first, words)
+            at = np.concatenate(list(probes(first, size)))
+            yield pa.RecordBatch.from_arrays([pa.array((at >> 6).astype(np.int32)), pa.array(np.int64(1) << (at & 63))], names=["at", "bits"])
+
+
+def probes(hashes: np.ndarray, size: int) -> Iterator[np.ndarray]:
+    """PROBES bits of each hash, in a filter of so many words of 64 bits."""
+    for _ in range(PROBES):
+        yield (hashes % np.uint64(size * 64)).astype(np.int64)
+        hashes = _mix(hashes + np.uint64(0x9E3779B97F4A7C15))
+
+
+def frequent_filter(phrases: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
+    """A filter of (lang, phrase) rows: words of 64 bits, bits of them in all."""
+    words = arrow_map(phrases, lambda batches: _bits(batches, bits // 64), "at int, bits bigint").groupBy("at").agg(F.bit_or("bits").alias("bits"))
     found = words.toArrow()  # bits / 64 rows at most
     out = np.zeros(bits // 64, np.int64)
     out[found.column("at").to_numpy()] = found.column("bits").to_numpy()
@@ -205,28 +269,27 @@ def frequent_filter(source: DataFrame, least: int, bits: int = FILTER_BITS, know
 
 
 def passes(frequent: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    at = hashes.view(np.int64) % (len(frequent) * 64)
-    return (frequent[at >> 6] >> (at & 63)) & 1 == 1
+    out = np.ones(len(hashes), bool)
+    for at in probes(hashes, len(frequent)):
+        out &= (frequent[at >> 6] >> (at & 63)) & 1 == 1
+    return out
 
 
-def _phrase_counts(own: Shard, frequent: np.ndarray, most_words: int, known: int) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
-    """(words, phrases, counts) of a shard: its number of words as words 0, words by themselves, and phrases."""
-    yield 0, pa.array([b""], pa.binary()), np.array([len(own.ids)])
-    words = own.word_hashes()
-    counts = np.bincount(own.ids, minlength=len(words))
-    likely = np.flatnonzero(passes(frequent, words))
-    yield 1, own.vocabulary.take(pa.array(likely)), counts[likely]
+def _long_phrases(own: Shard, frequent: np.ndarray, most_words: int, known: int) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
+    """(words, phrases, counts) of a shard: the longest phrases that may end at its positions, of more than known words."""
     joined = np.zeros((known + 1, len(own.ids)), bool)  # by words: whether a phrase of so many may end here
-    for k, (ends, hashes) in enumerate(own.phrase_hashes(words, known), 2):
+    for k, (ends, hashes) in enumerate(own.phrase_hashes(own.word_hashes(), known), 2):
         joined[k, ends] = passes(frequent, hashes)
         if k > 2:  # a hash may pass by chance: a phrase needs both of its parts
             joined[k, 1:] &= joined[k - 1, 1:] & joined[k - 1, :-1]
     stays = joined[2].copy()
     stays[:-1] |= joined[2, 1:]
     at = np.flatnonzero(stays)
-    for k, ends, n in automaton(own.ids[at], reaches(joined[:, at]), most_words).substrings(2):
-        parts = [own.vocabulary.take(pa.array(own.ids[at[ends - back]])) for back in range(k - 1, -1, -1)]
-        yield k, pc.binary_join_element_wise(*parts, pa.scalar(b" ", own.vocabulary.type)), n
+    states = automaton(own.ids[at], reaches(joined[:, at]), most_words)
+    ending = states.prefixes()
+    for k in range(known + 1, most_words + 1):
+        told = (states.length == k) & (ending > 0)
+        yield k, own.phrases(at[states.end[told]], k), ending[told]
 
 
 def reaches(joined: np.ndarray) -> np.ndarray:
@@ -242,20 +305,23 @@ def reaches(joined: np.ndarray) -> np.ndarray:
     return places - last + np.minimum(least, len(joined) - 1)[last]
 
 
-def phrase_counts(source: DataFrame, frequent: np.ndarray, most_words: int = MOST_WORDS, known: int = FILTER_WORDS, size: int = SHARD_BYTES) -> DataFrame:
-    """lang, words, phrase (binary), n over all shards; phrases that are certainly rare may be missing."""
+def long_counts(source: DataFrame, frequent: np.ndarray, least: int, most_words: int = MOST_WORDS, known: int = FILTER_WORDS, size: int = SHARD_BYTES) -> DataFrame:
+    """lang, words, phrase, n of all phrases of more than known words with `least` occurrences."""
     shared = source.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for own in shards(batches, size):
-            for k, phrases, n in _phrase_counts(own, shared.value, most_words, known):
-                for low in range(0, len(n), OUT_ROWS):
-                    some = phrases.slice(low, OUT_ROWS).cast(pa.binary())
-                    rows = len(some)
-                    yield pa.RecordBatch.from_arrays([pa.array([own.lang] * rows, pa.string()), pa.array(np.full(rows, k, np.int32)), some, pa.array(n[low : low + rows].astype(np.int64))], names=["lang", "words", "phrase", "n"])
+            for k, phrases, n in _long_phrases(own, shared.value, most_words, known):
+                yield from _count_rows(own.lang, k, phrases, n)
 
-    found = arrow_map(source, run, "lang string, words int, phrase binary, n bigint")
-    return found.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"))
+    last = lambda k: F.substring_index("phrase", " ", -k)
+    ending = _counted(source, run).withColumn("least_suffix", last(known + 1)).repartition("lang", "least_suffix")
+    ending = ending.groupBy("lang", "least_suffix", "words", "phrase").agg(F.sum("n").alias("n"))
+    # a phrase is frequent only if its suffix is; most of them go here
+    kept = ending.withColumn("of_suffix", F.sum("n").over(Window.partitionBy("lang", "least_suffix"))).where(F.col("of_suffix") >= least)
+    kept = materialise(kept.select("lang", "words", "phrase", "n"), "ending")
+    levels = [kept.where(F.col("words") >= k).groupBy("lang", F.lit(k).alias("words"), last(k).alias("phrase")).agg(F.sum("n").alias("n")).where(F.col("n") >= least) for k in range(known + 1, most_words + 1)]
+    return reduce(DataFrame.unionByName, levels)
 
 
 def collocations(docs: DataFrame, *, lang_col: str = "lang", text_col: str = "text", least: int = LEAST, most_words: int = MOST_WORDS, top: int = TOP, percent: int = PERCENT, filter_bits: int = FILTER_BITS, filter_words: int = FILTER_WORDS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -263,8 +329,10 @@ def collocations(docs: DataFrame, *, lang_col: str = "lang", text_col: str = "te
     if percent != 100:
         raise ValueError("subsumption goes by equal counts: percent has to be 100")
     source = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(UNDETERMINED)).alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
-    counts = phrase_counts(source, frequent_filter(source, least, filter_bits, filter_words, shard_bytes), most_words, filter_words, shard_bytes)
-    known = materialise(counts.where((F.col("n") >= least) | (F.col("words") == 0)).withColumn("phrase", F.col("phrase").cast("string")), "phrases")
+    known = materialise(short_counts(source, least, min(filter_words, most_words), shard_bytes), "short")
+    if most_words > filter_words:
+        frequent = frequent_filter(known.where(F.col("words") >= 2).select("lang", "phrase"), filter_bits)
+        known = known.unionByName(materialise(long_counts(source, frequent, least, most_words, filter_words, shard_bytes), "long"))
     candidates = known.where("words >= 2").select("lang", F.split("phrase", " ").alias("parts"), "phrase", F.col("n").alias("a"))
     piece = lambda start, size: F.array_join(F.slice("parts", start, size), " ")
     size = F.size("parts")

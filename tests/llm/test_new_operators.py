@@ -215,3 +215,55 @@ def test_op13_reaches():
     """A pair that can't end at a position leaves one word there, a triple that can't leaves two."""
     joined = np.array([[0] * 8, [0] * 8, [0, 1, 1, 1, 0, 1, 1, 1], [0, 0, 1, 1, 0, 0, 0, 1]], bool)
     assert collocations.reaches(joined).tolist() == [1, 2, 3, 4, 1, 2, 2, 3]
+
+
+@pytest.mark.parametrize("words", [2000, 10000])
+def test_op13_tells_each_word_once(spark, monkeypatch, words):
+    """The pass over longer phrases makes a row for each word at most, though nearly all phrases of few words are frequent."""
+    r = random.Random(3)
+    rows = [("en", " ".join(r.choice("abcdefgh") for _ in range(40))) for _ in range(words // 40)]
+    made, mapped = [], collocations.arrow_map
+
+    def counting(source, run, schema):
+        made.append(rows_made := spark.sparkContext.accumulator(0))
+
+        def counted(batches):
+            for batch in run(batches):
+                rows_made.add(len(batch))
+                yield batch
+
+        return mapped(source, counted, schema)
+
+    monkeypatch.setattr(collocations, "arrow_map", counting)
+    docs = spark.createDataFrame([(k, t, lang) for k, (lang, t) in enumerate(rows)], "doc_id bigint, text string, lang string").coalesce(1)
+    got = collocations.collocations(docs, least=2).collect()
+    assert {tuple(x) for x in got} == brute_collocations(rows, 2)
+    assert 0 < made[-1].value <= words
+
+
+def test_op13_prefix_states():
+    """What ends in each state, against the longest phrases that end at each position."""
+    r = random.Random(2)
+    ids = np.array([r.randrange(3) for _ in range(80)])
+    reach = np.array([1 + k % 7 for k in range(80)])
+    own = collocations.automaton(ids, reach, 4)
+    got = {tuple(ids[e - k + 1 : e + 1]): int(n) for k, e, n in zip(own.length, own.end, own.prefixes(), strict=True) if n}
+    assert got == Counter(tuple(ids[i - min(n, 4) + 1 : i + 1]) for i, n in enumerate(reach))
+
+
+def test_op13_filter_lets_few_rare_phrases_through(spark):
+    """Of a filter with a bit in 22 set, a rare phrase has to meet several."""
+    phrases = [f"{k} {k % 7}" for k in range(1000)]
+    frequent = collocations.frequent_filter(spark.createDataFrame([("en", p) for p in phrases], "lang string, phrase string"), bits=1 << 16)
+    own = collocations.shard("en", [p.encode() for p in phrases] + [f"x{k} {k % 7}".encode() for k in range(20000)])
+    _, hashes = next(own.phrase_hashes(own.word_hashes(), 2))
+    passed = collocations.passes(frequent, hashes)
+    assert passed[:1000].all() and passed[1000:].sum() <= 20
+
+
+def test_op13_short_phrases_only(spark):
+    rows = [("en", "a b a b c a b")] * 3
+    docs = spark.createDataFrame([(k, t, lang) for k, (lang, t) in enumerate(rows)], "doc_id bigint, text string, lang string")
+    for most in (2, 3):
+        got = collocations.collocations(docs, least=3, most_words=most).collect()
+        assert {tuple(x) for x in got} == brute_collocations(rows, 3, most_words=most)
