@@ -21,6 +21,8 @@ from newsloom.llm.queries import held_out
 ORACLE_SQL = None
 LEAST_SCORE = 0.5
 NEAR_PERCENT = 80
+#: Smaller memos than op8's: here the executors' heaps have grown full in the stages before.
+PACKING_MEMO_BYTES = 16 << 20
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +54,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents with their places in sequences."""
-    return packing.packed_pieces(docs, keep_ids=False)
+    return packing.packed_pieces(docs, keep_ids=False, memo_bytes=PACKING_MEMO_BYTES)
 
 
 STAGES = [("language", language), ("quality", quality), ("near_duplicates", near_duplicates), ("secrets", secrets), ("packing", pack)]

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import arrow_map, bounded_batches, byte_slices, of_worker, row_hash
+from newsloom.llm.common import arrow_map, bounded_batches, byte_slices, of_worker, release_memory, row_hash
 
 UNDETERMINED = "und"
 N_BUCKETS = 1 << 15
@@ -158,6 +158,7 @@ def verdicts(docs: DataFrame, model: Model, *, text_col: str = "text"):
                 langs += names
                 shares.append(share)
             yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(np.concatenate(shares) if shares else [], pa.float64())], names=["lang_pred", "score"])
+        release_memory()
 
     return verdict(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import Memo, arrow_map, byte_slices, materialise, of_worker
+from newsloom.llm.common import Memo, arrow_map, byte_slices, materialise, of_worker, release_memory
 
 CAPACITY = 4096
 END_ID = 1
@@ -39,6 +39,8 @@ RANKED_SHARE, RANKED_ROWS, LEAST_RANKED = 1 / 1024, 1 << 16, 64
 BATCH_BYTES = 1 << 20
 #: Bytes of each memo's generation.
 MEMO_BYTES = 48 << 20
+#: Bytes of texts after which a task gives freed memory back, as it does at its end.
+RELEASE_BYTES = 16 << 20
 
 _PARTS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
 _ODD = re.compile(r"[^ \nA-Za-zÀ-ÖØ-öø-ÿ0-9!-&(-/:-@\[-`{-~]")
@@ -98,7 +100,7 @@ class WordTokenizer:
         return out
 
 
-def pieces(docs: DataFrame, tokenizer: str | None = None, *, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str | None = None, *, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", memo_bytes: int = MEMO_BYTES) -> DataFrame:
     """One row per piece: id_col, piece, start, length and ids (little-endian unsigned 32-bit, in bytes)."""
     path = tokenizer or public_tokenizers.path("word_bpe_49k.json")
     source = docs.select(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -106,7 +108,8 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, *, capacity: int = CAP
     names = [id_col, "piece", "start", "length", "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = of_worker(("packing", path), lambda: WordTokenizer(path))
+        own = of_worker(("packing", path, memo_bytes), lambda: WordTokenizer(path, memo_bytes))
+        freed = 0
         for batch in batches:
             for part in byte_slices(batch, 1, BATCH_BYTES):
                 at, number, start, length, ids = [], [], [], [], []
@@ -121,6 +124,10 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, *, capacity: int = CAP
                         ids.append(cut)
                 columns = [part.column(0).take(pa.array(at, pa.int64())), pa.array(number, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
+            freed += batch.nbytes
+            if freed >= RELEASE_BYTES:
+                freed = 0
+                release_memory()
 
     kind = source.schema[id_col].dataType.simpleString()
     return arrow_map(source, run, f"`{id_col}` {kind}, piece int, start bigint, length bigint, ids binary")
@@ -248,7 +255,7 @@ def pack(cut: DataFrame, *, capacity: int = CAPACITY, length_col: str = "length"
     return placed.select("row", place(F.col("length"), F.col("before") + F.col("rank") - 1).alias("place")).select("row.*", "place.sequence_id", "place.offset")
 
 
-def packed_pieces(docs: DataFrame, *, capacity: int = CAPACITY, tokenizer: str | None = None, keep_ids: bool = True) -> DataFrame:
+def packed_pieces(docs: DataFrame, *, capacity: int = CAPACITY, tokenizer: str | None = None, keep_ids: bool = True, memo_bytes: int = MEMO_BYTES) -> DataFrame:
     """Pieces of docs with their places. Without keep_ids only the ids' crc32 travels with the pieces, as ids_crc32."""
-    cut = pieces(docs, tokenizer, capacity=capacity).withColumn("ids_crc32", F.crc32("ids"))
+    cut = pieces(docs, tokenizer, capacity=capacity, memo_bytes=memo_bytes).withColumn("ids_crc32", F.crc32("ids"))
     return pack(materialise(cut if keep_ids else cut.drop("ids"), "pieces"), capacity=capacity)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import bounded_batches, bounded_sample, byte_slices, materialise, of_worker
+from newsloom.llm.common import bounded_batches, bounded_sample, byte_slices, materialise, of_worker, release_memory
 
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
@@ -140,6 +140,7 @@ def statistics(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
             found = [count_batch(part.column(0).to_pylist()) for part in byte_slices(pa.RecordBatch.from_arrays([batch], names=["text"]), 0, BATCH_BYTES)]
             all_ = np.concatenate(found) if found else np.zeros((0, len(COUNTS)), np.int64)
             yield pa.StructArray.from_arrays([pa.array(all_[:, k]) for k in range(len(COUNTS))], names=list(COUNTS))
+        release_memory()
 
     whole = [F.struct("*").alias("row")] if carry else []
     counted = docs.select(F.col(id_col), counts(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("counts"), *whole)

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import arrow_map, bounded_batches, bounded_sample, byte_slices, materialise
+from newsloom.llm.common import arrow_map, bounded_batches, bounded_sample, byte_slices, materialise, release_memory
 
 BASE_KINDS = ("assign", "access", "hex")
 METHOD_KIND = "format"
@@ -489,21 +489,30 @@ def scan(docs: DataFrame, formats: Formats | None, *, id_col: str = "doc_id", te
     return arrow_map(source, run, f"`{id_col}` {source.schema[id_col].dataType.simpleString()}, spans {SPANS}")
 
 
+def masked_batches(batches: Iterator[pa.Array], formats: Formats | None, mark: str) -> Iterator[pa.Array]:
+    """The texts of each batch with their spans replaced by mark, BATCH_BYTES of them at a time; null texts stay null."""
+    for batch in batches:
+        out = []
+        for part in byte_slices(pa.RecordBatch.from_arrays([batch], names=["text"]), 0, BATCH_BYTES):
+            whole = part.column(0).to_pylist()
+            for text, spans in zip(whole, spans_of_all([t or "" for t in whole], formats), strict=True):
+                parts, at = [], 0
+                for start, end, _, _ in spans:
+                    if start >= at:
+                        parts += [text[at:start], mark]
+                    at = max(at, end)
+                out.append("".join([*parts, text[at:]]) if spans else text)
+        yield pa.array(out, pa.string())
+    release_memory()
+
+
 def mask(docs: DataFrame, formats: Formats | None, *, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """docs with every span of its texts replaced by mark; all columns stay, null texts stay null."""
     shared = docs.sparkSession.sparkContext.broadcast(formats)
     bounded_batches(docs.sparkSession)
 
     @F.arrow_udf("string")
-    def masked(texts: pa.Array) -> pa.Array:
-        out, whole = [], texts.to_pylist()
-        for text, spans in zip(whole, spans_of_all([t or "" for t in whole], shared.value), strict=True):
-            parts, at = [], 0
-            for start, end, _, _ in spans:
-                if start >= at:
-                    parts += [text[at:start], mark]
-                at = max(at, end)
-            out.append("".join([*parts, text[at:]]) if spans else text)
-        return pa.array(out, pa.string())
+    def masked(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from masked_batches(batches, shared.value, mark)
 
     return docs.withColumn(text_col, masked(F.col(text_col).cast("string")))

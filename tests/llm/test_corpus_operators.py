@@ -10,12 +10,13 @@ from pathlib import Path
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from newsloom.llm import chat_format, near_dedup, packing, queries, vector_search, warc_writer
+from newsloom.llm import chat_format, common, near_dedup, packing, queries, secret_scan, vector_search, warc_writer
 
 from .helpers import BASE, SF, SCHEMA, documents, link_components, no_docs, odd_docs, odd_rows, prose, shingle_set
 
@@ -412,3 +413,26 @@ def test_pipeline_stages_on_odd_tables(spark):
             docs = corpus_pipeline.materialise(stage(spark, docs, folder), "test-odd")
             assert name == "packing" or docs.columns == before
     assert len(SCHEMA.split(", ")) == len(odd_docs(spark).columns)
+
+
+def test_pipeline_masks_a_slice_at_a_time(monkeypatch):
+    """Whatever a batch holds, BATCH_BYTES of texts are looked through at once; the masked texts are the same."""
+    seen, scan = [], secret_scan.spans_of_all
+    monkeypatch.setattr(secret_scan, "spans_of_all", lambda texts, formats: seen.append(sum(map(len, texts))) or scan(texts, formats))
+    texts = [f"{'a few words ' * 20_000} password = hunter{i}hunter" if i % 7 else None for i in range(30)]
+    (out,) = secret_scan.masked_batches(iter([pa.array(texts)]), None, "[SECRET]")
+    assert out.to_pylist() == [t and t[: t.index("password")] + "[SECRET]" for t in texts]
+    assert len(seen) > 3 and max(seen) <= secret_scan.BATCH_BYTES
+
+
+def test_pipeline_packs_with_small_memos(spark, monkeypatch):
+    """A worker's memos stay within PACKING_MEMO_BYTES a generation, and memory is given back within a task."""
+    runs, freed, mapped = [], [], packing.arrow_map
+    monkeypatch.setattr(packing, "arrow_map", lambda source, run, schema: runs.append(run) or mapped(source, run, schema))
+    monkeypatch.setattr(common, "_worker", {})
+    corpus_pipeline.pack(spark, documents(spark).limit(20), SF)
+    monkeypatch.setattr(packing, "release_memory", lambda: freed.append(1))
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(2)), "text": ["ab cd. " * 1_400_000, "ef gh. " * 1_400_000]})
+    assert sum(b.num_rows for b in runs[0](iter([batch]))) >= 2
+    (own,) = common._worker.values()
+    assert own.plain.most <= corpus_pipeline.PACKING_MEMO_BYTES < packing.MEMO_BYTES and own.chunks.most == own.plain.most and freed
