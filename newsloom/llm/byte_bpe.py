@@ -8,7 +8,8 @@ made when first met and kept. At each byte it notes the one token that may end t
 Tokens come out once all places that can still matter lead back to them: after a lookahead of a few times the longest
 token's bytes at most.
 
-Pieces are the matches of a pre-tokeniser pattern; equal pieces are encoded once per task and memo period. Decoding
+Pieces are the matches of a pre-tokeniser pattern; equal pieces are encoded once per worker and memo period. The new
+pieces of a block of texts are read in sorted order, so what neighbours begin with in common is read once. Decoding
 streams: token bytes go through an incremental UTF-8 automaton that holds back an unfinished character between blocks.
 
 Defined cases: a null text counts as empty and has no tokens; ids that aren't in the vocabulary raise; bytes that
@@ -18,8 +19,10 @@ aren't UTF-8 decode to U+FFFD; repeated or null doc_ids each get their own row;
 from __future__ import annotations
 
 import base64
+import itertools
+import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import public_tokenizers
@@ -28,13 +31,17 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import Memo, arrow_map, byte_slices, of_worker, split_at_single_spaces
+from newsloom.llm.common import Memo, arrow_map, byte_slices, of_worker
 
 BATCH_BYTES = 1 << 20
 _DECODE_ROWS = 256
-#: Pairs of tokens, and bytes of each memo's generation, kept by one Python worker before it starts afresh.
+#: Pairs of tokens, and bytes of each of the memo's generations, kept by one Python worker before it starts afresh.
 MOST_PAIRS = 250_000
-MEMO_BYTES = 32 << 20
+MEMO_BYTES = 64 << 20
+#: Longer pieces are read alone: sorted ones lie side by side in one array, each as wide as the longest.
+SHARED_CHARS = 32
+#: Of texts of more characters than BATCH_BYTES, so many pieces are encoded at a time.
+BLOCK_PIECES = 1 << 17
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -59,6 +66,7 @@ class MergeTransducer:
         self._split: dict[int, tuple[int, int] | None] = {}
         self._fits: list[dict[int, bool]] = [{} for _ in range(max(ranks.values(), default=-1) + 1)]
         self._n_fits = 0
+        self._codes = {rank: struct.pack("<I", rank) for rank in self.bytes_of}
         self._ids: dict[bytes, int] = {b"": 0}
         self._ends: list[bytes] = [b""]
         self._outputs: list[tuple[tuple[int, int], ...]] = [()]
@@ -169,60 +177,115 @@ class MergeTransducer:
 
     def encode(self, data: bytes) -> list[int]:
         """Ranks of a piece; one that is a token itself stays whole, as the library has it."""
-        whole = self.ranks.get(data)
-        if whole is not None:
-            return [whole]
-        return self._short(data) if len(data) < 4 * self.longest else list(self.stream(data))
-
-    def _short(self, data: bytes) -> list[int]:
-        """stream() for a piece that ends before anything has to come out."""
-        move, fits = self._moves.get, self._fits
-        state, lasts, steps = 0, [], []
-        for at, byte in enumerate(data):
-            state, outputs = move(state << 8 | byte) or self._move(state, byte)
-            for token, size in outputs:
-                if size > at:
-                    break
-                left = lasts[at - size]
-                ok = fits[left].get(token)
-                if ok or ok is None and self.fits(left, token):
-                    break
-            lasts.append(token)
-            steps.append(size)
-        out, at = [], len(data) - 1
-        while at >= 0:
-            out.append(lasts[at])
-            at -= steps[at]
-        out.reverse()
-        return out
+        return [rank for (rank,) in struct.iter_unpack("<I", self.packed(data))]
+
+    def packed(self, data: bytes) -> bytes:
+        """encode() as little-endian unsigned 32-bit numbers."""
+        if len(data) < 4 * self.longest or data in self.ranks:
+            return next(self.encode_sorted([data]))
+        ids = list(self.stream(data))
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def encode_sorted(self, pieces: list[bytes]) -> Iterator[bytes]:
+        """The ranks of each piece as packed() has them; any order is right, a sorted one is fast.
+
+        What a piece begins with in common with the one before it isn't read again, so all places of a piece are kept
+        until it ends; much longer pieces than the longest token are for stream().
+        """
+        move, fits, codes, whole = self._moves.get, self._fits, self._codes, self.ranks.get
+        states: list[int] = []
+        lasts: list[int] = []
+        made: list[bytes] = []  # the ranks of the encoding up to each place
+        for piece, common in zip(pieces, shared_starts(pieces), strict=True):
+            token = whole(piece)
+            if token is not None:
+                yield codes[token]
+            common = min(common, len(states))
+            del states[common:], lasts[common:], made[common:]
+            if token is not None:
+                continue
+            state = states[-1] if common else 0
+            for at in range(common, len(piece)):
+                byte = piece[at]
+                state, outputs = move(state << 8 | byte) or self._move(state, byte)
+                for token, size in outputs:
+                    if size > at:
+                        made.append(codes[token])
+                        break
+                    left = lasts[at - size]
+                    ok = fits[left].get(token)
+                    if ok or ok is None and self.fits(left, token):
+                        made.append(made[at - size] + codes[token])
+                        break
+                states.append(state)
+                lasts.append(token)
+            yield made[-1] if made else b""
+
+
+def shared_starts(pieces: list[bytes]) -> list[int]:
+    """For each piece, how many bytes it begins with in common with the one before it."""
+    if len(pieces) < 2:
+        return [0] * len(pieces)
+    sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    table = np.array(pieces, f"S{max(int(sizes.max()), 1)}").view(np.uint8).reshape(len(pieces), -1)
+    differ = table[1:] != table[:-1]
+    first = np.where(differ.any(axis=1), differ.argmax(axis=1), differ.shape[1])
+    return [0, *np.minimum(first, np.minimum(sizes[1:], sizes[:-1])).tolist()]  # blanks that fill rows up don't count
+
+
+def _members(names: str) -> str:
+    """The characters up to U+FFFF of a class of `regex`, as ranges for a class of `re`, which is faster but knows no properties."""
+    spans = [x[0] for span in (range(0xD800), range(0xE000, 0x10000)) for x in regex.finditer(f"[{names}]+", "".join(map(chr, span)))]
+    return "".join(rf"\u{ord(x[0]):04x}-\u{ord(x[-1]):04x}" for x in spans)
+
+
+class PieceFinder:
+    """All matches of a pattern of `regex` in a text. The shipped pattern is translated for texts without characters beyond U+FFFF."""
+
+    def __init__(self, pattern: str):
+        self.general = regex.compile(pattern)
+        self.fast = None
+        if pattern == public_tokenizers.PATTERN:
+            space, letter, digit = _members(r"\s"), _members(r"\p{L}"), _members(r"\p{N}")
+            self.fast = re.compile(rf" ?[{letter}]+|'(?:s|t|re|ve|m|ll|d)| ?[{digit}]+| ?[^{space}{letter}{digit}]+|[{space}]+(?![^{space}])|[{space}]+")
+            self.beyond = re.compile("[\U00010000-\U0010ffff]").search
+
+    def _of(self, text: str):
+        return self.fast if self.fast and (text.isascii() or not self.beyond(text)) else self.general
+
+    def __call__(self, text: str) -> list[str]:
+        return self._of(text).findall(text)
+
+    def blocks(self, text: str, most: int = BLOCK_PIECES) -> Iterator[tuple[str, ...]]:
+        """The same in blocks, for texts whose pieces would take much memory."""
+        return itertools.batched((m[0] for m in self._of(text).finditer(text)), most)
 
 
 class TextEncoder:
-    """Texts -> little-endian unsigned 32-bit ids, with memos for what stands between single blanks."""
+    """Texts -> little-endian unsigned 32-bit ids, with a memo for pieces."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, most: int = MEMO_BYTES):
         self.transducer = MergeTransducer(ranks)
-        self.find = regex.compile(pattern).findall
-        self.later = Memo(lambda chunk: self._chunk(" " + chunk), most)
-        self.pieces = Memo(self._piece, most)
-
-    def _piece(self, piece: str) -> bytes:
-        ids = self.transducer.encode(piece.encode())
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def _chunk(self, chunk: str) -> bytes:
-        pieces = self.find(chunk)
-        return self._piece(chunk) if len(pieces) == 1 else b"".join(map(self.pieces.__getitem__, pieces))
-
-    def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        head, *rest = split_at_single_spaces(text)
-        out = self._chunk(head) + b"".join(map(self.later.__getitem__, rest))
-        self.later.trim()
-        self.pieces.trim()
+        self.find = PieceFinder(pattern)
+        self.memo = Memo(lambda piece: self.transducer.packed(piece.encode()), most)
+
+    def _learn(self, pieces: Iterable[str]) -> None:
+        """Put those of the pieces that the memo lacks into it, but for long ones, which are encoded where they stand."""
+        memo, older = self.memo, self.memo.older
+        new = sorted(p for p in pieces if p not in memo and p not in older and len(p) <= SHARED_CHARS)
+        for piece, ids in zip(new, self.transducer.encode_sorted([p.encode() for p in new]), strict=True):
+            memo.put(piece, ids)
+
+    def _joined(self, found: Sequence[Sequence[str]]) -> list[bytes]:
+        self._learn(set().union(*found))
+        out = [b"".join(map(self.memo.__getitem__, pieces)) for pieces in found]
+        self.memo.trim()
         return out
 
+    def encode(self, texts: list[str]) -> list[bytes]:
+        short = iter(self._joined([self.find(t) for t in texts if len(t) <= BATCH_BYTES]))
+        return [next(short) if len(t) <= BATCH_BYTES else b"".join(self._joined([x])[0] for x in self.find.blocks(t)) for t in texts]
+
 
 #: For each first byte of a UTF-8 character, how many bytes it has (by upper nibble; 8 to B continue one).
 _UTF8_LENGTH = {**dict.fromkeys(range(8), 1), 0xC: 2, 0xD: 2, 0xE: 3, 0xF: 4}
@@ -278,7 +341,7 @@ def encode(docs: DataFrame, ranks_path: str | None = None, pattern: str = public
         encoder = of_worker(("byte_bpe", path, pattern), lambda: TextEncoder(read_ranks(path), pattern))
         for batch in batches:
             for part in byte_slices(batch, 1, BATCH_BYTES):
-                packed = [encoder.encode(t) for t in part.column(1).to_pylist()]
+                packed = encoder.encode(part.column(1).to_pylist())
                 ends = np.cumsum([0, *(len(x) // 4 for x in packed)], dtype=np.int64).astype(np.int32)
                 values = pa.array(np.frombuffer(b"".join(packed), "<u4").astype(np.int32))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), values)], names=[id_col, "ids"])

@@ -308,6 +308,50 @@ def test_streamed_pieces(reference):
             assert piece in machine.ranks or list(machine.stream(piece)) == reference._encode_single_piece(piece)
 
 
+def test_sorted_pieces_share_what_they_begin_with(reference):
+    ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    pieces = [b"", b"zq", b"zq\0", b"zq\0b", b"zq\0bq", *(b" thshinganedtion" + x for x in (b"", b"a", b"ab", b"abq", "é".encode(), b"\0"))]
+    for order in (sorted(pieces), pieces[::-1], pieces[::2] + pieces):
+        got = [list(np.frombuffer(x, "<u4")) for x in byte_bpe.MergeTransducer(ranks).encode_sorted(order)]
+        assert got == [reference._encode_single_piece(p) if p else [] for p in order]
+
+    class Counting(dict):
+        reads = 0
+
+        def get(self, key):
+            Counting.reads += 1
+            return super().get(key)
+
+    words = ["thshinganedtionoron" + x for x in ("er", "era", "erat", "eror", "ing", "ingst")]
+    texts = [f"a {w} {w}. {w}, {w}!\n" for w in words]
+    encoder = byte_bpe.TextEncoder(ranks, public_tokenizers.PATTERN)
+    encoder.transducer._moves = Counting()
+    assert [list(np.frombuffer(x, "<u4")) for x in encoder.encode(texts)] == [reference.encode_ordinary(t) for t in texts]
+    begun = {p[:k] for t in texts for p in encoder.find(t) for k in range(1, len(p) + 1)}
+    assert Counting.reads <= len(begun)
+
+
+def test_pieces_by_the_translated_pattern():
+    import regex
+
+    find = byte_bpe.PieceFinder(public_tokenizers.PATTERN)
+    plain = regex.compile(public_tokenizers.PATTERN).findall
+    chars = [chr(x) for x in (*range(0xD800), *range(0xE000, 0x10000))]
+    text = "".join(f"a{c} {c}1{c}{c}\n{c}'s {c}  {c}x" for c in chars)
+    assert find.fast.findall(text) == plain(text) == find(text) == [p for block in find.blocks(text, 1000) for p in block]
+    for text in ("", " ", "a\x1cb \x85c", "I'll we've it's 'tis 'S don''t", "\U0001d4d0bc \U0001f600\U0001f600. \U0001d7d8\U0001d7d9", "x" + "\u3000" * 3 + "漢字 \u00a0 .", "\n\n a \n\nb  \t"):
+        assert find(text) == plain(text)
+    assert byte_bpe.PieceFinder(r"\S+ ?|\s+")("ab cd  e") == ["ab ", "cd ", " ", "e"]
+
+
+def test_long_texts_are_encoded_in_blocks(reference, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "BATCH_BYTES", 40)
+    monkeypatch.setattr(byte_bpe.PieceFinder.blocks, "__defaults__", (3,))
+    texts = ["short one", "a longer text, of more pieces than a block has: " * 5, "", "\n \U0001f600 thshinganedtion " * 9]
+    ids = byte_bpe.TextEncoder(byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), public_tokenizers.PATTERN).encode(texts)
+    assert [list(np.frombuffer(x, "<u4")) for x in ids] == [reference.encode_ordinary(t) for t in texts]
+
+
 def test_utf8_waits_for_the_rest_of_a_character():
     text = "aé漢\U0001f600b"
     for size in (1, 2, 3):
