@@ -233,21 +233,33 @@ def shared_starts(pieces: list[bytes]) -> list[int]:
     return [0, *np.minimum(first, np.minimum(sizes[1:], sizes[:-1])).tolist()]  # blanks that fill rows up don't count
 
 
-def _members(names: str) -> str:
+#: Letters and numbers that newer tables of `regex` know and the library's (Unicode 16) don't; for it they are other characters.
+_NEWER = (
+    "558-558 58b-58c 88f-88f c5c-c5c cdc-cdc 208f-208f 209d-209f a7ce-a7cf a7d2-a7d2 a7d4-a7d4 a7dd-a7f1 ab6c-ab6d "
+    "107bb-107bf 10940-10959 10ec5-10eee 11b0a-11b0a 11db0-11df1 1246f-1247f 12550-12686 16ea0-16ed3 16ff2-16ff6 187f8-187ff 18cd6-18cda 18d09-191d2 "
+    "1b123-1b128 1b168-1b168 1d6a6-1d6a6 1df1f-1df24 1df2b-1dfff 1e6c0-1e6ff 2b73a-2b73f 2b81e-2b81e 2cea2-2cead 323b0-3fc3f"
+).split()
+_NEWER_CLASS = "".join(rf"\U{int(a, 16):08x}-\U{int(b, 16):08x}" for a, b in (x.split("-") for x in _NEWER))
+
+
+def _members(name: str) -> str:
     """The characters up to U+FFFF of a class of `regex`, as ranges for a class of `re`, which is faster but knows no properties."""
-    spans = [x[0] for span in (range(0xD800), range(0xE000, 0x10000)) for x in regex.finditer(f"[{names}]+", "".join(map(chr, span)))]
+    known = regex.compile(rf"(?V1)[{name}--[{_NEWER_CLASS}]]+")
+    spans = [x[0] for span in (range(0xD800), range(0xE000, 0x10000)) for x in known.finditer("".join(map(chr, span)))]
     return "".join(rf"\u{ord(x[0]):04x}-\u{ord(x[-1]):04x}" for x in spans)
 
 
 class PieceFinder:
-    """All matches of a pattern of `regex` in a text. The shipped pattern is translated for texts without characters beyond U+FFFF."""
+    """All matches of a pattern of `regex` in a text. The shipped pattern is written anew with the library's classes: for
+    `re`, or for `regex` where a text has characters beyond U+FFFF."""
 
     def __init__(self, pattern: str):
-        self.general = regex.compile(pattern)
-        self.fast = None
+        self.general, self.fast = regex.compile(pattern), None
         if pattern == public_tokenizers.PATTERN:
-            space, letter, digit = _members(r"\s"), _members(r"\p{L}"), _members(r"\p{N}")
-            self.fast = re.compile(rf" ?[{letter}]+|'(?:s|t|re|ve|m|ll|d)| ?[{digit}]+| ?[^{space}{letter}{digit}]+|[{space}]+(?![^{space}])|[{space}]+")
+            ends, newer = "'(?:s|t|re|ve|m|ll|d)", f"[{_NEWER_CLASS}]"
+            self.general = regex.compile(rf"(?V1) ?[\p{{L}}--{newer}]+|{ends}| ?[\p{{N}}--{newer}]+| ?[[^\s\p{{L}}\p{{N}}]||{newer}]+|\s+(?!\S)|\s+")
+            space, letter, digit = map(_members, (r"\s", r"\p{L}", r"\p{N}"))
+            self.fast = re.compile(rf" ?[{letter}]+|{ends}| ?[{digit}]+| ?[^{space}{letter}{digit}]+|[{space}]+(?![^{space}])|[{space}]+")
             self.beyond = re.compile("[\U00010000-\U0010ffff]").search
 
     def _of(self, text: str):

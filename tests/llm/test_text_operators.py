@@ -331,16 +331,19 @@ def test_sorted_pieces_share_what_they_begin_with(reference):
     assert Counting.reads <= len(begun)
 
 
-def test_pieces_by_the_translated_pattern():
-    import regex
-
+def test_pieces_by_the_translated_pattern(reference):
     find = byte_bpe.PieceFinder(public_tokenizers.PATTERN)
-    plain = regex.compile(public_tokenizers.PATTERN).findall
-    chars = [chr(x) for x in (*range(0xD800), *range(0xE000, 0x10000))]
-    text = "".join(f"a{c} {c}1{c}{c}\n{c}'s {c}  {c}x" for c in chars)
-    assert find.fast.findall(text) == plain(text) == find(text) == [p for block in find.blocks(text, 1000) for p in block]
-    for text in ("", " ", "a\x1cb \x85c", "I'll we've it's 'tis 'S don''t", "\U0001d4d0bc \U0001f600\U0001f600. \U0001d7d8\U0001d7d9", "x" + "\u3000" * 3 + "漢字 \u00a0 .", "\n\n a \n\nb  \t"):
-        assert find(text) == plain(text)
+    text = "".join(f"a{c} {c}1{c}{c}\n{c}'s {c}  {c}x" for c in map(chr, (*range(0xD800), *range(0xE000, 0x10000))))
+    assert find.fast.findall(text) == find.general.findall(text) == find(text) == [p for block in find.blocks(text, 1000) for p in block]
+    single = {bytes([x]): x for x in range(256)}
+    every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
+    for name, mate in ((r"\p{L}", "b"), (r"\p{N}", "1")):  # a character is of the class if it and the next one are one piece
+        library = set(bytes(tiktoken.Encoding("class", pat_str=name + "+", mergeable_ranks=single, special_tokens={}).encode_ordinary(every)).decode())
+        for chars in (every[:0xF800], every[0xF800:]):
+            assert {p[0] for p in find("".join(f"{c}{mate}\x01" for c in chars)) if len(p) == 2 and p[1] == mate and p[0] != " "} == library & set(chars)
+    for text in ("", " ", "a\x1cb \x85c", "I'll we've it's 'tis 'S don''t", "\U0001d4d0bc \U0001f600\U0001f600. \U0001d7d8\U0001d7d9", "x" + "\u3000" * 3 + "漢字 \u00a0 .", "\n\n a \n\nb  \t", "a\ua7ceb \u088f1 \U00010940\U00012550."):
+        ids = byte_bpe.TextEncoder(byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), public_tokenizers.PATTERN).encode([text])
+        assert list(np.frombuffer(ids[0], "<u4")) == reference.encode_ordinary(text)
     assert byte_bpe.PieceFinder(r"\S+ ?|\s+")("ab cd  e") == ["ab ", "cd ", " ", "e"]
 
 
