@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.functions import text
-from newsloom.operators.clustering import by_rarity
+from newsloom.operators.clustering import by_rarity, meet
 from newsloom.storage import cut
 
 GAP_HOURS, UPDATE_HOURS = 36, 2
@@ -150,23 +150,23 @@ def event_edges(view: DataFrame, order: DataFrame) -> DataFrame:
     Every rule wants half of the shorter title's tokens and three at least, so one of its rarest slots must be shared.
     """
     live = view.where(F.col("n") >= LEAST_TOKENS)
-    held = cut(by_rarity(live.select("id", F.col("slots").alias("tokens"))).join(live.select("id", "n", "at"), "id"))
+    held = cut(meet(by_rarity(live.select("id", F.col("slots").alias("tokens"))), live.select("id", "n", "at"), "id"))
     needed = F.greatest(F.lit(LEAST_COMMON), F.ceil(F.col("n") * LEAST_COVERAGE).cast("int"))
     bucket = F.floor(F.col("at") / (GAP_HOURS * 3_600_000))
     unknown = F.lit(-(1 << 40))
     shared = lambda last: F.explode(F.slice("tokens", F.col("lone") + 1, F.greatest(last - F.col("lone"), F.lit(0)))).alias("slot")  # noqa: E731  slots of one title alone meet nothing
     small = held.select(F.col("id").alias("small"), "tokens", F.col("n").alias("small_n"), "at", shared(F.col("n") - needed + 1), bucket.alias("bucket"))
     large = held.select(F.col("id").alias("large"), F.col("tokens").alias("others"), F.col("n").alias("large_n"), F.col("at").alias("large_at"), shared(F.col("n")), F.when(F.col("at") == 0, unknown).otherwise(bucket).alias("bucket"))
-    dated = small.where("at <> 0").withColumn("bucket", F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1, unknown))).join(large, ["slot", "bucket"])
-    undated = small.where("at = 0").drop("bucket").join(large.drop("bucket"), "slot")
+    dated = meet(small.where("at <> 0").withColumn("bucket", F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1, unknown))), large, ["slot", "bucket"])
+    undated = meet(small.where("at = 0").drop("bucket"), large.drop("bucket"), "slot")
     # a pair is judged where its first common slot meets, so it is found once and no candidates are shuffled
     enough = F.exists(F.array(F.array_intersect("tokens", "others")), lambda c: (F.get(c, F.lit(0)) == F.col("slot")) & (F.size(c) >= LEAST_COMMON) & (F.size(c) >= LEAST_COVERAGE * F.col("small_n")))
     near = f"(at = 0 or large_at = 0 or abs(at - large_at) <= {GAP_HOURS * 3_600_000}) and (small_n < large_n or small_n = large_n and small < large)"
     found = lambda met: met.where(near).where(enough).select(F.least("small", "large").alias("x"), F.greatest("small", "large").alias("y"))
     pairs = found(dated).unionByName(found(undated))
-    rows = live.select("id", F.struct("tokens", "slots", "n", "at", "markers", "claims").alias("row")).join(order, "id")
+    rows = meet(live.select("id", F.struct("tokens", "slots", "n", "at", "markers", "claims").alias("row")), order, "id")
     of = lambda side: rows.select(F.col("id").alias(side), F.col("row").alias(f"{side}_row"), F.col("ord").alias(f"{side}_ord"))
-    both = pairs.join(of("x"), "x").join(of("y"), "y")
+    both = meet(meet(pairs, of("x"), "x"), of("y"), "y")
     first = F.col("x_ord") < F.col("y_ord")
     turned = both.select(F.when(first, F.col("x")).otherwise(F.col("y")).alias("a"), F.when(first, F.col("y")).otherwise(F.col("x")).alias("b"), F.when(first, F.col("x_row")).otherwise(F.col("y_row")).alias("a_row"), F.when(first, F.col("y_row")).otherwise(F.col("x_row")).alias("b_row"))
     return turned.where(same_event("a_row", "b_row")).select("a", "b")
@@ -184,22 +184,23 @@ def evolving_clusters(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     quality = lambda bonus, score: F.col(bonus) + F.col(score) * 0.1
     plain = nodes.select("id", "ord", "bonus", "score", quality("bonus", "score").alias("q"))
     of = lambda side: plain.select(F.col("id").alias(side), F.col("ord").alias(f"{side}_ord"), F.col("q").alias(f"{side}_q"), F.col("score").alias(f"{side}_score"))
-    links = cut(edges.join(of("a"), "a").join(of("b"), "b"))
+    links = cut(meet(meet(edges, of("a"), "a"), of("b"), "b"))
     bold = links.groupBy(F.col("b").alias("id")).agg(F.max(F.col("b_q") > F.col("a_q")).alias("bold"))
     kind = nodes.schema["ord"].dataType
-    state = cut(plain.join(bold, "id", "left").select("*", F.lit(None).cast(kind).alias("founder"), F.lit(None).cast("boolean").alias("rep"), F.lit(None).cast(nodes.schema["id"].dataType).alias("joined"), F.lit(None).cast("double").alias("held")).fillna(False, ["bold"]))
+    state = cut(meet(plain, bold, "id", "left").select("*", F.lit(None).cast(kind).alias("founder"), F.lit(None).cast("boolean").alias("rep"), F.lit(None).cast(nodes.schema["id"].dataType).alias("joined"), F.lit(None).cast("double").alias("held")).fillna(False, ["bold"]))
     while state.where("founder is null").limit(1).count():
         done, still = state.where("founder is not null"), state.where("founder is null")
         after = done.where("joined is not null").groupBy(F.col("joined").alias("a")).agg(F.min(F.when(F.col("rep"), F.col("ord"))).alias("displaced"), F.max("score").alias("top"))
-        reps = done.where("rep").select(F.col("id").alias("a"), "founder", F.col("bonus").alias("a_bonus"), "held").join(after, "a", "left")
-        ahead = links.join(still.select(F.col("id").alias("b")), "b", "left_semi")
-        near = ahead.join(reps, "a").withColumn("matters", (F.col("b_q") > quality("a_bonus", "held")) | (F.col("b_score") > F.col("held")))
+        reps = done.where("rep").select(F.col("id").alias("a"), "founder", F.col("bonus").alias("a_bonus"), "held")
+        reps = meet(reps, after, "a", "left")
+        ahead = meet(links, still.select(F.col("id").alias("b")), "b", "left_semi")
+        near = meet(ahead, reps, "a").withColumn("matters", (F.col("b_q") > quality("a_bonus", "held")) | (F.col("b_score") > F.col("held")))
         first_open = near.where("matters").groupBy("a").agg(F.min("b_ord").alias("first_open"))
-        alive = near.join(first_open, "a", "left").where("displaced is null or displaced > b_ord")
+        alive = meet(near, first_open, "a", "left").where("displaced is null or displaced > b_ord")
         choice = F.struct("founder", "a", quality("a_bonus", "best").alias("bar"), "best")
         seen = alive.withColumn("best", F.greatest("held", "top")).groupBy(F.col("b").alias("id")).agg(F.max(F.coalesce(F.col("first_open") < F.col("b_ord"), F.lit(False))).alias("blocked"), F.min_by(choice, "founder").alias("pick"))
-        waiting = ahead.join(still.select(F.col("id").alias("a"), "bold"), "a").groupBy(F.col("b").alias("id")).agg(F.max("bold").alias("bold_before"), F.min("a_ord").alias("open_before"))
-        joint = still.drop("founder", "rep", "joined", "held").join(seen, "id", "left").join(waiting, "id", "left")
+        waiting = meet(ahead, still.select(F.col("id").alias("a"), "bold"), "a").groupBy(F.col("b").alias("id")).agg(F.max("bold").alias("bold_before"), F.min("a_ord").alias("open_before"))
+        joint = meet(meet(still.drop("founder", "rep", "joined", "held"), seen, "id", "left"), waiting, "id", "left")
         ready = ~F.coalesce("blocked", F.lit(False)) & ~F.coalesce("bold_before", F.lit(False)) & (F.col("open_before").isNull() | F.coalesce(F.col("pick.founder") < F.col("open_before"), F.lit(False)))
         alone = F.col("pick").isNull()
         decided = joint.select("id", "ord", "bonus", "score", "q", "bold", F.when(ready, F.coalesce("pick.founder", "ord")).alias("founder"), F.when(ready, alone | (F.col("q") > F.col("pick.bar"))).alias("rep"), F.when(ready, F.col("pick.a")).alias("joined"), F.when(ready, F.greatest("score", "pick.best")).alias("held"))
@@ -216,16 +217,17 @@ def merge_events(articles: DataFrame) -> DataFrame:
     have merged_count and sources (an array, in place of source). Give it rows without exact copies (lexical_merge):
     each row is a node.
     """
-    view = cut(event_view(articles).join(articles.select(F.col("doc_id").alias("id"), F.struct((-F.coalesce(F.unix_millis("published_at"), F.lit(0))).alias("t"), "doc_id").alias("ord")), "id"))
+    view = cut(event_view(articles).withColumn("ord", F.struct((-F.col("at")).alias("t"), F.col("id").alias("doc_id"))))
     clusters = evolving_clusters(view.select("id", "ord", "bonus", "score"), cut(event_edges(view.drop("ord"), view.select("id", "ord"))))
     given = F.coalesce("sources", F.array("source")) if "sources" in articles.columns else F.array("source")
     told = F.filter(given, lambda s: s.isNotNull() & (s != ""))
     before = F.coalesce("merged_count", F.lit(0)) if "merged_count" in articles.columns else F.lit(0)
-    own = articles.withColumn("_told", told).withColumn("_stands", F.greatest(F.lit(1), before, F.size("_told")).cast("long")).join(clusters.withColumnRenamed("id", "doc_id"), "doc_id")
+    own = articles.withColumn("_told", told).withColumn("_stands", F.greatest(F.lit(1), before, F.size("_told")).cast("long"))
+    own = meet(own, clusters.withColumnRenamed("id", "doc_id"), "doc_id")
     longest = F.max_by("summary", F.struct(F.length("summary"), (-F.col("ord.t")).alias("t"), (-F.col("doc_id")).alias("d")))
     best = F.max_by("doc_id", F.when(F.col("rep"), F.col("ord")))
     merged = own.groupBy("founder").agg(best.alias("doc_id"), F.sum("_stands").alias("merged_count"), F.count("*").alias("merged_rows"), longest.alias("summary"), F.max("score").alias("score"))
     named = own.select("founder", F.explode("_told").alias("source")).distinct()
     first = named.withColumn("_place", F.row_number().over(Window.partitionBy("founder").orderBy("source"))).where("_place <= 8")
     sources = first.groupBy("founder").agg(F.array_sort(F.collect_list("source")).alias("sources"))
-    return merged.join(sources, "founder", "left").withColumn("sources", F.coalesce("sources", F.array().cast("array<string>")))
+    return meet(merged, sources, "founder", "left").withColumn("sources", F.coalesce("sources", F.array().cast("array<string>")))

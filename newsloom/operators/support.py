@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import text
 from newsloom.storage import cut
-from newsloom.operators.clustering import by_rarity, leader_clusters, similar_sets, tails
+from newsloom.operators.clustering import by_rarity, leader_clusters, meet, similar_sets, tails
 from newsloom.operators.events import says
 
 #: Words that don't count as meaning, and as news.
@@ -200,7 +200,7 @@ def contradictions(contexts: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
     others = nodes.select("story", F.col("id").alias("context"), F.col("tokens").alias("held"), F.col("n").alias("m"), F.explode("tokens").alias("token"))
     alike = F.exists(F.array(F.size(F.array_intersect("tail", "held"))), lambda c: (c >= CONTEXT_LEAST) & _share(c, CONTEXT_SHARE, F.col("n")))
     small = (F.col("n") == F.col("m")) & (F.slice("held", F.array_position("held", F.col("token")).cast("int"), F.col("m")) == F.col("tail"))
-    met = hubs.join(others, ["story", "token"]).where("n <= m").where(alike).select("story", F.md5(F.concat_ws("|", "n", F.array_join("tail", " ")).cast("binary")).alias("hub"), "context", small.alias("small"))
+    met = meet(hubs, others, ["story", "token"]).where("n <= m").where(alike).select("story", F.md5(F.concat_ws("|", "n", F.array_join("tail", " ")).cast("binary")).alias("hub"), "context", small.alias("small"))
     sides = met.join(told, ["story", "context"]).groupBy("story", "hub", "value", "source").agg(F.min("first_id").alias("first_id"), F.min(F.when(F.col("small"), F.col("first_id"))).alias("small_id"))
     sides = cut(sides)
     a = sides.where("small_id is not null").select("story", "hub", F.struct("value", "source", F.col("small_id").alias("first_id")).alias("a"))

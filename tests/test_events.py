@@ -6,7 +6,11 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from newsloom.operators import clustering, events
+from newsloom.operators import clustering, events, groups, support
+from newsloom.plans import registry
+from newsloom.storage import cut
+
+SF = "/root/testdata/sf0.001"
 
 NOON = datetime(2026, 8, 30, 12)
 #: title, hours before noon, source, score
@@ -98,3 +102,22 @@ def test_copies_and_merged_sources_count(spark):
     given = df.where("doc_id in (0, 8)").withColumn("sources", F.when(F.col("doc_id") == 0, F.array(*map(F.lit, "ABC")))).withColumn("merged_count", F.when(F.col("doc_id") == 8, 5))
     (story,) = events.merge_events(given).collect()
     assert story["merged_count"] == 3 + 5 and story["sources"] == ["A", "B", "C", "Z"]
+
+
+def test_what_grows_is_never_broadcast(spark, monkeypatch):
+    """Spark takes exploded rows for no larger than the files behind them, and would send them through the driver."""
+    plans = []
+
+    def planned(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df
+
+    for module in (clustering, events, groups, support):
+        monkeypatch.setattr(module, "cut", lambda df: cut(planned(df)))
+    planned(registry.event_merge(spark, SF))
+    assert len(plans) > 10 and all("Broadcast" not in p for p in plans)
+    plans.clear()
+    for name in ("contradictions", "story_groups"):
+        planned(registry.queries()[name](spark, SF))
+    met = [x for p in plans for x in p.splitlines() if "Join" in x and "token#" in x]
+    assert met and all("SortMergeJoin" in x for x in met)
