@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
+from functools import reduce
+from itertools import chain
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions import text
 from newsloom.storage import cut
-from newsloom.operators.clustering import by_rarity, leader_clusters, meet, similar_sets, tails
+from newsloom.operators.clustering import by_rarity, meet, tails
 from newsloom.operators.events import says
 
 #: Words that don't count as meaning, and as news.
@@ -37,13 +41,16 @@ BOILERPLATE = (
     r"ouvrez?\s+l[’']article|consultez?\s+(?:les?\s+)?détails|détails publiés par la source",
     r"résumé indisponible(?: pour cet article)?",
 )
+#: Each match of BOILERPLATE holds one of these, which are found much faster.
+BOILERPLATE_PARTS = tuple("article|partager|conne|identifiez|compte|abonn|offres|newsletter|recevez|inscrivez|cookies|confidentialité|consentement|notification|suivez|retrouvez|aussi|découvrir|même sujet|détails|indisponible".split("|"))
 SENTENCE_CHARS, SUMMARY_CHARS, NEWS_TOKENS, NEWS_CHARS = 18, 55, 8, 100
 SAME_SENTENCE, RESTATED = 0.9, 0.84
 
 
 def plain(x: Column) -> Column:
     """Entities decoded, lower case, no accents, blanks for apostrophes; other signs stay."""
-    return F.regexp_replace(text.fold(text.decode_entities(F.coalesce(x, F.lit("")))), "[’']", " ")
+    folded = lambda v: F.when(F.octet_length(v) == F.length(v), F.lower(v)).otherwise(text.fold(v))  # noqa: E731  ASCII has no accents to look up
+    return F.regexp_replace(text._bound(text.decode_entities(F.coalesce(x, F.lit(""))), folded), "[’']", " ")
 
 
 def meaningful(x: Column) -> Column:
@@ -126,35 +133,66 @@ def restates_title(summary: Column, title: Column) -> Column:
     own, head = F.trim(F.regexp_replace(text.decode_entities(F.coalesce(summary, F.lit(""))), r"(?iu)^(?:résumé|synthèse)\s*:\s*", "")), F.trim(text.decode_entities(F.coalesce(title, F.lit(""))))
     a, b = news_tokens(own), news_tokens(head)
     enough = (F.size(b) >= 4) & (F.size(a) >= 3)
-    close = _share(F.size(F.array_intersect(a, b)), RESTATED, F.size(b)) & (F.size(F.array_except(a, b)) <= 3) & (F.length(own) <= F.greatest(F.lit(190.0), F.length(head) * 1.65))
-    return (own != "") & (head != "") & (says(own, INTRODUCTION) | (enough & close))
+    short = F.length(own) <= F.greatest(F.lit(190.0), F.length(head) * 1.65)  # first: words of long texts aren't looked at
+    close = _share(F.size(F.array_intersect(a, b)), RESTATED, F.size(b)) & (F.size(F.array_except(a, b)) <= 3)
+    return (own != "") & (head != "") & (says(own, INTRODUCTION) | (short & enough & close))
 
 
 def is_boilerplate(x: Column) -> Column:
-    own = F.lower(text.decode_entities(F.coalesce(x, F.lit(""))))
-    return (own == "") | own.rlike("|".join(f"(?:{p})" for p in BOILERPLATE))  # one pattern: the text is decoded once
+    likely = lambda v: reduce(lambda p, q: p | q, [F.contains(v, F.lit(part)) for part in BOILERPLATE_PARTS])
+    said = lambda v: (v == "") | (likely(v) & v.rlike("|".join(f"(?:{p})" for p in BOILERPLATE)))  # noqa: E731  one pattern
+    return text._bound(F.lower(text.decode_entities(F.coalesce(x, F.lit("")))), said)
 
 
-def distinct_sentences(summaries: DataFrame, summary: str = "summary", *, id_col: str = "doc_id") -> DataFrame:
-    """id_col and kept: the sentences that are long enough, say something, and don't repeat a kept one's words, in order; of whole texts.
+def kept_places(keys: str) -> list[int]:
+    """Places of the lines of keys (normalised sentences of one text) that neither repeat an earlier line nor a kept one's words.
 
-    Going through a text and keeping what is like no kept sentence is leader clustering, so it is decided over pairs of
-    sentences of one text that share rare tokens, in rounds; a text's sentences are never compared with one another in one row.
+    Two sentences that share SAME_SENTENCE of the smaller one's words share one of its rarest, so each looks up its rarest
+    words among all words of kept ones, and its words among the rarest ones of those. Words of one line alone meet nothing.
+    """
+    said = keys.split("\n") if keys else []
+    sets = [{w for w in set(key.split(" ")) if len(w) >= 4}.difference(STOP_NEWS) for key in said]
+    times = Counter(chain.from_iterable(sets))
+    rarity = {w: k for k, w in enumerate(sorted((w for w, n in times.items() if n > 1), key=times.__getitem__))}
+    percent = round(100 * SAME_SENTENCE)
+    kept, seen, shared, holds, rarest = [], set(), {}, defaultdict(list), defaultdict(list)
+    for place, (key, own) in enumerate(zip(said, sets, strict=True)):
+        if key in seen:
+            continue
+        seen.add(key)
+        words = sorted(rarity[w] for w in own if w in rarity)
+        needed = -(-percent * len(own) // 100)
+        first, held = words[: max(0, len(words) - needed + 1)], set(words)
+        near = {k for w in first for k in holds[w]} | {k for w in words for k in rarest[w]}
+        if any(100 * len(held & shared[k]) >= percent * min(len(own), len(sets[k])) for k in near):
+            continue
+        kept.append(place)
+        shared[place] = held
+        for w in words:
+            holds[w].append(place)
+        for w in first:
+            rarest[w].append(place)
+    return kept
+
+
+def distinct_sentences(summaries: DataFrame, summary: str = "summary") -> DataFrame:
+    """summaries with kept: the sentences that are long enough, say something, and don't repeat a kept one's words, in order; of whole texts.
+
+    A text is one row, so nothing is shuffled or written: its sentences' words go through `kept_places`, which looks up rare
+    words instead of comparing all sentences with one another.
     """
-    cut_up = summaries.select(F.col(id_col).alias("own"), F.posexplode(text.sentences(text.clean(F.col(summary)))).alias("place", "s"))
-    said = cut_up.where((F.length("s") >= SENTENCE_CHARS) & ~is_boilerplate(F.col("s"))).withColumn("key", F.trim(F.regexp_replace(plain(F.col("s")), "[^a-z0-9]+", " "))).where("key <> ''")
-    first = cut(said.groupBy("own", "key").agg(F.min("place").alias("place"), F.min_by("s", "place").alias("s")))
-    nodes = first.select("own", F.struct("own", "place").alias("id"), F.struct("own", "place").alias("ord"), news_tokens(F.col("key")).alias("tokens"))
-    leaders = leader_clusters(nodes, similar_sets(nodes, round(100 * SAME_SENTENCE), ["own"])).where("id = leader").select("id.own", "id.place")
-    kept = first.join(leaders, ["own", "place"]).groupBy("own").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "s"))), lambda x: x["s"]).alias("kept"))  # a text is a row again
-    return kept.select(F.col("own").alias(id_col), "kept")
-
-
-def final_gate(summaries: DataFrame, *, summary: str = "summary", title: str = "title", id_col: str = "doc_id", aggregate_risk: Column | None = None) -> DataFrame:
-    """summaries (of unique ids) with final_summary (empty if rejected), quality (accepted or rejected), reason and n_sentences."""
-    own = summaries.join(distinct_sentences(summaries, summary, id_col=id_col), id_col, "left")
-    own = cut(own.withColumn("_clean", F.coalesce(F.array_join("kept", " "), F.lit(""))).drop("kept"))
-    low = (F.size(news_tokens(F.col("_clean"))) < NEWS_TOKENS) & (F.length("_clean") < NEWS_CHARS)
+    long_enough = F.filter(text.sentences(text.clean(F.col(summary))), lambda s: (F.length(s) >= SENTENCE_CHARS) & ~is_boilerplate(s))
+    keyed = F.transform(long_enough, lambda s: F.struct(s.alias("s"), F.trim(F.regexp_replace(plain(s), "[^a-z0-9]+", " ")).alias("key")))
+    said = summaries.withColumn("_said", F.filter(keyed, lambda x: x["key"] != ""))
+    places = F.udf(kept_places, "array<int>", useArrow=False)  # a few texts at a time: Arrow's batches hold thousands
+    placed = said.withColumn("_kept", places(F.array_join("_said.key", "\n")))
+    return placed.withColumn("kept", F.transform("_kept", lambda k: F.get("_said.s", k))).drop("_said", "_kept")
+
+
+def final_gate(summaries: DataFrame, *, summary: str = "summary", title: str = "title", aggregate_risk: Column | None = None) -> DataFrame:
+    """summaries with final_summary (empty if rejected), quality (accepted or rejected), reason and n_sentences."""
+    own = distinct_sentences(summaries, summary).withColumn("_clean", F.array_join("kept", " ")).drop("kept")
+    low = (F.length("_clean") < NEWS_CHARS) & (F.size(news_tokens(F.col("_clean"))) < NEWS_TOKENS)
     reason = F.when(F.length("_clean") < SUMMARY_CHARS, "too-short-or-boilerplate").when(restates_title(F.col("_clean"), F.col(title)), "title-restatement")
     if aggregate_risk is not None:
         reason = reason.when(aggregate_risk, "ambiguous-google-aggregate")

@@ -116,3 +116,32 @@ def test_contexts_meet_as_hubs(spark):
                 a, b = want.get((v, w, s, t), (i, j))
                 want[v, w, s, t] = (min(a, i), min(b, j))
     assert {(r["value_a"], r["value_b"], r["source_a"], r["source_b"]): (r["id_a"], r["id_b"]) for r in got.collect()} == want
+
+
+def test_gate_shuffles_and_writes_nothing(spark, monkeypatch):
+    """A text is one row: its sentences are judged there, whatever their number."""
+    written = []
+    monkeypatch.setattr(support, "cut", lambda df: written.append(df) or df)
+    gated = support.final_gate(spark.createDataFrame([(i, s, TITLE) for i, (s, *_) in enumerate(GATED)], "doc_id int, summary string, title string"))
+    assert not written and "Exchange" not in gated._jdf.queryExecution().executedPlan().toString()
+
+
+def test_boilerplate_is_found_by_its_parts(spark):
+    told = "Pour lire cet article|Partager la publication|Se connecter|Identifiez-vous|Connexion à votre compte|Créez un compte|Déjà abonné|Nos offres|La newsletter|Recevez nos actualités|Inscrivez-vous à|Gestion des cookies|Préférences de confidentialité|Votre consentement|Notification pour ne rien manquer|Partager sur|Suivez-nous|Retrouvez nous sur|Voir aussi|À découvrir|Sur le même sujet|Ajouter l’article dans mes favoris|Ouvrez l’article|Consultez les détails|R&#233;sumé indisponible"
+    plain = "Les offres d’emploi|Il va aussi partager|Un compte rendu|Une notification"
+    of = lambda x: [r["y"] for r in sorted(spark.createDataFrame(list(enumerate(x.split("|"))), "i int, s string").select("i", support.is_boilerplate(F.col("s")).alias("y")).collect())]
+    assert all(of(told)) and not any(of(plain))
+
+
+def test_kept_places_equal_the_loop():
+    r = random.Random(7)
+    for most in (6, 14, 24, 60):
+        words = [f"mot{k:02}" for k in range(most)] + ["avec", "un"]
+        said = [" ".join(r.choices(words, k=r.randrange(1, 14))) for _ in range(150)] + ["un", "la", "un", "avec"]
+        kept = []
+        for k, key in enumerate(said):
+            own = {w for w in key.split() if len(w) >= 4 and w != "avec"}
+            if not any(said[j] == key or o and own and 10 * len(own & o) >= 9 * min(len(own), len(o)) for j, o in kept):
+                kept.append((k, own))
+        assert support.kept_places("\n".join(said)) == [k for k, _ in kept]
+    assert support.kept_places("") == []
